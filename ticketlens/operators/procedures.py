@@ -21,9 +21,11 @@ def procedure_summary(
 ) -> DataFrame:
     """First and last entry and their span per (ticket, group name, user name),
     with the constant columns of an acted stay. All names carry the suffix."""
+    # One row per N2 group code at most: bounded.
+    group_names = F.broadcast(groups.where(F.col("grp_codigo").isin(list(n2))))
     named = (
         procs.where(F.col("pca_grupo").isin(list(n2)))
-        .join(groups, F.col("pca_grupo") == F.col("grp_codigo"), "left")
+        .join(group_names, F.col("pca_grupo") == F.col("grp_codigo"), "left")
         .join(users, F.col("pca_usuario") == F.col("usr_codigo"), "left")
     )
     spans = named.groupBy("pca_ta", "grp_nome", "usr_nome").agg(

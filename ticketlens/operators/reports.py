@@ -1,4 +1,7 @@
-"""Reports over the tracking tables."""
+"""Reports over the unified tracking rows (both tables, tagged).
+
+Partition the stored tables by entry month (`sinks.by_entry_month`) and the
+calendar filters prune files as well as row groups."""
 
 from __future__ import annotations
 
@@ -10,11 +13,10 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions.calendar import calendar_filter, week_mode1, within
 from ticketlens.functions.durations import TIME_LIMIT_SECONDS, clip_time, report_hms
+from ticketlens.operators.snapshot import ACTIVE_TAG, CLOSED_TAG, TAG
 from ticketlens.operators.stays import UNCLASSIFIED
 
-# Source tags, view names and look-back of the daily view.
-ACTIVE_TAG = "ATIVO"
-CLOSED_TAG = "FECHADO"
+# View names and look-back of the daily view.
 MONTH_VIEW = "ANO_MES"
 WEEK_VIEW = "SEMANAL"
 DAY_VIEW = "DIARIO"
@@ -55,14 +57,14 @@ MAX_PAGE_SIZE = 200
 
 def unified_tracking(active: DataFrame, closed: DataFrame) -> DataFrame:
     """All rows of both tables, tagged ATIVO / FECHADO in `origem_tabela`."""
-    return active.withColumn("origem_tabela", F.lit(ACTIVE_TAG)).unionByName(
-        closed.withColumn("origem_tabela", F.lit(CLOSED_TAG))
+    return active.withColumn(TAG, F.lit(ACTIVE_TAG)).unionByName(
+        closed.withColumn(TAG, F.lit(CLOSED_TAG))
     )
 
 
-def unified_newest(active: DataFrame, closed: DataFrame) -> DataFrame:
+def unified_newest(unified: DataFrame) -> DataFrame:
     """The unpaged listing of both tables, newest creation first."""
-    return unified_tracking(active, closed).orderBy(F.col("data_criacao").desc_nulls_last())
+    return unified.orderBy(F.col("data_criacao").desc_nulls_last())
 
 
 def _newest_entry_first(df: DataFrame) -> DataFrame:
@@ -70,8 +72,7 @@ def _newest_entry_first(df: DataFrame) -> DataFrame:
 
 
 def unified_download(
-    active: DataFrame,
-    closed: DataFrame,
+    unified: DataFrame,
     ano: int,
     mes: int | None = None,
     dia: int | None = None,
@@ -79,20 +80,18 @@ def unified_download(
 ) -> DataFrame:
     """Distinct 29-column rows that entered in a year and, when given, a month, a
     day of month and a week (0-53); newest entry first."""
-    rows = calendar_filter(
-        unified_tracking(active, closed), "data_entrada_n2", ano, mes, dia, semana
-    )
+    rows = calendar_filter(unified, "data_entrada_n2", ano, mes, dia, semana)
     return _newest_entry_first(rows.select(*DOWNLOAD_COLUMNS).distinct())
 
 
-def unified_range(active: DataFrame, closed: DataFrame, first: date, last: date) -> DataFrame:
+def unified_range(unified: DataFrame, first: date, last: date) -> DataFrame:
     """29-column rows that entered from day `first` to day `last` inclusive.
 
     Whole tracking rows are made distinct before the columns are chosen, so rows
     that differ elsewhere only (element, equipment, procedure) repeat."""
     low = datetime.combine(first, datetime.min.time())
     high = datetime.combine(last, datetime.min.time()) + timedelta(days=1)
-    rows = within(unified_tracking(active, closed), "data_entrada_n2", low, high)
+    rows = within(unified, "data_entrada_n2", low, high)
     return _newest_entry_first(rows.distinct().select(*DOWNLOAD_COLUMNS))
 
 
@@ -176,20 +175,19 @@ def _views(day: str, as_of: date) -> Column:
     ).otherwise(F.array(month_view, week_view))
 
 
-def _distinct_stays(active: DataFrame, closed: DataFrame, by: str) -> DataFrame:
+def _distinct_stays(unified: DataFrame, by: str) -> DataFrame:
     """Distinct (ticket, entry) pairs per classified stay value, with entry day."""
-    columns = ["origem", "data_entrada_n2", "tipo_bilhete", "classificacao_atuacao"]
-    columns += [by] if by not in columns else []
-    rows = active.select(*columns).unionByName(closed.select(*columns))
-    wanted = rows.where((F.col("classificacao_atuacao") != UNCLASSIFIED) & F.col(by).isNotNull())
+    wanted = unified.where(
+        (F.col("classificacao_atuacao") != UNCLASSIFIED) & F.col(by).isNotNull()
+    )
     return wanted.select("origem", "data_entrada_n2", "tipo_bilhete", by).distinct()
 
 
-def _volume_views(active: DataFrame, closed: DataFrame, as_of: date, by: str, name: str) -> DataFrame:
+def _volume_views(unified: DataFrame, as_of: date, by: str, name: str) -> DataFrame:
     """Distinct stays per day first; the three views add up those daily counts,
     because a stay enters on one day only."""
     per_day = (
-        _distinct_stays(active, closed, by)
+        _distinct_stays(unified, by)
         .groupBy(F.to_date("data_entrada_n2").alias("entrada"), "tipo_bilhete", by)
         .agg(F.count("data_entrada_n2").alias("n"))
     )
@@ -205,20 +203,19 @@ def _volume_views(active: DataFrame, closed: DataFrame, as_of: date, by: str, na
     )
 
 
-def volumetry(active: DataFrame, closed: DataFrame, as_of: date) -> DataFrame:
+def volumetry(unified: DataFrame, as_of: date) -> DataFrame:
     """Distinct classified stays by month, by week and by recent day, per ticket
     type and class (SIM / NAO, in `teve_atuacao`)."""
-    return _volume_views(active, closed, as_of, "classificacao_atuacao", "teve_atuacao")
+    return _volume_views(unified, as_of, "classificacao_atuacao", "teve_atuacao")
 
 
-def volumetry_by_user(active: DataFrame, closed: DataFrame, as_of: date) -> DataFrame:
+def volumetry_by_user(unified: DataFrame, as_of: date) -> DataFrame:
     """The same per ticket type and acting user."""
-    return _volume_views(active, closed, as_of, "usuario_atuacao", "usuario_atuacao")
+    return _volume_views(unified, as_of, "usuario_atuacao", "usuario_atuacao")
 
 
 def mean_handling_time(
-    active: DataFrame,
-    closed: DataFrame,
+    unified: DataFrame,
     as_of: date,
     dedupe: bool = False,
     clip_seconds: int | None = TIME_LIMIT_SECONDS,
@@ -228,8 +225,7 @@ def mean_handling_time(
     Every tracking row counts, so a stay weighs as often as its ticket has
     elements, equipment and procedures; `dedupe=True` counts distinct stays.
     Sums and counts per day are added up per view: the means are exact."""
-    keys = ["origem", "data_entrada_n2", "tma_n2_seg"]
-    rows = active.select(*keys).unionByName(closed.select(*keys))
+    rows = unified.select("origem", "data_entrada_n2", "tma_n2_seg")
     rows = rows.distinct() if dedupe else rows
     per_day = rows.groupBy(F.to_date("data_entrada_n2").alias("entrada")).agg(
         F.sum(clip_time(F.col("tma_n2_seg"), clip_seconds)).alias("s"),

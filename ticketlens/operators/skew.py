@@ -24,11 +24,11 @@ SALTS = 64
 def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> list:
     """Values of `key` with more than `min_rows` rows, at most MAX_HOT_KEYS.
 
-    One pass over one column; only frequent-item sketches are shuffled and a
+    A table within `min_rows` is only counted. Else one pass over one column: only frequent-item sketches are shuffled and a
     single row of at most MAX_HOT_KEYS values comes back."""
-    keys = df.select(F.col(key).alias("k")).where(F.col("k").isNotNull())
-    if keys.count() <= min_rows:
+    if df.count() <= min_rows:
         return []
+    keys = df.select(F.col(key).alias("k")).where(F.col("k").isNotNull())
     sketches = keys.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_MERGERS)).alias("m")).agg(
         F.expr(f"approx_top_k_accumulate(k, {SKETCH_ITEMS})").alias("sketch")
     )

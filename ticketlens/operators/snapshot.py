@@ -24,6 +24,9 @@ FIELD_PARENT_GROUP = 1340
 NETWORK_TYPE = 701
 ACTIVE_STATUS = (10, 20, 70)
 CLOSED_STATUS = (90,)
+TAG = "origem_tabela"
+ACTIVE_TAG = "ATIVO"
+CLOSED_TAG = "FECHADO"
 YES = "SIM"
 NO_ROUTE = "NÃO"
 
@@ -159,9 +162,8 @@ def snapshot(
 ) -> DataFrame:
     """Eligible root tickets x elements x equipment without duplicates.
 
-    Root columns, then status and owner names (small tables that Spark broadcasts
-    while they are below its threshold), then elements by ticket and equipment by
-    element. A ticket without elements keeps one row."""
+    Root columns, then status names and owner names, then elements by ticket and
+    equipment by element. A ticket without elements keeps one row."""
     eligible = _eligible_profile(
         tables["vida"], tables["proced"], tables["grupos"], mode, N2_GROUPS
     )
@@ -169,9 +171,14 @@ def snapshot(
         F.col("grp_codigo").alias("tqa_responsavelpor_grupo"),
         F.col("grp_nome").alias("grupo_responsavel"),
     )
-    status_names = tables["status_ta"].select(
-        F.col("sta_codigo").alias("tqa_status"), F.col("sta_nome").alias("status")
+    # One row per status code, and there are four codes at most: bounded.
+    status_names = F.broadcast(
+        tables["status_ta"]
+        .where(F.col("sta_codigo").isin([*ACTIVE_STATUS, *CLOSED_STATUS]))
+        .select(F.col("sta_codigo").alias("tqa_status"), F.col("sta_nome").alias("status"))
     )
+    # A source tag on the roots is carried along.
+    tag = [column for column in roots.columns if column == TAG]
     tickets = (
         roots.select(
             F.col("tqa_codigo").alias("origem"),
@@ -184,6 +191,7 @@ def snapshot(
             F.col("tqa_alarme_tipo").alias("tipo_de_alarme"),
             "tqa_status",
             "tqa_responsavelpor_grupo",
+            *tag,
         )
         .join(status_names, "tqa_status", "left")
         .join(owner_groups, "tqa_responsavelpor_grupo", "left")
@@ -220,7 +228,7 @@ def snapshot(
     usable = equipment.where(F.col("chave_eqp") >= 0)
     rows = join_hot(keyed, usable, "chave_eqp", hot_right=hot.equipment)
     # With the join key among the columns the dedupe needs no further shuffle.
-    columns = [f.name for f in SNAPSHOT]
+    columns = [*[f.name for f in SNAPSHOT], *tag]
     return rows.select("chave_eqp", *columns).distinct().select(*columns)
 
 

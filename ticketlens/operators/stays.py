@@ -51,7 +51,12 @@ def group_stays(
         "total_segundos_atuacao",
         F.when(acted, F.col("total_segundos")).otherwise(F.lit(0).cast("bigint")),
     )
-    group_names = groups.select("grp_codigo", F.col("grp_nome").alias("grupo_n2"))
+    # One row per N2 group code at most: bounded, and each code holds many stays.
+    group_names = F.broadcast(
+        groups.where(F.col("grp_codigo").isin(list(n2))).select(
+            "grp_codigo", F.col("grp_nome").alias("grupo_n2")
+        )
+    )
     user_names = users.select(
         F.col("usr_codigo").alias("usuario_cod"), F.col("usr_nome").alias("usuario_atuacao")
     )

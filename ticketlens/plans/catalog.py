@@ -41,28 +41,24 @@ YEAR, MONTH, WEEK, DAY = 1998, 3, 10, 15
 RANGE = (date(1997, 11, 20), date(1998, 2, 10))
 
 
-def _tickets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return standin.ticket_tables(spark, sf_dir)
-
-
-def _log(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return standin.activity_tables(spark, sf_dir)
+def _tables(spark: SparkSession, sf_dir: str) -> standin.StandInTables:
+    return standin.StandInTables(spark, sf_dir)
 
 
 # --- load windows -----------------------------------------------------------
 
 
 def load_windows_daily(spark, sf_dir):
-    return rows_per_window(_tickets(spark, sf_dir)["ta"], "tqa_data_criacao", START, END, "daily")
+    return rows_per_window(_tables(spark, sf_dir)["ta"], "tqa_data_criacao", START, END, "daily")
 
 
 def load_windows_weekly(spark, sf_dir):
-    ta = _tickets(spark, sf_dir)["ta"]
+    ta = _tables(spark, sf_dir)["ta"]
     return rows_per_window(ta, "tqa_data_encerramento", START, END, "weekly", closed="right")
 
 
 def load_windows_monthly(spark, sf_dir):
-    ta = _tickets(spark, sf_dir)["ta"]
+    ta = _tables(spark, sf_dir)["ta"]
     return rows_per_window(
         ta, "tqa_data_criacao", HOURLY_START, HOURLY_END, "monthly", truncate=False
     )
@@ -72,32 +68,32 @@ def load_windows_monthly(spark, sf_dir):
 
 
 def eligible_tickets(spark, sf_dir):
-    t = _tickets(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return snapshot.eligible_tickets(t["vida"], t["proced"], t["grupos"])
 
 
 def eligible_tickets_life_only(spark, sf_dir):
-    t = _tickets(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return snapshot.eligible_tickets(t["vida"], t["proced"], t["grupos"], mode="life")
 
 
 def route_flags(spark, sf_dir):
-    t = _tickets(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return snapshot.route_flags(t["vida"], t["grupos"])
 
 
 def ticket_snapshot_active(spark, sf_dir):
-    t = _tickets(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return snapshot.ticket_snapshot_active(t, START, END, hot=snapshot.find_hot_tickets(t))
 
 
 def ticket_snapshot_closed(spark, sf_dir):
-    t = _tickets(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return snapshot.ticket_snapshot_closed(t, START, END, START, hot=snapshot.find_hot_tickets(t))
 
 
 def ticket_snapshot_validation(spark, sf_dir):
-    t = _tickets(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     hot = snapshot.find_hot_tickets(t)
     return snapshot.ticket_snapshot_active(t, START, END, mode="life", hot=hot)
 
@@ -115,12 +111,12 @@ def _procedures(t):
 
 
 def group_stays(spark, sf_dir):
-    t = _tickets(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return stays.group_stays(t["vida"], t["grupos"], t["usuarios"], AS_OF)
 
 
 def stay_starts(spark, sf_dir):
-    t = _tickets(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     rows = stays.group_stays(t["vida"], t["grupos"], t["usuarios"], AS_OF)
     marked = stays.mark_starts(rows, hot_keys(t["vida"], "vda_ta"))
     return marked.select(
@@ -130,47 +126,47 @@ def stay_starts(spark, sf_dir):
 
 
 def stay_totals(spark, sf_dir):
-    return _stays(_tickets(spark, sf_dir))
+    return _stays(_tables(spark, sf_dir))
 
 
 def stay_class(spark, sf_dir):
-    classed = stays.classify_stay(_stays(_tickets(spark, sf_dir)))
+    classed = stays.classify_stay(_stays(_tables(spark, sf_dir)))
     return classed.select("origem", "data_entrada_n2", "classificacao_atuacao")
 
 
 def procedure_summary(spark, sf_dir):
-    return _procedures(_tickets(spark, sf_dir))
+    return _procedures(_tables(spark, sf_dir))
 
 
 def procedure_only(spark, sf_dir):
-    t = _tickets(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     n2_stays = stays.group_stays(t["vida"], t["grupos"], t["usuarios"], AS_OF)
     return procedures.procedure_only(_procedures(t), n2_stays)
 
 
 def stays_with_procedures(spark, sf_dir):
-    t = _tickets(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return procedures.stays_with_procedures(_stays(t), _procedures(t))
 
 
 # --- tracking ---------------------------------------------------------------
 
 
-def _both(spark, sf_dir):
-    t = _tickets(spark, sf_dir)
-    hot = snapshot.find_hot_tickets(t)
-    return (
-        tracking.tracking_active(t, AS_OF, START, END, hot=hot),
-        tracking.tracking_closed(t, AS_OF, START, END, START, hot=hot),
-    )
-
-
 def tracking_active(spark, sf_dir):
-    return _both(spark, sf_dir)[0]
+    t = _tables(spark, sf_dir)
+    return tracking.tracking_active(t, AS_OF, START, END, hot=snapshot.find_hot_tickets(t))
 
 
 def tracking_closed(spark, sf_dir):
-    return _both(spark, sf_dir)[1]
+    t = _tables(spark, sf_dir)
+    hot = snapshot.find_hot_tickets(t)
+    return tracking.tracking_closed(t, AS_OF, START, END, START, hot=hot)
+
+
+def _unified(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    hot = snapshot.find_hot_tickets(t)
+    return tracking.tracking_unified(t, AS_OF, START, END, START, hot=hot)
 
 
 def full_refresh_roundtrip(spark, sf_dir):
@@ -180,7 +176,7 @@ def full_refresh_roundtrip(spark, sf_dir):
 
 
 def _first_load(spark, sf_dir):
-    t = _tickets(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     hot = snapshot.find_hot_tickets(t)
     first = tracking.tracking_closed(t, AS_OF, START, FIRST_LOAD_END, START, hot=hot)
     return t, hot, full_refresh(first, shared_folder(spark, "closed"))
@@ -201,27 +197,28 @@ def closed_increment_appended(spark, sf_dir):
 
 
 def unified_tracking(spark, sf_dir):
-    return reports.unified_newest(*_both(spark, sf_dir))
+    both = tracking_active(spark, sf_dir), tracking_closed(spark, sf_dir)
+    return reports.unified_newest(reports.unified_tracking(*both))
 
 
 def unified_download_year(spark, sf_dir):
-    return reports.unified_download(*_both(spark, sf_dir), YEAR)
+    return reports.unified_download(_unified(spark, sf_dir), YEAR)
 
 
 def unified_download_month(spark, sf_dir):
-    return reports.unified_download(*_both(spark, sf_dir), YEAR, mes=MONTH)
+    return reports.unified_download(_unified(spark, sf_dir), YEAR, mes=MONTH)
 
 
 def unified_download_week(spark, sf_dir):
-    return reports.unified_download(*_both(spark, sf_dir), YEAR, semana=WEEK)
+    return reports.unified_download(_unified(spark, sf_dir), YEAR, semana=WEEK)
 
 
 def unified_download_day(spark, sf_dir):
-    return reports.unified_download(*_both(spark, sf_dir), YEAR, dia=DAY)
+    return reports.unified_download(_unified(spark, sf_dir), YEAR, dia=DAY)
 
 
 def unified_range(spark, sf_dir):
-    return reports.unified_range(*_both(spark, sf_dir), *RANGE)
+    return reports.unified_range(_unified(spark, sf_dir), *RANGE)
 
 
 def tracking_page_active(spark, sf_dir):
@@ -233,38 +230,38 @@ def tracking_page_closed(spark, sf_dir):
 
 
 def tracking_page_unified(spark, sf_dir):
-    rows = reports.unified_tracking(*_both(spark, sf_dir))
-    return reports.tracking_page(rows, ("origem_tabela", *PAGE_KEYS), PAGE, PAGE_SIZE)
+    return reports.tracking_page(
+        _unified(spark, sf_dir), ("origem_tabela", *PAGE_KEYS), PAGE, PAGE_SIZE
+    )
 
 
 def page_summary(spark, sf_dir):
-    return reports.page_summary(reports.unified_tracking(*_both(spark, sf_dir)), PAGE, PAGE_SIZE)
+    return reports.page_summary(_unified(spark, sf_dir), PAGE, PAGE_SIZE)
 
 
 def volumetry(spark, sf_dir):
-    return reports.volumetry(*_both(spark, sf_dir), REPORT_DAY)
+    return reports.volumetry(_unified(spark, sf_dir), REPORT_DAY)
 
 
 def volumetry_by_user(spark, sf_dir):
-    return reports.volumetry_by_user(*_both(spark, sf_dir), REPORT_DAY)
+    return reports.volumetry_by_user(_unified(spark, sf_dir), REPORT_DAY)
 
 
 def mean_handling_time(spark, sf_dir):
-    return reports.mean_handling_time(*_both(spark, sf_dir), REPORT_DAY)
+    return reports.mean_handling_time(_unified(spark, sf_dir), REPORT_DAY)
 
 
 def mean_handling_time_dedupe(spark, sf_dir):
-    return reports.mean_handling_time(
-        *_both(spark, sf_dir), REPORT_DAY, dedupe=True, clip_seconds=None
-    )
+    unified = _unified(spark, sf_dir)
+    return reports.mean_handling_time(unified, REPORT_DAY, dedupe=True, clip_seconds=None)
 
 
 # --- quality ----------------------------------------------------------------
 
 
 def table_freshness(spark, sf_dir):
-    active, closed = _both(spark, sf_dir)
-    return quality.table_freshness({"ATIVO": active, "FECHADO": closed}, AS_OF)
+    both = {"ATIVO": tracking_active(spark, sf_dir), "FECHADO": tracking_closed(spark, sf_dir)}
+    return quality.table_freshness(both, AS_OF)
 
 
 def duplicate_report(spark, sf_dir):
@@ -281,7 +278,7 @@ def procedure_tags(spark, sf_dir):
 
 
 def reconciliation(spark, sf_dir):
-    t = _tickets(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     hot = snapshot.find_hot_tickets(t)
     tickets = snapshot.ticket_snapshot_active(t, START, END, hot=hot)
     final = tracking.tracking_active(t, AS_OF, START, END, hot=hot)
@@ -292,7 +289,7 @@ def reconciliation(spark, sf_dir):
 
 
 def active_catalogue(spark, sf_dir):
-    return activities.active_catalogue(_log(spark, sf_dir)["atividade_padrao"])
+    return activities.active_catalogue(_tables(spark, sf_dir)["atividade_padrao"])
 
 
 def _flat(listing: DataFrame) -> DataFrame:
@@ -304,7 +301,7 @@ def _flat(listing: DataFrame) -> DataFrame:
 
 
 def activity_list(spark, sf_dir):
-    log = _log(spark, sf_dir)
+    log = _tables(spark, sf_dir)
     files = log["arquivos"]
     hot = hot_keys(files, "id_atividade")
     return _flat(
@@ -314,7 +311,7 @@ def activity_list(spark, sf_dir):
 
 def activity_detail(spark, sf_dir):
     """Detail of the activities the history speaks of."""
-    log = _log(spark, sf_dir)
+    log = _tables(spark, sf_dir)
     files = log["arquivos"]
     return _flat(
         activities.activity_detail(
@@ -326,18 +323,18 @@ def activity_detail(spark, sf_dir):
 
 def activity_history(spark, sf_dir):
     """Events of all known activities."""
-    log = _log(spark, sf_dir)
+    log = _tables(spark, sf_dir)
     return activities.activity_history(log["historico"], log["atividade_suporte"])
 
 
 def activity_files(spark, sf_dir):
     """Attachments of all known activities."""
-    log = _log(spark, sf_dir)
+    log = _tables(spark, sf_dir)
     return activities.activity_files(log["arquivos"], log["atividade_suporte"])
 
 
 def _judged(spark, sf_dir, on_existing: bool = False):
-    log = _log(spark, sf_dir)
+    log = _tables(spark, sf_dir)
     given = log["atividade_suporte"]
     if not on_existing:
         given = spark.createDataFrame([], ATIVIDADE_SUPORTE)

@@ -7,28 +7,41 @@ commands, and so on. Every derivation is row by row or a keyed aggregate.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens import schemas
 
 # The small code tables of the stand-in.
-GROUPS = (
-    (6611, "GRP_ACCESS_A", 900),
-    (6612, "GRP_ACCESS_B", 900),
-    (6563, "GRP_CORE", 900),
-    (1341, "GRP_FIELD_1", 1340),
-)
-STATUS = ((10, "OPEN"), (20, "WORKING"), (70, "HELD"), (90, "CLOSED"))
+GROUPS = """select * from values
+  (6611, 'GRP_ACCESS_A', 900),
+  (6612, 'GRP_ACCESS_B', 900),
+  (6563, 'GRP_CORE', 900),
+  (1341, 'GRP_FIELD_1', 1340)
+  as t(grp_codigo, grp_nome, grp_pai)"""
+STATUS = """select * from values (10, 'OPEN'), (20, 'WORKING'), (70, 'HELD'), (90, 'CLOSED')
+  as t(sta_codigo, sta_nome)"""
 ELEMENT_CODE = "1000000000 + l_partkey * 1000000 + l_orderkey"
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+class Source:
+    """A data folder; every file is opened once."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self._folder = folder
+        self._open: dict[str, DataFrame] = {}
 
+    def read(self, name: str) -> DataFrame:
+        if name not in self._open:
+            self._open[name] = self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self._open[name]
 
-def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, lines = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "lineitem")
+
+def tickets(source: Source) -> DataFrame:
+    orders, lines = source.read("orders"), source.read("lineitem")
     roots = orders.selectExpr(
         "o_orderkey as tqa_codigo",
         "cast(null as bigint) as tqa_origem",
@@ -69,8 +82,8 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roots.unionByName(elements)
 
 
-def equipment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _read(spark, sf_dir, "lineitem").where("l_linenumber <= 2 and l_partkey % 2 = 0")
+def equipment(source: Source) -> DataFrame:
+    lines = source.read("lineitem").where("l_linenumber <= 2 and l_partkey % 2 = 0")
     return lines.selectExpr(
         f"{ELEMENT_CODE} as aeq_ta",
         "concat('host-', cast(l_partkey as string)) as aeq_hostname",
@@ -78,9 +91,9 @@ def equipment(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
-def life(spark: SparkSession, sf_dir: str) -> DataFrame:
+def life(source: Source) -> DataFrame:
     entry = "l_shipdate + interval '1' second"
-    return _read(spark, sf_dir, "lineitem").selectExpr(
+    return source.read("lineitem").selectExpr(
         "l_orderkey as vda_ta",
         "l_partkey as vda_seq",
         "case cast(l_suppkey % 5 as int) when 0 then 6611 when 1 then 6612 when 2 then 6563"
@@ -92,8 +105,8 @@ def life(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "events").selectExpr(
+def procedures(source: Source) -> DataFrame:
+    return source.read("events").selectExpr(
         "user_id * 10 + event_id % 3 as pca_ta",
         "case event_type when 'error' then 6611 when 'click' then 6612 else 6563 end as pca_grupo",
         "cast(user_id % 4 as int) as pca_usuario",
@@ -101,23 +114,22 @@ def procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ticket_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    derived = {
-        "ta": tickets(spark, sf_dir),
-        "vida": life(spark, sf_dir),
-        "grupos": spark.createDataFrame(GROUPS, schemas.GRUPOS),
-        "usuarios": _read(spark, sf_dir, "supplier").selectExpr(
-            "cast(s_suppkey as int) as usr_codigo", "s_name as usr_nome"
-        ),
-        "proced": procedures(spark, sf_dir),
-        "equip": equipment(spark, sf_dir),
-        "status_ta": spark.createDataFrame(STATUS, schemas.STATUS_TA),
-    }
-    return {name: schemas.conform(df, schemas.TICKET_TABLES[name]) for name, df in derived.items()}
+def groups(source: Source) -> DataFrame:
+    return source.spark.sql(GROUPS)
+
+
+def users(source: Source) -> DataFrame:
+    return source.read("supplier").selectExpr(
+        "cast(s_suppkey as int) as usr_codigo", "s_name as usr_nome"
+    )
+
+
+def status_names(source: Source) -> DataFrame:
+    return source.spark.sql(STATUS)
 
 
-def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "part").selectExpr(
+def catalogue(source: Source) -> DataFrame:
+    return source.read("part").selectExpr(
         "cast(p_partkey as int) as id",
         "p_type as categoria",
         "p_name as nome_atividade",
@@ -127,8 +139,8 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customers = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "customer")
+def activities(source: Source) -> DataFrame:
+    orders, customers = source.read("orders"), source.read("customer")
     owned = orders.join(customers, F.col("c_custkey") == F.col("o_custkey"))
     return owned.selectExpr(
         "cast(o_orderkey as int) as id_atividade",
@@ -148,8 +160,8 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "events").selectExpr(
+def history(source: Source) -> DataFrame:
+    return source.read("events").selectExpr(
         "cast(event_id as int) as id_historico",
         "cast(user_id as int) as id_atividade",
         "cast(user_id as string) as matricula_responsavel",
@@ -161,8 +173,8 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").selectExpr(
+def attachments(source: Source) -> DataFrame:
+    return source.read("documents").selectExpr(
         "cast(doc_id as int) as id_arquivo",
         "cast(doc_id % 400 as int) as id_atividade",
         "concat(source, '-', cast(doc_id as string), '.txt') as nome_original",
@@ -174,8 +186,8 @@ def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _read(spark, sf_dir, "events")
+def commands(source: Source) -> DataFrame:
+    events = source.read("events")
     # The first event of a user, by aggregate and a join on the unique event id.
     first = events.groupBy("user_id").agg(
         F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id")
@@ -202,12 +214,37 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def activity_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    derived = {
-        "atividade_padrao": catalogue(spark, sf_dir),
-        "atividade_suporte": activities(spark, sf_dir),
-        "historico": history(spark, sf_dir),
-        "arquivos": attachments(spark, sf_dir),
-        "comandos": commands(spark, sf_dir),
-    }
-    return {name: schemas.conform(df, schemas.ACTIVITY_TABLES[name]) for name, df in derived.items()}
+TABLES = {
+    "ta": tickets,
+    "vida": life,
+    "grupos": groups,
+    "usuarios": users,
+    "proced": procedures,
+    "equip": equipment,
+    "status_ta": status_names,
+    "atividade_padrao": catalogue,
+    "atividade_suporte": activities,
+    "historico": history,
+    "arquivos": attachments,
+    "comandos": commands,
+}
+SCHEMAS = {**schemas.TICKET_TABLES, **schemas.ACTIVITY_TABLES}
+
+
+class StandInTables(Mapping[str, DataFrame]):
+    """The tables by name; each is derived when a query first asks for it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._source = Source(spark, sf_dir)
+        self._derived: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._derived:
+            self._derived[name] = schemas.conform(TABLES[name](self._source), SCHEMAS[name])
+        return self._derived[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(TABLES)
+
+    def __len__(self) -> int:
+        return len(TABLES)

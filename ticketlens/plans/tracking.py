@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 
 from ticketlens.operators.procedures import SUFFIX, procedure_summary
 from ticketlens.operators.skew import join_hot
-from ticketlens.operators.snapshot import HotTickets, active_roots, closed_roots, snapshot
+from ticketlens.operators.snapshot import (
+    ACTIVE_TAG,
+    CLOSED_TAG,
+    TAG,
+    HotTickets,
+    active_roots,
+    closed_roots,
+    snapshot,
+)
 from ticketlens.operators.stays import classify_stay, stay_table
 from ticketlens.schemas import TRACKING
 
@@ -24,7 +32,8 @@ def consolidate(
     )
     keyed = procedures.withColumn("origem", F.col("origem" + SUFFIX))
     rows = join_hot(with_stays, keyed, "origem", hot_left=[*hot.wide, *hot.life])
-    return rows.select([f.name for f in TRACKING])
+    tag = [column for column in tickets.columns if column == TAG]
+    return rows.select(*[f.name for f in TRACKING], *tag)
 
 
 def _tracking(
@@ -70,3 +79,22 @@ def tracking_closed(
     """Tracking rows of tickets that closed in (start, end]."""
     roots = closed_roots(tables["ta"], start, end, created_from)
     return _tracking(roots, tables, as_of, mode, hot)
+
+
+def tracking_unified(
+    tables: Mapping[str, DataFrame],
+    as_of: datetime,
+    start: datetime,
+    end: datetime,
+    created_from: datetime,
+    mode: str = "life_or_procedure",
+    hot: HotTickets = HotTickets(),
+) -> DataFrame:
+    """Both tables in one, tagged ATIVO / FECHADO in `origem_tabela`.
+
+    Life rows, procedures and elements are read and shuffled once for both kinds
+    of ticket. The rows are those of `unified_tracking` over the two tables."""
+    ta = tables["ta"]
+    roots = active_roots(ta, start, end).withColumn(TAG, F.lit(ACTIVE_TAG))
+    closed = closed_roots(ta, start, end, created_from).withColumn(TAG, F.lit(CLOSED_TAG))
+    return _tracking(roots.unionByName(closed), tables, as_of, mode, hot)
