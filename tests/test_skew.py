@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ticketlens.operators import stays
 from ticketlens.operators.activities import activity_list
 from ticketlens.operators.commands import apply_activity_commands, judge_commands, reject_commands
+from ticketlens.operators.sizes import as_lookup, is_small
 from ticketlens.operators.skew import hot_keys, join_hot
 from ticketlens.operators.snapshot import HotTickets, find_hot_tickets
 from ticketlens.plans import catalog, tracking
@@ -77,16 +79,35 @@ def test_tracking_with_hot_tickets(tables, rows_of, many_tickets):
         )
 
     elements = [r[0] for r in tables["equip"].select("aeq_ta").distinct().collect()][:300]
-    hot = HotTickets(many_tickets[:400], many_tickets[200:], elements, many_tickets[100:600])
+    hot = HotTickets(many_tickets[:400], elements, many_tickets[100:600])
     assert rows_of(build(hot)) == rows_of(build(HotTickets()))
 
 
+def test_small_loads_drop_other_tickets_early(tables, rows_of, monkeypatch):
+    args = tables, catalog.AS_OF, catalog.START, datetime(1995, 3, 1)
+    monkeypatch.setattr("ticketlens.operators.snapshot.SMALL_LOAD", 1)
+    small = tracking.tracking_active(*args)
+    assert small._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 3
+    found = rows_of(small)
+    monkeypatch.setattr("ticketlens.operators.snapshot.SMALL_LOAD", 10**9)
+    assert found and found == rows_of(tracking.tracking_active(*args))
+
+
+def test_lookups_are_broadcast_only_while_small(spark, monkeypatch):
+    lookup = spark.range(5)
+    assert "broadcast" in as_lookup(lookup)._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr("ticketlens.operators.sizes.is_small", lambda df: False)
+    assert as_lookup(lookup) is lookup
+    monkeypatch.undo()
+    assert is_small(lookup, 5) and not is_small(lookup, 4)
+
+
 def test_hot_tickets_are_found(tables):
     hot = find_hot_tickets(tables, min_rows=6)
     counts = tables["vida"].groupBy("vda_ta").count().where("count > 6")
     assert hot.life == sorted(r["vda_ta"] for r in counts.collect())
     assert hot.life and not hot.equipment
-    assert find_hot_tickets(tables) == HotTickets([], [], [], [])
+    assert find_hot_tickets(tables) == HotTickets([], [], [])
 
 
 def test_tickets_of_hot_equipment_are_wide(spark):
@@ -95,13 +116,15 @@ def test_tickets_of_hot_equipment_are_wide(spark):
         "ta": spark.sql("select 10 tqa_codigo, 1 tqa_origem union all select 1, null"),
         "equip": spark.range(100).selectExpr("10 as aeq_ta"),
     }
-    assert find_hot_tickets(tables, 50) == HotTickets([], [], [10], [1])
+    assert find_hot_tickets(tables, 50) == HotTickets([], [10], [1])
 
 
 def test_activities_with_hot_ids(spark, sf_dir, tables, rows_of, monkeypatch):
-    monkeypatch.setattr("ticketlens.operators.activities.FILES_PER_PART", 1)
-    log = (tables["atividade_suporte"], tables["atividade_padrao"], tables["arquivos"])
-    ids = [r[0] for r in tables["arquivos"].select("id_atividade").distinct().collect()]
+    monkeypatch.setattr("ticketlens.operators.activities.FILES_PER_PART", 2)
+    # Some ten files per activity, in five parts of which some stay empty.
+    files = tables["arquivos"].withColumn("id_atividade", F.col("id_arquivo") % 20)
+    log = (tables["atividade_suporte"], tables["atividade_padrao"], files)
+    ids = list(range(10))
     split = activity_list(*log, hot=ids)
     monkeypatch.undo()
     whole = activity_list(*log)

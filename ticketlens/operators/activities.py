@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketlens.operators.sizes import as_lookup
 from ticketlens.operators.skew import join_hot
 
 # Fixed value: the link of an attachment is this followed by its id.
@@ -41,20 +42,24 @@ def _with_link(files: DataFrame) -> DataFrame:
     return files.withColumn("url_download", link)
 
 
-def _file_lists(files: DataFrame, fields: Sequence[str], hot: Sequence[int]) -> DataFrame:
+def _list_parts(files: DataFrame) -> DataFrame:
+    """How many parts the attachment list of each activity comes in."""
+    return files.groupBy("id_atividade").agg(
+        F.ceil(F.count(F.lit(1)) / FILES_PER_PART).cast("int").alias("partes")
+    )
+
+
+def _file_lists(
+    files: DataFrame, parts: DataFrame, fields: Sequence[str], hot: Sequence[int]
+) -> DataFrame:
     """Attachments per (activity, part) as arrays of about FILES_PER_PART at most.
 
-    The number of parts follows from the activity's count, the part of a file
-    from its id: no task ever holds all attachments of a very large activity."""
-    parts = (
-        files.groupBy("id_atividade")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("id_atividade", F.ceil(F.col("n") / FILES_PER_PART).cast("int").alias("partes"))
-    )
+    The part of a file follows from its id: no task ever holds all attachments of
+    a very large activity."""
     placed = join_hot(files, parts, "id_atividade", hot_left=hot).withColumn(
         "arquivo_parte", F.pmod(F.xxhash64("id_arquivo"), F.col("partes")).cast("int")
     )
-    return placed.groupBy("id_atividade", "partes", "arquivo_parte").agg(
+    return placed.groupBy("id_atividade", "arquivo_parte").agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("arquivo")
     )
 
@@ -66,17 +71,18 @@ def _listing(
     fields: Sequence[str],
     hot: Sequence[int],
 ) -> DataFrame:
-    names = catalogue.select(F.col("id").alias("id_atividade_padrao"), "nome_atividade")
+    names = as_lookup(catalogue.select(F.col("id").alias("id_atividade_padrao"), "nome_atividade"))
     named = activities.join(names, "id_atividade_padrao")
-    lists = _file_lists(files, fields, hot)
-    # One row per part, numbered from 0, so that both sides are unique on the key.
-    sizes = lists.groupBy("id_atividade").agg(F.max("partes").alias("partes"))
-    numbered = (
-        named.join(sizes, "id_atividade", "left")
-        .withColumn("partes", F.coalesce("partes", F.lit(1)))
-        .withColumn("arquivo_parte", F.explode(F.sequence(F.lit(0), F.col("partes") - 1)))
+    parts = _list_parts(files)
+    lists = _file_lists(files, parts, fields, hot)
+    # One row per part, so that both sides of the join are unique on its key.
+    last_part = F.coalesce(F.col("partes") - 1, F.lit(0))
+    numbered = named.join(parts, "id_atividade", "left").withColumn(
+        "arquivo_parte", F.explode(F.sequence(F.lit(0), last_part))
     )
-    rows = numbered.join(lists.drop("partes"), ["id_atividade", "arquivo_parte"], "left")
+    joined = numbered.join(lists, ["id_atividade", "arquivo_parte"], "left")
+    # No file hashed into the part: only an activity without files keeps its row.
+    rows = joined.where(F.col("arquivo").isNotNull() | F.col("partes").isNull())
     empty = F.array().cast(lists.schema["arquivo"].dataType)
     return rows.select(
         "id_atividade",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions.durations import micros_between
+from ticketlens.operators.sizes import as_lookup
 from ticketlens.operators.skew import join_hot
 from ticketlens.schemas import ATIVIDADE_SUPORTE
 
@@ -72,10 +73,12 @@ def judge_commands(
     entry, then its status, then a repeated id; other kinds for the activity,
     then their own values."""
     is_create = F.col("kind") == CREATE
-    entries = catalogue.select(
-        F.col("id").alias("id_atividade_padrao"),
-        F.col("tempo_estimado_min").alias("tempo_padrao"),
-        F.lit(True).alias("no_catalogo"),
+    entries = as_lookup(
+        catalogue.select(
+            F.col("id").alias("id_atividade_padrao"),
+            F.col("tempo_estimado_min").alias("tempo_padrao"),
+            F.lit(True).alias("no_catalogo"),
+        )
     )
     creates = commands.where(is_create).join(entries, "id_atividade_padrao", "left")
     create_checks = [

@@ -53,6 +53,15 @@ DOWNLOAD_COLUMNS = (
     "origem_tabela",
 )
 MAX_PAGE_SIZE = 200
+# Ours: columns that tell tracking rows of one instant apart.
+TIE_BREAKERS = (
+    "origem",
+    "elemento",
+    "hostname",
+    "data_entrada_n2",
+    "data_saida_n2",
+    "usuario_atuacao_PROCEDIMENTO",
+)
 
 
 def unified_tracking(active: DataFrame, closed: DataFrame) -> DataFrame:
@@ -62,13 +71,17 @@ def unified_tracking(active: DataFrame, closed: DataFrame) -> DataFrame:
     )
 
 
-def unified_newest(unified: DataFrame) -> DataFrame:
-    """The unpaged listing of both tables, newest creation first."""
-    return unified.orderBy(F.col("data_criacao").desc_nulls_last())
+def _newest_first(df: DataFrame, column: str) -> DataFrame:
+    """Sorted by `column`, newest first, then by what tells its rows apart: a sort
+    splits its tasks between different keys only, and one instant or one ticket
+    may hold a great part of the rows."""
+    ties = [key for key in TIE_BREAKERS if key in df.columns and key != column]
+    return df.orderBy(F.col(column).desc_nulls_last(), *ties)
 
 
-def _newest_entry_first(df: DataFrame) -> DataFrame:
-    return df.orderBy(F.col("data_entrada_n2").desc_nulls_last())
+def unified_newest(unified: DataFrame) -> DataFrame:
+    """The unpaged listing of both tables, newest creation first."""
+    return _newest_first(unified, "data_criacao")
 
 
 def unified_download(
@@ -81,7 +94,7 @@ def unified_download(
     """Distinct 29-column rows that entered in a year and, when given, a month, a
     day of month and a week (0-53); newest entry first."""
     rows = calendar_filter(unified, "data_entrada_n2", ano, mes, dia, semana)
-    return _newest_entry_first(rows.select(*DOWNLOAD_COLUMNS).distinct())
+    return _newest_first(rows.select(*DOWNLOAD_COLUMNS).distinct(), "data_entrada_n2")
 
 
 def unified_range(unified: DataFrame, first: date, last: date) -> DataFrame:
@@ -92,7 +105,7 @@ def unified_range(unified: DataFrame, first: date, last: date) -> DataFrame:
     low = datetime.combine(first, datetime.min.time())
     high = datetime.combine(last, datetime.min.time()) + timedelta(days=1)
     rows = within(unified, "data_entrada_n2", low, high)
-    return _newest_entry_first(rows.distinct().select(*DOWNLOAD_COLUMNS))
+    return _newest_first(rows.distinct(), "data_entrada_n2").select(*DOWNLOAD_COLUMNS)
 
 
 def _check_page(page: int, page_size: int) -> None:

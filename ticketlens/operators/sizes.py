@@ -1,0 +1,22 @@
+"""Checking the size of a table before it is broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Tables of more rows than this are never broadcast by a hint of ours. Lookup and
+# key tables have two or three short columns: some tens of megabytes at the limit.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Whether `df` has at most `max_rows` rows. A count moves no rows, and on a
+    plain parquet table it reads the footers only."""
+    return df.count() <= max_rows
+
+
+def as_lookup(df: DataFrame) -> DataFrame:
+    """`df` with a broadcast hint when it is small, else as it is: then joins with
+    it shuffle, and adaptive execution splits keys that hold too many rows."""
+    return F.broadcast(df) if is_small(df) else df

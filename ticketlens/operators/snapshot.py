@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions.calendar import ntz
+from ticketlens.operators.sizes import MAX_BROADCAST_ROWS, as_lookup, is_small
 from ticketlens.operators.skew import HOT_ROWS, hot_keys, join_hot
 from ticketlens.schemas import SNAPSHOT
 
@@ -30,35 +31,33 @@ CLOSED_TAG = "FECHADO"
 YES = "SIM"
 NO_ROUTE = "NÃO"
 
+# A load is small when it covers at most one in this many rows of the ticket table.
+SMALL_LOAD = 10
+
 
 @dataclass(frozen=True)
 class HotTickets:
     """Keys whose rows must be split over tasks.
 
-    `life`: tickets with very many life rows; `parents`: with very many elements;
-    `equipment`: elements with very much equipment; `wide`: tickets with very many
-    snapshot rows, for either of the last two reasons."""
+    `life`: tickets with very many life rows; `equipment`: elements with very much
+    equipment; `wide`: tickets with very many snapshot rows, because of many
+    elements or of such an element."""
 
     life: Sequence[int] = ()
-    parents: Sequence[int] = ()
     equipment: Sequence[int] = ()
     wide: Sequence[int] = ()
 
 
 def find_hot_tickets(tables: Mapping[str, DataFrame], min_rows: int = HOT_ROWS) -> HotTickets:
     ta = tables["ta"]
-    parents = hot_keys(ta, "tqa_origem", min_rows)
     equipment = hot_keys(tables["equip"], "aeq_ta", min_rows)
-    wide = set(parents)
+    wide = set(hot_keys(ta, "tqa_origem", min_rows))
     if equipment:
         # The tickets of a bounded list of elements: no more rows than the list.
         owners = ta.where(F.col("tqa_codigo").isin(equipment)).select("tqa_origem").distinct()
         wide.update(row["tqa_origem"] for row in owners.collect())
     return HotTickets(
-        life=hot_keys(tables["vida"], "vda_ta", min_rows),
-        parents=parents,
-        equipment=equipment,
-        wide=sorted(wide),
+        life=hot_keys(tables["vida"], "vda_ta", min_rows), equipment=equipment, wide=sorted(wide)
     )
 
 
@@ -154,6 +153,49 @@ def closed_roots(
     )
 
 
+def load_tables(
+    tables: Mapping[str, DataFrame], roots: DataFrame
+) -> tuple[dict[str, DataFrame], bool]:
+    """The ticket tables as one load needs them, sizes checked, and whether they
+    hold only rows of the load's tickets.
+
+    Names come from broadcast lookups while they are small. When the load covers
+    few tickets (a day, an increment), life rows, procedures and elements of other
+    tickets are dropped where they are read, against the broadcast ticket codes.
+    A load of most tickets keeps them: there would be little to drop."""
+    ready = dict(tables)
+    for name in ("grupos", "usuarios"):
+        ready[name] = as_lookup(tables[name])
+    codes = roots.select(F.col("tqa_codigo").alias("codigo"))
+    few = is_small(codes, min(MAX_BROADCAST_ROWS, tables["ta"].count() // SMALL_LOAD))
+    if few:
+        wanted = F.broadcast(codes)
+        for name, key in (("vida", "vda_ta"), ("proced", "pca_ta"), ("ta", "tqa_origem")):
+            ready[name] = tables[name].join(wanted, F.col(key) == F.col("codigo"), "left_semi")
+    return ready, few
+
+
+def _elements(ta: DataFrame, equip: DataFrame, hot: HotTickets) -> DataFrame:
+    """Elements with their equipment, keyed by root ticket. Joined before the
+    tickets are: the short rows travel by element, the long ones only by ticket."""
+    elements = ta.where(F.col("tqa_origem").isNotNull()).select(
+        F.col("tqa_origem").alias("origem"),
+        F.col("tqa_codigo").alias("elemento"),
+        F.col("tqa_area_codigo").alias("site"),
+        F.col("tqa_estado_codigo").alias("uf"),
+        F.col("tqa_impacto_eqp").alias("impacto"),
+    )
+    equipment = equip.select(
+        F.col("aeq_ta").alias("elemento"),
+        F.col("aeq_hostname").alias("hostname"),
+        F.col("aeq_fabricante").alias("fabricante"),
+    )
+    if hot.equipment:
+        # Copies would share a salt; the snapshot is distinct anyway.
+        equipment = equipment.distinct()
+    return join_hot(elements, equipment, "elemento", hot_right=hot.equipment)
+
+
 def snapshot(
     roots: DataFrame,
     tables: Mapping[str, DataFrame],
@@ -162,8 +204,8 @@ def snapshot(
 ) -> DataFrame:
     """Eligible root tickets x elements x equipment without duplicates.
 
-    Root columns, then status names and owner names, then elements by ticket and
-    equipment by element. A ticket without elements keeps one row."""
+    Everything after the element join is keyed by ticket, so the dedupe needs no
+    shuffle of its own. A ticket without elements keeps one row."""
     eligible = _eligible_profile(
         tables["vida"], tables["proced"], tables["grupos"], mode, N2_GROUPS
     )
@@ -198,38 +240,9 @@ def snapshot(
         .join(eligible, "origem")
         .withColumns({name: _flag_text(name) for name in _route_conditions()})
     )
-    elements = (
-        tables["ta"]
-        .where(F.col("tqa_origem").isNotNull())
-        .select(
-            F.col("tqa_origem").alias("origem"),
-            F.col("tqa_codigo").alias("elemento"),
-            F.col("tqa_area_codigo").alias("site"),
-            F.col("tqa_estado_codigo").alias("uf"),
-            F.col("tqa_impacto_eqp").alias("impacto"),
-        )
-    )
-    equipment = (
-        tables["equip"]
-        .select(
-            F.col("aeq_ta").alias("chave_eqp"),
-            F.col("aeq_hostname").alias("hostname"),
-            F.col("aeq_fabricante").alias("fabricante"),
-        )
-        .where(F.col("chave_eqp").isNotNull())
-    )
-    if hot.equipment:
-        # Copies would share a salt; the result is distinct anyway.
-        equipment = equipment.distinct()
-    with_elements = join_hot(tickets, elements, "origem", hot_right=hot.parents)
-    # Tickets without elements would all meet on a null key: give each of them a
-    # negative key of its own, which no equipment has.
-    keyed = with_elements.withColumn("chave_eqp", F.coalesce("elemento", -F.col("origem")))
-    usable = equipment.where(F.col("chave_eqp") >= 0)
-    rows = join_hot(keyed, usable, "chave_eqp", hot_right=hot.equipment)
-    # With the join key among the columns the dedupe needs no further shuffle.
-    columns = [*[f.name for f in SNAPSHOT], *tag]
-    return rows.select("chave_eqp", *columns).distinct().select(*columns)
+    elements = _elements(tables["ta"], tables["equip"], hot)
+    rows = join_hot(tickets, elements, "origem", hot_right=hot.wide)
+    return rows.select(*[f.name for f in SNAPSHOT], *tag).distinct()
 
 
 def ticket_snapshot_active(
@@ -240,7 +253,8 @@ def ticket_snapshot_active(
     hot: HotTickets = HotTickets(),
 ) -> DataFrame:
     """20-column rows of open tickets created in [start, end)."""
-    return snapshot(active_roots(tables["ta"], start, end), tables, mode, hot)
+    roots = active_roots(tables["ta"], start, end)
+    return snapshot(roots, load_tables(tables, roots)[0], mode, hot)
 
 
 def ticket_snapshot_closed(
@@ -252,4 +266,5 @@ def ticket_snapshot_closed(
     hot: HotTickets = HotTickets(),
 ) -> DataFrame:
     """20-column rows of tickets that closed in (start, end]."""
-    return snapshot(closed_roots(tables["ta"], start, end, created_from), tables, mode, hot)
+    roots = closed_roots(tables["ta"], start, end, created_from)
+    return snapshot(roots, load_tables(tables, roots)[0], mode, hot)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.operators import activities, commands, procedures, quality, reports, snapshot, stays
+from ticketlens.operators.sizes import as_lookup
 from ticketlens.operators.skew import hot_keys
 from ticketlens.operators.windows import rows_per_window
 from ticketlens.plans import standin, tracking
@@ -45,6 +46,11 @@ def _tables(spark: SparkSession, sf_dir: str) -> standin.StandInTables:
     return standin.StandInTables(spark, sf_dir)
 
 
+def _names(t) -> tuple[DataFrame, DataFrame]:
+    """Groups and users, broadcast while they are small."""
+    return as_lookup(t["grupos"]), as_lookup(t["usuarios"])
+
+
 # --- load windows -----------------------------------------------------------
 
 
@@ -69,17 +75,17 @@ def load_windows_monthly(spark, sf_dir):
 
 def eligible_tickets(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return snapshot.eligible_tickets(t["vida"], t["proced"], t["grupos"])
+    return snapshot.eligible_tickets(t["vida"], t["proced"], as_lookup(t["grupos"]))
 
 
 def eligible_tickets_life_only(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return snapshot.eligible_tickets(t["vida"], t["proced"], t["grupos"], mode="life")
+    return snapshot.eligible_tickets(t["vida"], t["proced"], as_lookup(t["grupos"]), mode="life")
 
 
 def route_flags(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return snapshot.route_flags(t["vida"], t["grupos"])
+    return snapshot.route_flags(t["vida"], as_lookup(t["grupos"]))
 
 
 def ticket_snapshot_active(spark, sf_dir):
@@ -103,21 +109,21 @@ def ticket_snapshot_validation(spark, sf_dir):
 
 def _stays(t):
     hot = hot_keys(t["vida"], "vda_ta")
-    return stays.stay_table(t["vida"], t["grupos"], t["usuarios"], AS_OF, hot)
+    return stays.stay_table(t["vida"], *_names(t), AS_OF, hot)
 
 
 def _procedures(t):
-    return procedures.procedure_summary(t["proced"], t["grupos"], t["usuarios"])
+    return procedures.procedure_summary(t["proced"], *_names(t))
 
 
 def group_stays(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return stays.group_stays(t["vida"], t["grupos"], t["usuarios"], AS_OF)
+    return stays.group_stays(t["vida"], *_names(t), AS_OF)
 
 
 def stay_starts(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    rows = stays.group_stays(t["vida"], t["grupos"], t["usuarios"], AS_OF)
+    rows = stays.group_stays(t["vida"], *_names(t), AS_OF)
     marked = stays.mark_starts(rows, hot_keys(t["vida"], "vda_ta"))
     return marked.select(
         "origem", "seq", "usuario_cod", "usuario_anterior", "inicio_atuacao",
@@ -140,7 +146,7 @@ def procedure_summary(spark, sf_dir):
 
 def procedure_only(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    n2_stays = stays.group_stays(t["vida"], t["grupos"], t["usuarios"], AS_OF)
+    n2_stays = stays.group_stays(t["vida"], *_names(t), AS_OF)
     return procedures.procedure_only(_procedures(t), n2_stays)
 
 

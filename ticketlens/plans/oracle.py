@@ -40,18 +40,16 @@ def _week(d: str) -> str:
     return f"CAST((dayofyear({d}) - 1 + {w0}) // 7 + CASE WHEN {w0} <= 3 THEN 1 ELSE 0 END AS INTEGER)"
 
 
-def _exists(condition: str, name: str) -> str:
-    return (
-        "CASE WHEN EXISTS (SELECT 1 FROM vida v JOIN grupos g ON g.grp_codigo = v.vda_grupo"
-        f" WHERE v.vda_ta = r.tqa_codigo AND {condition}) THEN 'SIM' ELSE 'NÃO' END AS {name}"
-    )
+def _passed(condition: str, name: str) -> str:
+    routes = f"SELECT vda_ta FROM vida, grupos WHERE vda_grupo = grp_codigo AND {condition}"
+    return f"if(r.tqa_codigo IN ({routes}), 'SIM', 'NÃO') AS {name}"
 
 
 _FLAGS = (
-    _exists("g.grp_codigo = 6611", "passou_pelo_acesso_ericson"),
-    _exists("g.grp_codigo = 6612", "passou_pelo_acesso_huawei"),
-    _exists("g.grp_pai = 1340", "passou_pelo_campo"),
-    _exists("g.grp_codigo = 6563", "passou_pelo_coran"),
+    _passed("grp_codigo = 6611", "passou_pelo_acesso_ericson"),
+    _passed("grp_codigo = 6612", "passou_pelo_acesso_huawei"),
+    _passed("grp_pai = 1340", "passou_pelo_campo"),
+    _passed("grp_codigo = 6563", "passou_pelo_coran"),
 )
 
 
@@ -193,30 +191,27 @@ SELECT event_id AS cmd_id, ts,
   CASE WHEN event_type = 'purchase' THEN concat('file-', CAST(event_id AS VARCHAR), '.txt') END AS nome_original
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) e""",
     "eligible": """
-SELECT DISTINCT v.vda_ta AS origem FROM vida v LEFT JOIN (SELECT DISTINCT pca_ta, pca_grupo FROM proced) p
-  ON p.pca_ta = v.vda_ta
-WHERE v.vda_grupo IN (6611, 6612) OR p.pca_grupo IN (6611, 6612)""",
+SELECT vda_ta AS origem FROM vida GROUP BY vda_ta
+HAVING bool_or(vda_grupo IN (6611, 6612))
+  OR vda_ta IN (SELECT pca_ta FROM proced WHERE pca_grupo IN (6611, 6612))""",
     "eligible_life": """
-SELECT DISTINCT v.vda_ta AS origem FROM vida v JOIN grupos g ON g.grp_codigo = v.vda_grupo
-WHERE v.vda_grupo IN (6611, 6612)""",
+SELECT DISTINCT vda_ta AS origem FROM vida
+WHERE vda_grupo IN (6611, 6612) AND vda_grupo IN (SELECT grp_codigo FROM grupos)""",
     "base": f"""
-SELECT v.vda_ta AS origem, v.vda_seq AS seq, g.grp_nome AS grupo_n2, u.usr_nome AS usuario_atuacao,
-  v.vda_usuario AS usuario_cod, v.vda_data_initial AS data_entrada_n2, v.vda_data_final AS data_saida_n2,
-  CASE WHEN v.vda_usuario IS NOT NULL THEN 'SIM' ELSE 'NAO' END AS teve_atuacao,
-  CASE WHEN v.vda_data_final IS NULL THEN 'SIM' ELSE 'NAO' END AS ainda_na_fila,
-  {_seconds("v.vda_data_initial", f"coalesce(v.vda_data_final, {_ts(c.AS_OF)})")} AS total_segundos
-FROM vida v LEFT JOIN grupos g ON g.grp_codigo = v.vda_grupo
-LEFT JOIN usuarios u ON u.usr_codigo = v.vda_usuario
-WHERE v.vda_grupo IN (6611, 6612)""",
-    "lagged": """
-SELECT *, CASE WHEN usuario_cod IS NOT NULL THEN total_segundos ELSE 0 END AS total_segundos_atuacao,
-  lag(usuario_cod) OVER (PARTITION BY origem ORDER BY data_entrada_n2 NULLS LAST, seq NULLS LAST) AS usuario_anterior
-FROM base""",
+SELECT vda_ta AS origem, vda_seq AS seq, grp_nome AS grupo_n2, usr_nome AS usuario_atuacao,
+  vda_usuario AS usuario_cod, vda_data_initial AS data_entrada_n2, vda_data_final AS data_saida_n2,
+  if(vda_usuario IS NULL, 'NAO', 'SIM') AS teve_atuacao, if(vda_data_final IS NULL, 'SIM', 'NAO') AS ainda_na_fila,
+  {_seconds("vda_data_initial", f"ifnull(vda_data_final, {_ts(c.AS_OF)})")} AS total_segundos,
+  if(vda_usuario IS NULL, 0, total_segundos) AS total_segundos_atuacao,
+  row_number() OVER (PARTITION BY vda_ta ORDER BY vda_data_initial NULLS LAST, vda_seq NULLS LAST) AS pos
+FROM vida LEFT JOIN grupos ON grp_codigo = vda_grupo LEFT JOIN usuarios ON usr_codigo = vda_usuario
+WHERE vda_grupo IN (6611, 6612)""",
+    # The stay before is the one at the position before, joined back.
     "started": """
-SELECT *, CASE WHEN usuario_cod IS NOT NULL AND (usuario_anterior IS NULL OR usuario_anterior <> usuario_cod)
-    THEN 1 ELSE 0 END AS inicio_atuacao,
-  CASE WHEN usuario_cod IS NULL THEN 1 ELSE 0 END AS contar_sem_atuacao
-FROM lagged""",
+SELECT a.*, b.usuario_cod AS usuario_anterior,
+  CAST(a.usuario_cod IS NOT NULL AND a.usuario_cod IS DISTINCT FROM b.usuario_cod AS INTEGER) AS inicio_atuacao,
+  CAST(a.usuario_cod IS NULL AS INTEGER) AS contar_sem_atuacao
+FROM base a LEFT JOIN base b ON b.origem = a.origem AND b.pos = a.pos - 1""",
     "per_ticket": """
 SELECT origem, CAST(sum(inicio_atuacao) AS BIGINT) AS quantidade, CAST(sum(total_segundos) AS BIGINT) AS total_n2,
   CAST(sum(total_segundos_atuacao) AS BIGINT) AS total_atuacao
@@ -323,7 +318,7 @@ def _period_views(select: str, source: str, condition: str, hora: str = "") -> s
 
 
 _DISTINCT_STAYS = (
-    "count(DISTINCT CAST(origem AS VARCHAR) || '|' || CAST(data_entrada_n2 AS VARCHAR)) AS total"
+    "count(DISTINCT (origem, data_entrada_n2)) FILTER (data_entrada_n2 IS NOT NULL) AS total"
 )
 
 
@@ -474,7 +469,7 @@ _PLAIN: dict[str, str] = {
     "ticket_snapshot_validation": _snapshot("10, 20, 70", _ACTIVE_WINDOW, "eligible_life"),
     "group_stays": "SELECT origem, seq, grupo_n2, usuario_atuacao, usuario_cod, data_entrada_n2, data_saida_n2,"
     " teve_atuacao, ainda_na_fila, total_segundos,"
-    " CAST(total_segundos_atuacao AS BIGINT) AS total_segundos_atuacao FROM lagged",
+    " CAST(total_segundos_atuacao AS BIGINT) AS total_segundos_atuacao FROM base",
     "stay_starts": "SELECT origem, seq, usuario_cod, usuario_anterior, inicio_atuacao,"
     " inicio_atuacao AS contar_atuacao, contar_sem_atuacao FROM started",
     "stay_totals": "SELECT * FROM stays",

@@ -17,6 +17,7 @@ from ticketlens.operators.snapshot import (
     HotTickets,
     active_roots,
     closed_roots,
+    load_tables,
     snapshot,
 )
 from ticketlens.operators.stays import classify_stay, stay_table
@@ -43,14 +44,17 @@ def _tracking(
     mode: str,
     hot: HotTickets,
 ) -> DataFrame:
-    # Only life rows of the wanted tickets are ordered and summed. The semi-join
-    # partitions them by ticket, as the windows and the join after it need.
-    wanted = roots.select(F.col("tqa_codigo").alias("origem"))
-    life = tables["vida"].join(wanted, F.col("vda_ta") == F.col("origem"), "left_semi")
+    ready, restricted = load_tables(tables, roots)
+    life = ready["vida"]
+    if not restricted:
+        # In a large load too only its tickets' life rows are ordered and summed. The
+        # semi-join partitions them by ticket, as the windows and the next join need.
+        wanted = roots.select(F.col("tqa_codigo").alias("vda_ta"))
+        life = life.join(wanted, "vda_ta", "left_semi")
     return consolidate(
-        snapshot(roots, tables, mode, hot),
-        stay_table(life, tables["grupos"], tables["usuarios"], as_of, hot.life),
-        procedure_summary(tables["proced"], tables["grupos"], tables["usuarios"]),
+        snapshot(roots, ready, mode, hot),
+        stay_table(life, ready["grupos"], ready["usuarios"], as_of, hot.life),
+        procedure_summary(ready["proced"], ready["grupos"], ready["usuarios"]),
         hot,
     )
 
