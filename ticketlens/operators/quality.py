@@ -15,8 +15,8 @@ from ticketlens.functions.durations import seconds_between
 
 def table_freshness(tables: Mapping[str, DataFrame], as_of: datetime) -> DataFrame:
     """Per tracking table: rows, newest entry and closure, seconds from the newest
-    entry to `as_of`, and the `dd-MM-yyyy HH:mm` stamp of `as_of`."""
-    stamp = F.date_format(ntz(as_of), "dd-MM-yyyy HH:mm")
+    entry to `as_of`, and `as_of` as a text stamp, day first."""
+    stamp = F.lit(as_of.strftime("%d-%m-%Y %H:%M"))
     parts = [
         df.agg(
             F.count(F.lit(1)).alias("linhas"),

@@ -97,8 +97,10 @@ def _starts_by_hour(stays: DataFrame) -> DataFrame:
     Stays are ordered inside (ticket, hour of entry). The first stay of an hour
     takes its previous user from the last stay of the ticket's preceding hour,
     found over one row per hour."""
-    hour = F.coalesce(F.date_trunc("hour", "data_entrada_n2"), ntz(NO_HOUR))
-    chunked = stays.withColumn("hora_n2", hour.cast("timestamp_ntz"))
+    entry = F.col("data_entrada_n2")
+    # Day plus hours, not date_trunc, which would go through the session time zone.
+    hour = entry.cast("date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(entry))
+    chunked = stays.withColumn("hora_n2", F.coalesce(hour, ntz(NO_HOUR)))
     in_hour = Window.partitionBy("origem", "hora_n2").orderBy(*_entry_order())
     inside = chunked.withColumns(
         {"anterior": F.lag("usuario_cod").over(in_hour), "pos": F.row_number().over(in_hour)}
