@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ticketlens.operators.sizes import as_lookup
 from ticketlens.operators.skew import join_hot
 
-# Fixed value: the link of an attachment is this followed by its id.
-FILE_LINK = "/atividade-n2/arquivo/"
+# The link of an attachment is a prefix followed by its id. The prefix is the route
+# under which a service hands out attachments, so callers may bring their own.
+FILE_LINK = "/arquivo/"
 # Attachments per list; an activity with more has its list in several parts.
 FILES_PER_PART = 1000
 FILE_FIELDS = (
@@ -37,8 +38,8 @@ def active_catalogue(catalogue: DataFrame) -> DataFrame:
     )
 
 
-def _with_link(files: DataFrame) -> DataFrame:
-    link = F.concat(F.lit(FILE_LINK), F.col("id_arquivo").cast("string"))
+def _with_link(files: DataFrame, link_prefix: str) -> DataFrame:
+    link = F.concat(F.lit(link_prefix), F.col("id_arquivo").cast("string"))
     return files.withColumn("url_download", link)
 
 
@@ -102,16 +103,19 @@ def _listing(
 
 
 def activity_list(
-    activities: DataFrame, catalogue: DataFrame, files: DataFrame, hot: Sequence[int] = ()
+    activities: DataFrame,
+    catalogue: DataFrame,
+    files: DataFrame,
+    hot: Sequence[int] = (),
+    link_prefix: str = FILE_LINK,
 ) -> DataFrame:
     """Activities with a catalogue entry, newest first, and their attachments as a
     list with links (empty when there is none).
 
     An activity is one row, `arquivo_parte` 0, unless it has more attachments
     than FILES_PER_PART: then its list continues in parts 1, 2, ..."""
-    return _listing(
-        activities, catalogue, _with_link(files), [*FILE_FIELDS, "url_download"], hot
-    )
+    linked = _with_link(files, link_prefix)
+    return _listing(activities, catalogue, linked, [*FILE_FIELDS, "url_download"], hot)
 
 
 def _chosen(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -147,10 +151,10 @@ def activity_history(history: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def activity_files(files: DataFrame, ids: DataFrame) -> DataFrame:
+def activity_files(files: DataFrame, ids: DataFrame, link_prefix: str = FILE_LINK) -> DataFrame:
     """Attachments of the activities in `ids` with links, newest first per activity."""
     return (
-        _with_link(_chosen(files, ids))
+        _with_link(_chosen(files, ids), link_prefix)
         .select(*FILE_FIELDS, "url_download")
         .orderBy("id_atividade", F.col("data_upload").desc_nulls_last(), F.col("id_arquivo").desc())
     )

@@ -16,7 +16,7 @@ from ticketlens.functions.durations import TIME_LIMIT_SECONDS, clip_time, report
 from ticketlens.operators.snapshot import ACTIVE_TAG, CLOSED_TAG, TAG
 from ticketlens.operators.stays import UNCLASSIFIED
 
-# View names and look-back of the daily view.
+# View names, look-back of the daily view, download columns, page limit.
 MONTH_VIEW = "ANO_MES"
 WEEK_VIEW = "SEMANAL"
 DAY_VIEW = "DIARIO"

@@ -355,7 +355,7 @@ _ACTIVITY = (
     " a.data_inicio, a.data_fim, a.tempo_estimado_min, a.tempo_real_min, a.observacoes"
 )
 _FILE = ", ".join(f"f.{n} AS arquivo_{n}" for n in c.activities.FILE_FIELDS)
-_LINK = "'/atividade-n2/arquivo/' || CAST({0}.id_arquivo AS VARCHAR)"
+_LINK = "'/arquivo/' || CAST({0}.id_arquivo AS VARCHAR)"
 _LISTING = (
     " FROM atividade_suporte a JOIN atividade_padrao p ON p.id = a.id_atividade_padrao"
     " LEFT JOIN arquivos f ON f.id_atividade = a.id_atividade"
