@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions.durations import micros_between
-from ticketlens.operators.sizes import as_lookup
+from ticketlens.operators.sizes import as_lookup, is_small
 from ticketlens.operators.skew import join_hot
 from ticketlens.schemas import ATIVIDADE_SUPORTE
 
@@ -62,8 +62,20 @@ def _not_in(column: str, allowed: Sequence[str]) -> Column:
     return ~F.coalesce(F.col(column).isin(list(allowed)), F.lit(False))
 
 
+def few_activities(commands: DataFrame) -> DataFrame | None:
+    """The activities a batch of commands speaks of, for a broadcast; None when
+    they are too many for one. With them, a batch against a large activity table
+    moves only the rows of its own activities."""
+    ids = commands.select("id_atividade").distinct()
+    return F.broadcast(ids) if is_small(ids) else None
+
+
 def judge_commands(
-    activities: DataFrame, catalogue: DataFrame, commands: DataFrame, hot: Sequence[int] = ()
+    activities: DataFrame,
+    catalogue: DataFrame,
+    commands: DataFrame,
+    hot: Sequence[int] = (),
+    touched: DataFrame | None = None,
 ) -> DataFrame:
     """Every command with `veredito` (null = accepted) and the facts of its
     activity: owner, start and catalogue entry.
@@ -71,21 +83,25 @@ def judge_commands(
     An activity exists from before the first command when it is in `activities`,
     else from its first acceptable create. A create is checked for its catalogue
     entry, then its status, then a repeated id; other kinds for the activity,
-    then their own values."""
-    is_create = F.col("kind") == CREATE
+    then their own values. `touched` is the result of `few_activities`."""
+    is_create = F.coalesce(F.col("kind") == CREATE, F.lit(False))
     entries = as_lookup(
         catalogue.select(
-            F.col("id").alias("id_atividade_padrao"),
+            F.col("id").cast("bigint").alias("entrada"),
             F.col("tempo_estimado_min").alias("tempo_padrao"),
             F.lit(True).alias("no_catalogo"),
         )
     )
-    creates = commands.where(is_create).join(entries, "id_atividade_padrao", "left")
+    # Only creates look an entry up. The others get keys of their own, so that a
+    # join by shuffle spreads them instead of gathering them on one null.
+    entry = F.when(is_create, F.col("id_atividade_padrao")).otherwise(-1 - F.col("cmd_id"))
+    checked = commands.withColumn("entrada", entry).join(entries, "entrada", "left")
     create_checks = [
         (F.col("no_catalogo").isNull(), NO_CATALOGUE),
         (_not_in("status", CREATE_STATUS), BAD_STATUS),
     ]
-    valid = creates.where(_verdict(create_checks).isNull())
+    if touched is not None:
+        activities = activities.join(touched, "id_atividade", "left_semi")
     known = activities.select(
         "id_atividade",
         F.lit(True).alias("dado"),
@@ -94,7 +110,7 @@ def judge_commands(
         F.col("nome_usuario").alias("nome_dono"),
         F.col("data_inicio").alias("inicio"),
     )
-    born = valid.select(
+    born = checked.where(is_create & _verdict(create_checks).isNull()).select(
         "id_atividade",
         F.lit(False).alias("dado"),
         _order().alias("desde"),
@@ -109,26 +125,23 @@ def judge_commands(
         .agg(F.min(F.struct("desde", "dado", "dono", "nome_dono", "inicio")).alias("b"))
         .select("id_atividade", "b.*")
     )
-    exists = F.col("dado").isNotNull()
-    before = exists & (F.col("dado") | (F.col("desde") < _order()))
-    judged_creates = join_hot(creates, births, "id_atividade", hot_left=hot).withColumn(
-        "veredito", _verdict([*create_checks, (F.col("dado") | (F.col("desde") != _order()), REPEATED_ID)])
-    )
-    others = commands.where(~F.coalesce(is_create, F.lit(False)))
+    repeated = F.col("dado") | (F.col("desde") != _order())
+    exists = F.coalesce(F.col("dado") | (F.col("desde") < _order()), F.lit(False))
     kind = F.coalesce("kind", F.lit(""))
     name = F.col("nome_original")
     other_checks = [
         (~kind.isin(list(EVENT_KINDS)), UNKNOWN_KIND),
-        (~F.coalesce(before, F.lit(False)), NO_ACTIVITY),
+        (~exists, NO_ACTIVITY),
         ((kind == SET_STATUS) & _not_in("status", UPDATE_STATUS), BAD_STATUS),
         ((kind == SET_NOTE) & F.col("observacoes").isNull(), NO_NOTE),
         ((kind == ATTACH) & name.isNull(), NO_FILE),
         ((kind == ATTACH) & (name == ""), NO_VALID_FILE),
     ]
-    judged_others = join_hot(others, births, "id_atividade", hot_left=hot).withColumn(
-        "veredito", _verdict(other_checks)
+    verdict = F.when(is_create, _verdict([*create_checks, (repeated, REPEATED_ID)])).otherwise(
+        _verdict(other_checks)
     )
-    return judged_creates.drop("no_catalogo").unionByName(judged_others, allowMissingColumns=True)
+    judged = join_hot(checked, births, "id_atividade", hot_left=hot)
+    return judged.withColumn("veredito", verdict).drop("entrada", "no_catalogo")
 
 
 def _accepted(judged: DataFrame) -> DataFrame:
@@ -186,12 +199,23 @@ def files_from_commands(judged: DataFrame) -> DataFrame:
     )
 
 
-def apply_activity_commands(activities: DataFrame, judged: DataFrame) -> DataFrame:
+def apply_activity_commands(
+    activities: DataFrame, judged: DataFrame, touched: DataFrame | None = None
+) -> DataFrame:
     """Activities after all accepted commands, in the activity schema.
 
     Status and notes are those of the last command that sets them; the end is the
     time of the last finish and stays when the activity is reopened; the actual
-    minutes are whole minutes from start to that end."""
+    minutes are whole minutes from start to that end. With `touched` (the result of
+    `few_activities`) all other activities pass through as they are."""
+    if touched is not None:
+        rest = activities.join(touched, "id_atividade", "left_anti")
+        changed = _fold(activities.join(touched, "id_atividade", "left_semi"), judged)
+        return changed.unionByName(rest.select(changed.columns))
+    return _fold(activities, judged)
+
+
+def _fold(activities: DataFrame, judged: DataFrame) -> DataFrame:
     kind = F.col("kind")
     # Ours: marks a row of `activities`, which sets every field before any command.
     given = activities.withColumns({"kind": F.lit("given"), "ts": F.lit(None).cast("timestamp_ntz")})

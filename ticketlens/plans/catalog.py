@@ -13,7 +13,6 @@ from ticketlens.operators.sizes import as_lookup
 from ticketlens.operators.skew import hot_keys
 from ticketlens.operators.windows import rows_per_window
 from ticketlens.plans import standin, tracking
-from ticketlens.schemas import ATIVIDADE_SUPORTE
 from ticketlens.sources.sinks import append, by_entry_month, full_refresh, shared_folder
 from ticketlens.streaming.increment import closed_increment
 
@@ -340,13 +339,14 @@ def activity_files(spark, sf_dir):
 
 
 def _judged(spark, sf_dir, on_existing: bool = False):
+    """Given activities, judged commands, and the activities they speak of."""
     log = _tables(spark, sf_dir)
-    given = log["atividade_suporte"]
-    if not on_existing:
-        given = spark.createDataFrame([], ATIVIDADE_SUPORTE)
+    given = log["atividade_suporte"] if on_existing else log["atividade_suporte"].where("false")
     cmds = log["comandos"].withColumn("conteudo", F.encode("observacoes", "UTF-8"))
     hot = hot_keys(cmds, "id_atividade")
-    return given, commands.judge_commands(given, log["atividade_padrao"], cmds, hot)
+    touched = commands.few_activities(cmds)
+    judged = commands.judge_commands(given, log["atividade_padrao"], cmds, hot, touched)
+    return given, judged, touched
 
 
 def activity_state(spark, sf_dir):
