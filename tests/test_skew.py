@@ -79,10 +79,21 @@ def test_tracking_with_hot_tickets(tables, rows_of, many_tickets):
         )
 
     elements = [r[0] for r in tables["equip"].select("aeq_ta").distinct().collect()][:300]
-    hot = HotTickets(many_tickets[:400], elements, many_tickets[100:600])
+    parents = tables["ta"].where(F.col("tqa_codigo").isin(elements)).select("tqa_origem").distinct()
+    wide = {*many_tickets[100:600], *[r[0] for r in parents.collect()]}
+    hot = HotTickets(many_tickets[:400], elements, sorted(wide))
     assert rows_of(build(hot)) == rows_of(build(HotTickets()))
 
 
+def test_hot_tickets_without_elements_stays_or_procedures(spark, tables, rows_of):
+    args = tables, catalog.AS_OF, catalog.START, catalog.END
+    roots = tables["ta"].where("tqa_origem is null").select("tqa_codigo")
+    codes = [r[0] for r in roots.limit(900).collect()]
+    plain = rows_of(tracking.tracking_active(*args))
+    for hot in (HotTickets(life=codes), HotTickets(wide=codes)):
+        assert rows_of(tracking.tracking_active(*args, hot=hot)) == plain
+
+
 def test_small_loads_drop_other_tickets_early(tables, rows_of, monkeypatch):
     args = tables, catalog.AS_OF, catalog.START, datetime(1995, 3, 1)
     monkeypatch.setattr("ticketlens.operators.snapshot.SMALL_LOAD", 1)

@@ -58,16 +58,6 @@ def split_hot(
     return usual(df.where(~mask)).unionByName(spread(df.where(mask)))
 
 
-def _salt(df: DataFrame) -> DataFrame:
-    """Gives every row one salt, from its own values: a rerun task agrees."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS)).cast("int")
-    return df.withColumn("salt", salt)
-
-
-def _every_salt(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
 def join_hot(
     left: DataFrame,
     right: DataFrame,
@@ -77,24 +67,47 @@ def join_hot(
 ) -> DataFrame:
     """Left join on `on`, with single keys that may hold much of either side.
 
-    `hot_right` keys: their right rows are spread over SALTS tasks and the left
-    rows of the key go to each of them; left rows without a partner come from an
-    anti join with the distinct keys. Exact copies on the right share a salt, so
-    remove or number copies first. `hot_left` keys: the other way round, with the
-    few right rows of the key repeated. All other keys join as usual."""
+    One join on the key and a salt. Rows of an ordinary key have salt 0. A row on
+    the heavy side of a hot key takes one of SALTS salts, from a hash of its values
+    (a rerun task agrees); rows of the key on the other side take all of them. A key
+    hot on both sides counts as hot on the right. Exact copies on the heavy side
+    share a salt, so number or remove copies where there may be very many."""
     hot_left = sorted(set(hot_left) - set(hot_right))
     if not hot_left and not hot_right:
         return left.join(right, on, "left")
-    either = [*hot_left, *hot_right]
-    rows = left.where(~is_hot(on, either)).join(right.where(~is_hot(on, either)), on, "left")
-    if hot_left:
-        spread = _salt(left.where(is_hot(on, hot_left)))
-        repeated = _every_salt(right.where(is_hot(on, hot_left)))
-        rows = rows.unionByName(spread.join(repeated, [on, "salt"], "left").drop("salt"))
-    if hot_right:
-        few = left.where(is_hot(on, hot_right))
-        many = right.where(is_hot(on, hot_right))
-        paired = _every_salt(few).join(_salt(many), [on, "salt"]).drop("salt")
-        alone = few.join(many.select(on).distinct(), on, "left_anti")
-        rows = rows.unionByName(paired).unionByName(alone, allowMissingColumns=True)
-    return rows
+
+    def own_salt(df: DataFrame) -> Column:
+        values = F.xxhash64(*[F.col(name) for name in df.columns])
+        return F.array(F.pmod(values, F.lit(SALTS)).cast("int"))
+
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    none = F.array(F.lit(0))
+    left_heavy, right_heavy = is_hot(on, hot_left), is_hot(on, hot_right)
+    # Whether a right-heavy key has right rows at all: no more rows than hot keys.
+    present = F.broadcast(
+        right.where(right_heavy).select(on, F.lit(True).alias("presente")).distinct()
+    )
+    salted_left = left.join(present, on, "left").withColumn(
+        "salt",
+        F.explode(F.when(F.col("presente"), every).when(left_heavy, own_salt(left)).otherwise(none)),
+    )
+    salted_right = right.withColumns(
+        {
+            "salt": F.explode(
+                F.when(right_heavy, own_salt(right)).when(left_heavy, every).otherwise(none)
+            ),
+            "par": F.lit(True),
+        }
+    )
+    # Of a left row sent to every salt only the pairs count.
+    joined = salted_left.join(salted_right, [on, "salt"], "left")
+    paired = joined.where(F.col("presente").isNull() | F.col("par"))
+    return paired.drop("salt", "presente", "par")
+
+
+def join_few_left(left: DataFrame, right: DataFrame, on: str, keys: DataFrame) -> DataFrame:
+    """Left join of a few rows (the caller knows a bound) with very many rows per
+    key: the few are broadcast. `keys` is the distinct keys of `right`."""
+    paired = right.join(F.broadcast(left), on)
+    alone = left.join(keys, on, "left_anti")
+    return paired.unionByName(alone, allowMissingColumns=True)

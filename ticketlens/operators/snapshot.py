@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions.calendar import ntz
 from ticketlens.operators.sizes import MAX_BROADCAST_ROWS, as_lookup, is_small
-from ticketlens.operators.skew import HOT_ROWS, hot_keys, join_hot
+from ticketlens.operators.skew import HOT_ROWS, hot_keys, is_hot, join_few_left
 from ticketlens.schemas import SNAPSHOT
 
 # Codes and texts that results depend on.
@@ -41,12 +41,17 @@ class HotTickets:
 
     `life`: tickets with very many life rows; `equipment`: elements with very much
     equipment; `wide`: tickets with very many snapshot rows, because of many
-    elements or of such an element."""
+    elements or of such an element. `wide` must hold the tickets of all elements in
+    `equipment`, as `find_hot_tickets` sees to."""
 
     life: Sequence[int] = ()
     equipment: Sequence[int] = ()
     wide: Sequence[int] = ()
 
+    @property
+    def tickets(self) -> list[int]:
+        return sorted({*self.life, *self.wide})
+
 
 def find_hot_tickets(tables: Mapping[str, DataFrame], min_rows: int = HOT_ROWS) -> HotTickets:
     ta = tables["ta"]
@@ -175,37 +180,27 @@ def load_tables(
     return ready, few
 
 
-def _elements(ta: DataFrame, equip: DataFrame, hot: HotTickets) -> DataFrame:
-    """Elements with their equipment, keyed by root ticket. Joined before the
-    tickets are: the short rows travel by element, the long ones only by ticket."""
-    elements = ta.where(F.col("tqa_origem").isNotNull()).select(
-        F.col("tqa_origem").alias("origem"),
-        F.col("tqa_codigo").alias("elemento"),
-        F.col("tqa_area_codigo").alias("site"),
-        F.col("tqa_estado_codigo").alias("uf"),
-        F.col("tqa_impacto_eqp").alias("impacto"),
-    )
-    equipment = equip.select(
-        F.col("aeq_ta").alias("elemento"),
-        F.col("aeq_hostname").alias("hostname"),
-        F.col("aeq_fabricante").alias("fabricante"),
-    )
-    if hot.equipment:
-        # Copies would share a salt; the snapshot is distinct anyway.
-        equipment = equipment.distinct()
-    return join_hot(elements, equipment, "elemento", hot_right=hot.equipment)
+def tickets_of(
+    roots: DataFrame, tables: Mapping[str, DataFrame], hot: HotTickets, kept: bool
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Roots and tables with the rows of the hot tickets only, or without them.
 
+    Hot tickets are set apart before anything is joined: the others keep the plan
+    they would have without them, and the filters reach the scans."""
+
+    def rows(df: DataFrame, key: str) -> DataFrame:
+        mask = is_hot(key, hot.tickets)
+        return df.where(mask if kept else ~mask)
+
+    keys = {"vida": "vda_ta", "proced": "pca_ta", "ta": "tqa_origem"}
+    part = {**tables, **{name: rows(tables[name], key) for name, key in keys.items()}}
+    if not kept:
+        part["equip"] = tables["equip"].where(~is_hot("aeq_ta", hot.equipment))
+    return rows(roots, "tqa_codigo"), part
 
-def snapshot(
-    roots: DataFrame,
-    tables: Mapping[str, DataFrame],
-    mode: str = "life_or_procedure",
-    hot: HotTickets = HotTickets(),
-) -> DataFrame:
-    """Eligible root tickets x elements x equipment without duplicates.
 
-    Everything after the element join is keyed by ticket, so the dedupe needs no
-    shuffle of its own. A ticket without elements keeps one row."""
+def _tickets(roots: DataFrame, tables: Mapping[str, DataFrame], mode: str) -> DataFrame:
+    """Eligible roots with names and route flags, one row per ticket."""
     eligible = _eligible_profile(
         tables["vida"], tables["proced"], tables["grupos"], mode, N2_GROUPS
     )
@@ -219,9 +214,7 @@ def snapshot(
         .where(F.col("sta_codigo").isin([*ACTIVE_STATUS, *CLOSED_STATUS]))
         .select(F.col("sta_codigo").alias("tqa_status"), F.col("sta_nome").alias("status"))
     )
-    # A source tag on the roots is carried along.
-    tag = [column for column in roots.columns if column == TAG]
-    tickets = (
+    return (
         roots.select(
             F.col("tqa_codigo").alias("origem"),
             F.col("tqa_raiz").alias("ta_raiz"),
@@ -233,16 +226,78 @@ def snapshot(
             F.col("tqa_alarme_tipo").alias("tipo_de_alarme"),
             "tqa_status",
             "tqa_responsavelpor_grupo",
-            *tag,
+            *_tag(roots),
         )
         .join(status_names, "tqa_status", "left")
         .join(owner_groups, "tqa_responsavelpor_grupo", "left")
         .join(eligible, "origem")
         .withColumns({name: _flag_text(name) for name in _route_conditions()})
     )
-    elements = _elements(tables["ta"], tables["equip"], hot)
-    rows = join_hot(tickets, elements, "origem", hot_right=hot.wide)
-    return rows.select(*[f.name for f in SNAPSHOT], *tag).distinct()
+
+
+def _tag(roots: DataFrame) -> list[str]:
+    """The source tag, where the roots carry one."""
+    return [column for column in roots.columns if column == TAG]
+
+
+def _elements(ta: DataFrame) -> DataFrame:
+    return ta.where(F.col("tqa_origem").isNotNull()).select(
+        F.col("tqa_origem").alias("origem"),
+        F.col("tqa_codigo").alias("elemento"),
+        F.col("tqa_area_codigo").alias("site"),
+        F.col("tqa_estado_codigo").alias("uf"),
+        F.col("tqa_impacto_eqp").alias("impacto"),
+    )
+
+
+def _equipment(equip: DataFrame) -> DataFrame:
+    return equip.select(
+        F.col("aeq_ta").alias("elemento"),
+        F.col("aeq_hostname").alias("hostname"),
+        F.col("aeq_fabricante").alias("fabricante"),
+    )
+
+
+def usual_snapshot(roots: DataFrame, tables: Mapping[str, DataFrame], mode: str) -> DataFrame:
+    """Elements meet their equipment before the tickets do: the short rows travel
+    by element, the long ones by ticket only, and the dedupe needs no shuffle."""
+    equipped = _elements(tables["ta"]).join(_equipment(tables["equip"]), "elemento", "left")
+    rows = _tickets(roots, tables, mode).join(equipped, "origem", "left")
+    return rows.select(*[f.name for f in SNAPSHOT], *_tag(roots)).distinct()
+
+
+def hot_snapshot(
+    roots: DataFrame, tables: Mapping[str, DataFrame], mode: str, hot: HotTickets
+) -> DataFrame:
+    """The same for hot tickets, given their rows only. Their roots, and the
+    elements with very much equipment, are at most as many as the hot keys, so
+    these few rows are broadcast and the many stay where they are."""
+    elements, equipment = _elements(tables["ta"]), _equipment(tables["equip"])
+    heavy = is_hot("elemento", hot.equipment)
+    equipped = elements.where(~heavy).join(equipment.where(~heavy), "elemento", "left")
+    if hot.equipment:
+        many = equipment.where(heavy)
+        few = elements.where(heavy)
+        equipped = equipped.unionByName(
+            join_few_left(few, many, "elemento", many.select("elemento").distinct())
+        )
+    with_elements = elements.select("origem").distinct()
+    rows = join_few_left(_tickets(roots, tables, mode), equipped, "origem", with_elements)
+    return rows.select(*[f.name for f in SNAPSHOT], *_tag(roots)).distinct()
+
+
+def snapshot(
+    roots: DataFrame,
+    tables: Mapping[str, DataFrame],
+    mode: str = "life_or_procedure",
+    hot: HotTickets = HotTickets(),
+) -> DataFrame:
+    """Eligible root tickets x elements x equipment without duplicates. A ticket
+    without elements keeps one row."""
+    if not hot.tickets:
+        return usual_snapshot(roots, tables, mode)
+    usual = usual_snapshot(*tickets_of(roots, tables, hot, kept=False), mode)
+    return usual.unionByName(hot_snapshot(*tickets_of(roots, tables, hot, kept=True), mode, hot))
 
 
 def ticket_snapshot_active(

@@ -174,6 +174,15 @@ def stay_totals(stays: DataFrame, hot: Sequence[int] = ()) -> DataFrame:
     return _texts(split_hot(stays, "origem", hot, _totals_in_window, _totals_joined))
 
 
+def _in_windows(stays: DataFrame) -> DataFrame:
+    """Lag and sums over one partitioning by ticket."""
+    return _totals_in_window(_starts_in_window(stays))
+
+
+def _in_pieces(stays: DataFrame) -> DataFrame:
+    return _totals_joined(_starts_by_hour(stays))
+
+
 def stay_table(
     life: DataFrame,
     groups: DataFrame,
@@ -181,17 +190,17 @@ def stay_table(
     as_of: datetime,
     hot: Sequence[int] = (),
 ) -> DataFrame:
-    """Stays with starts and totals. Lag and sums share one shuffle by ticket;
-    hot tickets take the split forms of both steps."""
+    """Stays with starts and totals. Lag and sums share one shuffle by ticket; hot
+    tickets take the split forms of both steps."""
     stays = group_stays(life, groups, users, as_of)
-    done = split_hot(
-        stays,
-        "origem",
-        hot,
-        lambda rows: _totals_in_window(_starts_in_window(rows)),
-        lambda rows: _totals_joined(_starts_by_hour(rows)),
-    )
-    return _texts(done)
+    return _texts(split_hot(stays, "origem", hot, _in_windows, _in_pieces))
+
+
+def hot_stay_table(
+    life: DataFrame, groups: DataFrame, users: DataFrame, as_of: datetime
+) -> DataFrame:
+    """The same for life rows of hot tickets only."""
+    return _texts(_in_pieces(group_stays(life, groups, users, as_of)))
 
 
 def classify_stay(df: DataFrame) -> DataFrame:

@@ -17,10 +17,12 @@ from ticketlens.operators.snapshot import (
     HotTickets,
     active_roots,
     closed_roots,
+    hot_snapshot,
     load_tables,
-    snapshot,
+    tickets_of,
+    usual_snapshot,
 )
-from ticketlens.operators.stays import classify_stay, stay_table
+from ticketlens.operators.stays import classify_stay, hot_stay_table, stay_table
 from ticketlens.schemas import TRACKING
 
 
@@ -32,11 +34,34 @@ def consolidate(
         join_hot(tickets, stays, "origem", hot_left=hot.wide, hot_right=hot.life)
     )
     keyed = procedures.withColumn("origem", F.col("origem" + SUFFIX))
-    rows = join_hot(with_stays, keyed, "origem", hot_left=[*hot.wide, *hot.life])
+    rows = join_hot(with_stays, keyed, "origem", hot_left=hot.tickets)
     tag = [column for column in tickets.columns if column == TAG]
     return rows.select(*[f.name for f in TRACKING], *tag)
 
 
+def _procedures(tables: Mapping[str, DataFrame]) -> DataFrame:
+    return procedure_summary(tables["proced"], tables["grupos"], tables["usuarios"])
+
+
+def _usual(roots, tables, as_of: datetime, mode: str, restricted: bool) -> DataFrame:
+    life = tables["vida"]
+    if not restricted:
+        # In a large load too only its tickets' life rows are ordered and summed. The
+        # semi-join partitions them by ticket, as the windows and the next join need.
+        wanted = roots.select(F.col("tqa_codigo").alias("vda_ta"))
+        life = life.join(wanted, "vda_ta", "left_semi")
+    stays = stay_table(life, tables["grupos"], tables["usuarios"], as_of)
+    return consolidate(usual_snapshot(roots, tables, mode), stays, _procedures(tables))
+
+
+def _hot(roots, tables, as_of: datetime, mode: str, hot: HotTickets) -> DataFrame:
+    # No more root tickets than hot keys: their codes are broadcast.
+    wanted = F.broadcast(roots.select(F.col("tqa_codigo").alias("vda_ta")))
+    life = tables["vida"].join(wanted, "vda_ta", "left_semi")
+    stays = hot_stay_table(life, tables["grupos"], tables["usuarios"], as_of)
+    return consolidate(hot_snapshot(roots, tables, mode, hot), stays, _procedures(tables), hot)
+
+
 def _tracking(
     roots: DataFrame,
     tables: Mapping[str, DataFrame],
@@ -45,18 +70,11 @@ def _tracking(
     hot: HotTickets,
 ) -> DataFrame:
     ready, restricted = load_tables(tables, roots)
-    life = ready["vida"]
-    if not restricted:
-        # In a large load too only its tickets' life rows are ordered and summed. The
-        # semi-join partitions them by ticket, as the windows and the next join need.
-        wanted = roots.select(F.col("tqa_codigo").alias("vda_ta"))
-        life = life.join(wanted, "vda_ta", "left_semi")
-    return consolidate(
-        snapshot(roots, ready, mode, hot),
-        stay_table(life, ready["grupos"], ready["usuarios"], as_of, hot.life),
-        procedure_summary(ready["proced"], ready["grupos"], ready["usuarios"]),
-        hot,
-    )
+    if not hot.tickets:
+        return _usual(roots, ready, as_of, mode, restricted)
+    usual = _usual(*tickets_of(roots, ready, hot, kept=False), as_of, mode, restricted)
+    heavy = _hot(*tickets_of(roots, ready, hot, kept=True), as_of, mode, hot)
+    return usual.unionByName(heavy)
 
 
 def tracking_active(
