@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Tables of more rows than this are never broadcast by a hint of ours. Lookup and
-# key tables have two or three short columns: some tens of megabytes at the limit.
-MAX_BROADCAST_ROWS = 1_000_000
+# key tables have two or three short columns: under a hundred megabytes at the limit.
+MAX_BROADCAST_ROWS = 250_000
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:

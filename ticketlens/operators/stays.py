@@ -16,8 +16,8 @@ from ticketlens.operators.snapshot import N2_GROUPS, YES
 # Texts of the stay flags and classes.
 NO_STAY = "NAO"
 UNCLASSIFIED = "VAZIO"
-# Stands for "no entry time" among the hours of a ticket: sorts last.
-NO_HOUR = "9999-12-31 00:00:00"
+# Stands for "no entry time" among the minutes of a ticket: sorts last.
+NO_MINUTE = "9999-12-31 00:00:00"
 
 STARTED = ("usuario_anterior", "inicio_atuacao", "contar_atuacao", "contar_sem_atuacao")
 TOTALS = ("total_n2", "total_atuacao", "total_inicios")
@@ -91,37 +91,40 @@ def _starts_in_window(stays: DataFrame) -> DataFrame:
     )
 
 
-def _starts_by_hour(stays: DataFrame) -> DataFrame:
+def _starts_by_minute(stays: DataFrame) -> DataFrame:
     """The same previous user without putting a ticket into one task.
 
-    Stays are ordered inside (ticket, hour of entry). The first stay of an hour
-    takes its previous user from the last stay of the ticket's preceding hour,
-    found over one row per hour."""
+    Stays are ordered inside (ticket, minute of entry). The first stay of a minute
+    takes its previous user from the last stay of the ticket's preceding minute,
+    found over one row per minute: some half a million a year."""
     entry = F.col("data_entrada_n2")
-    # Day plus hours, not date_trunc, which would go through the session time zone.
-    hour = entry.cast("date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(entry))
-    chunked = stays.withColumn("hora_n2", F.coalesce(hour, ntz(NO_HOUR)))
-    in_hour = Window.partitionBy("origem", "hora_n2").orderBy(*_entry_order())
+    # Day plus clock, not date_trunc, which would go through the session time zone.
+    clock = F.make_dt_interval(hours=F.hour(entry), mins=F.minute(entry))
+    minute = F.coalesce(entry.cast("date").cast("timestamp_ntz") + clock, ntz(NO_MINUTE))
+    chunked = stays.withColumn("minuto_n2", minute)
+    in_minute = Window.partitionBy("origem", "minuto_n2").orderBy(*_entry_order())
     inside = chunked.withColumns(
-        {"anterior": F.lag("usuario_cod").over(in_hour), "pos": F.row_number().over(in_hour)}
+        {"anterior": F.lag("usuario_cod").over(in_minute), "pos": F.row_number().over(in_minute)}
     )
     # Nulls last, as in the entry order: a missing value must win the maximum.
     rank = F.struct(F.col("data_entrada_n2").isNull(), "data_entrada_n2", F.col("seq").isNull(), "seq")
-    hours = chunked.groupBy("origem", "hora_n2").agg(F.max_by("usuario_cod", rank).alias("ultimo"))
-    by_hour = Window.partitionBy("origem").orderBy("hora_n2")
-    carried = hours.select("origem", "hora_n2", F.lag("ultimo").over(by_hour).alias("trazido"))
+    minutes = chunked.groupBy("origem", "minuto_n2").agg(
+        F.max_by("usuario_cod", rank).alias("ultimo")
+    )
+    by_minute = Window.partitionBy("origem").orderBy("minuto_n2")
+    carried = minutes.select("origem", "minuto_n2", F.lag("ultimo").over(by_minute).alias("trazido"))
     previous = F.when(F.col("pos") == 1, F.col("trazido")).otherwise(F.col("anterior"))
     return _with_starts(
-        inside.join(carried, ["origem", "hora_n2"], "left")
+        inside.join(carried, ["origem", "minuto_n2"], "left")
         .withColumn("usuario_anterior", previous)
-        .drop("anterior", "pos", "trazido", "hora_n2")
+        .drop("anterior", "pos", "trazido", "minuto_n2")
     )
 
 
 def mark_starts(stays: DataFrame, hot: Sequence[int] = ()) -> DataFrame:
     """Adds the previous user of the ticket, and whether a stay starts a handling:
     a user acts who is not the one of the stay just before."""
-    return split_hot(stays, "origem", hot, _starts_in_window, _starts_by_hour)
+    return split_hot(stays, "origem", hot, _starts_in_window, _starts_by_minute)
 
 
 def _sums() -> dict:
@@ -180,7 +183,7 @@ def _in_windows(stays: DataFrame) -> DataFrame:
 
 
 def _in_pieces(stays: DataFrame) -> DataFrame:
-    return _totals_joined(_starts_by_hour(stays))
+    return _totals_joined(_starts_by_minute(stays))
 
 
 def stay_table(

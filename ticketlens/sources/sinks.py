@@ -15,26 +15,28 @@ def by_entry_month(df: DataFrame) -> DataFrame:
     return df.withColumn("mes_entrada", F.year(entry) * 100 + F.month(entry))
 
 
+def _write(df: DataFrame, path: str, mode: str, partition_by: tuple[str, ...]) -> str:
+    """Plain tables are written where the rows are. For a partitioned one the
+    rebalance hint lets adaptive execution merge the small files of a partition
+    value and split a value that holds most of the rows."""
+    if partition_by:
+        df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode(mode).parquet(path)
+    return path
+
+
 def full_refresh(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
     """Replaces the table at `path` and returns the path.
 
     Never give the path `df` is read from: write beside it and point readers
-    at the returned path. The rebalance hint lets adaptive execution merge small
-    partition files and split a month that holds most of the rows."""
-    writer = df.hint("rebalance", *partition_by).write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return path
+    at the returned path."""
+    return _write(df, path, "overwrite", partition_by)
 
 
 def append(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
     """Adds rows to the table at `path` and returns the path."""
-    writer = df.hint("rebalance", *partition_by).write.mode("append")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return path
+    return _write(df, path, "append", partition_by)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
