@@ -34,3 +34,23 @@ def test_no_query_multiplies_tables(name, spark, sf_dir):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "NestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["stay_totals", "tracking_active", "volumetry_by_user", "activity_list", "activity_state_existing",
+     "rejected_existing"],
+)
+def test_query_without_broadcasts(name, spark, sf_dir, con, monkeypatch):
+    """Tables that outgrow every broadcast give the same rows by shuffles."""
+    for module in ("sizes", "snapshot", "commands"):
+        monkeypatch.setattr(f"ticketlens.operators.{module}.is_small", lambda df, rows=0: False)
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key in settings:
+        spark.conf.set(key, "-1")
+    try:
+        assert compare.differences(QUERIES[name](spark, sf_dir), con, SQL[name]) == ""
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -58,12 +58,17 @@ def group_stays(
         )
     )
     user_names = users.select(
-        F.col("usr_codigo").alias("usuario_cod"), F.col("usr_nome").alias("usuario_atuacao")
+        F.col("usr_codigo").cast("bigint").alias("chave"), F.col("usr_nome").alias("nome")
     )
+    # Many stays have no user: negative keys spread them, should users be too many
+    # to broadcast. Whatever such a key meets is no name.
+    spread = -1 - F.pmod(F.xxhash64("origem", "seq"), F.lit(1_000_000))
+    keyed = timed.withColumn("chave", F.coalesce(F.col("usuario_cod").cast("bigint"), spread))
     return (
-        timed.join(group_names, "grp_codigo", "left")
-        .join(user_names, "usuario_cod", "left")
-        .drop("grp_codigo")
+        keyed.join(group_names, "grp_codigo", "left")
+        .join(user_names, "chave", "left")
+        .withColumn("usuario_atuacao", F.when(acted, F.col("nome")))
+        .drop("grp_codigo", "chave", "nome")
     )
 
 
