@@ -91,6 +91,12 @@ def test_tracking_with_hot_tickets(tables, rows_of, many_tickets):
     assert rows_of(build(hot)) == rows_of(build(HotTickets()))
 
 
+def test_unified_stays_with_hot_tickets(tables, rows_of, many_tickets):
+    args = tables, catalog.AS_OF, catalog.START, catalog.END, catalog.START
+    found = tracking.unified_stays(*args, hot=HotTickets(life=many_tickets))
+    assert rows_of(found) == rows_of(tracking.unified_stays(*args))
+
+
 def test_hot_tickets_without_elements_stays_or_procedures(spark, tables, rows_of):
     args = tables, catalog.AS_OF, catalog.START, catalog.END
     roots = tables["ta"].where("tqa_origem is null").select("tqa_codigo")

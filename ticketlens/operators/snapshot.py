@@ -199,7 +199,7 @@ def tickets_of(
     return rows(roots, "tqa_codigo"), part
 
 
-def _tickets(roots: DataFrame, tables: Mapping[str, DataFrame], mode: str) -> DataFrame:
+def ticket_rows(roots: DataFrame, tables: Mapping[str, DataFrame], mode: str) -> DataFrame:
     """Eligible roots with names and route flags, one row per ticket."""
     eligible = _eligible_profile(
         tables["vida"], tables["proced"], tables["grupos"], mode, N2_GROUPS
@@ -262,7 +262,7 @@ def usual_snapshot(roots: DataFrame, tables: Mapping[str, DataFrame], mode: str)
     """Elements meet their equipment before the tickets do: the short rows travel
     by element, the long ones by ticket only, and the dedupe needs no shuffle."""
     equipped = _elements(tables["ta"]).join(_equipment(tables["equip"]), "elemento", "left")
-    rows = _tickets(roots, tables, mode).join(equipped, "origem", "left")
+    rows = ticket_rows(roots, tables, mode).join(equipped, "origem", "left")
     return rows.select(*[f.name for f in SNAPSHOT], *_tag(roots)).distinct()
 
 
@@ -282,7 +282,7 @@ def hot_snapshot(
             join_few_left(few, many, "elemento", many.select("elemento").distinct())
         )
     with_elements = elements.select("origem").distinct()
-    rows = join_few_left(_tickets(roots, tables, mode), equipped, "origem", with_elements)
+    rows = join_few_left(ticket_rows(roots, tables, mode), equipped, "origem", with_elements)
     return rows.select(*[f.name for f in SNAPSHOT], *_tag(roots)).distinct()
 
 

@@ -174,6 +174,12 @@ def _unified(spark, sf_dir):
     return tracking.tracking_unified(t, AS_OF, START, END, START, hot=hot)
 
 
+def _unified_stays(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    hot = snapshot.HotTickets(life=hot_keys(t["vida"], "vda_ta"))
+    return tracking.unified_stays(t, AS_OF, START, END, START, hot=hot)
+
+
 def full_refresh_roundtrip(spark, sf_dir):
     closed = by_entry_month(tracking_closed(spark, sf_dir))
     path = full_refresh(closed, shared_folder(spark, "tracking_closed"), ("mes_entrada",))
@@ -245,11 +251,11 @@ def page_summary(spark, sf_dir):
 
 
 def volumetry(spark, sf_dir):
-    return reports.volumetry(_unified(spark, sf_dir), REPORT_DAY)
+    return reports.volumetry(_unified_stays(spark, sf_dir), REPORT_DAY)
 
 
 def volumetry_by_user(spark, sf_dir):
-    return reports.volumetry_by_user(_unified(spark, sf_dir), REPORT_DAY)
+    return reports.volumetry_by_user(_unified_stays(spark, sf_dir), REPORT_DAY)
 
 
 def mean_handling_time(spark, sf_dir):
@@ -257,8 +263,8 @@ def mean_handling_time(spark, sf_dir):
 
 
 def mean_handling_time_dedupe(spark, sf_dir):
-    unified = _unified(spark, sf_dir)
-    return reports.mean_handling_time(unified, REPORT_DAY, dedupe=True, clip_seconds=None)
+    rows = _unified_stays(spark, sf_dir)
+    return reports.mean_handling_time(rows, REPORT_DAY, dedupe=True, clip_seconds=None)
 
 
 # --- quality ----------------------------------------------------------------

@@ -19,6 +19,7 @@ from ticketlens.operators.snapshot import (
     closed_roots,
     hot_snapshot,
     load_tables,
+    ticket_rows,
     tickets_of,
     usual_snapshot,
 )
@@ -43,13 +44,18 @@ def _procedures(tables: Mapping[str, DataFrame]) -> DataFrame:
     return procedure_summary(tables["proced"], tables["grupos"], tables["usuarios"])
 
 
+def _life_of(roots: DataFrame, tables: Mapping[str, DataFrame], restricted: bool) -> DataFrame:
+    """Life rows of the load's tickets: in a large load too only they are ordered
+    and summed. The semi-join partitions them by ticket, as the windows and the
+    next join need."""
+    if restricted:
+        return tables["vida"]
+    wanted = roots.select(F.col("tqa_codigo").alias("vda_ta"))
+    return tables["vida"].join(wanted, "vda_ta", "left_semi")
+
+
 def _usual(roots, tables, as_of: datetime, mode: str, restricted: bool) -> DataFrame:
-    life = tables["vida"]
-    if not restricted:
-        # In a large load too only its tickets' life rows are ordered and summed. The
-        # semi-join partitions them by ticket, as the windows and the next join need.
-        wanted = roots.select(F.col("tqa_codigo").alias("vda_ta"))
-        life = life.join(wanted, "vda_ta", "left_semi")
+    life = _life_of(roots, tables, restricted)
     stays = stay_table(life, tables["grupos"], tables["usuarios"], as_of)
     return consolidate(usual_snapshot(roots, tables, mode), stays, _procedures(tables))
 
@@ -103,6 +109,14 @@ def tracking_closed(
     return _tracking(roots, tables, as_of, mode, hot)
 
 
+def _both_roots(
+    ta: DataFrame, start: datetime, end: datetime, created_from: datetime
+) -> DataFrame:
+    active = active_roots(ta, start, end).withColumn(TAG, F.lit(ACTIVE_TAG))
+    closed = closed_roots(ta, start, end, created_from).withColumn(TAG, F.lit(CLOSED_TAG))
+    return active.unionByName(closed)
+
+
 def tracking_unified(
     tables: Mapping[str, DataFrame],
     as_of: datetime,
@@ -116,7 +130,25 @@ def tracking_unified(
 
     Life rows, procedures and elements are read and shuffled once for both kinds
     of ticket. The rows are those of `unified_tracking` over the two tables."""
-    ta = tables["ta"]
-    roots = active_roots(ta, start, end).withColumn(TAG, F.lit(ACTIVE_TAG))
-    closed = closed_roots(ta, start, end, created_from).withColumn(TAG, F.lit(CLOSED_TAG))
-    return _tracking(roots.unionByName(closed), tables, as_of, mode, hot)
+    roots = _both_roots(tables["ta"], start, end, created_from)
+    return _tracking(roots, tables, as_of, mode, hot)
+
+
+def unified_stays(
+    tables: Mapping[str, DataFrame],
+    as_of: datetime,
+    start: datetime,
+    end: datetime,
+    created_from: datetime,
+    mode: str = "life_or_procedure",
+    hot: HotTickets = HotTickets(),
+) -> DataFrame:
+    """Tickets of both kinds with each of their stays: the unified rows before
+    elements, equipment and procedures multiply them. Reports that count distinct
+    stays give the same result on it, for much less work."""
+    roots = _both_roots(tables["ta"], start, end, created_from)
+    ready, restricted = load_tables(tables, roots)
+    life = _life_of(roots, ready, restricted)
+    stays = stay_table(life, ready["grupos"], ready["usuarios"], as_of, hot.life)
+    tickets = ticket_rows(roots, ready, mode)
+    return classify_stay(join_hot(tickets, stays, "origem", hot_right=hot.life))
