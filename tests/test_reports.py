@@ -27,7 +27,7 @@ def plan_of(df):
 def test_reports_on_the_stored_table(spark, sf_dir, stored, rows_of):
     day = catalog.REPORT_DAY
     # The registered queries count on stays before the joins multiply them.
-    for report in ("volumetry", "volumetry_by_user"):
+    for report in ("volumetry", "volumetry_by_user", "mean_handling_time"):
         found = getattr(reports, report)(stored, day)
         assert rows_of(found) == rows_of(catalog.QUERIES[report](spark, sf_dir))
     deduped = reports.mean_handling_time(stored, day, dedupe=True, clip_seconds=None)
@@ -92,6 +92,16 @@ def test_mean_time_clip_rounding_and_null_group(spark):
     assert means["ANO_MES", 1993] == 3662 and means["ANO_MES", 2020] == 9999999
 
 
+def test_mean_with_huge_weights(spark):
+    day = datetime(2020, 5, 5)
+    rows = [(day, 3000000, 10**12), (day, 1000, 10**12), (day, None, 5)]
+    df = spark.createDataFrame(rows, "data_entrada_n2 timestamp_ntz, tma_n2_seg bigint, peso bigint")
+    row = reports.mean_handling_time(df, date(2020, 5, 5), weight="peso").first()
+    assert row["tma_medio_seg"] == 1500500
+    with pytest.raises(ValueError):
+        reports.mean_handling_time(df, date(2020, 5, 5), dedupe=True, weight="peso")
+
+
 def test_mean_is_cut_to_whole_seconds(spark):
     day = datetime(2020, 5, 5)
     rows = [(1, day, 10), (2, day, 11), (3, day, 11)]

@@ -7,10 +7,11 @@ import pytest
 from ticketlens.operators.snapshot import (
     eligible_tickets,
     route_flags,
+    rows_per_ticket,
     ticket_snapshot_active,
     ticket_snapshot_closed,
 )
-from ticketlens.plans.tracking import tracking_active, tracking_unified
+from ticketlens.plans.tracking import tracking_active, tracking_unified, unified_stays
 from ticketlens.operators.reports import volumetry
 from ticketlens.schemas import TICKET_TABLES
 
@@ -100,6 +101,14 @@ def test_ticket_without_elements_and_copies(make):
     assert (lone["regional"], lone["status"], lone["grupo_responsavel"]) == ("R", "OPEN", "A")
 
 
+def test_rows_per_ticket(make):
+    t = make(
+        ta=[ticket(1), ticket(2), ticket(21, parent=2), ticket(22, parent=2), ticket(31, parent=3)],
+        equip=[(21, "h", "v"), (21, "h", "v"), (21, "k", None), (21, None, None), (1, "root", "v")],
+    )
+    assert {r["origem"]: r["linhas"] for r in rows_per_ticket(t).collect()} == {2: 4, 3: 1}
+
+
 def test_two_elements_two_stays_three_procedures(make):
     t = make(
         ta=[ticket(1), ticket(11, parent=1), ticket(12, parent=1)],
@@ -111,6 +120,7 @@ def test_two_elements_two_stays_three_procedures(make):
     unified = tracking_unified(t, end, D, end, D)
     month = volumetry(unified, end).where("visao = 'ANO_MES'").collect()
     assert sum(r["total"] for r in month) == 2
+    assert [r["repeats"] for r in unified_stays(t, end, D, end, D).collect()] == [6, 6]
 
 
 def test_ticket_without_stays_is_unclassified(make):

@@ -232,17 +232,28 @@ def mean_handling_time(
     as_of: date,
     dedupe: bool = False,
     clip_seconds: int | None = TIME_LIMIT_SECONDS,
+    weight: str | None = None,
 ) -> DataFrame:
     """Mean stay time by month, by week and by recent day.
 
     Every tracking row counts, so a stay weighs as often as its ticket has
-    elements, equipment and procedures; `dedupe=True` counts distinct stays.
-    Sums and counts per day are added up per view: the means are exact."""
-    rows = unified.select("origem", "data_entrada_n2", "tma_n2_seg")
-    rows = rows.distinct() if dedupe else rows
+    elements, equipment and procedures; `dedupe=True` counts distinct stays, and
+    `weight` names a column that says how many rows a row stands for. Sums and
+    counts per day are added up per view: the means are exact."""
+    if dedupe and weight:
+        raise ValueError("distinct stays have no weight")
+    seconds = clip_time(F.col("tma_n2_seg"), clip_seconds)
+    if weight is None:
+        rows = unified.select("origem", "data_entrada_n2", "tma_n2_seg")
+        rows = rows.distinct() if dedupe else rows
+        total, count = F.sum(seconds), F.count("tma_n2_seg")
+    else:
+        rows = unified.select("data_entrada_n2", "tma_n2_seg", weight)
+        # Weights may be products of long lists: more than a bigint may come together.
+        total = F.sum(seconds.cast("decimal(19,0)") * F.col(weight).cast("decimal(18,0)"))
+        count = F.sum(F.when(F.col("tma_n2_seg").isNotNull(), F.col(weight)).otherwise(0))
     per_day = rows.groupBy(F.to_date("data_entrada_n2").alias("entrada")).agg(
-        F.sum(clip_time(F.col("tma_n2_seg"), clip_seconds)).alias("s"),
-        F.count("tma_n2_seg").alias("n"),
+        total.cast("decimal(30,0)").alias("s"), count.alias("n")
     )
     totals = (
         per_day.select(F.explode(_views("entrada", as_of)).alias("v"), "s", "n")
@@ -250,14 +261,14 @@ def mean_handling_time(
         .agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     )
     # Four decimals, then whole seconds toward zero; no stays give a null mean.
-    mean = F.col("s").cast("decimal(20,0)") / F.nullif(F.col("n"), F.lit(0)).cast("decimal(20,0)")
-    seconds = F.round(mean, 4).cast("bigint")
+    mean = F.col("s").cast("decimal(30,0)") / F.nullif(F.col("n"), F.lit(0)).cast("decimal(20,0)")
+    whole = F.round(mean, 4).cast("bigint")
     return totals.select(
         "ano",
         "mes",
         "semana",
         "dia",
         "visao",
-        report_hms(seconds).alias("tma_medio"),
-        seconds.alias("tma_medio_seg"),
+        report_hms(whole).alias("tma_medio"),
+        whole.alias("tma_medio_seg"),
     )

@@ -286,6 +286,16 @@ def hot_snapshot(
     return rows.select(*[f.name for f in SNAPSHOT], *_tag(roots)).distinct()
 
 
+def rows_per_ticket(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """How many snapshot rows the elements and equipment of a ticket make, by
+    counting; tickets without elements (one row) are left out."""
+    per_element = (
+        _equipment(tables["equip"]).distinct().groupBy("elemento").agg(F.count(F.lit(1)).alias("n"))
+    )
+    elements = _elements(tables["ta"]).distinct().join(per_element, "elemento", "left")
+    return elements.groupBy("origem").agg(F.sum(F.coalesce("n", F.lit(1))).alias("linhas"))
+
+
 def snapshot(
     roots: DataFrame,
     tables: Mapping[str, DataFrame],

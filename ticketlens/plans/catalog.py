@@ -259,7 +259,7 @@ def volumetry_by_user(spark, sf_dir):
 
 
 def mean_handling_time(spark, sf_dir):
-    return reports.mean_handling_time(_unified(spark, sf_dir), REPORT_DAY)
+    return reports.mean_handling_time(_unified_stays(spark, sf_dir), REPORT_DAY, weight="repeats")
 
 
 def mean_handling_time_dedupe(spark, sf_dir):
