@@ -120,7 +120,7 @@ def test_two_elements_two_stays_three_procedures(make):
     unified = tracking_unified(t, end, D, end, D)
     month = volumetry(unified, end).where("visao = 'ANO_MES'").collect()
     assert sum(r["total"] for r in month) == 2
-    assert [r["repeats"] for r in unified_stays(t, end, D, end, D).collect()] == [6, 6]
+    assert [r["repeats"] for r in unified_stays(t, end, D, end, D, weighted=True).collect()] == [6, 6]
 
 
 def test_ticket_without_stays_is_unclassified(make):

@@ -174,10 +174,10 @@ def _unified(spark, sf_dir):
     return tracking.tracking_unified(t, AS_OF, START, END, START, hot=hot)
 
 
-def _unified_stays(spark, sf_dir):
+def _unified_stays(spark, sf_dir, weighted: bool = False):
     t = _tables(spark, sf_dir)
     hot = snapshot.HotTickets(life=hot_keys(t["vida"], "vda_ta"))
-    return tracking.unified_stays(t, AS_OF, START, END, START, hot=hot)
+    return tracking.unified_stays(t, AS_OF, START, END, START, hot=hot, weighted=weighted)
 
 
 def full_refresh_roundtrip(spark, sf_dir):
@@ -259,7 +259,8 @@ def volumetry_by_user(spark, sf_dir):
 
 
 def mean_handling_time(spark, sf_dir):
-    return reports.mean_handling_time(_unified_stays(spark, sf_dir), REPORT_DAY, weight="repeats")
+    rows = _unified_stays(spark, sf_dir, weighted=True)
+    return reports.mean_handling_time(rows, REPORT_DAY, weight="repeats")
 
 
 def mean_handling_time_dedupe(spark, sf_dir):

@@ -143,24 +143,34 @@ def unified_stays(
     created_from: datetime,
     mode: str = "life_or_procedure",
     hot: HotTickets = HotTickets(),
+    weighted: bool = False,
 ) -> DataFrame:
     """Tickets of both kinds with each of their stays: the unified rows before
     elements, equipment and procedures multiply them. Reports that count distinct
     stays give the same result on it, for much less work.
 
-    `repeats` is how often the joins would repeat the row. Weighted by it, means
-    over all tracking rows come out the same without a row being repeated."""
+    `weighted=True` adds `repeats`, how often the joins would repeat the row: with
+    it, means over all tracking rows come out the same without a row repeated."""
     roots = _both_roots(tables["ta"], start, end, created_from)
     ready, restricted = load_tables(tables, roots)
     life = _life_of(roots, ready, restricted)
     stays = stay_table(life, ready["grupos"], ready["usuarios"], as_of, hot.life)
-    procedures = _procedures(ready).groupBy(F.col("origem" + SUFFIX).alias("origem"))
+    tickets = ticket_rows(roots, ready, mode)
+    if weighted:
+        tickets = _with_repeats(tickets, ready)
+    return classify_stay(join_hot(tickets, stays, "origem", hot_right=hot.life))
+
+
+def _with_repeats(tickets: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    procedures = (
+        _procedures(tables)
+        .groupBy(F.col("origem" + SUFFIX).alias("origem"))
+        .agg(F.count(F.lit(1)).alias("procs"))
+    )
     times = F.coalesce("linhas", F.lit(1)) * F.coalesce("procs", F.lit(1))
-    tickets = (
-        ticket_rows(roots, ready, mode)
-        .join(rows_per_ticket(ready), "origem", "left")
-        .join(procedures.agg(F.count(F.lit(1)).alias("procs")), "origem", "left")
+    return (
+        tickets.join(rows_per_ticket(tables), "origem", "left")
+        .join(procedures, "origem", "left")
         .withColumn("repeats", times)
         .drop("linhas", "procs")
     )
-    return classify_stay(join_hot(tickets, stays, "origem", hot_right=hot.life))
