@@ -6,14 +6,28 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ticketlens.llm import simhash, tokens
+from ticketlens.llm import decontaminate, simhash, tokens
 from ticketlens.llm.common import table
 
 SHINGLE, RADIUS = 4, 4
 TOKEN_LIMIT = 1024
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        "contaminated",
+        "n_near",
+    )
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     return tokens.token_counts(table(spark, sf_dir, "documents"), path, TOKEN_LIMIT)
@@ -24,6 +38,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
 }
