@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, simhash, tokens
+from ticketlens.llm import decontaminate, mixing, simhash, tokens
 from ticketlens.llm.common import table
 
 SHINGLE, RADIUS = 4, 4
 TOKEN_LIMIT = 1024
+BLOCK_WORDS, SHARD_SLOTS = 64, 8192
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,10 +38,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), SHINGLE, RADIUS)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents"), BLOCK_WORDS, SHARD_SLOTS)
+    return mixing.taken_words(mix).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
