@@ -8,13 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, mixing, simhash, tokens
+from ticketlens.llm import decontaminate, licenses, mixing, simhash, tokens, urls
 from ticketlens.llm.common import table
 
 SHINGLE, RADIUS = 4, 4
 TOKEN_LIMIT = 1024
 BLOCK_WORDS, SHARD_SLOTS = 64, 8192
 
+#: Rules on hosts and paths, and names of hosts whose URLs are listed.
+URL_RULES = [
+    urls.Rule("net", "/", "block"),
+    urls.Rule("example.net", "/en/", "allow"),
+    urls.Rule("example.com", "/de/", "block"),
+    urls.Rule("org", "/fr/", "allow"),
+]
+BAD_HOST = r"(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\."
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -29,6 +42,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list is that of all URLs on hosts with a bad name, as the pages give them."""
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.select("url").where(urls.host_of(F.col("url")).rlike(BAD_HOST))
+    return urls.judge(pages, listed, URL_RULES)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     return tokens.token_counts(table(spark, sf_dir, "documents"), path, TOKEN_LIMIT)
@@ -44,10 +64,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_licenses": op2_licenses,
     "op3_decontamination": op3_decontamination,
+    "op6_url_filter": op6_url_filter,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_licenses": licenses.scan_sql(),
+    "op6_url_filter": urls.judge_sql(URL_RULES, f"regexp_matches(host, '{BAD_HOST}')"),
+}
