@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, licenses, mixing, simhash, tokens, urls
+from ticketlens.llm import decontaminate, langid, licenses, mixing, neighbours, simhash, tokens, urls
 from ticketlens.llm.common import table
 
 SHINGLE, RADIUS = 4, 4
 TOKEN_LIMIT = 1024
+NEIGHBOURS, HASH_TABLES, PROBES = 20, 6, 24
 BLOCK_WORDS, SHARD_SLOTS = 64, 8192
 
 #: Rules on hosts and paths, and names of hosts whose URLs are listed.
@@ -25,6 +26,11 @@ URL_RULES = [
 BAD_HOST = r"(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\."
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"), NEIGHBOURS, HASH_TABLES, PROBES)
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -58,17 +64,23 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), SHINGLE, RADIUS)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"), BLOCK_WORDS, SHARD_SLOTS)
     return mixing.taken_words(mix).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbours": op1_neighbours,
     "op2_licenses": op2_licenses,
     "op3_decontamination": op3_decontamination,
     "op6_url_filter": op6_url_filter,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
+    "op9_language": op9_language,
     "op10_mixing": op10_mixing,
 }
 
