@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, langid, licenses, mixing, neighbours, simhash, tokens, urls
+from ticketlens.llm import decontaminate, langid, licenses, mixing, neighbours, pii, simhash, tokens, urls
 from ticketlens.llm.common import table
 
 SHINGLE, RADIUS = 4, 4
@@ -48,6 +48,22 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, number))).cast("long").alias(f"n_{kind}")
+        for number, kind in enumerate(pii.KINDS)
+    ]
+    return found.withColumn("base", base).select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
+        pii.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list is that of all URLs on hosts with a bad name, as the pages give them."""
     pages = table(spark, sf_dir, "pages")
@@ -77,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_licenses": op2_licenses,
     "op3_decontamination": op3_decontamination,
+    "op4_personal_data": op4_personal_data,
     "op6_url_filter": op6_url_filter,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
