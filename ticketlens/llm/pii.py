@@ -135,7 +135,7 @@ def _votes(kind: str, x: Column, strict: Column) -> Column:
     )
 
 
-def _features(kind: str, x: Column) -> Column:
+def _features(kind: str, x: Column, strict: Column) -> Column:
     """Features of a span for the classifier; each has a few values only."""
     count = F.least(F.length(_digits(x["m"])), F.lit(20)).cast("string")
     marks = F.array_join(
@@ -153,6 +153,7 @@ def _features(kind: str, x: Column) -> Column:
         F.concat(F.lit("marks:"), F.left(marks, F.lit(6))),
         F.concat(F.lit("before:"), before),
         F.concat(F.lit("after:"), after),
+        F.concat(F.lit("strict:"), strict.cast("string")),
         F.concat(F.lit("known:"), (x["m"]).rlike(KNOWN[kind]).cast("string")),
         F.concat(F.lit("context:"), x["before"].rlike(CONTEXT[kind]).cast("string")),
     )
@@ -173,7 +174,7 @@ def _judge(kind: str, role: str) -> Callable[[Column], Column]:
             x["end"].alias("end"),
             strict.alias("base"),
             _votes(kind, x, strict).alias("votes"),
-            _features(kind, x).alias("features"),
+            _features(kind, x, strict).alias("features"),
         )
 
     return judged
