@@ -29,11 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes `df` to a new folder of the shared one and reads it back: lineage is
     cut, and a lost executor costs a read and no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -304,3 +304,21 @@ def contamination(
             F.size(F.coalesce("near", nothing)).cast("long").alias("n_near"),
         )
     )
+
+
+def without_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = 10,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """`docs` without the rows whose text holds a window of a test item. All columns stay,
+    whatever their names; rows are told apart by their texts, so ids may repeat or be null."""
+    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    found = contamination(texts, items, window, 0, "key", "text", item_id_col, item_text_col)
+    bad = stored(found.where("contaminated").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    return rows.join(bad, "key", "left_anti").select("row.*")

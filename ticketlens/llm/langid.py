@@ -264,3 +264,20 @@ def identify(
         (~learn).alias("held_out"),
         label_column(docs.sparkSession, model, F.col(text_col)).alias("_l"),
     ).select("doc_id", "held_out", "_l.*")
+
+
+def keep_known(
+    docs: DataFrame,
+    least: float,
+    per_language: int = 250,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+) -> DataFrame:
+    """`docs` without the rows whose text has no language or whose score is below
+    `least`. All columns stay, whatever their names."""
+    model = fit(docs.where(training_rows(docs, id_col)), per_language, text_col, lang_col)
+    label = label_column(docs.sparkSession, model, F.col(text_col)).alias("label")
+    labelled = docs.select(F.struct("*").alias("row"), label)
+    known = (F.col("label.lang_pred") != UNKNOWN) & (F.col("label.score") >= least)
+    return labelled.where(known).select("row.*")

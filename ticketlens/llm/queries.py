@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, langid, licenses, mixing, neighbours, pii, simhash, tokens, urls
+from ticketlens.llm import decontaminate, langid, licenses, mixing, neighbours, pii, simhash, suffixes, tokens, urls
 from ticketlens.llm.common import table
 
 SHINGLE, RADIUS = 4, 4
 TOKEN_LIMIT = 1024
 NEIGHBOURS, HASH_TABLES, PROBES = 20, 6, 24
+REPEAT_BYTES = 200
 BLOCK_WORDS, SHARD_SLOTS = 64, 8192
 
 #: Rules on hosts and paths, and names of hosts whose URLs are listed.
@@ -64,6 +65,11 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffixes.remove_repeats(table(spark, sf_dir, "documents"), REPEAT_BYTES)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list is that of all URLs on hosts with a bad name, as the pages give them."""
     pages = table(spark, sf_dir, "pages")
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op3_decontamination": op3_decontamination,
     "op4_personal_data": op4_personal_data,
+    "op5_repeats": op5_repeats,
     "op6_url_filter": op6_url_filter,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,

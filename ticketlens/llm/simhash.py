@@ -196,6 +196,15 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """From (doc_id, fp) to (fp, least doc_id, root of its component)."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(distinct.select("fp"), radius))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "root", F.coalesce("root", "fp")
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int,
@@ -214,13 +223,26 @@ def near_duplicates(
         docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), shingle).alias("fp")),
         "fingerprints",
     )
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
+    rooted = _rooted(prints, radius)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return prints.join(named, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(
+    docs: DataFrame, shingle: int, radius: int, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """`docs` with one row of each component: the one with the least doc_id (null last; of
+    equal rows any). All columns stay, whatever their names."""
+    row, print_ = F.struct("*").alias("row"), fingerprint_column(F.col(text_col), shingle).alias("fp")
+    prints = stored(docs.select(F.col(id_col).alias("doc_id"), print_), "fingerprints")
+    chosen = (
+        _rooted(prints, radius)
+        .groupBy("root")
+        .agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("best"))
+        .select(F.col("best.fp").alias("fp"), F.col("best.least").alias("least"))
+    )
+    kept = docs.select(row, print_).join(chosen, "fp").where(F.col("row")[id_col].eqNullSafe(F.col("least")))
+    return kept.dropDuplicates(["fp"]).select("row.*")
