@@ -158,12 +158,15 @@ def _padded(scores: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndar
     out = np.zeros((int(chains.sum()) * CHAIN, scores.shape[1]), scores.dtype)
     used = np.zeros(len(out), bool)
     out[place], used[place] = scores, True
-    return out.reshape(-1, CHAIN, scores.shape[1]), used.reshape(-1, CHAIN)
+    total = int(chains.sum())
+    return out.reshape(total, CHAIN, scores.shape[1]), used.reshape(total, CHAIN)
 
 
 def word_shares(model: Model, words: list[list[str]]) -> list[np.ndarray]:
     """For each text the probability of each language for each of its words."""
     lengths = [len(w) for w in words]
+    if not model.languages or not sum(lengths):
+        return [np.zeros((n, len(model.languages)), np.float32) for n in lengths]
     codes, unique = pd.factorize(np.array([w for text in words for w in text], dtype=object))
     scores = np.zeros((len(unique), len(model.languages)), np.float32)
     for at in range(0, len(unique), 20_000):

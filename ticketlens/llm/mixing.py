@@ -21,6 +21,8 @@ from ticketlens.llm.common import running_total, stored
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a bucket and shards of a group when running totals are made.
 BUCKET_ROWS, GROUP_SHARDS = 20_000, 1_000
+#: Slots that one task makes of the draws.
+TASK_SLOTS = 400_000
 
 
 @dataclass
@@ -49,7 +51,7 @@ def shares(sizes: list[int], weights: list[int], most: float) -> list[float]:
             for j in order[at:]:
                 targets[j] = left * weights[j] / weight
             break
-        targets[i] = most * sizes[i]
+        targets[i] = float(most * sizes[i])
         left -= targets[i]
         weight -= weights[i]
     return targets
@@ -134,7 +136,8 @@ def draw_slots(spark, sources: list[Source], shard_slots: int, most: int, seed:
     counted = spark.range(max(shards, 0)).mapInPandas(counts, "shard long, number int, n long")
     counted = stored(counted.withColumn("group", F.expr(f"shard div {GROUP_SHARDS}")), "draws")
     first = running_total(counted, ["number"], "group", [F.col("shard")], "n", "first")
-    slots = first.select(
+    # A row becomes as many slots as it counts: spread the rows by the number of slots.
+    slots = first.repartition(1 + total // TASK_SLOTS, "shard").select(
         "shard", "number", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot")
     )
     return (

@@ -15,7 +15,7 @@ SHINGLE, RADIUS = 4, 4
 TOKEN_LIMIT = 1024
 NEIGHBOURS, HASH_TABLES, PROBES = 20, 6, 24
 REPEAT_BYTES = 200
-BLOCK_WORDS, SHARD_SLOTS = 64, 8192
+BLOCK_WORDS, SHARD_SLOTS = 32, 8192
 
 #: Rules on hosts and paths, and names of hosts whose URLs are listed.
 URL_RULES = [
