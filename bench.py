@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from ticketlens.operators import reports
@@ -54,7 +55,10 @@ def seconds(build) -> float:
 
 
 def main() -> None:
-    spark = build_session(f"local[{CPUS}]", int(CPUS), **{"spark.driver.memory": "16g"})
+    shared = tempfile.mkdtemp(prefix="bench-")
+    spark = build_session(
+        f"local[{CPUS}]", int(CPUS), **{"spark.driver.memory": "16g", "spark.checkpoint.dir": shared}
+    )
     timings = {
         name: seconds(lambda query=catalog.QUERIES[name]: query(spark, SF_DIR)) for name in FROM_SOURCE
     }

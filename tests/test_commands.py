@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ticketlens.operators.commands import (
     apply_activity_commands,
-    few_activities,
     files_from_commands,
     history_from_commands,
     judge_commands,
@@ -68,9 +67,9 @@ def replay(given, catalogue, commands):
     return state, sorted(history), sorted(rejects)
 
 
-def fold(given, catalogue, commands, touched=None):
-    judged = judge_commands(given, catalogue, commands, touched=touched)
-    folded = apply_activity_commands(given, judged, touched)
+def fold(given, catalogue, commands):
+    judged = judge_commands(given, catalogue, commands)
+    folded = apply_activity_commands(given, judged)
     state = {r["id_atividade"]: r.asDict() for r in folded.collect()}
     history = history_from_commands(judged).select(
         "id_historico", "matricula_responsavel", "nome_usuario", "tipo_evento", "descricao_evento", "data_evento"
@@ -90,7 +89,6 @@ def test_fold_equals_replay(tables, existing):
         [r.asDict() for r in commands.collect()],
     )
     assert fold(given, catalogue, commands) == expected
-    assert fold(given, catalogue, commands, few_activities(commands)) == expected
 
 
 def command(number, kind, minutes, key=1, status=None, note=None, file=None, entry=5, user="m"):

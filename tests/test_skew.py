@@ -1,4 +1,4 @@
-"""Hot-key forms give the rows of the plain forms."""
+"""Split joins and chunks give the rows of the plain forms, at any chunk size."""
 
 from __future__ import annotations
 
@@ -6,177 +6,146 @@ import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ticketlens.operators import stays
+from ticketlens.operators import skew, stays
 from ticketlens.operators.activities import activity_list
 from ticketlens.operators.commands import apply_activity_commands, judge_commands, reject_commands
-from ticketlens.operators.sizes import as_lookup, is_small
-from ticketlens.operators.skew import hot_keys, join_hot
-from ticketlens.operators.snapshot import HotTickets, find_hot_tickets
 from ticketlens.plans import catalog, tracking
 
 
-def test_hot_keys_finds_a_third(spark):
-    rows = 300000
-    df = spark.range(rows).select(
-        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("k"), "id"
-    )
-    assert hot_keys(df, "k", 50000) == [7]
-    assert hot_keys(df, "k", rows) == []
-    assert hot_keys(df.withColumn("s", F.col("k").cast("string")), "s", 50000) == ["7"]
-
-
-@pytest.mark.parametrize("hot", [((), (1,)), ((1,), ()), ((1, 2), (2, 3)), ((9,), (8,)), ((), (1, 2, 3, 4, 5))])
-def test_join_hot_equals_left_join(spark, rows_of, hot):
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_chunked_join_equals_left_join(spark, rows_of, monkeypatch, rows):
+    monkeypatch.setattr(skew, "ROWS_PER_CHUNK", rows)
     rng = random.Random(5)
     keys = [1, 2, 3, 4, 5, None, 6]
     left = spark.createDataFrame([(rng.choice(keys), i) for i in range(300)], "k int, a int")
     right = spark.createDataFrame(
         [(rng.choice([1, 1, 1, 2, 4, 4, None, 8]), i) for i in range(120)], "k int, b int"
     )
-    expected = rows_of(left.join(right, "k", "left"))
-    found = join_hot(left, right, "k", hot_left=hot[0], hot_right=hot[1])
-    assert rows_of(found) == expected
+    lefts, rights = skew.counts_of(left, "k", "nl"), skew.counts_of(right, "k", "nr")
 
+    def counted(df):
+        return df.join(lefts, "k", "left").join(rights, "k", "left")
 
-@pytest.fixture(scope="module")
-def many_tickets(tables):
-    return [r[0] for r in tables["vida"].select("vda_ta").distinct().collect()][:700]
+    found = skew.chunked_join(counted(left), counted(right), "k", F.col("nl"), "nr").drop("nl", "nr")
+    assert rows_of(found) == rows_of(left.join(right, "k", "left"))
 
 
-def test_stays_with_hot_tickets(tables, rows_of, many_tickets):
-    args = tables["vida"], tables["grupos"], tables["usuarios"], catalog.AS_OF
-    plain = stays.stay_table(*args)
-    assert rows_of(stays.stay_table(*args, hot=many_tickets)) == rows_of(plain)
-    marked = stays.mark_starts(stays.group_stays(*args), many_tickets)
-    assert rows_of(stays.stay_totals(marked, many_tickets)) == rows_of(plain)
+def _life(spark, rows):
+    life = spark.createDataFrame(rows, "vda_ta int, vda_seq int, vda_grupo int, vda_usuario int, t string")
+    return life.select(
+        "vda_ta", "vda_seq", "vda_grupo", "vda_usuario",
+        F.col("t").cast("timestamp_ntz").alias("vda_data_initial"),
+        F.lit(None).cast("timestamp_ntz").alias("vda_data_final"),
+    )
+
 
+def _plain_starts(base):
+    """The previous user by one window over the whole ticket."""
+    order = [F.col("data_entrada_n2").asc_nulls_last(), F.col("seq").asc_nulls_last()]
+    whole = Window.partitionBy("origem").orderBy(*order)
+    return stays._with_starts(base.withColumn("usuario_anterior", F.lag("usuario_cod").over(whole)))
 
-def test_hot_stays_inside_one_minute_and_without_entry(spark, rows_of):
+
+@pytest.mark.parametrize("rows", [1, 7, 40, 10**6])
+def test_stays_inside_one_minute_and_without_entry(spark, rows_of, monkeypatch, rows):
+    monkeypatch.setattr(skew, "ROWS_PER_CHUNK", rows)
     rng = random.Random(11)
-    rows = [
+    data = [
         (1, i, 6611, rng.choice([None, 1, 2]), f"2018-11-04 00:0{rng.randrange(4)}:{i % 60:02d}")
         for i in range(200)
     ]
-    rows += [(1, 1000 + i, 6612, rng.choice([None, 1]), None) for i in range(9)]
-    life = spark.createDataFrame(rows, "vda_ta int, vda_seq int, vda_grupo int, vda_usuario int, t string")
-    life = life.select(
-        "vda_ta", "vda_seq", "vda_grupo", "vda_usuario",
-        F.col("t").cast("timestamp_ntz").alias("vda_data_initial"),
-        F.lit(None).cast("timestamp_ntz").alias("vda_data_final"),
-    )
+    data += [(1, 1000 + i, 6612, rng.choice([None, 1]), None) for i in range(90)]
+    data += [(2, i, 6611, rng.choice([None, 1, 2]), "2018-11-05 10:00:00") for i in range(60)]
+    data += [(2, None, 6611, 1, None), (3, 1, 6611, 2, "2018-11-05 10:00:00")]
     groups = spark.sql("select 6611 grp_codigo, 'A' grp_nome, 1 grp_pai")
     users = spark.sql("select 1 usr_codigo, 'U' usr_nome")
-    base = stays.group_stays(life, groups, users, catalog.AS_OF)
-    expected = rows_of(stays.mark_starts(base))
+    base = stays.group_stays(_life(spark, data), groups, users, catalog.AS_OF)
+    expected = rows_of(_plain_starts(base))
     zone = spark.conf.get("spark.sql.session.timeZone")
     # That hour does not exist in this zone.
     spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
-    found = rows_of(stays.mark_starts(base, [1]))
+    found = rows_of(stays.mark_starts(base))
     spark.conf.set("spark.sql.session.timeZone", zone)
     assert found == expected
 
 
-def test_tracking_with_hot_tickets(tables, rows_of, many_tickets):
-    def build(hot):
-        return tracking.tracking_unified(
-            tables, catalog.AS_OF, catalog.START, catalog.END, catalog.START, hot=hot
-        )
-
-    elements = [r[0] for r in tables["equip"].select("aeq_ta").distinct().collect()][:300]
-    parents = tables["ta"].where(F.col("tqa_codigo").isin(elements)).select("tqa_origem").distinct()
-    wide = {*many_tickets[100:600], *[r[0] for r in parents.collect()]}
-    hot = HotTickets(many_tickets[:400], elements, sorted(wide))
-    assert rows_of(build(hot)) == rows_of(build(HotTickets()))
+def test_chunks_of_a_hot_ticket_are_bounded(spark, monkeypatch):
+    """A third of the rows on one ticket, many without entry: no chunk holds the ticket."""
+    monkeypatch.setattr(skew, "ROWS_PER_CHUNK", 50)
+    rows = [(7 if i % 3 == 0 else i, i, 6611, i % 4, None if i % 2 else "2018-11-05 10:00:00") for i in range(6000)]
+    groups = spark.sql("select 6611 grp_codigo, 'A' grp_nome, 1 grp_pai")
+    users = spark.sql("select 1 usr_codigo, 'U' usr_nome")
+    chunked = stays._in_chunks(stays.group_stays(_life(spark, rows), groups, users, catalog.AS_OF))
+    assert chunked.groupBy("origem", *stays.CHUNK).count().agg(F.max("count")).first()[0] <= 50
 
 
-def test_unified_stays_with_hot_tickets(tables, rows_of, many_tickets):
+def test_small_chunks_change_no_table(tables, rows_of, monkeypatch):
     args = tables, catalog.AS_OF, catalog.START, catalog.END, catalog.START
-    found = tracking.unified_stays(*args, hot=HotTickets(life=many_tickets))
-    assert rows_of(found) == rows_of(tracking.unified_stays(*args))
-
-
-def test_hot_tickets_without_elements_stays_or_procedures(spark, tables, rows_of):
-    args = tables, catalog.AS_OF, catalog.START, catalog.END
-    roots = tables["ta"].where("tqa_origem is null").select("tqa_codigo")
-    codes = [r[0] for r in roots.limit(900).collect()]
-    plain = rows_of(tracking.tracking_active(*args))
-    for hot in (HotTickets(life=codes), HotTickets(wide=codes)):
-        assert rows_of(tracking.tracking_active(*args, hot=hot)) == plain
-
-
-def test_small_loads_drop_other_tickets_early(tables, rows_of, monkeypatch):
-    args = tables, catalog.AS_OF, catalog.START, datetime(1995, 3, 1)
-    monkeypatch.setattr("ticketlens.operators.snapshot.SMALL_LOAD", 1)
-    small = tracking.tracking_active(*args)
-    assert small._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 3
-    found = rows_of(small)
-    monkeypatch.setattr("ticketlens.operators.snapshot.SMALL_LOAD", 10**9)
-    assert found and found == rows_of(tracking.tracking_active(*args))
-
-
-def test_lookups_are_broadcast_only_while_small(spark, monkeypatch):
-    lookup = spark.range(5)
-    assert "broadcast" in as_lookup(lookup)._jdf.queryExecution().analyzed().toString()
-    monkeypatch.setattr("ticketlens.operators.sizes.is_small", lambda df: False)
-    assert as_lookup(lookup) is lookup
-    monkeypatch.undo()
-    assert is_small(lookup, 5) and not is_small(lookup, 4)
-
-
-def test_hot_tickets_are_found(tables):
-    hot = find_hot_tickets(tables, min_rows=6)
-    counts = tables["vida"].groupBy("vda_ta").count().where("count > 6")
-    assert hot.life == sorted(r["vda_ta"] for r in counts.collect())
-    assert hot.life and not hot.equipment
-    assert find_hot_tickets(tables) == HotTickets([], [], [])
-
-
-def test_tickets_of_hot_equipment_are_wide(spark):
-    tables = {
-        "vida": spark.sql("select cast(1 as bigint) vda_ta"),
-        "ta": spark.sql("select 10 tqa_codigo, 1 tqa_origem union all select 1, null"),
-        "equip": spark.range(100).selectExpr("10 as aeq_ta"),
-    }
-    assert find_hot_tickets(tables, 50) == HotTickets([], [10], [1])
-
-
-def test_activities_with_hot_ids(spark, sf_dir, tables, rows_of, monkeypatch):
-    monkeypatch.setattr("ticketlens.operators.activities.FILES_PER_PART", 2)
-    # Some ten files per activity, in five parts of which some stay empty.
-    files = tables["arquivos"].withColumn("id_atividade", F.col("id_arquivo") % 20)
-    log = (tables["atividade_suporte"], tables["atividade_padrao"], files)
-    ids = list(range(10))
-    split = activity_list(*log, hot=ids)
-    monkeypatch.undo()
-    whole = activity_list(*log)
-    assert rows_of(catalog._flat(split)) == rows_of(catalog._flat(whole))
-
-
-def test_a_long_attachment_list_comes_in_parts(spark, rows_of):
+    life = tables["vida"], tables["grupos"], tables["usuarios"], catalog.AS_OF
+    builds = [
+        lambda: stays.stay_table(*life),
+        lambda: tracking.tracking_unified(*args),
+        lambda: tracking.unified_stays(*args, weighted=True),
+        lambda: tracking.unified_sites(*args),
+    ]
+    plain = [rows_of(build()) for build in builds]
+    monkeypatch.setattr(skew, "ROWS_PER_CHUNK", 2)
+    assert [rows_of(build()) for build in builds] == plain
+
+
+@pytest.mark.parametrize("broadcast", ["10485760", "-1"])
+def test_a_day_is_pruned_by_its_roots(spark, tables, rows_of, broadcast):
+    """One day reaches life rows, procedures, elements and equipment as semi-joins."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, broadcast)
+    try:
+        day = tables, catalog.AS_OF, datetime(1996, 1, 2), datetime(1996, 1, 3)
+        df = tracking.tracking_active(*day)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LeftSemi") >= 5
+        found = rows_of(df)
+    finally:
+        spark.conf.set(key, before)
+    whole = tracking.tracking_active(tables, catalog.AS_OF, catalog.START, catalog.END)
+    low, high = day[2:]
+    assert found == rows_of(whole.where((F.col("data_criacao") >= F.lit(str(low)).cast("timestamp_ntz")) & (F.col("data_criacao") < F.lit(str(high)).cast("timestamp_ntz"))))
+
+
+def test_downloads_read_no_equipment(spark, sf_dir):
+    plan = catalog.unified_download_month(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "hostname" not in plan and "pca_data" not in plan
+
+
+@pytest.mark.parametrize("count", [0, 1000, 1001])
+def test_attachments_have_one_shape(spark, count):
     activities = spark.sql(
         "select 1 id_atividade, '1' matricula, 'n' nome_usuario, 5 id_atividade_padrao, 's' status,"
         " timestamp_ntz '2024-01-01 00:00:00' data_inicio, cast(null as timestamp_ntz) data_fim,"
         " 1 tempo_estimado_min, 2 tempo_real_min, 'o' observacoes"
     )
     catalogue = spark.sql("select 5 id, 'x' nome_atividade")
-    files = spark.range(20000).selectExpr(
+    files = spark.range(count).selectExpr(
         "cast(id as int) id_arquivo", "1 id_atividade", "'a' nome_original", "'b' nome_arquivo",
         "'c' caminho", "'d' content_type", "id tamanho_bytes", "timestamp_ntz '2024-01-01' data_upload",
     )
-    rows = activity_list(activities, catalogue, files, hot=[1]).collect()
-    assert [r["arquivo_parte"] for r in rows] == list(range(20))
-    assert max(len(r["arquivo"]) for r in rows) < 1500
-    assert sorted(f["id_arquivo"] for r in rows for f in r["arquivo"]) == list(range(20000))
-    assert len(activity_list(activities, catalogue, files.limit(0)).collect()[0]["arquivo"]) == 0
+    rows = activity_list(activities, catalogue, files, "/f/").collect()
+    ids = [r["arquivo_id_arquivo"] for r in rows]
+    assert ids == (list(range(count)) or [None])
+    assert rows[0]["arquivo_url_download"] == ("/f/0" if count else None)
 
 
-def test_commands_with_hot_ids(tables, rows_of):
+def test_commands_in_small_chunks(tables, rows_of, monkeypatch):
     given, catalogue, cmds = (tables[n] for n in ("atividade_suporte", "atividade_padrao", "comandos"))
     few = given.where("id_atividade % 2 = 0")
-    ids = [r[0] for r in cmds.select("id_atividade").distinct().collect()]
-    plain = judge_commands(few, catalogue, cmds)
-    hot = judge_commands(few, catalogue, cmds, ids[: len(ids) // 2])
-    assert rows_of(reject_commands(hot)) == rows_of(reject_commands(plain))
-    assert rows_of(apply_activity_commands(few, hot)) == rows_of(apply_activity_commands(few, plain))
+
+    def both():
+        judged = judge_commands(few, catalogue, cmds)
+        return rows_of(reject_commands(judged)), rows_of(apply_activity_commands(few, judged))
+
+    plain = both()
+    monkeypatch.setattr(skew, "ROWS_PER_CHUNK", 3)
+    assert both() == plain

@@ -120,9 +120,3 @@ def test_tracking_rows_are_the_product(tables):
         .selectExpr("sum(n * coalesce(s, 1) * coalesce(p, 1))").first()[0]
     )
     assert final.count() == counts
-
-
-def test_stays_shuffle_once(tables):
-    df = stay_table(tables["vida"], tables["grupos"], tables["usuarios"], catalog.AS_OF)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1

@@ -7,14 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.operators.sizes import as_lookup
-from ticketlens.operators.skew import join_hot
-
-# The link of an attachment is a prefix followed by its id. The prefix is the route
-# under which a service hands out attachments, so callers may bring their own.
-FILE_LINK = "/arquivo/"
-# Attachments per list; an activity with more has its list in several parts.
-FILES_PER_PART = 1000
+from ticketlens.operators.skew import chunked_join, counts_of
+
 FILE_FIELDS = (
     "id_arquivo",
     "id_atividade",
@@ -39,52 +33,25 @@ def active_catalogue(catalogue: DataFrame) -> DataFrame:
 
 
 def _with_link(files: DataFrame, link_prefix: str) -> DataFrame:
+    """The link of an attachment is a prefix (the route under which a service hands out
+    attachments, so the caller's) followed by its id."""
     link = F.concat(F.lit(link_prefix), F.col("id_arquivo").cast("string"))
     return files.withColumn("url_download", link)
 
 
-def _list_parts(files: DataFrame) -> DataFrame:
-    """How many parts the attachment list of each activity comes in."""
-    return files.groupBy("id_atividade").agg(
-        F.ceil(F.count(F.lit(1)) / FILES_PER_PART).cast("int").alias("partes")
-    )
-
-
-def _file_lists(
-    files: DataFrame, parts: DataFrame, fields: Sequence[str], hot: Sequence[int]
-) -> DataFrame:
-    """Attachments per (activity, part) as arrays of about FILES_PER_PART at most.
-
-    The part of a file follows from its id: no task ever holds all attachments of
-    a very large activity."""
-    placed = join_hot(files, parts, "id_atividade", hot_left=hot).withColumn(
-        "arquivo_parte", F.pmod(F.xxhash64("id_arquivo"), F.col("partes")).cast("int")
-    )
-    return placed.groupBy("id_atividade", "arquivo_parte").agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("arquivo")
-    )
-
-
 def _listing(
-    activities: DataFrame,
-    catalogue: DataFrame,
-    files: DataFrame,
-    fields: Sequence[str],
-    hot: Sequence[int],
+    activities: DataFrame, catalogue: DataFrame, files: DataFrame, fields: Sequence[str]
 ) -> DataFrame:
-    names = as_lookup(catalogue.select(F.col("id").alias("id_atividade_padrao"), "nome_atividade"))
+    names = catalogue.select(F.col("id").alias("id_atividade_padrao"), "nome_atividade")
     named = activities.join(names, "id_atividade_padrao")
-    parts = _list_parts(files)
-    lists = _file_lists(files, parts, fields, hot)
-    # One row per part, so that both sides of the join are unique on its key.
-    last_part = F.coalesce(F.col("partes") - 1, F.lit(0))
-    numbered = named.join(parts, "id_atividade", "left").withColumn(
-        "arquivo_parte", F.explode(F.sequence(F.lit(0), last_part))
+    attached = files.select("id_atividade", *[F.col(f).alias(f"arquivo_{f}") for f in fields])
+    per_activity = counts_of(attached, "id_atividade", "arquivos")
+    rows = chunked_join(
+        named.join(per_activity, "id_atividade", "left"),
+        attached.join(per_activity, "id_atividade"),
+        "id_atividade",
+        right_rows="arquivos",
     )
-    joined = numbered.join(lists, ["id_atividade", "arquivo_parte"], "left")
-    # No file hashed into the part: only an activity without files keeps its row.
-    rows = joined.where(F.col("arquivo").isNotNull() | F.col("partes").isNull())
-    empty = F.array().cast(lists.schema["arquivo"].dataType)
     return rows.select(
         "id_atividade",
         "matricula",
@@ -97,25 +64,17 @@ def _listing(
         "tempo_estimado_min",
         "tempo_real_min",
         "observacoes",
-        "arquivo_parte",
-        F.coalesce("arquivo", empty).alias("arquivo"),
-    ).orderBy(F.col("data_inicio").desc_nulls_last(), F.col("id_atividade").desc(), "arquivo_parte")
+        *[f"arquivo_{f}" for f in fields],
+    ).orderBy(F.col("data_inicio").desc_nulls_last(), F.col("id_atividade").desc(), "arquivo_id_arquivo")
 
 
 def activity_list(
-    activities: DataFrame,
-    catalogue: DataFrame,
-    files: DataFrame,
-    hot: Sequence[int] = (),
-    link_prefix: str = FILE_LINK,
+    activities: DataFrame, catalogue: DataFrame, files: DataFrame, link_prefix: str
 ) -> DataFrame:
-    """Activities with a catalogue entry, newest first, and their attachments as a
-    list with links (empty when there is none).
-
-    An activity is one row, `arquivo_parte` 0, unless it has more attachments
-    than FILES_PER_PART: then its list continues in parts 1, 2, ..."""
+    """Activities with a catalogue entry, newest first: one row per activity and
+    attachment, with its link; an activity without attachments is one row with nulls."""
     linked = _with_link(files, link_prefix)
-    return _listing(activities, catalogue, linked, [*FILE_FIELDS, "url_download"], hot)
+    return _listing(activities, catalogue, linked, [*FILE_FIELDS, "url_download"])
 
 
 def _chosen(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -124,14 +83,10 @@ def _chosen(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def activity_detail(
-    activities: DataFrame,
-    catalogue: DataFrame,
-    files: DataFrame,
-    ids: DataFrame,
-    hot: Sequence[int] = (),
+    activities: DataFrame, catalogue: DataFrame, files: DataFrame, ids: DataFrame
 ) -> DataFrame:
     """The same for the activities in `ids`; attachments carry no link."""
-    return _listing(_chosen(activities, ids), catalogue, _chosen(files, ids), FILE_FIELDS, hot)
+    return _listing(_chosen(activities, ids), catalogue, _chosen(files, ids), FILE_FIELDS)
 
 
 def activity_history(history: DataFrame, ids: DataFrame) -> DataFrame:
@@ -151,7 +106,7 @@ def activity_history(history: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def activity_files(files: DataFrame, ids: DataFrame, link_prefix: str = FILE_LINK) -> DataFrame:
+def activity_files(files: DataFrame, ids: DataFrame, link_prefix: str) -> DataFrame:
     """Attachments of the activities in `ids` with links, newest first per activity."""
     return (
         _with_link(_chosen(files, ids), link_prefix)

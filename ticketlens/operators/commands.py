@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions.durations import micros_between
-from ticketlens.operators.sizes import as_lookup, is_small
-from ticketlens.operators.skew import join_hot
+from ticketlens.operators.skew import chunked_join, counts_of
 from ticketlens.schemas import ATIVIDADE_SUPORTE
 
 # Command kinds, statuses, history texts and reject reasons.
@@ -62,20 +61,10 @@ def _not_in(column: str, allowed: Sequence[str]) -> Column:
     return ~F.coalesce(F.col(column).isin(list(allowed)), F.lit(False))
 
 
-def few_activities(commands: DataFrame) -> DataFrame | None:
-    """The activities a batch of commands speaks of, for a broadcast; None when
-    they are too many for one. With them, a batch against a large activity table
-    moves only the rows of its own activities."""
-    ids = commands.select("id_atividade").distinct()
-    return F.broadcast(ids) if is_small(ids) else None
-
-
 def judge_commands(
     activities: DataFrame,
     catalogue: DataFrame,
     commands: DataFrame,
-    hot: Sequence[int] = (),
-    touched: DataFrame | None = None,
 ) -> DataFrame:
     """Every command with `veredito` (null = accepted) and the facts of its
     activity: owner, start and catalogue entry.
@@ -83,14 +72,12 @@ def judge_commands(
     An activity exists from before the first command when it is in `activities`,
     else from its first acceptable create. A create is checked for its catalogue
     entry, then its status, then a repeated id; other kinds for the activity,
-    then their own values. `touched` is the result of `few_activities`."""
+    then their own values."""
     is_create = F.coalesce(F.col("kind") == CREATE, F.lit(False))
-    entries = as_lookup(
-        catalogue.select(
-            F.col("id").cast("bigint").alias("entrada"),
-            F.col("tempo_estimado_min").alias("tempo_padrao"),
-            F.lit(True).alias("no_catalogo"),
-        )
+    entries = catalogue.select(
+        F.col("id").cast("bigint").alias("entrada"),
+        F.col("tempo_estimado_min").alias("tempo_padrao"),
+        F.lit(True).alias("no_catalogo"),
     )
     # Only creates look an entry up. The others get keys of their own, so that a
     # join by shuffle spreads them instead of gathering them on one null.
@@ -100,8 +87,6 @@ def judge_commands(
         (F.col("no_catalogo").isNull(), NO_CATALOGUE),
         (_not_in("status", CREATE_STATUS), BAD_STATUS),
     ]
-    if touched is not None:
-        activities = activities.join(touched, "id_atividade", "left_semi")
     known = activities.select(
         "id_atividade",
         F.lit(True).alias("dado"),
@@ -140,7 +125,13 @@ def judge_commands(
     verdict = F.when(is_create, _verdict([*create_checks, (repeated, REPEATED_ID)])).otherwise(
         _verdict(other_checks)
     )
-    judged = join_hot(checked, births, "id_atividade", hot_left=hot)
+    per_activity = counts_of(commands, "id_atividade", "comandos")
+    judged = chunked_join(
+        checked.join(per_activity, "id_atividade", "left"),
+        births.join(per_activity, "id_atividade", "left"),
+        "id_atividade",
+        left_rows=F.col("comandos"),
+    ).drop("comandos")
     return judged.withColumn("veredito", verdict).drop("entrada", "no_catalogo")
 
 
@@ -199,23 +190,12 @@ def files_from_commands(judged: DataFrame) -> DataFrame:
     )
 
 
-def apply_activity_commands(
-    activities: DataFrame, judged: DataFrame, touched: DataFrame | None = None
-) -> DataFrame:
+def apply_activity_commands(activities: DataFrame, judged: DataFrame) -> DataFrame:
     """Activities after all accepted commands, in the activity schema.
 
     Status and notes are those of the last command that sets them; the end is the
     time of the last finish and stays when the activity is reopened; the actual
-    minutes are whole minutes from start to that end. With `touched` (the result of
-    `few_activities`) all other activities pass through as they are."""
-    if touched is not None:
-        rest = activities.join(touched, "id_atividade", "left_anti")
-        changed = _fold(activities.join(touched, "id_atividade", "left_semi"), judged)
-        return changed.unionByName(rest.select(changed.columns))
-    return _fold(activities, judged)
-
-
-def _fold(activities: DataFrame, judged: DataFrame) -> DataFrame:
+    minutes are whole minutes from start to that end."""
     kind = F.col("kind")
     # Ours: marks a row of `activities`, which sets every field before any command.
     given = activities.withColumns({"kind": F.lit("given"), "ts": F.lit(None).cast("timestamp_ntz")})

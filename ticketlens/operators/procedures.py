@@ -23,10 +23,14 @@ def procedure_summary(
     with the constant columns of an acted stay. All names carry the suffix."""
     # One row per N2 group code at most: bounded.
     group_names = F.broadcast(groups.where(F.col("grp_codigo").isin(list(n2))))
+    user_names = users.select(F.col("usr_codigo").cast("bigint").alias("chave"), "usr_nome")
+    # Entries without user are spread over negative keys, which meet no name.
+    spread = -1 - F.pmod(F.xxhash64("pca_ta", "pca_data"), F.lit(1_000_000))
     named = (
         procs.where(F.col("pca_grupo").isin(list(n2)))
         .join(group_names, F.col("pca_grupo") == F.col("grp_codigo"), "left")
-        .join(users, F.col("pca_usuario") == F.col("usr_codigo"), "left")
+        .withColumn("chave", F.coalesce(F.col("pca_usuario").cast("bigint"), spread))
+        .join(user_names, "chave", "left")
     )
     spans = named.groupBy("pca_ta", "grp_nome", "usr_nome").agg(
         F.min("pca_data").alias("primeira"), F.max("pca_data").alias("ultima")

@@ -6,20 +6,28 @@ from collections.abc import Mapping
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions.calendar import ntz
 from ticketlens.functions.durations import seconds_between
 
 
-def table_freshness(tables: Mapping[str, DataFrame], as_of: datetime) -> DataFrame:
+def _times(weight: str | None) -> Column:
+    """Sum of how many rows each row stands for: one, or `weight`."""
+    return F.coalesce(F.sum(F.col(weight) if weight else F.lit(1)), F.lit(0)).cast("bigint")
+
+
+def table_freshness(
+    tables: Mapping[str, DataFrame], as_of: datetime, weight: str | None = None
+) -> DataFrame:
     """Per tracking table: rows, newest entry and closure, seconds from the newest
-    entry to `as_of`, and `as_of` as a text stamp, day first."""
+    entry to `as_of`, and `as_of` as a text stamp, day first. `weight` names a column
+    that says how many rows a row stands for."""
     stamp = F.lit(as_of.strftime("%d-%m-%Y %H:%M"))
     parts = [
         df.agg(
-            F.count(F.lit(1)).alias("linhas"),
+            _times(weight).alias("linhas"),
             F.max("data_entrada_n2").alias("ultima_entrada"),
             F.max("data_encerramento").alias("ultimo_encerramento"),
         ).select(
@@ -35,33 +43,45 @@ def table_freshness(tables: Mapping[str, DataFrame], as_of: datetime) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def duplicate_report(df: DataFrame, key: str, n: int | None = 20) -> DataFrame:
+def duplicate_report(
+    df: DataFrame, key: str, n: int | None = 20, weight: str | None = None
+) -> DataFrame:
     """Rows per key value, most first; the top `n`, or all of them."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("qtd"))
+    counts = df.groupBy(key).agg(_times(weight).alias("qtd"))
     ordered = counts.where(F.col(key).isNotNull()).orderBy(F.col("qtd").desc(), key)
     return ordered if n is None else ordered.limit(n)
 
 
-def _profile(name: str, df: DataFrame, seconds: str | None) -> DataFrame:
+def _profile(name: str, df: DataFrame, seconds: str | None, weight: str | None) -> DataFrame:
     # Rows per ticket first: partial sums by key, then a handful of totals.
-    negative = F.count_if(F.col(seconds) < 0) if seconds else F.lit(0).cast("bigint")
-    per_ticket = df.groupBy("origem").agg(
-        F.count(F.lit(1)).alias("n"), negative.alias("negativos")
-    )
+    below = df.withColumn("_vezes", F.col(weight) if weight else F.lit(1))
+    negative = F.sum(F.when(F.col(seconds) < 0, F.col("_vezes")).otherwise(0)) if seconds else F.lit(0)
+    per_ticket = below.groupBy("origem").agg(F.sum("_vezes").alias("n"), negative.alias("negativos"))
+
+    def total(value: Column) -> Column:
+        return F.coalesce(value, F.lit(0)).cast("bigint")
+
     return per_ticket.agg(
         F.lit(name).alias("etapa"),
-        F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("linhas"),
+        total(F.sum("n")).alias("linhas"),
         F.count("origem").alias("tickets"),
-        F.coalesce(F.max("n"), F.lit(0).cast("bigint")).alias("max_por_ticket"),
-        F.coalesce(F.sum("negativos"), F.lit(0).cast("bigint")).alias("tempos_negativos"),
+        total(F.max("n")).alias("max_por_ticket"),
+        total(F.sum("negativos")).alias("tempos_negativos"),
     )
 
 
-def reconciliation(tickets: DataFrame, stays: DataFrame, final: DataFrame) -> DataFrame:
+def reconciliation(
+    tickets: DataFrame,
+    stays: DataFrame,
+    final: DataFrame,
+    ticket_weight: str | None = None,
+    final_weight: str | None = None,
+) -> DataFrame:
     """Rows, distinct tickets, the largest fan-out of a ticket and spans below
-    zero, for the snapshot, the stays and the joined table."""
+    zero, for the snapshot, the stays and the joined table. The weights name columns
+    that say how many rows a row stands for."""
     return (
-        _profile("tickets", tickets, None)
-        .unionByName(_profile("stays", stays, "tma_n2_seg"))
-        .unionByName(_profile("final", final, "tma_n2_seg"))
+        _profile("tickets", tickets, None, ticket_weight)
+        .unionByName(_profile("stays", stays, "tma_n2_seg", None))
+        .unionByName(_profile("final", final, "tma_n2_seg", final_weight))
     )

@@ -97,14 +97,19 @@ def unified_download(
     return _newest_first(rows.select(*DOWNLOAD_COLUMNS).distinct(), "data_entrada_n2")
 
 
+def within_days(df: DataFrame, column: str, first: date, last: date) -> DataFrame:
+    """Rows whose timestamp `column` lies from day `first` to day `last` inclusive."""
+    low = datetime.combine(first, datetime.min.time())
+    high = datetime.combine(last, datetime.min.time()) + timedelta(days=1)
+    return within(df, column, low, high)
+
+
 def unified_range(unified: DataFrame, first: date, last: date) -> DataFrame:
     """29-column rows that entered from day `first` to day `last` inclusive.
 
     Whole tracking rows are made distinct before the columns are chosen, so rows
     that differ elsewhere only (element, equipment, procedure) repeat."""
-    low = datetime.combine(first, datetime.min.time())
-    high = datetime.combine(last, datetime.min.time()) + timedelta(days=1)
-    rows = within(unified, "data_entrada_n2", low, high)
+    rows = within_days(unified, "data_entrada_n2", first, last)
     return _newest_first(rows.distinct(), "data_entrada_n2").select(*DOWNLOAD_COLUMNS)
 
 
@@ -137,24 +142,34 @@ def tracking_page(
     page_size: int = 50,
     after: Mapping[str, object] | None = None,
 ) -> DataFrame:
-    """One page of `df` in the order of `keys`, which should identify a row.
+    """One page of `df` in the order of `keys`, then of all other columns by name of the
+    schema: rows that still tie are equal, so a page edge never shows or hides a row by
+    chance.
 
-    `after` (the key values of the last row seen) replaces the page number: it is
-    a filter, where a deep page number has to rank all rows before it."""
+    `after` (the last row seen, all its columns) replaces the page number: it is a filter,
+    where a page number has to rank all rows before it. Walk deep lists by `after`; rows
+    equal to the cursor in all columns are taken as seen."""
     _check_page(page, page_size)
     if not keys:
         raise ValueError("keys must name the sort columns")
-    rows = df if after is None else df.where(_after(keys, after))
-    ordered = rows.orderBy(*[F.col(key).asc_nulls_last() for key in keys])
+    order = [*keys, *[c for c in df.columns if c not in keys]]
+    if after is not None and set(after) != set(order):
+        raise ValueError("after must hold every column of the last row")
+    rows = df if after is None else df.where(_after(order, after))
+    ordered = rows.orderBy(*[F.col(key).asc_nulls_last() for key in order])
     offset = 0 if after is not None else (page - 1) * page_size
     return ordered.offset(offset).limit(page_size)
 
 
-def page_summary(df: DataFrame, page: int = 1, page_size: int = 50) -> DataFrame:
-    """page, page_size, total and total_pages (0 for an empty table), one row."""
+def page_summary(
+    df: DataFrame, page: int = 1, page_size: int = 50, weight: str | None = None
+) -> DataFrame:
+    """page, page_size, total and total_pages (0 for an empty table), one row. `weight`
+    names a column that says how many rows a row stands for."""
     _check_page(page, page_size)
     pages = F.ceil(F.col("total") / page_size).cast("int")
-    return df.agg(F.count(F.lit(1)).alias("total")).select(
+    times = F.sum(F.col(weight) if weight else F.lit(1))
+    return df.agg(F.coalesce(times, F.lit(0)).cast("bigint").alias("total")).select(
         F.lit(page).alias("page"),
         F.lit(page_size).alias("page_size"),
         "total",

@@ -1,113 +1,62 @@
-"""Finding keys that hold too many rows for one task, and joins that split them.
+"""Joins that split the rows of one key over tasks, by the same plan at every size.
 
-Which keys are treated as hot changes the plan only, never the result.
-"""
+Both sides carry how many rows the key has, as an exact count joined to them before. A key
+with more than ROWS_PER_CHUNK rows has several chunks, any other one: such a key is never
+copied. No key is looked for ahead of the plan and none is left out."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than this is split over several tasks.
-HOT_ROWS = 5_000_000
-# At most this many keys are split, so hot keys always fit in a plan literal.
-MAX_HOT_KEYS = 1000
-# Counters per sketch: keys above about 0.02 % of the rows are found.
-SKETCH_ITEMS = 16384
-# Sketches of the scan tasks meet in this many tasks before the last merge.
-SKETCH_MERGERS = 256
-SALTS = 64
+# Rows of one key that a task is meant to hold.
+ROWS_PER_CHUNK = 100_000
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> list:
-    """Values of `key` with more than `min_rows` rows, at most MAX_HOT_KEYS.
+def chunks(rows: str | Column) -> Column:
+    """Chunks of a key with so many rows; a missing count is one chunk."""
+    value = F.col(rows) if isinstance(rows, str) else rows
+    return F.greatest(F.ceil(F.coalesce(value, F.lit(1)) / ROWS_PER_CHUNK), F.lit(1)).cast("int")
 
-    A table within `min_rows` is only counted. Else one pass over one column: only frequent-item sketches are shuffled and a
-    single row of at most MAX_HOT_KEYS values comes back."""
-    if df.count() <= min_rows:
-        return []
-    keys = df.select(F.col(key).alias("k")).where(F.col("k").isNotNull())
-    sketches = keys.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_MERGERS)).alias("m")).agg(
-        F.expr(f"approx_top_k_accumulate(k, {SKETCH_ITEMS})").alias("sketch")
-    )
-    top = sketches.agg(F.expr("approx_top_k_combine(sketch)").alias("sketch")).select(
-        F.expr(f"approx_top_k_estimate(sketch, {MAX_HOT_KEYS})").alias("top")
-    )
-    row = top.first()
-    return sorted(item["item"] for item in (row["top"] or []) if item["count"] > min_rows)
 
+def counts_of(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows by key, with map-side partial counts."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
-def is_hot(key: str, hot: Sequence) -> Column:
-    """True for rows of a hot key, false for all others, null keys included."""
-    return F.coalesce(F.col(key).isin(list(hot)), F.lit(False))
 
+def _own(df: DataFrame, number: Column) -> Column:
+    """The chunk of a row, from a hash of its values: a rerun task agrees."""
+    return F.pmod(F.xxhash64(*[F.col(name) for name in df.columns]), number).cast("int")
 
-def split_hot(
-    df: DataFrame,
-    key: str,
-    hot: Sequence,
-    usual: Callable[[DataFrame], DataFrame],
-    spread: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """`usual` on the rows of ordinary keys, `spread` on those of hot keys."""
-    if not hot:
-        return usual(df)
-    mask = is_hot(key, hot)
-    return usual(df.where(~mask)).unionByName(spread(df.where(mask)))
+
+def _every(number: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), number - 1))
 
 
-def join_hot(
+def chunked_join(
     left: DataFrame,
     right: DataFrame,
     on: str,
-    hot_left: Sequence = (),
-    hot_right: Sequence = (),
+    left_rows: Column | None = None,
+    right_rows: str | None = None,
 ) -> DataFrame:
-    """Left join on `on`, with single keys that may hold much of either side.
-
-    One join on the key and a salt. Rows of an ordinary key have salt 0. A row on
-    the heavy side of a hot key takes one of SALTS salts, from a hash of its values
-    (a rerun task agrees); rows of the key on the other side take all of them. A key
-    hot on both sides counts as hot on the right. Exact copies on the heavy side
-    share a salt, so number or remove copies where there may be very many."""
-    hot_left = sorted(set(hot_left) - set(hot_right))
-    if not hot_left and not hot_right:
-        return left.join(right, on, "left")
-
-    def own_salt(df: DataFrame) -> Column:
-        values = F.xxhash64(*[F.col(name) for name in df.columns])
-        return F.array(F.pmod(values, F.lit(SALTS)).cast("int"))
-
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    none = F.array(F.lit(0))
-    left_heavy, right_heavy = is_hot(on, hot_left), is_hot(on, hot_right)
-    # Whether a right-heavy key has right rows at all: no more rows than hot keys.
-    present = F.broadcast(
-        right.where(right_heavy).select(on, F.lit(True).alias("presente")).distinct()
-    )
-    salted_left = left.join(present, on, "left").withColumn(
-        "salt",
-        F.explode(F.when(F.col("presente"), every).when(left_heavy, own_salt(left)).otherwise(none)),
+    """Left join on `on`, whose keys may hold much of either side.
+
+    A row of a side takes one of its key's chunks on that side and all chunks of the
+    other, so each pair meets once. `left_rows` (an estimate of the key's left rows) is
+    computed alike from columns of both sides; `right_rows` names a column of both sides
+    with the exact count of the key's right rows, null on the left where there are none.
+    The columns of the right side that both have are dropped."""
+    one = F.lit(1)
+    spread_left = left.withColumn("ce", _own(left, chunks(left_rows)) if left_rows is not None else F.lit(0))
+    spread_left = spread_left.withColumn("cd", _every(chunks(right_rows) if right_rows else one))
+    spread_right = right.withColumn("cd", _own(right, chunks(right_rows)) if right_rows else F.lit(0))
+    spread_right = spread_right.withColumn("ce", _every(chunks(left_rows) if left_rows is not None else one))
+    shared = [c for c in right.columns if c in left.columns and c != on]
+    joined = spread_left.join(
+        spread_right.drop(*shared).withColumn("par", F.lit(True)), [on, "ce", "cd"], "left"
     )
-    salted_right = right.withColumns(
-        {
-            "salt": F.explode(
-                F.when(right_heavy, own_salt(right)).when(left_heavy, every).otherwise(none)
-            ),
-            "par": F.lit(True),
-        }
-    )
-    # Of a left row sent to every salt only the pairs count.
-    joined = salted_left.join(salted_right, [on, "salt"], "left")
-    paired = joined.where(F.col("presente").isNull() | F.col("par"))
-    return paired.drop("salt", "presente", "par")
-
-
-def join_few_left(left: DataFrame, right: DataFrame, on: str, keys: DataFrame) -> DataFrame:
-    """Left join of a few rows (the caller knows a bound) with very many rows per
-    key: the few are broadcast. `keys` is the distinct keys of `right`."""
-    paired = right.join(F.broadcast(left), on)
-    alone = left.join(keys, on, "left_anti")
-    return paired.unionByName(alone, allowMissingColumns=True)
+    if right_rows:
+        # Of a left row sent to every chunk only the pairs count.
+        joined = joined.where((chunks(right_rows) == 1) | F.col("par"))
+    return joined.drop("ce", "cd", "par")

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions.calendar import ntz
-from ticketlens.operators.sizes import MAX_BROADCAST_ROWS, as_lookup, is_small
-from ticketlens.operators.skew import HOT_ROWS, hot_keys, is_hot, join_few_left
+from ticketlens.operators.skew import chunked_join, counts_of
 from ticketlens.schemas import SNAPSHOT
 
 # Codes and texts that results depend on.
@@ -31,40 +29,6 @@ CLOSED_TAG = "FECHADO"
 YES = "SIM"
 NO_ROUTE = "NÃO"
 
-# A load is small when it covers at most one in this many rows of the ticket table.
-SMALL_LOAD = 10
-
-
-@dataclass(frozen=True)
-class HotTickets:
-    """Keys whose rows must be split over tasks.
-
-    `life`: tickets with very many life rows; `equipment`: elements with very much
-    equipment; `wide`: tickets with very many snapshot rows, because of many
-    elements or of such an element. `wide` must hold the tickets of all elements in
-    `equipment`, as `find_hot_tickets` sees to."""
-
-    life: Sequence[int] = ()
-    equipment: Sequence[int] = ()
-    wide: Sequence[int] = ()
-
-    @property
-    def tickets(self) -> list[int]:
-        return sorted({*self.life, *self.wide})
-
-
-def find_hot_tickets(tables: Mapping[str, DataFrame], min_rows: int = HOT_ROWS) -> HotTickets:
-    ta = tables["ta"]
-    equipment = hot_keys(tables["equip"], "aeq_ta", min_rows)
-    wide = set(hot_keys(ta, "tqa_origem", min_rows))
-    if equipment:
-        # The tickets of a bounded list of elements: no more rows than the list.
-        owners = ta.where(F.col("tqa_codigo").isin(equipment)).select("tqa_origem").distinct()
-        wide.update(row["tqa_origem"] for row in owners.collect())
-    return HotTickets(
-        life=hot_keys(tables["vida"], "vda_ta", min_rows), equipment=equipment, wide=sorted(wide)
-    )
-
 
 def _in_n2(column: str, groups: Sequence[int]) -> Column:
     return F.coalesce(F.col(column).isin(list(groups)), F.lit(False))
@@ -81,8 +45,15 @@ def _life_profile(life: DataFrame, groups: DataFrame, n2: Sequence[int]) -> Data
 
     A single aggregate with map-side partials, so a ticket with very many life
     rows costs no more than any other."""
+    # Of the group table only the codes and children that the flags ask for: a few rows
+    # whatever the table's size, so the life rows never travel by group.
+    asked = F.col("grp_codigo").isin([*n2, *ROUTE_GROUPS.values()]) | (
+        F.col("grp_pai") == FIELD_PARENT_GROUP
+    )
     known = life.join(
-        groups.select("grp_codigo", "grp_pai"), F.col("vda_grupo") == F.col("grp_codigo"), "left"
+        groups.where(asked).select("grp_codigo", "grp_pai"),
+        F.col("vda_grupo") == F.col("grp_codigo"),
+        "left",
     )
 
     def any_true(condition: Column) -> Column:
@@ -158,45 +129,17 @@ def closed_roots(
     )
 
 
-def load_tables(
-    tables: Mapping[str, DataFrame], roots: DataFrame
-) -> tuple[dict[str, DataFrame], bool]:
-    """The ticket tables as one load needs them, sizes checked, and whether they
-    hold only rows of the load's tickets.
-
-    Names come from broadcast lookups while they are small. When the load covers
-    few tickets (a day, an increment), life rows, procedures and elements of other
-    tickets are dropped where they are read, against the broadcast ticket codes.
-    A load of most tickets keeps them: there would be little to drop."""
+def load_tables(tables: Mapping[str, DataFrame], roots: DataFrame) -> dict[str, DataFrame]:
+    """The ticket tables with the rows of one load's tickets only: life rows, procedures
+    and elements of the roots, and equipment of those elements. Spark chooses between
+    broadcast and shuffle for each semi-join by the size it sees."""
     ready = dict(tables)
-    for name in ("grupos", "usuarios"):
-        ready[name] = as_lookup(tables[name])
     codes = roots.select(F.col("tqa_codigo").alias("codigo"))
-    few = is_small(codes, min(MAX_BROADCAST_ROWS, tables["ta"].count() // SMALL_LOAD))
-    if few:
-        wanted = F.broadcast(codes)
-        for name, key in (("vida", "vda_ta"), ("proced", "pca_ta"), ("ta", "tqa_origem")):
-            ready[name] = tables[name].join(wanted, F.col(key) == F.col("codigo"), "left_semi")
-    return ready, few
-
-
-def tickets_of(
-    roots: DataFrame, tables: Mapping[str, DataFrame], hot: HotTickets, kept: bool
-) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Roots and tables with the rows of the hot tickets only, or without them.
-
-    Hot tickets are set apart before anything is joined: the others keep the plan
-    they would have without them, and the filters reach the scans."""
-
-    def rows(df: DataFrame, key: str) -> DataFrame:
-        mask = is_hot(key, hot.tickets)
-        return df.where(mask if kept else ~mask)
-
-    keys = {"vida": "vda_ta", "proced": "pca_ta", "ta": "tqa_origem"}
-    part = {**tables, **{name: rows(tables[name], key) for name, key in keys.items()}}
-    if not kept:
-        part["equip"] = tables["equip"].where(~is_hot("aeq_ta", hot.equipment))
-    return rows(roots, "tqa_codigo"), part
+    for name, key in (("vida", "vda_ta"), ("proced", "pca_ta"), ("ta", "tqa_origem")):
+        ready[name] = tables[name].join(codes, F.col(key) == F.col("codigo"), "left_semi")
+    elements = ready["ta"].select(F.col("tqa_codigo").alias("codigo"))
+    ready["equip"] = tables["equip"].join(elements, F.col("aeq_ta") == F.col("codigo"), "left_semi")
+    return ready
 
 
 def ticket_rows(roots: DataFrame, tables: Mapping[str, DataFrame], mode: str) -> DataFrame:
@@ -258,40 +201,10 @@ def _equipment(equip: DataFrame) -> DataFrame:
     )
 
 
-def usual_snapshot(roots: DataFrame, tables: Mapping[str, DataFrame], mode: str) -> DataFrame:
-    """Elements meet their equipment before the tickets do: the short rows travel
-    by element, the long ones by ticket only, and the dedupe needs no shuffle."""
-    equipped = _elements(tables["ta"]).join(_equipment(tables["equip"]), "elemento", "left")
-    rows = ticket_rows(roots, tables, mode).join(equipped, "origem", "left")
-    return rows.select(*[f.name for f in SNAPSHOT], *_tag(roots)).distinct()
-
-
-def hot_snapshot(
-    roots: DataFrame, tables: Mapping[str, DataFrame], mode: str, hot: HotTickets
-) -> DataFrame:
-    """The same for hot tickets, given their rows only. Their roots, and the
-    elements with very much equipment, are at most as many as the hot keys, so
-    these few rows are broadcast and the many stay where they are."""
-    elements, equipment = _elements(tables["ta"]), _equipment(tables["equip"])
-    heavy = is_hot("elemento", hot.equipment)
-    equipped = elements.where(~heavy).join(equipment.where(~heavy), "elemento", "left")
-    if hot.equipment:
-        many = equipment.where(heavy)
-        few = elements.where(heavy)
-        equipped = equipped.unionByName(
-            join_few_left(few, many, "elemento", many.select("elemento").distinct())
-        )
-    with_elements = elements.select("origem").distinct()
-    rows = join_few_left(ticket_rows(roots, tables, mode), equipped, "origem", with_elements)
-    return rows.select(*[f.name for f in SNAPSHOT], *_tag(roots)).distinct()
-
-
 def rows_per_ticket(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """How many snapshot rows the elements and equipment of a ticket make, by
+    """How many snapshot rows the elements and equipment of a ticket make (`linhas`), by
     counting; tickets without elements (one row) are left out."""
-    per_element = (
-        _equipment(tables["equip"]).distinct().groupBy("elemento").agg(F.count(F.lit(1)).alias("n"))
-    )
+    per_element = counts_of(_equipment(tables["equip"]).distinct(), "elemento", "n")
     elements = _elements(tables["ta"]).distinct().join(per_element, "elemento", "left")
     return elements.groupBy("origem").agg(F.sum(F.coalesce("n", F.lit(1))).alias("linhas"))
 
@@ -300,14 +213,31 @@ def snapshot(
     roots: DataFrame,
     tables: Mapping[str, DataFrame],
     mode: str = "life_or_procedure",
-    hot: HotTickets = HotTickets(),
+    keep: Sequence[str] = (),
+    per_ticket: DataFrame | None = None,
 ) -> DataFrame:
     """Eligible root tickets x elements x equipment without duplicates. A ticket
-    without elements keeps one row."""
-    if not hot.tickets:
-        return usual_snapshot(roots, tables, mode)
-    usual = usual_snapshot(*tickets_of(roots, tables, hot, kept=False), mode)
-    return usual.unionByName(hot_snapshot(*tickets_of(roots, tables, hot, kept=True), mode, hot))
+    without elements keeps one row. `per_ticket` has further columns by `origem`, of which
+    `keep` stay in the result.
+
+    Elements meet their equipment before the tickets do: the short rows travel by
+    element, the long ones by ticket only. Both sides of either join are without
+    duplicates, so that the counts that split hot keys are those of their rows."""
+    elements = _elements(tables["ta"]).distinct()
+    equipment = _equipment(tables["equip"]).distinct()
+    per_element = counts_of(equipment, "elemento", "equipamentos")
+    equipped = chunked_join(
+        elements.join(per_element, "elemento", "left"),
+        equipment.join(per_element, "elemento"),
+        "elemento",
+        right_rows="equipamentos",
+    ).drop("equipamentos")
+    lines = rows_per_ticket(tables)
+    tickets = ticket_rows(roots, tables, mode).join(lines, "origem", "left")
+    if per_ticket is not None:
+        tickets = tickets.join(per_ticket, "origem", "left")
+    rows = chunked_join(tickets, equipped.join(lines, "origem"), "origem", right_rows="linhas")
+    return rows.select(*[f.name for f in SNAPSHOT], *_tag(roots), *keep).distinct()
 
 
 def ticket_snapshot_active(
@@ -315,11 +245,10 @@ def ticket_snapshot_active(
     start: datetime,
     end: datetime,
     mode: str = "life_or_procedure",
-    hot: HotTickets = HotTickets(),
 ) -> DataFrame:
     """20-column rows of open tickets created in [start, end)."""
     roots = active_roots(tables["ta"], start, end)
-    return snapshot(roots, load_tables(tables, roots)[0], mode, hot)
+    return snapshot(roots, load_tables(tables, roots), mode)
 
 
 def ticket_snapshot_closed(
@@ -328,8 +257,7 @@ def ticket_snapshot_closed(
     end: datetime,
     created_from: datetime,
     mode: str = "life_or_procedure",
-    hot: HotTickets = HotTickets(),
 ) -> DataFrame:
     """20-column rows of tickets that closed in (start, end]."""
     roots = closed_roots(tables["ta"], start, end, created_from)
-    return snapshot(roots, load_tables(tables, roots)[0], mode, hot)
+    return snapshot(roots, load_tables(tables, roots), mode)

@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions.calendar import ntz
 from ticketlens.functions.durations import hms, seconds_between
-from ticketlens.operators.skew import split_hot
+from ticketlens.operators import skew
 from ticketlens.operators.snapshot import N2_GROUPS, YES
 
 # Texts of the stay flags and classes.
 NO_STAY = "NAO"
 UNCLASSIFIED = "VAZIO"
-# Stands for "no entry time" among the minutes of a ticket: sorts last.
-NO_MINUTE = "9999-12-31 00:00:00"
+# Stands for "no entry time" among the days of a ticket: sorts last.
+NO_DAY = "9999-12-31 00:00:00"
+# Stands for "no sequence number" among its blocks: sorts last.
+NO_BLOCK = 1 << 62
+CHUNK = ("pedaco_dia", "pedaco_minuto", "pedaco_entrada", "pedaco_bloco")
 
 STARTED = ("usuario_anterior", "inicio_atuacao", "contar_atuacao", "contar_sem_atuacao")
-TOTALS = ("total_n2", "total_atuacao", "total_inicios")
 
 
 def group_stays(
@@ -89,69 +91,90 @@ def _with_starts(stays: DataFrame) -> DataFrame:
     )
 
 
-def _starts_in_window(stays: DataFrame) -> DataFrame:
-    in_ticket = Window.partitionBy("origem").orderBy(*_entry_order())
-    return _with_starts(
-        stays.withColumn("usuario_anterior", F.lag("usuario_cod").over(in_ticket))
-    )
-
+def _large(stays: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Adds `name`: whether the row's `keys` hold more rows than a chunk. Only such keys
+    are joined, and there are few of them by their definition."""
+    counts = stays.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    large = counts.where(F.col("n") > skew.ROWS_PER_CHUNK).select(*keys, F.lit(True).alias(name))
+    return stays.join(large, list(keys), "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
-def _starts_by_minute(stays: DataFrame) -> DataFrame:
-    """The same previous user without putting a ticket into one task.
 
-    Stays are ordered inside (ticket, minute of entry). The first stay of a minute
-    takes its previous user from the last stay of the ticket's preceding minute,
-    found over one row per minute: some half a million a year."""
+def _in_chunks(stays: DataFrame) -> DataFrame:
+    """Adds the columns of CHUNK, which sort as the entry order does and split a ticket
+    into pieces of bounded size: days, in large days minutes, in large minutes (or among
+    stays without entry) instants and blocks of sequence numbers."""
     entry = F.col("data_entrada_n2")
     # Day plus clock, not date_trunc, which would go through the session time zone.
     clock = F.make_dt_interval(hours=F.hour(entry), mins=F.minute(entry))
-    minute = F.coalesce(entry.cast("date").cast("timestamp_ntz") + clock, ntz(NO_MINUTE))
-    chunked = stays.withColumn("minuto_n2", minute)
-    in_minute = Window.partitionBy("origem", "minuto_n2").orderBy(*_entry_order())
+    day = entry.cast("date").cast("timestamp_ntz")
+    last = F.lit(NO_DAY).cast("timestamp_ntz")
+    dated = stays.withColumns(
+        {"pedaco_dia": F.coalesce(day, last), "minuto_n2": F.coalesce(day + clock, last)}
+    )
+    by_day = _large(dated, ["origem", "pedaco_dia"], "dia_grande").withColumn(
+        "pedaco_minuto", F.when(F.col("dia_grande"), F.col("minuto_n2")).otherwise(F.col("pedaco_dia"))
+    )
+    by_minute = _large(by_day, ["origem", "pedaco_dia", "pedaco_minuto"], "minuto_grande")
+    within = F.col("dia_grande") & F.col("minuto_grande")
+    block = F.coalesce(F.floor(F.col("seq") / skew.ROWS_PER_CHUNK).cast("bigint"), F.lit(NO_BLOCK))
+    return by_minute.withColumns(
+        {
+            "pedaco_entrada": F.when(within, F.coalesce(entry, last)).otherwise(F.col("pedaco_minuto")),
+            "pedaco_bloco": F.when(within, block).otherwise(F.lit(0).cast("bigint")),
+        }
+    ).drop("minuto_n2", "dia_grande", "minuto_grande")
+
+
+def _mark(chunked: DataFrame) -> DataFrame:
+    """Marks stays that carry CHUNK. Stays are ordered inside chunks of a ticket; the first
+    of a chunk takes its previous user from the last stay of the chunk before, found over
+    one row per chunk."""
+    in_chunk = Window.partitionBy("origem", *CHUNK).orderBy(*_entry_order())
     inside = chunked.withColumns(
-        {"anterior": F.lag("usuario_cod").over(in_minute), "pos": F.row_number().over(in_minute)}
+        {"anterior": F.lag("usuario_cod").over(in_chunk), "pos": F.row_number().over(in_chunk)}
     )
     # Nulls last, as in the entry order: a missing value must win the maximum.
     rank = F.struct(F.col("data_entrada_n2").isNull(), "data_entrada_n2", F.col("seq").isNull(), "seq")
-    minutes = chunked.groupBy("origem", "minuto_n2").agg(
-        F.max_by("usuario_cod", rank).alias("ultimo")
-    )
-    by_minute = Window.partitionBy("origem").orderBy("minuto_n2")
-    carried = minutes.select("origem", "minuto_n2", F.lag("ultimo").over(by_minute).alias("trazido"))
+    lasts = chunked.groupBy("origem", *CHUNK).agg(F.max_by("usuario_cod", rank).alias("ultimo"))
+    by_chunk = Window.partitionBy("origem").orderBy(*CHUNK)
+    carried = lasts.select("origem", *CHUNK, F.lag("ultimo").over(by_chunk).alias("trazido"))
     previous = F.when(F.col("pos") == 1, F.col("trazido")).otherwise(F.col("anterior"))
     return _with_starts(
-        inside.join(carried, ["origem", "minuto_n2"], "left")
+        inside.join(carried, ["origem", *CHUNK], "left")
         .withColumn("usuario_anterior", previous)
-        .drop("anterior", "pos", "trazido", "minuto_n2")
+        .drop("anterior", "pos", "trazido")
     )
 
 
-def mark_starts(stays: DataFrame, hot: Sequence[int] = ()) -> DataFrame:
+def mark_starts(stays: DataFrame) -> DataFrame:
     """Adds the previous user of the ticket, and whether a stay starts a handling:
     a user acts who is not the one of the stay just before."""
-    return split_hot(stays, "origem", hot, _starts_in_window, _starts_by_minute)
-
-
-def _sums() -> dict:
-    return {
-        "total_n2": F.sum("total_segundos"),
-        "total_atuacao": F.sum("total_segundos_atuacao"),
-        "total_inicios": F.sum("inicio_atuacao"),
-    }
-
-
-def _totals_in_window(stays: DataFrame) -> DataFrame:
-    ticket = Window.partitionBy("origem")
-    return stays.withColumns({name: value.over(ticket) for name, value in _sums().items()})
-
-
-def _totals_joined(stays: DataFrame) -> DataFrame:
-    # At most one row per hot key comes out of the aggregate, hence the broadcast.
-    sums = stays.groupBy("origem").agg(*[value.alias(name) for name, value in _sums().items()])
-    return stays.join(F.broadcast(sums), "origem", "left")
+    return _mark(_in_chunks(stays)).drop(*CHUNK)
+
+
+def _total(chunked: DataFrame, per_ticket: DataFrame | None) -> DataFrame:
+    """Adds the ticket's sums and its number of stays (`estadas`) to marked stays that
+    carry CHUNK: sums per chunk, added up per ticket, and brought back chunk by chunk, so
+    that no step holds a ticket whole. `per_ticket` has further columns by ticket."""
+    by_chunk = chunked.groupBy("origem", *CHUNK).agg(
+        F.sum("total_segundos").alias("s"),
+        F.sum("total_segundos_atuacao").alias("a"),
+        F.sum("inicio_atuacao").alias("i"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    sums = by_chunk.groupBy("origem").agg(
+        F.sum("s").alias("total_n2"),
+        F.sum("a").alias("total_atuacao"),
+        F.sum("i").alias("total_inicios"),
+        F.sum("n").alias("estadas"),
+    )
+    if per_ticket is not None and len(per_ticket.columns) > 1:
+        sums = sums.join(per_ticket, "origem", "left")
+    back = by_chunk.select("origem", *CHUNK).join(sums, "origem")
+    return chunked.join(back, ["origem", *CHUNK]).drop(*CHUNK)
 
 
-def _texts(stays: DataFrame) -> DataFrame:
+def _texts(stays: DataFrame, *extra: str) -> DataFrame:
     acted = F.col("teve_atuacao") == YES
     acted_total = F.when(acted, F.col("total_atuacao"))
     return stays.select(
@@ -173,22 +196,14 @@ def _texts(stays: DataFrame) -> DataFrame:
         F.col("total_segundos").alias("tma_n2_seg"),
         acted_total.alias("tempo_total_atuacao_seg"),
         F.col("total_n2").alias("tempo_total_n2_seg"),
+        *extra,
     )
 
 
-def stay_totals(stays: DataFrame, hot: Sequence[int] = ()) -> DataFrame:
+def stay_totals(stays: DataFrame) -> DataFrame:
     """Marked stays with the ticket's total time, acted time and handlings, as
     texts and as seconds."""
-    return _texts(split_hot(stays, "origem", hot, _totals_in_window, _totals_joined))
-
-
-def _in_windows(stays: DataFrame) -> DataFrame:
-    """Lag and sums over one partitioning by ticket."""
-    return _totals_in_window(_starts_in_window(stays))
-
-
-def _in_pieces(stays: DataFrame) -> DataFrame:
-    return _totals_joined(_starts_by_minute(stays))
+    return _texts(_total(_in_chunks(stays), None))
 
 
 def stay_table(
@@ -196,19 +211,19 @@ def stay_table(
     groups: DataFrame,
     users: DataFrame,
     as_of: datetime,
-    hot: Sequence[int] = (),
+    per_ticket: DataFrame | None = None,
 ) -> DataFrame:
-    """Stays with starts and totals. Lag and sums share one shuffle by ticket; hot
-    tickets take the split forms of both steps."""
-    stays = group_stays(life, groups, users, as_of)
-    return _texts(split_hot(stays, "origem", hot, _in_windows, _in_pieces))
+    """Stays with starts and totals. With `per_ticket` (columns by `origem`) also these
+    columns and `estadas`, the number of stays of the ticket."""
+    chunked = _in_chunks(group_stays(life, groups, users, as_of))
+    extra = ["estadas", *[c for c in per_ticket.columns if c != "origem"]] if per_ticket is not None else []
+    return _texts(_total(_mark(chunked), per_ticket), *extra)
 
 
-def hot_stay_table(
-    life: DataFrame, groups: DataFrame, users: DataFrame, as_of: datetime
-) -> DataFrame:
-    """The same for life rows of hot tickets only."""
-    return _texts(_in_pieces(group_stays(life, groups, users, as_of)))
+def stays_per_ticket(life: DataFrame, n2: Sequence[int] = N2_GROUPS) -> DataFrame:
+    """How many stays each ticket has, for tickets that have any: (origem, estadas)."""
+    stays = life.where(F.col("vda_grupo").isin(list(n2)))
+    return stays.groupBy(F.col("vda_ta").alias("origem")).agg(F.count(F.lit(1)).alias("estadas"))
 
 
 def classify_stay(df: DataFrame) -> DataFrame:

@@ -8,12 +8,17 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketlens.functions.calendar import calendar_filter
 from ticketlens.operators import activities, commands, procedures, quality, reports, snapshot, stays
-from ticketlens.operators.sizes import as_lookup
-from ticketlens.operators.skew import hot_keys
 from ticketlens.operators.windows import rows_per_window
 from ticketlens.plans import standin, tracking
-from ticketlens.sources.sinks import append, by_entry_month, full_refresh, shared_folder
+from ticketlens.sources.sinks import (
+    by_entry_month,
+    full_refresh,
+    read_loads,
+    shared_folder,
+    write_load,
+)
 from ticketlens.streaming.increment import closed_increment
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,15 +33,10 @@ FIRST_LOAD_END = datetime(1998, 7, 1)
 HOURLY_START = datetime(1994, 12, 20, 10, 30)
 HOURLY_END = datetime(2002, 1, 5, 5, 0)
 PAGE, PAGE_SIZE = 3, 50
-PAGE_KEYS = (
-    "origem",
-    "elemento",
-    "hostname",
-    "fabricante",
-    "data_entrada_n2",
-    "grupo_n2_PROCEDIMENTO",
-    "usuario_atuacao_PROCEDIMENTO",
-)
+PAGE_KEYS = ("origem", "elemento", "hostname", "fabricante", "data_entrada_n2")
+# Past all rows of this ticket: its other columns sort last.
+PAGE_AFTER = {"origem": 1000}
+LINK_PREFIX = "/arquivo/"
 YEAR, MONTH, WEEK, DAY = 1998, 3, 10, 15
 RANGE = (date(1997, 11, 20), date(1998, 2, 10))
 
@@ -46,8 +46,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> standin.StandInTables:
 
 
 def _names(t) -> tuple[DataFrame, DataFrame]:
-    """Groups and users, broadcast while they are small."""
-    return as_lookup(t["grupos"]), as_lookup(t["usuarios"])
+    return t["grupos"], t["usuarios"]
 
 
 # --- load windows -----------------------------------------------------------
@@ -74,41 +73,39 @@ def load_windows_monthly(spark, sf_dir):
 
 def eligible_tickets(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return snapshot.eligible_tickets(t["vida"], t["proced"], as_lookup(t["grupos"]))
+    return snapshot.eligible_tickets(t["vida"], t["proced"], t["grupos"])
 
 
 def eligible_tickets_life_only(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return snapshot.eligible_tickets(t["vida"], t["proced"], as_lookup(t["grupos"]), mode="life")
+    return snapshot.eligible_tickets(t["vida"], t["proced"], t["grupos"], mode="life")
 
 
 def route_flags(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return snapshot.route_flags(t["vida"], as_lookup(t["grupos"]))
+    return snapshot.route_flags(t["vida"], t["grupos"])
 
 
 def ticket_snapshot_active(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return snapshot.ticket_snapshot_active(t, START, END, hot=snapshot.find_hot_tickets(t))
+    return snapshot.ticket_snapshot_active(t, START, END)
 
 
 def ticket_snapshot_closed(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return snapshot.ticket_snapshot_closed(t, START, END, START, hot=snapshot.find_hot_tickets(t))
+    return snapshot.ticket_snapshot_closed(t, START, END, START)
 
 
 def ticket_snapshot_validation(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    hot = snapshot.find_hot_tickets(t)
-    return snapshot.ticket_snapshot_active(t, START, END, mode="life", hot=hot)
+    return snapshot.ticket_snapshot_active(t, START, END, mode="life")
 
 
 # --- stays and procedures ---------------------------------------------------
 
 
 def _stays(t):
-    hot = hot_keys(t["vida"], "vda_ta")
-    return stays.stay_table(t["vida"], *_names(t), AS_OF, hot)
+    return stays.stay_table(t["vida"], *_names(t), AS_OF)
 
 
 def _procedures(t):
@@ -123,8 +120,7 @@ def group_stays(spark, sf_dir):
 def stay_starts(spark, sf_dir):
     t = _tables(spark, sf_dir)
     rows = stays.group_stays(t["vida"], *_names(t), AS_OF)
-    marked = stays.mark_starts(rows, hot_keys(t["vida"], "vda_ta"))
-    return marked.select(
+    return stays.mark_starts(rows).select(
         "origem", "seq", "usuario_cod", "usuario_anterior", "inicio_atuacao",
         "contar_atuacao", "contar_sem_atuacao",
     )
@@ -159,25 +155,23 @@ def stays_with_procedures(spark, sf_dir):
 
 def tracking_active(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return tracking.tracking_active(t, AS_OF, START, END, hot=snapshot.find_hot_tickets(t))
+    return tracking.tracking_active(t, AS_OF, START, END)
 
 
 def tracking_closed(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    hot = snapshot.find_hot_tickets(t)
-    return tracking.tracking_closed(t, AS_OF, START, END, START, hot=hot)
+    return tracking.tracking_closed(_tables(spark, sf_dir), AS_OF, START, END, START)
 
 
-def _unified(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    hot = snapshot.find_hot_tickets(t)
-    return tracking.tracking_unified(t, AS_OF, START, END, START, hot=hot)
+def _unified(spark, sf_dir, entered=None):
+    return tracking.tracking_unified(
+        _tables(spark, sf_dir), AS_OF, START, END, START, entered=entered
+    )
 
 
 def _unified_stays(spark, sf_dir, weighted: bool = False):
-    t = _tables(spark, sf_dir)
-    hot = snapshot.HotTickets(life=hot_keys(t["vida"], "vda_ta"))
-    return tracking.unified_stays(t, AS_OF, START, END, START, hot=hot, weighted=weighted)
+    return tracking.unified_stays(
+        _tables(spark, sf_dir), AS_OF, START, END, START, weighted=weighted
+    )
 
 
 def full_refresh_roundtrip(spark, sf_dir):
@@ -188,48 +182,64 @@ def full_refresh_roundtrip(spark, sf_dir):
 
 def _first_load(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    hot = snapshot.find_hot_tickets(t)
-    first = tracking.tracking_closed(t, AS_OF, START, FIRST_LOAD_END, START, hot=hot)
-    return t, hot, full_refresh(first, shared_folder(spark, "closed"))
+    first = tracking.tracking_closed(t, AS_OF, START, FIRST_LOAD_END, START)
+    folder = shared_folder(spark, "closed")
+    write_load(first, folder, START, FIRST_LOAD_END)
+    return t, folder
 
 
 def closed_increment_rows(spark, sf_dir):
-    t, hot, path = _first_load(spark, sf_dir)
-    return closed_increment(spark.read.parquet(path), t, AS_OF, END, START, hot)
+    t, folder = _first_load(spark, sf_dir)
+    return closed_increment(read_loads(spark, folder), t, AS_OF, END, START)
 
 
 def closed_increment_appended(spark, sf_dir):
-    t, hot, path = _first_load(spark, sf_dir)
-    more = closed_increment(spark.read.parquet(path), t, AS_OF, END, START, hot)
-    return spark.read.parquet(append(more, path))
+    """The increment is written twice, as by a retried run: the rows come once."""
+    t, folder = _first_load(spark, sf_dir)
+    stored = read_loads(spark, folder)
+    for _ in range(2):
+        write_load(closed_increment(stored, t, AS_OF, END, START), folder, FIRST_LOAD_END, END)
+    return read_loads(spark, folder)
 
 
 # --- reports ----------------------------------------------------------------
 
 
 def unified_tracking(spark, sf_dir):
-    both = tracking_active(spark, sf_dir), tracking_closed(spark, sf_dir)
-    return reports.unified_newest(reports.unified_tracking(*both))
+    return reports.unified_newest(_unified(spark, sf_dir))
+
+
+def _download(spark, sf_dir, **period):
+    def entered(df: DataFrame, column: str) -> DataFrame:
+        return calendar_filter(df, column, YEAR, **period)
+
+    rows = tracking.unified_sites(
+        _tables(spark, sf_dir), AS_OF, START, END, START, entered=entered
+    )
+    return reports.unified_download(rows, YEAR, **period)
 
 
 def unified_download_year(spark, sf_dir):
-    return reports.unified_download(_unified(spark, sf_dir), YEAR)
+    return _download(spark, sf_dir)
 
 
 def unified_download_month(spark, sf_dir):
-    return reports.unified_download(_unified(spark, sf_dir), YEAR, mes=MONTH)
+    return _download(spark, sf_dir, mes=MONTH)
 
 
 def unified_download_week(spark, sf_dir):
-    return reports.unified_download(_unified(spark, sf_dir), YEAR, semana=WEEK)
+    return _download(spark, sf_dir, semana=WEEK)
 
 
 def unified_download_day(spark, sf_dir):
-    return reports.unified_download(_unified(spark, sf_dir), YEAR, dia=DAY)
+    return _download(spark, sf_dir, dia=DAY)
 
 
 def unified_range(spark, sf_dir):
-    return reports.unified_range(_unified(spark, sf_dir), *RANGE)
+    def entered(df: DataFrame, column: str) -> DataFrame:
+        return reports.within_days(df, column, *RANGE)
+
+    return reports.unified_range(_unified(spark, sf_dir, entered), *RANGE)
 
 
 def tracking_page_active(spark, sf_dir):
@@ -246,8 +256,15 @@ def tracking_page_unified(spark, sf_dir):
     )
 
 
+def tracking_page_after(spark, sf_dir):
+    rows = tracking_active(spark, sf_dir)
+    cursor = dict.fromkeys(rows.columns) | PAGE_AFTER
+    return reports.tracking_page(rows, PAGE_KEYS, page_size=PAGE_SIZE, after=cursor)
+
+
 def page_summary(spark, sf_dir):
-    return reports.page_summary(_unified(spark, sf_dir), PAGE, PAGE_SIZE)
+    rows = _unified_stays(spark, sf_dir, weighted=True)
+    return reports.page_summary(rows, PAGE, PAGE_SIZE, weight="repeats")
 
 
 def volumetry(spark, sf_dir):
@@ -271,9 +288,14 @@ def mean_handling_time_dedupe(spark, sf_dir):
 # --- quality ----------------------------------------------------------------
 
 
+def _weighted(spark, sf_dir, tag):
+    return _unified_stays(spark, sf_dir, weighted=True).where(F.col(snapshot.TAG) == tag)
+
+
 def table_freshness(spark, sf_dir):
-    both = {"ATIVO": tracking_active(spark, sf_dir), "FECHADO": tracking_closed(spark, sf_dir)}
-    return quality.table_freshness(both, AS_OF)
+    tags = (snapshot.ACTIVE_TAG, snapshot.CLOSED_TAG)
+    both = {tag: _weighted(spark, sf_dir, tag) for tag in tags}
+    return quality.table_freshness(both, AS_OF, weight="repeats")
 
 
 def duplicate_report(spark, sf_dir):
@@ -286,15 +308,17 @@ def stays_per_ticket(spark, sf_dir):
 
 def procedure_tags(spark, sf_dir):
     tag = "origem_atuacao_PROCEDIMENTO"
-    return quality.duplicate_report(tracking_active(spark, sf_dir), tag, None)
+    rows = _weighted(spark, sf_dir, snapshot.ACTIVE_TAG).where("procs > 0")
+    tagged = rows.withColumn(tag, F.lit(procedures.FROM_PROCEDURE))
+    return quality.duplicate_report(tagged, tag, None, weight="repeats")
 
 
 def reconciliation(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    hot = snapshot.find_hot_tickets(t)
-    tickets = snapshot.ticket_snapshot_active(t, START, END, hot=hot)
-    final = tracking.tracking_active(t, AS_OF, START, END, hot=hot)
-    return quality.reconciliation(tickets, _stays(t), final)
+    final = _weighted(spark, sf_dir, snapshot.ACTIVE_TAG)
+    # A ticket has its snapshot rows once, however many stays.
+    tickets = final.groupBy("origem").agg(F.max("linhas").alias("linhas"))
+    return quality.reconciliation(tickets, _stays(t), final, "linhas", "repeats")
 
 
 # --- activity log -----------------------------------------------------------
@@ -304,32 +328,18 @@ def active_catalogue(spark, sf_dir):
     return activities.active_catalogue(_tables(spark, sf_dir)["atividade_padrao"])
 
 
-def _flat(listing: DataFrame) -> DataFrame:
-    """One row per attachment, as a table without nested columns."""
-    rows = listing.withColumn("arquivo", F.explode_outer("arquivo")).drop("arquivo_parte")
-    fields = listing.schema["arquivo"].dataType.elementType.names
-    plain = [c for c in rows.columns if c != "arquivo"]
-    return rows.select(*plain, *[F.col(f"arquivo.{f}").alias(f"arquivo_{f}") for f in fields])
-
-
 def activity_list(spark, sf_dir):
     log = _tables(spark, sf_dir)
-    files = log["arquivos"]
-    hot = hot_keys(files, "id_atividade")
-    return _flat(
-        activities.activity_list(log["atividade_suporte"], log["atividade_padrao"], files, hot)
+    return activities.activity_list(
+        log["atividade_suporte"], log["atividade_padrao"], log["arquivos"], LINK_PREFIX
     )
 
 
 def activity_detail(spark, sf_dir):
     """Detail of the activities the history speaks of."""
     log = _tables(spark, sf_dir)
-    files = log["arquivos"]
-    return _flat(
-        activities.activity_detail(
-            log["atividade_suporte"], log["atividade_padrao"], files,
-            log["historico"], hot_keys(files, "id_atividade"),
-        )
+    return activities.activity_detail(
+        log["atividade_suporte"], log["atividade_padrao"], log["arquivos"], log["historico"]
     )
 
 
@@ -342,36 +352,25 @@ def activity_history(spark, sf_dir):
 def activity_files(spark, sf_dir):
     """Attachments of all known activities."""
     log = _tables(spark, sf_dir)
-    return activities.activity_files(log["arquivos"], log["atividade_suporte"])
+    return activities.activity_files(log["arquivos"], log["atividade_suporte"], LINK_PREFIX)
 
 
-def _judged(spark, sf_dir, on_existing: bool = False):
-    """Given activities, judged commands, and the activities they speak of."""
+def _judged(spark, sf_dir):
+    """Given activities and judged commands."""
     log = _tables(spark, sf_dir)
-    given = log["atividade_suporte"] if on_existing else log["atividade_suporte"].where("false")
+    given = log["atividade_suporte"]
     cmds = log["comandos"].withColumn("conteudo", F.encode("observacoes", "UTF-8"))
-    hot = hot_keys(cmds, "id_atividade")
-    touched = commands.few_activities(cmds)
-    judged = commands.judge_commands(given, log["atividade_padrao"], cmds, hot, touched)
-    return given, judged, touched
+    return given, commands.judge_commands(given, log["atividade_padrao"], cmds)
 
 
 def activity_state(spark, sf_dir):
     return commands.apply_activity_commands(*_judged(spark, sf_dir))
 
 
-def activity_state_existing(spark, sf_dir):
-    return commands.apply_activity_commands(*_judged(spark, sf_dir, on_existing=True))
-
-
 def history_from_commands(spark, sf_dir):
     return commands.history_from_commands(_judged(spark, sf_dir)[1])
 
 
-def history_existing(spark, sf_dir):
-    return commands.history_from_commands(_judged(spark, sf_dir, on_existing=True)[1])
-
-
 def files_from_commands(spark, sf_dir):
     return commands.files_from_commands(_judged(spark, sf_dir)[1])
 
@@ -380,10 +379,6 @@ def rejected_commands(spark, sf_dir):
     return commands.reject_commands(_judged(spark, sf_dir)[1])
 
 
-def rejected_existing(spark, sf_dir):
-    return commands.reject_commands(_judged(spark, sf_dir, on_existing=True)[1])
-
-
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -417,6 +412,7 @@ QUERIES: dict[str, Query] = {
         tracking_page_active,
         tracking_page_closed,
         tracking_page_unified,
+        tracking_page_after,
         page_summary,
         volumetry,
         volumetry_by_user,
@@ -433,11 +429,8 @@ QUERIES: dict[str, Query] = {
         activity_history,
         activity_files,
         activity_state,
-        activity_state_existing,
         history_from_commands,
-        history_existing,
         files_from_commands,
         rejected_commands,
-        rejected_existing,
     )
 }

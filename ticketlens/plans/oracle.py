@@ -127,12 +127,12 @@ SELECT 1000000000 + l_partkey * 1000000 + l_orderkey, l_orderkey, NULL, 10,
   concat('SITE_', CAST(l_suppkey AS VARCHAR)), concat('UF_', CAST(l_suppkey % 27 AS VARCHAR)),
   NULL, l_shipdate, NULL, NULL, NULL, NULL,
   CASE WHEN l_tax > 0.04 THEN 'HIGH' ELSE 'LOW' END, 701, NULL
-FROM lineitem WHERE l_linenumber <= 2""",
+FROM lineitem""",
     "equip": """
 SELECT DISTINCT 1000000000 + l_partkey * 1000000 + l_orderkey AS aeq_ta,
   concat('host-', CAST(l_partkey AS VARCHAR)) AS aeq_hostname,
   CASE WHEN l_partkey % 4 = 0 THEN 'VENDOR_A' ELSE 'VENDOR_B' END AS aeq_fabricante
-FROM lineitem WHERE l_linenumber <= 2 AND l_partkey % 2 = 0""",
+FROM lineitem WHERE l_partkey % 2 = 0""",
     "vida": """
 SELECT l_orderkey AS vda_ta, l_partkey AS vda_seq,
   CASE CAST(l_suppkey % 5 AS INTEGER) WHEN 0 THEN 6611 WHEN 1 THEN 6612 WHEN 2 THEN 6563
@@ -292,10 +292,11 @@ def _download(condition: str) -> str:
 _YEAR = f"year(data_entrada_n2) = {c.YEAR}"
 
 
-def _page(source: str, keys) -> str:
+def _page(source: str, keys, offset: int = (c.PAGE - 1) * c.PAGE_SIZE, condition: str = "TRUE") -> str:
+    """Ordered by the keys, then by all columns: rows that still tie are equal."""
+    rest = ", ".join(f"{n} ASC NULLS LAST" for n in _names(TRACKING))
     order = ", ".join(f"{k} ASC NULLS LAST" for k in keys)
-    offset = (c.PAGE - 1) * c.PAGE_SIZE
-    return f"SELECT * FROM {source} ORDER BY {order} LIMIT {c.PAGE_SIZE} OFFSET {offset}"
+    return f"SELECT * FROM {source} WHERE {condition} ORDER BY {order}, {rest} LIMIT {c.PAGE_SIZE} OFFSET {offset}"
 
 
 _PERIODS = {
@@ -362,11 +363,10 @@ _LISTING = (
 )
 
 
-def _commands(tail: str, existing: bool) -> str:
+def _commands(tail: str) -> str:
     """Commands with the code and reason of their refusal, then `tail`."""
-    given = "SELECT * FROM atividade_suporte" if existing else "SELECT * FROM atividade_suporte WHERE FALSE"
     return f"""
-given AS ({given}),
+given AS (SELECT * FROM atividade_suporte),
 valid_creates AS (
   SELECT c.* FROM comandos c JOIN atividade_padrao p ON p.id = c.id_atividade_padrao
   WHERE c.kind = 'create' AND c.status IN ('Agendado', 'Em Atuação', 'Improcedente')),
@@ -399,8 +399,8 @@ done AS (SELECT * FROM judged WHERE motivo IS NULL)
 {tail}"""
 
 
-def _log_query(tail: str, existing: bool = False) -> str:
-    steps = _commands(tail, existing)
+def _log_query(tail: str) -> str:
+    steps = _commands(tail)
     return f"WITH {_blocks(steps)},{steps}"
 
 
@@ -498,6 +498,7 @@ _PLAIN: dict[str, str] = {
     "tracking_page_active": _page("track_active", c.PAGE_KEYS),
     "tracking_page_closed": _page("track_closed", c.PAGE_KEYS),
     "tracking_page_unified": _page("unified", ("origem_tabela", *c.PAGE_KEYS)),
+    "tracking_page_after": _page("track_active", c.PAGE_KEYS, 0, f"origem > {c.PAGE_AFTER['origem']}"),
     "page_summary": f"SELECT {c.PAGE} AS page, {c.PAGE_SIZE} AS page_size, count(*) AS total,"
     f" CAST(ceil(count(*) / {c.PAGE_SIZE}) AS INTEGER) AS total_pages FROM unified",
     "volumetry": _period_views(
@@ -545,11 +546,8 @@ def oracle_sql() -> dict[str, str]:
     plain = {name: _with(sql) for name, sql in _PLAIN.items()}
     log = {
         "activity_state": _log_query(_STATE),
-        "activity_state_existing": _log_query(_STATE, existing=True),
         "history_from_commands": _log_query(_HISTORY),
-        "history_existing": _log_query(_HISTORY, existing=True),
         "files_from_commands": _log_query(_FILES),
         "rejected_commands": _log_query(_REJECTS),
-        "rejected_existing": _log_query(_REJECTS, existing=True),
     }
     return {**plain, **log}

@@ -62,7 +62,7 @@ def tickets(source: Source) -> DataFrame:
         "case when o_orderkey % 10 = 0 then 702 else 701 end as tqa_tipo_rede",
         "case when o_orderkey % 4 = 0 then cast(null as int) else 6611 end as tqa_responsavelpor_grupo",
     )
-    elements = lines.where("l_linenumber <= 2").selectExpr(
+    elements = lines.selectExpr(
         f"{ELEMENT_CODE} as tqa_codigo",
         "l_orderkey as tqa_origem",
         "cast(null as bigint) as tqa_raiz",
@@ -83,7 +83,7 @@ def tickets(source: Source) -> DataFrame:
 
 
 def equipment(source: Source) -> DataFrame:
-    lines = source.read("lineitem").where("l_linenumber <= 2 and l_partkey % 2 = 0")
+    lines = source.read("lineitem").where("l_partkey % 2 = 0")
     return lines.selectExpr(
         f"{ELEMENT_CODE} as aeq_ta",
         "concat('host-', cast(l_partkey as string)) as aeq_hostname",

@@ -2,41 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.operators.procedures import SUFFIX, procedure_summary
-from ticketlens.operators.skew import join_hot
+from ticketlens.operators.skew import chunked_join
 from ticketlens.operators.snapshot import (
     ACTIVE_TAG,
     CLOSED_TAG,
+    N2_GROUPS,
     TAG,
-    HotTickets,
     active_roots,
     closed_roots,
-    hot_snapshot,
     load_tables,
     rows_per_ticket,
+    snapshot,
     ticket_rows,
-    tickets_of,
-    usual_snapshot,
 )
-from ticketlens.operators.stays import classify_stay, hot_stay_table, stay_table
+from ticketlens.operators.stays import classify_stay, stay_table, stays_per_ticket
 from ticketlens.schemas import TRACKING
 
+# Keeps the life rows that entered in some period, by the name of the entry column.
+Entered = Callable[[DataFrame, str], DataFrame]
 
-def consolidate(
-    tickets: DataFrame, stays: DataFrame, procedures: DataFrame, hot: HotTickets = HotTickets()
-) -> DataFrame:
-    """Every snapshot row with each stay and each procedure row of its ticket."""
+
+def _pairs() -> Column:
+    """Rows that the stays of a ticket make with its snapshot rows."""
+    return F.coalesce("linhas", F.lit(1)) * F.coalesce("estadas", F.lit(1))
+
+
+def consolidate(tickets: DataFrame, stays: DataFrame, procedures: DataFrame) -> DataFrame:
+    """Every snapshot row with each stay and each procedure row of its ticket.
+
+    All three carry `linhas` and `estadas`, how many snapshot rows and stays the ticket
+    has (null for none): from them follows into how many chunks it is split."""
     with_stays = classify_stay(
-        join_hot(tickets, stays, "origem", hot_left=hot.wide, hot_right=hot.life)
+        chunked_join(tickets, stays, "origem", left_rows=F.col("linhas"), right_rows="estadas")
     )
-    keyed = procedures.withColumn("origem", F.col("origem" + SUFFIX))
-    rows = join_hot(with_stays, keyed, "origem", hot_left=hot.tickets)
+    rows = chunked_join(with_stays, procedures, "origem", left_rows=_pairs())
     tag = [column for column in tickets.columns if column == TAG]
     return rows.select(*[f.name for f in TRACKING], *tag)
 
@@ -45,43 +51,16 @@ def _procedures(tables: Mapping[str, DataFrame]) -> DataFrame:
     return procedure_summary(tables["proced"], tables["grupos"], tables["usuarios"])
 
 
-def _life_of(roots: DataFrame, tables: Mapping[str, DataFrame], restricted: bool) -> DataFrame:
-    """Life rows of the load's tickets: in a large load too only they are ordered
-    and summed. The semi-join partitions them by ticket, as the windows and the
-    next join need."""
-    if restricted:
-        return tables["vida"]
-    wanted = roots.select(F.col("tqa_codigo").alias("vda_ta"))
-    return tables["vida"].join(wanted, "vda_ta", "left_semi")
-
-
-def _usual(roots, tables, as_of: datetime, mode: str, restricted: bool) -> DataFrame:
-    life = _life_of(roots, tables, restricted)
-    stays = stay_table(life, tables["grupos"], tables["usuarios"], as_of)
-    return consolidate(usual_snapshot(roots, tables, mode), stays, _procedures(tables))
-
-
-def _hot(roots, tables, as_of: datetime, mode: str, hot: HotTickets) -> DataFrame:
-    # No more root tickets than hot keys: their codes are broadcast.
-    wanted = F.broadcast(roots.select(F.col("tqa_codigo").alias("vda_ta")))
-    life = tables["vida"].join(wanted, "vda_ta", "left_semi")
-    stays = hot_stay_table(life, tables["grupos"], tables["usuarios"], as_of)
-    return consolidate(hot_snapshot(roots, tables, mode, hot), stays, _procedures(tables), hot)
-
-
 def _tracking(
-    roots: DataFrame,
-    tables: Mapping[str, DataFrame],
-    as_of: datetime,
-    mode: str,
-    hot: HotTickets,
+    roots: DataFrame, tables: Mapping[str, DataFrame], as_of: datetime, mode: str
 ) -> DataFrame:
-    ready, restricted = load_tables(tables, roots)
-    if not hot.tickets:
-        return _usual(roots, ready, as_of, mode, restricted)
-    usual = _usual(*tickets_of(roots, ready, hot, kept=False), as_of, mode, restricted)
-    heavy = _hot(*tickets_of(roots, ready, hot, kept=True), as_of, mode, hot)
-    return usual.unionByName(heavy)
+    ready = load_tables(tables, roots)
+    lines, counts = rows_per_ticket(ready), stays_per_ticket(ready["vida"])
+    tickets = snapshot(roots, ready, mode, keep=("linhas", "estadas"), per_ticket=counts)
+    stays = stay_table(ready["vida"], ready["grupos"], ready["usuarios"], as_of, per_ticket=lines)
+    procedures = _procedures(ready).withColumn("origem", F.col("origem" + SUFFIX))
+    counted = procedures.join(lines, "origem", "left").join(counts, "origem", "left")
+    return consolidate(tickets, stays, counted)
 
 
 def tracking_active(
@@ -90,10 +69,9 @@ def tracking_active(
     start: datetime,
     end: datetime,
     mode: str = "life_or_procedure",
-    hot: HotTickets = HotTickets(),
 ) -> DataFrame:
     """Tracking rows of open tickets created in [start, end)."""
-    return _tracking(active_roots(tables["ta"], start, end), tables, as_of, mode, hot)
+    return _tracking(active_roots(tables["ta"], start, end), tables, as_of, mode)
 
 
 def tracking_closed(
@@ -103,19 +81,30 @@ def tracking_closed(
     end: datetime,
     created_from: datetime,
     mode: str = "life_or_procedure",
-    hot: HotTickets = HotTickets(),
 ) -> DataFrame:
     """Tracking rows of tickets that closed in (start, end]."""
     roots = closed_roots(tables["ta"], start, end, created_from)
-    return _tracking(roots, tables, as_of, mode, hot)
+    return _tracking(roots, tables, as_of, mode)
 
 
 def _both_roots(
-    ta: DataFrame, start: datetime, end: datetime, created_from: datetime
+    tables: Mapping[str, DataFrame],
+    start: datetime,
+    end: datetime,
+    created_from: datetime,
+    entered: Entered | None = None,
 ) -> DataFrame:
+    """Roots of both kinds, tagged; with `entered` only those with an N2 stay that
+    entered in its period."""
+    ta = tables["ta"]
     active = active_roots(ta, start, end).withColumn(TAG, F.lit(ACTIVE_TAG))
     closed = closed_roots(ta, start, end, created_from).withColumn(TAG, F.lit(CLOSED_TAG))
-    return active.unionByName(closed)
+    roots = active.unionByName(closed)
+    if entered is None:
+        return roots
+    life = tables["vida"].where(F.col("vda_grupo").isin(list(N2_GROUPS)))
+    seen = entered(life, "vda_data_initial").select(F.col("vda_ta").alias("tqa_codigo")).distinct()
+    return roots.join(seen, "tqa_codigo", "left_semi")
 
 
 def tracking_unified(
@@ -125,14 +114,49 @@ def tracking_unified(
     end: datetime,
     created_from: datetime,
     mode: str = "life_or_procedure",
-    hot: HotTickets = HotTickets(),
+    entered: Entered | None = None,
 ) -> DataFrame:
     """Both tables in one, tagged ATIVO / FECHADO in `origem_tabela`.
 
     Life rows, procedures and elements are read and shuffled once for both kinds
-    of ticket. The rows are those of `unified_tracking` over the two tables."""
-    roots = _both_roots(tables["ta"], start, end, created_from)
-    return _tracking(roots, tables, as_of, mode, hot)
+    of ticket. The rows are those of `unified_tracking` over the two tables; with
+    `entered`, all rows of tickets that have a stay in its period."""
+    return _tracking(_both_roots(tables, start, end, created_from, entered), tables, as_of, mode)
+
+
+def unified_sites(
+    tables: Mapping[str, DataFrame],
+    as_of: datetime,
+    start: datetime,
+    end: datetime,
+    created_from: datetime,
+    mode: str = "life_or_procedure",
+    entered: Entered | None = None,
+) -> DataFrame:
+    """Tickets of both kinds with their sites and stays, without equipment and
+    procedures: what a download that makes rows distinct needs of the tracking rows.
+    With `entered`, tickets with a stay in its period only."""
+    roots = _both_roots(tables, start, end, created_from, entered)
+    ready = load_tables(tables, roots)
+    sites = (
+        ready["ta"]
+        .select(
+            F.col("tqa_origem").alias("origem"),
+            F.col("tqa_area_codigo").alias("site"),
+            F.col("tqa_estado_codigo").alias("uf"),
+        )
+        .distinct()
+    )
+    places = sites.groupBy("origem").agg(F.count(F.lit(1)).alias("linhas"))
+    tickets = (
+        ticket_rows(roots, ready, mode)
+        .join(places, "origem", "left")
+        .join(stays_per_ticket(ready["vida"]), "origem", "left")
+    )
+    placed = chunked_join(tickets, sites.join(places, "origem"), "origem", right_rows="linhas")
+    stays = stay_table(ready["vida"], ready["grupos"], ready["usuarios"], as_of, per_ticket=places)
+    rows = chunked_join(placed, stays, "origem", left_rows=F.col("linhas"), right_rows="estadas")
+    return rows.drop("linhas", "estadas")
 
 
 def unified_stays(
@@ -142,23 +166,26 @@ def unified_stays(
     end: datetime,
     created_from: datetime,
     mode: str = "life_or_procedure",
-    hot: HotTickets = HotTickets(),
     weighted: bool = False,
 ) -> DataFrame:
     """Tickets of both kinds with each of their stays: the unified rows before
     elements, equipment and procedures multiply them. Reports that count distinct
     stays give the same result on it, for much less work.
 
-    `weighted=True` adds `repeats`, how often the joins would repeat the row: with
-    it, means over all tracking rows come out the same without a row repeated."""
-    roots = _both_roots(tables["ta"], start, end, created_from)
-    ready, restricted = load_tables(tables, roots)
-    life = _life_of(roots, ready, restricted)
-    stays = stay_table(life, ready["grupos"], ready["usuarios"], as_of, hot.life)
-    tickets = ticket_rows(roots, ready, mode)
+    `weighted=True` adds `linhas` (snapshot rows of the ticket), `procs` (its procedure
+    rows) and `repeats`, how often the joins would repeat the row: with them, counts and
+    means over all tracking rows come out the same without a row repeated."""
+    roots = _both_roots(tables, start, end, created_from)
+    ready = load_tables(tables, roots)
+    counts = stays_per_ticket(ready["vida"])
+    # No further columns: the stays carry only how many of them their ticket has.
+    stays = stay_table(
+        ready["vida"], ready["grupos"], ready["usuarios"], as_of, per_ticket=counts.select("origem")
+    )
+    tickets = ticket_rows(roots, ready, mode).join(counts, "origem", "left")
     if weighted:
         tickets = _with_repeats(tickets, ready)
-    return classify_stay(join_hot(tickets, stays, "origem", hot_right=hot.life))
+    return classify_stay(chunked_join(tickets, stays, "origem", right_rows="estadas")).drop("estadas")
 
 
 def _with_repeats(tickets: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -167,10 +194,9 @@ def _with_repeats(tickets: DataFrame, tables: Mapping[str, DataFrame]) -> DataFr
         .groupBy(F.col("origem" + SUFFIX).alias("origem"))
         .agg(F.count(F.lit(1)).alias("procs"))
     )
-    times = F.coalesce("linhas", F.lit(1)) * F.coalesce("procs", F.lit(1))
     return (
         tickets.join(rows_per_ticket(tables), "origem", "left")
         .join(procedures, "origem", "left")
-        .withColumn("repeats", times)
-        .drop("linhas", "procs")
+        .withColumns({"linhas": F.coalesce("linhas", F.lit(1)), "procs": F.coalesce("procs", F.lit(0))})
+        .withColumn("repeats", F.col("linhas") * F.greatest("procs", F.lit(1)))
     )

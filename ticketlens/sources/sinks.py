@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The partition column that tells the loads of a table apart.
+LOAD = "carga"
+
 
 def by_entry_month(df: DataFrame) -> DataFrame:
     """Adds `mes_entrada` (yyyyMM), the partition column of the tracking tables."""
@@ -26,27 +29,29 @@ def _write(df: DataFrame, path: str, mode: str, partition_by: tuple[str, ...]) -
     return path
 
 
-def full_refresh(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
-    """Replaces the table at `path` and returns the path.
+def full_refresh(df: DataFrame, folder: str, partition_by: tuple[str, ...] = ()) -> str:
+    """Writes the table beside its former versions in `folder` and returns the path of
+    the new one. Readers keep the version they opened; hand them the new path once the
+    job has succeeded, and remove versions nobody reads."""
+    return _write(df, f"{folder.rstrip('/')}/{uuid.uuid4().hex}", "errorifexists", partition_by)
 
-    Never give the path `df` is read from: write beside it and point readers
-    at the returned path."""
-    return _write(df, path, "overwrite", partition_by)
 
+def write_load(df: DataFrame, folder: str, start: datetime, end: datetime) -> str:
+    """Writes one load, of rows in (start, end], to its own folder in `folder`. The same
+    load written again replaces itself and no other."""
+    path = f"{folder.rstrip('/')}/{LOAD}={start:%Y%m%dT%H%M%S}-{end:%Y%m%dT%H%M%S}"
+    return _write(df, path, "overwrite", ())
 
-def append(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
-    """Adds rows to the table at `path` and returns the path."""
-    return _write(df, path, "append", partition_by)
 
+def read_loads(spark: SparkSession, folder: str) -> DataFrame:
+    """All loads of a folder as one table."""
+    return spark.read.parquet(folder).drop(LOAD)
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder path under the folder every executor sees.
 
-    That is `spark.checkpoint.dir`; only a local session without the setting
-    falls back to a temporary folder of this machine."""
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder path under the folder that `spark.checkpoint.dir` names, which
+    every executor sees."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="ticketlens-")
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -8,7 +8,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.operators.snapshot import HotTickets
 from ticketlens.plans.tracking import tracking_closed
 
 
@@ -26,12 +25,15 @@ def closed_increment(
     as_of: datetime,
     end: datetime,
     created_from: datetime,
-    hot: HotTickets = HotTickets(),
 ) -> DataFrame:
     """Tracking rows of tickets that closed after the newest closure in `target`,
-    up to `end`. Append them to the target; a second run then finds none.
+    up to `end`. Write them with `sinks.write_load`; a second run then finds none, and a
+    retried write replaces itself.
+
+    A ticket that arrives late, with a closure at or before the mark, is not in any later
+    increment: reload the range it closed in, whose folder the load then replaces.
 
     The mark is one value read ahead, so it reaches the ticket scan as a literal
     range filter. Without a mark everything since `created_from` is loaded."""
     start = closure_watermark(target) or created_from
-    return tracking_closed(tables, as_of, start, end, created_from, hot=hot)
+    return tracking_closed(tables, as_of, start, end, created_from)
