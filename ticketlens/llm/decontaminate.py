@@ -1,6 +1,6 @@
 """Benchmark decontamination by a positional inverted index.
 
-The corpus is indexed once: each segment (some megabytes of whole documents) is a row
+The corpus is indexed once: each segment (about a megabyte of whole documents) is a row
 with its terms, and for each term the sorted places where it stands. Test phrases are
 then answered from the stored lists alone: the list of a phrase's rarest term in the
 segment proposes where the phrase may start, and the lists of its other terms, moved by
@@ -24,7 +24,7 @@ from ticketlens.llm.common import stored
 from ticketlens.llm.words import text_bytes, word_hashes
 
 #: Bytes of text in a segment, phrases in a block, places checked at a time.
-SEGMENT_BYTES, BLOCK_PHRASES, CHECKED = 4_000_000, 100_000, 1_000_000
+SEGMENT_BYTES, BLOCK_PHRASES, CHECKED = 1_000_000, 100_000, 500_000
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -64,6 +64,8 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=schema.names,
                 )
                 number, start = number + 1, end
+            del raw, bounds, ids, texts
+            pa.default_memory_pool().release_unused()
 
     return stored(docs.select(id_col, text_col).mapInArrow(segments, schema), "index")
 
@@ -169,7 +171,8 @@ def phrase_hits(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: Phrases = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for place in range(batch.num_rows):
+                row = batch.slice(place, 1).to_pylist()[0]
                 first, terms, begins, postings = (
                     np.frombuffer(row[n], k).astype(k if k is np.uint64 else np.int64)
                     for n, k in (("first_words", np.int32), ("terms", np.uint64), ("term_starts", np.int32), ("postings", np.int32))

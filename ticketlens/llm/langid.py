@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ WORD = regex.compile(r"[\p{L}\p{M}]{1,%d}" % WORD_CHARS)
 CHAIN = 64
 BUCKETS = 1 << 17
 #: Words labelled at a time.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 100_000
 UNKNOWN = "und"
 
 
@@ -214,9 +215,11 @@ def label_column(spark, model: Model, text: Column) -> Column:
 
     @F.pandas_udf("lang_pred string, score double, n_words long, n_other long")
     def label(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(
+        out = pd.DataFrame(
             list(_label(shared.value, texts)), columns=["lang_pred", "score", "n_words", "n_other"]
         ).astype({"n_words": "int64", "n_other": "int64", "score": "float64"})
+        pa.default_memory_pool().release_unused()
+        return out
 
     return label(text)
 

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +59,9 @@ def fingerprint_column(text: Column, shingle: int) -> Column:
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
+        prints = pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
+        pa.default_memory_pool().release_unused()
+        return prints
 
     return of(text)
 
