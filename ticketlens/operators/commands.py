@@ -175,8 +175,10 @@ def history_from_commands(judged: DataFrame) -> DataFrame:
 
 def files_from_commands(judged: DataFrame) -> DataFrame:
     """Attachment metadata of accepted attach commands. The command id is the file
-    id; the size is that of the `conteudo` bytes where commands carry them."""
+    id; size and content type are those of `conteudo` and `content_type` where commands
+    carry them."""
     attached = _accepted(judged).where(F.col("kind") == ATTACH)
+    content = F.col("content_type") if "content_type" in judged.columns else F.lit(None)
     size = F.octet_length("conteudo") if "conteudo" in judged.columns else F.lit(None)
     # Leading dots are part of the name, not the start of an extension.
     extension = F.regexp_extract("nome_original", r"^(?:.*/)?\.*[^./][^/]*?(\.[^./]*)$", 1)
@@ -185,6 +187,7 @@ def files_from_commands(judged: DataFrame) -> DataFrame:
         "id_atividade",
         "nome_original",
         extension.alias("extensao"),
+        content.cast("string").alias("content_type"),
         size.cast("bigint").alias("tamanho_bytes"),
         F.col("ts").alias("data_upload"),
     )

@@ -359,7 +359,10 @@ def _judged(spark, sf_dir):
     """Given activities and judged commands."""
     log = _tables(spark, sf_dir)
     given = log["atividade_suporte"]
-    cmds = log["comandos"].withColumn("conteudo", F.encode("observacoes", "UTF-8"))
+    named = F.when(F.col("nome_original").isNotNull(), "text/plain")
+    cmds = log["comandos"].withColumns(
+        {"conteudo": F.encode("observacoes", "UTF-8"), "content_type": named}
+    )
     return given, commands.judge_commands(given, log["atividade_padrao"], cmds)
 
 

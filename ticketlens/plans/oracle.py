@@ -449,6 +449,7 @@ FROM judged WHERE motivo IS NOT NULL"""
 
 _FILES = """
 SELECT cmd_id AS id_arquivo, id_atividade, nome_original, '.' || string_split(nome_original, '.')[-1] AS extensao,
+  CASE WHEN nome_original IS NOT NULL THEN 'text/plain' END AS content_type,
   octet_length(encode(observacoes)) AS tamanho_bytes, ts AS data_upload
 FROM done WHERE kind = 'attach'"""
 
