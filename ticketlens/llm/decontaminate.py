@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketlens.llm.common import stored
+from ticketlens.llm.common import give_back, stored
 from ticketlens.llm.words import text_bytes, word_hashes
 
 #: Bytes of text in a segment, phrases in a block, places checked at a time.
@@ -65,7 +65,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
                 number, start = number + 1, end
             del raw, bounds, ids, texts
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return stored(docs.select(id_col, text_col).mapInArrow(segments, schema), "index")
 
@@ -214,6 +214,8 @@ def phrase_hits(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
                             ]
                         ),
                     )
+                del row, first, terms, begins, postings
+            give_back()
 
     return index.select("segment", "first_words", "terms", "term_starts", "postings").mapInArrow(search, _HITS)
 

@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketlens.llm.common import give_back
+
 #: A word is a run of letters; runs of more than 24 letters are cut into several words.
 WORD_CHARS = 24
 WORD = regex.compile(r"[\p{L}\p{M}]{1,%d}" % WORD_CHARS)
@@ -218,7 +219,7 @@ def label_column(spark, model: Model, text: Column) -> Column:
         out = pd.DataFrame(
             list(_label(shared.value, texts)), columns=["lang_pred", "score", "n_words", "n_other"]
         ).astype({"n_words": "int64", "n_other": "int64", "score": "float64"})
-        pa.default_memory_pool().release_unused()
+        give_back()
         return out
 
     return label(text)

@@ -14,12 +14,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import stored, whole_groups
+from ticketlens.llm.common import give_back, stored, whole_groups
 
 #: Fingerprints of one slot of a shard; a tree holds two slots at most.
 SLOT = 8192
@@ -60,7 +59,7 @@ def fingerprint_column(text: Column, shingle: int) -> Column:
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         prints = pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
-        pa.default_memory_pool().release_unused()
+        give_back()
         return prints
 
     return of(text)
