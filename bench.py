@@ -1,7 +1,7 @@
 """Times the headline queries and prints one JSON line.
 
 BENCH_SF_DIR names the data folder, BENCH_CPUS the local cores. Every query is
-built and run once to warm up, then three times, and its best time counts; results
+built and run once to warm up, then twice, and its best time counts; results
 go to a sink that drops the rows after computing all of them."""
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ ON_STORED = {
 }
 
 
-RUNS = 3
+RUNS = 2
 
 
 def seconds(build) -> float:
