@@ -44,6 +44,33 @@ def test_all_axes_probed_is_exact_with_ties(spark, monkeypatch, chunk):
         assert [v for _, v in own] == [v for v, _ in _exact(np.arange(80), matrix.astype(float), query, 10)]
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_hot_group_scores_few_pairs(spark, monkeypatch, near):
+    matrix = np.random.default_rng(5).normal(size=(400, 4))
+    matrix[40:] = matrix[40]
+    if near:  # not equal, but too near for the rough scores to tell apart
+        matrix[40:] *= 1 + 1e-13 * np.arange(360)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id long, embedding array<double>").repartition(4)
+    few = neighbours._smallest_of_equal(df.selectExpr("vec_id AS id", "embedding AS vector"), 6).collect()
+    assert sorted(r["id"] for r in few) == list(range(400 if near else 46))
+    monkeypatch.setattr(neighbours, "CHUNK", 50)
+    rank, scale = neighbours._rank, spark.sparkContext.accumulator(0)
+
+    def small(frame, k):
+        for _, group in frame.groupby(neighbours._KEYS):
+            asks = int(group["query"].sum())
+            if asks > 90 or len(group) - asks > 90:  # a chunk is 50 rows by hash
+                scale.add(1)
+        return rank(frame, k)
+
+    monkeypatch.setattr(neighbours, "_rank", small)
+    got = neighbours.search(df, df, 5, 1, 8).collect()
+    assert scale.value == 0
+    for query in range(0, 400, 13):
+        own = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == query)
+        assert [v for _, v in own] == [v for v, _ in _exact(np.arange(400), matrix, query, 5)]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0])]

@@ -4,7 +4,9 @@ In each table a vector of unit length is turned by a pseudo-rotation (three roun
 flips and a fast Hadamard transform) and falls to the nearest signed axis. A query probes
 the axes nearest to it. What shares a bucket is a candidate and is ranked by the exact
 inner product of the original vectors; only a query's best of a batch of buckets leave it.
-Buckets above a bound are cut into chunks, and a query goes to all chunks of a bucket."""
+Buckets above a bound are cut into chunks of vectors and chunks of queries, and each chunk
+of the ones meets each of the others. Of equal vectors only the k + 1 smallest ids are
+indexed: the others have the same score and lose every tie."""
 
 from __future__ import annotations
 
@@ -18,9 +20,13 @@ from pyspark.sql.window import Window
 
 from ticketlens.llm.common import stored, whole_groups
 
-#: Vectors of a chunk of a bucket, and rows of a batch of whole chunks.
+#: Vectors, and queries, of a chunk of a bucket; rows of a batch of whole chunks.
 CHUNK, BATCH = 4096, 40_000
-_KEYS = ["dim", "place", "chunk"]
+#: Products held at a time: of a slab of queries with a chunk, and of pairs scored exactly.
+SLAB_CELLS, SCORED_CELLS = 1_000_000, 4_000_000
+#: Into how many parts, in turn, the ids of equal vectors are dealt to find the smallest.
+SALTS = (64, 8, 1)
+_KEYS = ["dim", "place", "chunk", "part"]
 
 
 def usable(vector: Column) -> Column:
@@ -58,30 +64,55 @@ def nearest_axes(turned: np.ndarray, probes: int) -> np.ndarray:
     return np.argsort(-signed, axis=1, kind="stable")[:, :probes]
 
 
+def _axes(batches: Iterable[pd.DataFrame], tables: int, probes: int, seed: int) -> Iterator[tuple]:
+    """(dim, ids, matrix, place): place has a row for each vector and numbers a table's axes."""
+    for batch in batches:
+        lengths = batch["vector"].map(len)
+        for dim, same in batch.groupby(lengths):
+            matrix = np.array(same["vector"].tolist(), dtype=np.float64)
+            for number in range(tables):
+                axes = nearest_axes(rotated(matrix, number, seed), probes)
+                yield np.int32(dim), same["id"].to_numpy(), matrix, number * (1 << 20) + axes
+
+
 def _hashed(vectors: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
     """From (id, vector) to (dim, place, id, raw): a row for each table and probe; place
     numbers a table's axis, raw holds the vector as doubles."""
 
     def of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            lengths = batch["vector"].map(len)
-            for dim, same in batch.groupby(lengths):
-                matrix = np.array(same["vector"].tolist(), dtype=np.float64)
-                ids, raw = same["id"].to_numpy(), np.array([row.tobytes() for row in matrix], dtype=object)
-                for number in range(tables):
-                    axes = nearest_axes(rotated(matrix, number, seed), probes)
-                    yield pd.DataFrame(
-                        {
-                            "dim": np.int32(dim),
-                            "place": number * (1 << 20) + axes.ravel(),
-                            "id": np.repeat(ids, axes.shape[1]),
-                            "raw": np.repeat(raw, axes.shape[1]),
-                        }
-                    )
+        for dim, ids, matrix, place in _axes(batches, tables, probes, seed):
+            raw = np.array([row.tobytes() for row in matrix], dtype=object)
+            each = place.shape[1]
+            yield pd.DataFrame({"dim": dim, "place": place.ravel(), "id": np.repeat(ids, each), "raw": np.repeat(raw, each)})
 
     return vectors.mapInPandas(of, "dim int, place long, id long, raw binary")
 
 
+def _rows_by_place(vectors: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
+    """How many rows _hashed() has for each dim and place, without making them."""
+
+    def of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for dim, _, _, place in _axes(batches, tables, probes, seed):
+            places, rows = np.unique(place, return_counts=True)
+            yield pd.DataFrame({"dim": dim, "place": places, "rows": rows})
+
+    counts = vectors.mapInPandas(of, "dim int, place long, rows long")
+    return counts.groupBy("dim", "place").agg(F.sum("rows").alias("count"))
+
+
+def _smallest_of_equal(vectors: DataFrame, least: int) -> DataFrame:
+    """(id, vector) with only the `least` smallest ids of equal vectors. Only vectors that
+    more rows share are looked at, and their ids are dealt out, so that no task sees all."""
+    key = F.xxhash64("vector").alias("_key")
+    common = vectors.groupBy(key).count().where(F.col("count") > least).select("_key")
+    keyed = vectors.withColumn("_key", F.xxhash64("vector"))
+    shared = keyed.join(common, "_key")
+    for salts in SALTS:
+        order = Window.partitionBy("vector", F.pmod(F.xxhash64("id"), F.lit(salts))).orderBy("id")
+        shared = shared.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= least).drop("_place")
+    return keyed.join(common, "_key", "left_anti").unionByName(shared).drop("_key")
+
+
 def best(query: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best of each query, each partner once; ties go to the smaller id."""
     order = np.lexsort((other, -score, query))
@@ -92,33 +123,40 @@ def best(query: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> np.
     return order[np.arange(len(query)) - starts < k]
 
 
+def _best_of_slab(left: np.ndarray, asks: np.ndarray, right: np.ndarray, ids: np.ndarray, k: int) -> tuple:
+    """(query, other, score): the k best of each query of a slab among the vectors of a chunk."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = left @ right.T
+    other = asks[:, None] != ids[None, :]
+    rough[~other] = -np.inf
+    if rough.shape[1] > k:
+        least = np.partition(rough, -k, axis=1)[:, -k]
+        slack = 1e-9 * np.maximum(1, np.abs(least))
+        other &= rough >= (least - slack)[:, None]
+    a, b = np.nonzero(other)
+    score, step = np.empty(len(a)), max(1, SCORED_CELLS // max(1, left.shape[1]))
+    for at in range(0, len(a), step):
+        score[at : at + step] = (left[a[at : at + step]] * right[b[at : at + step]]).sum(axis=1)
+    top = best(asks[a], ids[b], score, k)
+    return asks[a[top]], ids[b[top]], score[top]
+
+
 def _rank(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     """The best of each query of a frame of whole chunks."""
-    queries, others, scores = [], [], []
+    found = []
     for _, group in frame.groupby(_KEYS, sort=False):
         asks = group["query"].to_numpy()
         if not asks.any() or asks.all():
             continue
         matrix = np.frombuffer(b"".join(group["raw"]), np.float64).reshape(len(group), -1)
         ids = group["id"].to_numpy()
-        left, right = matrix[asks], matrix[~asks]
-        with np.errstate(over="ignore", invalid="ignore"):
-            rough = left @ right.T
-        rough[ids[asks][:, None] == ids[~asks][None, :]] = -np.inf
-        if rough.shape[1] > k:
-            least = np.partition(rough, -k, axis=1)[:, -k]
-            slack = 1e-9 * np.maximum(1, np.abs(least))
-            keep = rough >= (least - slack)[:, None]
-        else:
-            keep = np.ones(rough.shape, bool)
-        keep &= ids[asks][:, None] != ids[~asks][None, :]
-        a, b = np.nonzero(keep)
-        queries.append(ids[asks][a])
-        others.append(ids[~asks][b])
-        scores.append((left[a] * right[b]).sum(axis=1))
-    if not queries:
+        left, right, own, others = matrix[asks], matrix[~asks], ids[asks], ids[~asks]
+        slab = max(1, SLAB_CELLS // len(others))
+        for at in range(0, len(own), slab):
+            found.append(_best_of_slab(left[at : at + slab], own[at : at + slab], right, others, k))
+    if not found:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-    query, other, score = np.concatenate(queries), np.concatenate(others), np.concatenate(scores)
+    query, other, score = (np.concatenate(column) for column in zip(*found))
     top = best(query, other, score, k)
     return pd.DataFrame({"query_id": query[top], "vec_id": other[top], "score": score[top]})
 
@@ -148,21 +186,30 @@ def search(
             F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")
         )
 
-    index = stored(_hashed(clean(vectors), tables, 1, seed), "axes")
+    index = stored(_hashed(_smallest_of_equal(clean(vectors), k + 1), tables, 1, seed), "axes")
     asked = _hashed(clean(queries), tables, probes, seed)
-    chunks = F.ceil(F.col("count") / CHUNK).cast("int")
-    large = index.groupBy("dim", "place").count().where(F.col("count") > CHUNK).select("dim", "place", chunks.alias("chunks"))
-
-    def spread(df: DataFrame, chunk: Column, query: bool) -> DataFrame:
-        return (
-            df.join(large, ["dim", "place"], "left")
-            .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-            .select("dim", "place", chunk.alias("chunk"), "id", "raw", F.lit(query).alias("query"))
+
+    def chunks(counts: DataFrame, name: str) -> DataFrame:
+        return counts.select("dim", "place", F.ceil(F.col("count") / CHUNK).cast("int").alias(name))
+
+    large = (
+        chunks(index.groupBy("dim", "place").count(), "chunks")
+        .join(chunks(_rows_by_place(clean(queries), tables, probes, seed), "parts"), ["dim", "place"])
+        .where("chunks > 1 OR parts > 1")
+    )
+
+    def spread(df: DataFrame, query: bool) -> DataFrame:
+        def place(number: str, own: bool) -> Column:
+            count = F.coalesce(number, F.lit(1))
+            if own:
+                return F.pmod(F.xxhash64("id", "raw"), count).cast("int")
+            return F.explode(F.sequence(F.lit(0), count - 1))
+
+        return df.join(large, ["dim", "place"], "left").select(
+            "dim", "place", place("chunks", not query).alias("chunk"), place("parts", query).alias("part"), "id", "raw", F.lit(query).alias("query")
         )
 
-    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    together = spread(index, own, False).unionByName(spread(asked, every, True))
+    together = spread(index, False).unionByName(spread(asked, True))
 
     def rank(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(batches, _KEYS, BATCH):
