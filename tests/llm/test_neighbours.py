@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,34 @@ def test_hot_group_scores_few_pairs(spark, monkeypatch, near):
         assert [v for _, v in own] == [v for v, _ in _exact(np.arange(400), matrix, query, 5)]
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_repeated_ids_take_one_place(spark, same):
+    rows = [(1, [1.0, 0.0]), (8, [0.8, 0.1]), (9, [0.7, 0.1])]
+    rows += [(7, [0.9, 0.0 if same else 0.001 * i]) for i in range(25)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(df, df.where("vec_id = 1"), 2, 1, 4).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 7, 0.9), (2, 8, 0.8)]
+
+
+def test_slabs_of_few_queries_and_pairs(monkeypatch):
+    random = np.random.default_rng(7)
+    matrix, ids = random.normal(size=(300, 4)), random.integers(0, 40, 300)
+    matrix[:100] = matrix[0]
+    frame = pd.DataFrame({"id": ids, "raw": [v.tobytes() for v in matrix], "query": np.arange(300) % 3 == 0})
+    frame = frame.assign(**dict.fromkeys(neighbours._KEYS, 0))
+    whole = neighbours._rank(frame, 5).sort_values(["query_id", "vec_id"])
+    monkeypatch.setattr(neighbours, "SLAB_CELLS", 500)
+    monkeypatch.setattr(neighbours, "SCORED_CELLS", 100)
+    parts = neighbours._rank(frame, 5).sort_values(["query_id", "vec_id"])
+    assert np.array_equal(whole.to_numpy(), parts.to_numpy())
+    asks = frame["query"].to_numpy()
+    for query in set(ids[asks]):
+        scores = (matrix[asks & (ids == query)] @ matrix[~asks].T).max(axis=0)
+        best = pd.Series(scores).groupby(ids[~asks]).max().drop(query, errors="ignore").nlargest(5)
+        own = whole[whole["query_id"] == query]
+        assert len(own) == 5 and np.allclose(sorted(own["score"]), sorted(best))
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0])]

@@ -3,7 +3,7 @@
 In each table a vector of unit length is turned by a pseudo-rotation (three rounds of sign
 flips and a fast Hadamard transform) and falls to the nearest signed axis. A query probes
 the axes nearest to it. What shares a bucket is a candidate and is ranked by the exact
-inner product of the original vectors; only a query's best of a batch of buckets leave it.
+inner product of the original vectors; only a query's best of many buckets leave a task.
 Buckets above a bound are cut into chunks of vectors and chunks of queries, and each chunk
 of the ones meets each of the others. Of equal vectors only the k + 1 smallest ids are
 indexed: the others have the same score and lose every tie."""
@@ -22,6 +22,8 @@ from ticketlens.llm.common import stored, whole_groups
 
 #: Vectors, and queries, of a chunk of a bucket; rows of a batch of whole chunks.
 CHUNK, BATCH = 4096, 40_000
+#: Rows found that a task brings together before they leave it.
+HELD = 500_000
 #: Products held at a time: of a slab of queries with a chunk, and of pairs scored exactly.
 SLAB_CELLS, SCORED_CELLS = 1_000_000, 4_000_000
 #: Into how many parts, in turn, the ids of equal vectors are dealt to find the smallest.
@@ -124,13 +126,15 @@ def best(query: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> np.
 
 
 def _best_of_slab(left: np.ndarray, asks: np.ndarray, right: np.ndarray, ids: np.ndarray, k: int) -> tuple:
-    """(query, other, score): the k best of each query of a slab among the vectors of a chunk."""
+    """(query, other, score): the k best of each query of a slab among the vectors of a
+    chunk, which are sorted by id; the cut is at the k-th id, not at the k-th vector."""
     with np.errstate(over="ignore", invalid="ignore"):
         rough = left @ right.T
     other = asks[:, None] != ids[None, :]
     rough[~other] = -np.inf
-    if rough.shape[1] > k:
-        least = np.partition(rough, -k, axis=1)[:, -k]
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    if len(starts) > k:
+        least = np.partition(np.maximum.reduceat(rough, starts, axis=1), -k, axis=1)[:, -k]
         slack = 1e-9 * np.maximum(1, np.abs(least))
         other &= rough >= (least - slack)[:, None]
     a, b = np.nonzero(other)
@@ -148,6 +152,8 @@ def _rank(frame: pd.DataFrame, k: int) -> pd.DataFrame:
         asks = group["query"].to_numpy()
         if not asks.any() or asks.all():
             continue
+        order = np.argsort(group["id"].to_numpy(), kind="stable")
+        group, asks = group.iloc[order], asks[order]
         matrix = np.frombuffer(b"".join(group["raw"]), np.float64).reshape(len(group), -1)
         ids = group["id"].to_numpy()
         left, right, own, others = matrix[asks], matrix[~asks], ids[asks], ids[~asks]
@@ -156,9 +162,13 @@ def _rank(frame: pd.DataFrame, k: int) -> pd.DataFrame:
             found.append(_best_of_slab(left[at : at + slab], own[at : at + slab], right, others, k))
     if not found:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-    query, other, score = (np.concatenate(column) for column in zip(*found))
-    top = best(query, other, score, k)
-    return pd.DataFrame({"query_id": query[top], "vec_id": other[top], "score": score[top]})
+    return _merged([pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), f))) for f in found], k)
+
+
+def _merged(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """The k best of each query of all frames."""
+    rows = pd.concat(found, ignore_index=True)
+    return rows.iloc[best(*(rows[c].to_numpy() for c in ("query_id", "vec_id", "score")), k)]
 
 
 def search(
@@ -182,9 +192,10 @@ def search(
     vectors are ranked; what no probe reaches is not found."""
 
     def clean(df: DataFrame) -> DataFrame:
-        return df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
+        rows = df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
             F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")
         )
+        return rows.dropDuplicates(["id", "vector"])
 
     index = stored(_hashed(_smallest_of_equal(clean(vectors), k + 1), tables, 1, seed), "axes")
     asked = _hashed(clean(queries), tables, probes, seed)
@@ -212,8 +223,15 @@ def search(
     together = spread(index, False).unionByName(spread(asked, True))
 
     def rank(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for frame in whole_groups(batches, _KEYS, BATCH):
-            yield _rank(frame, k)
+            held.append(_rank(frame, k))
+            if sum(map(len, held)) >= HELD:
+                held = [_merged(held, k)]
+                if len(held[0]) > HELD // 2:
+                    yield held.pop()
+        if held:
+            yield _merged(held, k)
 
     found = (
         together.repartition(*_KEYS)
