@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import re
+import textwrap
+
 import compare
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +44,54 @@ def test_licences(frame):
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
 
 
+MIT = """MIT License
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+BSD = """Copyright (c) 2020, Some One.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+   disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+   disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+   products derived from this software without specific prior written permission.
+"""
+
+
+def _wrapped(text, width, mark=""):
+    paragraphs = [textwrap.wrap(p, width) or [""] for p in text.replace("\n   ", " ").split("\n\n") for p in re.split(r"\n(?=[23]\. )", p)]
+    return "\n".join((mark + line).rstrip() for p in paragraphs for line in [*p, ""])
+
+
+@pytest.mark.parametrize(("width", "mark"), [(70, ""), (76, " * "), (60, "# "), (40, "// ")])
+def test_wrapped_licences(frame, width, mark):
+    texts = [MIT, BSD, BSD + BSD_3, GPL, GPL.replace("version 3", "version 2")]
+    rows = [(i, _wrapped(t, width, mark)) for i, t in enumerate(texts)]
+    rows += [(10, MIT.split("\n\n")[1].replace(" ", "\r\n")), (11, "All rights\n\nreserved"), (12, "x all rights\nreserved"), (13, "Title\nAll rights\nreserved\nmore")]
+    got = {r["doc_id"]: (r["licenses"], r["unresolved"]) for r in licenses.scan(frame(rows)).collect()}
+    reserved = "LicenseRef-all-rights-reserved"
+    assert [got[i][0] for i in range(5)] == ["MIT", f"BSD-2-Clause,{reserved}", f"BSD-3-Clause,{reserved}", "GPL-3.0-or-later", "GPL-2.0-or-later"]
+    assert [got[i] for i in range(10, 14)] == [("", "<mit-grant>"), ("", ""), ("", ""), (reserved, "")]
+
+
 def _judge(spark, pages, listed):
     df = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string").withColumn("host", F.lit("x")).withColumn("key", F.lit(1))
     names = spark.createDataFrame([(u,) for u in listed], "url string")

@@ -1,8 +1,9 @@
 """Licence recognition by sentence rules.
 
 A text is cut into sentences, each sentence is normalised (lower case, only letters,
-digits and single spaces) and looked up among known licence sentences. The identifiers
-found, in order, are matched against ordered licence rules: a rule that finds its
+digits and single spaces) and looked up among known licence sentences. A line's end ends a
+sentence, but lines that follow each other may also be one known sentence, wrapped, with
+comment marks or not. The identifiers found, in order, are matched against ordered licence rules: a rule that finds its
 identifiers next to each other names its licence and uses them up."""
 
 from __future__ import annotations
@@ -76,6 +77,20 @@ def normalised_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def known_sentences(text: Column) -> Column:
+    """The known sentences of a text, normalised, in order: whole sentences, or several lines
+    that no punctuation and no blank line parts; of those that start alike the longest. A
+    line of marks only is blank, as in a comment."""
+    hard = F.regexp_replace(F.translate(text, UPPER, LOWER), r"[.!?;:]+[ \t\r\n]+", "E")
+    plain = F.regexp_replace(hard, r"[^a-z0-9\nE]+", " ")
+    plain = F.regexp_replace(plain, r" ?\n(?: ?\n)+", "E")
+    lines = F.regexp_replace(F.trim(plain), r" ?([\nE]) ?", "$1")
+    longest_first = sorted(SENTENCES, key=len, reverse=True)
+    wrapped = "|".join(s.replace(" ", r"[ \n]") for s in longest_first)
+    found = F.regexp_extract_all(lines, F.lit(rf"(?<![^\nE])(?:{wrapped})(?![^\nE])"), F.lit(0))
+    return F.transform(found, lambda s: F.translate(s, "\n", " "))
+
+
 def pattern(identifiers: tuple[str, ...]) -> str:
     return "".join(f"<{i}>" for i in identifiers)
 
@@ -86,7 +101,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     of the rules), unresolved (identifiers that no rule used).
 
     Null and empty texts have no sentences; repeated rows stay repeated; an empty table
-    gives an empty one; other columns are not read."""
+    gives an empty one; other columns are not read. n_sentences counts a wrapped sentence by
+    its lines, n_known and the rest count it once. Words as comment marks (`rem`, `dnl`) are
+    not left out."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     rules = F.array(
         *[F.struct(F.lit(name).alias("name"), F.lit(pattern(ids)).alias("pattern")) for name, ids in RULES]
@@ -106,11 +123,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     nothing = F.struct(F.col("sentence_ids").alias("left"), no_names.alias("names"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     return (
-        docs.select(F.col(id_col).alias("doc_id"), normalised_sentences(text).alias("_sentences"))
+        docs.select(F.col(id_col).alias("doc_id"), normalised_sentences(text).alias("_sentences"), known_sentences(text).alias("_known"))
         .select(
             "doc_id",
             F.size("_sentences").cast("long").alias("n_sentences"),
-            F.filter(F.transform("_sentences", lambda s: known[s]), lambda i: i.isNotNull()).alias("_ids"),
+            F.transform("_known", lambda s: known[s]).alias("_ids"),
         )
         .withColumn(
             "sentence_ids", F.array_join(F.transform("_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
