@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -59,6 +60,18 @@ def test_odd_rows(frame):
     assert [tuple(r)[2:4] for r in langid.identify(frame([(1, "the sea")])).collect()] == [("und", 0.0)]
 
 
+def test_sample_counts_different_texts(frame):
+    rows = [(i, f"the house number {i % 1000} of the king", "en") for i in range(1000)]
+    rows += [(i, f"der hund nummer {i % 40} und die katze", "de") for i in range(1000, 9000)]
+    taken = {}
+    train, langid.train = langid.train, lambda texts, names: taken.update(Counter(names)) or train(texts, names)
+    try:
+        langid.fit(frame(rows), 20)
+    finally:
+        langid.train = train
+    assert set(taken) == {"de", "en"} and all(10 <= n <= 32 for n in taken.values())
+
+
 def test_filter_keeps_columns(frame):
     docs = frame([(i, "the house of the king", "en") for i in range(20)] + [(30, None), (31, "123")])
     kept = langid.keep_known(docs, 0.4)

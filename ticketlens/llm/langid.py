@@ -28,6 +28,8 @@ BUCKETS = 1 << 17
 #: Words labelled at a time.
 BATCH_WORDS = 100_000
 UNKNOWN = "und"
+#: Parts of the hash range that a sample is picked by; far more than texts of a language.
+SAMPLE_PARTS = 1 << 50
 
 
 @dataclass
@@ -226,20 +228,22 @@ def label_column(spark, model: Model, text: Column) -> Column:
 
 
 def fit(labelled: DataFrame, per_language: int = 250, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on a bounded sample: about `per_language` texts of each language, at most
-    twice as many, picked by a hash of the text. Rows without text or language are left
+    """Fits on a bounded sample: about `per_language` different texts of each language, at
+    most twice as many, picked by a hash of the text. Copies of a text count once, so that
+    each language has its share however often its texts repeat. Rows without text or language are left
     out; without any row the model knows no language. The model has a fixed size for each
     language, so it can be broadcast."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         "text IS NOT NULL AND lang IS NOT NULL"
     )
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    texts = rows.select("lang", F.xxhash64("text").alias("_text")).distinct()
+    counts = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
     if not counts:
         return train([], [])
     wanted = F.lit(False)
-    place = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
+    place = F.pmod(F.xxhash64("text"), F.lit(SAMPLE_PARTS))
     for language, n in sorted(counts.items()):
-        wanted = wanted | ((F.col("lang") == language) & (place < int(1_000_000 * min(1, per_language / n))))
+        wanted = wanted | ((F.col("lang") == language) & (place < int(SAMPLE_PARTS * min(1, per_language / n))))
     sample = rows.where(wanted).dropDuplicates(["text", "lang"]).limit(2 * per_language * len(counts)).collect()
     sample.sort(key=lambda r: (r["lang"], r["text"]))
     return train([r["text"] for r in sample], [r["lang"] for r in sample])
