@@ -4,6 +4,7 @@ import itertools
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 
 from ticketlens.llm import langid, queries
@@ -78,6 +79,16 @@ def test_filter_keeps_columns(frame):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
 
 
+def test_filter_keeps_mixed_and_unlabelled_texts(spark, frame):
+    texts = {"en": "the house of the king and the sea", "de": "der hund und die katze sind ein haus", "fr": "le chat dans une maison avec nous deux"}
+    rows = [(i, text, lang) for n, (lang, text) in enumerate(texts.items()) for i in range(40 * n, 40 * n + 40)]
+    docs = frame([*rows, (200, " ".join(texts.values()) + " der"), (201, "12 34")])
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert kept == {*range(120), 200}
+    unlabelled = frame([(1, "the sea"), (2, "le chat"), (3, "12 34"), (4, None)])
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, unlabelled, "").collect()} == {1, 2}
+
+
 def test_long_words_are_cut():
     assert [len(w) for w in langid.WORD.findall("a" * 50)] == [24, 24, 2]
     assert langid.features(["a" * 24, "b"]).max() < langid.BUCKETS

@@ -279,16 +279,19 @@ def identify(
 
 def keep_known(
     docs: DataFrame,
-    least: float,
+    least: float = 0.0,
     per_language: int = 250,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """`docs` without the rows whose text has no language or whose score is below
-    `least`. All columns stay, whatever their names."""
+    """`docs` without the rows whose text has no words or whose score is below `least`;
+    without any labelled row there are no scores, and all texts with words stay. All columns
+    stay, whatever their names."""
     model = fit(docs.where(training_rows(docs, id_col)), per_language, text_col, lang_col)
     label = label_column(docs.sparkSession, model, F.col(text_col)).alias("label")
     labelled = docs.select(F.struct("*").alias("row"), label)
-    known = (F.col("label.lang_pred") != UNKNOWN) & (F.col("label.score") >= least)
+    known = F.col("label.n_words") > 0
+    if model.languages:
+        known = known & (F.col("label.score") >= least)
     return labelled.where(known).select("row.*")
