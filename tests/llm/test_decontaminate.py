@@ -103,3 +103,15 @@ def test_filter_keeps_columns(frame, spark):
     docs = frame([(1, "some bad words here"), (2, "good"), (2, None), (None, "good"), (2, "good")])
     kept = decontaminate.without_contaminated(docs, items)
     assert kept.columns == docs.columns and sorted(r["text"] or "" for r in kept.collect()) == ["", "good", "good", "good"]
+
+
+def test_near_words_are_of_one_document(spark, frame):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    common = (9, "beta gamma delta x x x beta gamma delta")
+    # Document 1 ends before delta; in 3 the rarest word, alpha, stands one late.
+    docs = [common, (1, "alpha beta gamma y"), (2, "delta z"), (3, "beta alpha gamma delta"), (4, "")]
+    for partitions in (1, 5):
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        df = df.coalesce(1) if partitions == 1 else df.repartition(partitions, "doc_id")
+        got = {r["doc_id"]: r["n_near"] for r in decontaminate.contamination(df, items, slop=2).collect()}
+        assert got == {9: 0, 1: 0, 2: 0, 3: 1, 4: 0}

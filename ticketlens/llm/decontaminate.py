@@ -111,14 +111,16 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def find(
     terms: np.ndarray, term_starts: np.ndarray, postings: np.ndarray, first_words: np.ndarray, phrases: Phrases, slop: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, first word) of all occurrences in a segment, inside one document each."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, first word, document) of all occurrences in a segment, with all words inside
+    the document of the rarest one. With a slop, the first word is where it would stand if
+    none were off its place, which may be outside the document."""
     width = phrases.terms.shape[1]
     used = np.arange(width) < phrases.lengths[:, None]
     known = np.searchsorted(terms, phrases.terms)
     known = np.minimum(known, max(len(terms) - 1, 0))
     if not len(terms) or not len(phrases.lengths):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     present = (terms[known] == phrases.terms) | ~used
     alive = np.flatnonzero(present.all(axis=1))
     known, used = known[alive], used[alive]
@@ -129,35 +131,34 @@ def find(
     # Lists of all terms in one sorted array: term number, then place.
     places = np.repeat(np.arange(len(terms)), counts) * total + postings
     rarest = np.take_along_axis(sizes, order[:, :1], axis=1)[:, 0] if len(alive) else np.zeros(0, np.int64)
-    found_phrase, found_start = [], []
+    found_phrase, found_start, found_doc = [], [], []
     chunk = np.cumsum(rarest) // CHECKED
     for cut in np.split(np.arange(len(alive)), np.flatnonzero(np.diff(chunk)) + 1):
         if not len(cut):
             continue
         term = known[cut, order[cut, 0]]
         phrase = np.repeat(cut, counts[term])
-        start = postings[_ranges(term_starts[term], counts[term])] - np.repeat(order[cut, 0], counts[term])
-        last = start + phrases.lengths[alive[phrase]] - 1
-        fits = (start >= 0) & (last < len(postings))
-        phrase, start, last = phrase[fits], start[fits], last[fits]
-        same = np.searchsorted(first_words, start, "right") == np.searchsorted(first_words, last, "right")
-        phrase, start = phrase[same], start[same]
+        place = postings[_ranges(term_starts[term], counts[term])]
+        start = place - np.repeat(order[cut, 0], counts[term])
+        doc = np.searchsorted(first_words, place, "right") - 1
         for step in range(1, width):
             if not len(phrase):
                 break
             offset = order[phrase, step]
             asked = used[phrase, offset]
             term = known[phrase, offset]
-            lowest = term * total + np.maximum(start + offset - slop, 0)
+            lowest = term * total + np.maximum(start + offset - slop, first_words[doc])
+            highest = term * total + np.minimum(start + offset + slop, first_words[doc + 1] - 1)
             at = np.minimum(np.searchsorted(places, lowest), len(places) - 1)
-            near = (places[at] >= lowest) & (places[at] <= term * total + np.minimum(start + offset + slop, total - 1))
+            near = (places[at] >= lowest) & (places[at] <= highest)
             keep = near | ~asked
-            phrase, start = phrase[keep], start[keep]
+            phrase, start, doc = phrase[keep], start[keep], doc[keep]
         found_phrase.append(alive[phrase])
         found_start.append(start)
+        found_doc.append(doc)
     if not found_phrase:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_phrase), np.concatenate(found_start)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(found_phrase), np.concatenate(found_start), np.concatenate(found_doc)
 
 
 _HITS = "segment long, doc int, spans array<struct<a:int,b:int>>, items array<string>, near array<string>"
@@ -179,8 +180,7 @@ def phrase_hits(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
                 )
                 out: dict[int, tuple[list, set, set]] = {}
                 for which, off in ((1, 0), (2, slop)):
-                    phrase, start = find(terms, begins, postings, first, asked, off)
-                    doc = np.searchsorted(first, start, "right") - 1
+                    phrase, start, doc = find(terms, begins, postings, first, asked, off)
                     for d, p in set(zip(doc.tolist(), phrase.tolist())):
                         names = asked.items[asked.item_starts[p] : asked.item_starts[p + 1]]
                         out.setdefault(d, ([], set(), set()))[which].update(names)
