@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, langid, licenses, mixing, neighbours, pii, simhash, suffixes, tokens, urls
+from ticketlens.llm import decontaminate, langid, licenses, mixing, neighbours, pii, records, simhash, suffixes, tokens, urls
 from ticketlens.llm.common import table
 
 SHINGLE, RADIUS = 4, 4
@@ -16,6 +16,7 @@ TOKEN_LIMIT = 1024
 NEIGHBOURS, HASH_TABLES, PROBES = 20, 6, 24
 REPEAT_BYTES = 200
 BLOCK_WORDS, SHARD_SLOTS = 32, 8192
+END_ID = 1
 
 #: Rules on hosts and paths, and names of hosts whose URLs are listed.
 URL_RULES = [
@@ -95,6 +96,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mix).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    folder = records.write_tokens(table(spark, sf_dir, "documents"), path, END_ID)
+    return records.read_records(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_licenses": op2_licenses,
@@ -106,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
+    "op12_records": op12_records,
 }
 
 ORACLE_SQL: dict[str, str] = {
