@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import decontaminate, langid, licenses, mixing, neighbours, pii, records, simhash, suffixes, tokens, urls
+from ticketlens.llm import collocations, decontaminate, langid, licenses, mixing, neighbours, pii, records, simhash, suffixes, tokens, urls
 from ticketlens.llm.common import table
 
 SHINGLE, RADIUS = 4, 4
@@ -17,6 +17,7 @@ NEIGHBOURS, HASH_TABLES, PROBES = 20, 6, 24
 REPEAT_BYTES = 200
 BLOCK_WORDS, SHARD_SLOTS = 32, 8192
 END_ID = 1
+PHRASE_COUNT, PHRASES = 30, 2000
 
 #: Rules on hosts and paths, and names of hosts whose URLs are listed.
 URL_RULES = [
@@ -96,6 +97,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mix).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), PHRASE_COUNT, PHRASES)
+
+
 def op12_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     folder = records.write_tokens(table(spark, sf_dir, "documents"), path, END_ID)
@@ -113,10 +118,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
     "op10_mixing": op10_mixing,
+    "op11_collocations": op11_collocations,
     "op12_records": op12_records,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_licenses": licenses.scan_sql(),
     "op6_url_filter": urls.judge_sql(URL_RULES, f"regexp_matches(host, '{BAD_HOST}')"),
+    "op11_collocations": collocations.mine_sql(PHRASE_COUNT, PHRASES),
 }
