@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import collocations, decontaminate, langid, licenses, mixing, neighbours, pii, records, simhash, suffixes, tokens, urls
+from ticketlens.llm import collocations, decontaminate, langid, licenses, mixing, neighbours, pii, records, simhash, suffixes, tokens, urls, variants
 from ticketlens.llm.common import table
 
 SHINGLE, RADIUS = 4, 4
@@ -18,6 +18,7 @@ REPEAT_BYTES = 200
 BLOCK_WORDS, SHARD_SLOTS = 32, 8192
 END_ID = 1
 PHRASE_COUNT, PHRASES = 30, 2000
+WORD_LENGTH, WORD_COUNT, DROP_EVERY = 5, 3, 97
 
 #: Rules on hosts and paths, and names of hosts whose URLs are listed.
 URL_RULES = [
@@ -107,6 +108,11 @@ def op12_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, folder)
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return variants.group_variants(docs, shortest=WORD_LENGTH, least=WORD_COUNT, drop_every=DROP_EVERY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_licenses": op2_licenses,
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_collocations": op11_collocations,
     "op12_records": op12_records,
+    "op13_variants": op13_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
