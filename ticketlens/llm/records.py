@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 from ticketlens.llm.common import give_back, shared_folder
 from ticketlens.llm.crc import crc32c, masked
 from ticketlens.llm.pieces import Encoder, check_supported
+from ticketlens.llm.words import text_bytes
 
 #: Bytes after which a file is closed, and bytes of records that are framed or checked at a time.
 FILE_BYTES, SLAB_BYTES = 64_000_000, 2_000_000
@@ -136,9 +137,9 @@ def write_tokens(
         system.create_dir(path, recursive=True)
         writer = RecordWriter(folder, file_bytes)
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            for at, doc_id in enumerate(batch.column(0).to_pylist()):
-                writer.add(doc_id, encoder.ids(texts[at].as_py() or b"") + end, width)
+            ids = encoder.encode(*text_bytes(batch.column(1)))
+            for doc_id, own in zip(batch.column(0).to_pylist(), ids):
+                writer.add(doc_id, own.tobytes() + end, width)
             give_back()
         writer.close()
         part = TaskContext.get().partitionId()
