@@ -13,6 +13,7 @@ from ticketlens.operators import skew, stays
 from ticketlens.operators.activities import activity_list
 from ticketlens.operators.commands import apply_activity_commands, judge_commands, reject_commands
 from ticketlens.plans import catalog, tracking
+from ticketlens.sources.tables import life_rows
 
 
 @pytest.mark.parametrize("rows", [1, 3, 1000])
@@ -72,14 +73,41 @@ def test_stays_inside_one_minute_and_without_entry(spark, rows_of, monkeypatch,
     assert found == expected
 
 
-def test_chunks_of_a_hot_ticket_are_bounded(spark, monkeypatch):
-    """A third of the rows on one ticket, many without entry: no chunk holds the ticket."""
+NAMES = "select 6611 grp_codigo, 'A' grp_nome, 1 grp_pai", "select 1 usr_codigo, 'U' usr_nome"
+
+
+@pytest.mark.parametrize("derived", [False, True])
+def test_chunks_of_a_hot_ticket_are_bounded(spark, rows_of, monkeypatch, derived):
+    """A third of the rows on one ticket, many without entry, numbered densely or by a hash
+    of the row: no chunk holds the ticket, and there are few chunks."""
     monkeypatch.setattr(skew, "ROWS_PER_CHUNK", 50)
     rows = [(7 if i % 3 == 0 else i, i, 6611, i % 4, None if i % 2 else "2018-11-05 10:00:00") for i in range(6000)]
-    groups = spark.sql("select 6611 grp_codigo, 'A' grp_nome, 1 grp_pai")
-    users = spark.sql("select 1 usr_codigo, 'U' usr_nome")
-    chunked = stays._in_chunks(stays.group_stays(_life(spark, rows), groups, users, catalog.AS_OF))
-    assert chunked.groupBy("origem", *stays.CHUNK).count().agg(F.max("count")).first()[0] <= 50
+    life = _life(spark, rows)
+    if derived:
+        life = life_rows(life.withColumn("x", F.col("vda_seq")).drop("vda_seq")).drop("x")
+    groups, users = map(spark.sql, NAMES)
+    base = stays.group_stays(life, groups, users, catalog.AS_OF)
+    light, hot = stays._split(base, stays.stays_per_ticket(life))
+    assert hot.select("origem").distinct().collect() == [(7,)] and light.count() + hot.count() == 6000
+    sizes = stays._in_chunks(hot).groupBy("origem", *stays.CHUNK).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 90 and sizes[1] <= 4 * 2000 / 50
+    assert rows_of(stays.mark_starts(base)) == rows_of(_plain_starts(base))
+
+
+def test_stays_travel_once(spark, tables):
+    """Without heavy tickets the stays are shuffled once, by ticket; a first read counts them."""
+    df = stays.stay_table(tables["vida"], tables["grupos"], tables["usuarios"], catalog.AS_OF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Scan parquet") <= 6 and "SortMergeJoin" not in plan
+    assert plan.count("Exchange hashpartitioning(origem") <= 2
+
+
+def test_no_count_travels_with_the_rows(tables):
+    """Counts by key are filtered to heavy keys and broadcast before they meet any row."""
+    df = tracking.tracking_active(tables, catalog.AS_OF, catalog.START, catalog.END)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("GlobalLimit 100000") >= 3
 
 
 def test_small_chunks_change_no_table(tables, rows_of, monkeypatch):
@@ -94,6 +122,8 @@ def test_small_chunks_change_no_table(tables, rows_of, monkeypatch):
     plain = [rows_of(build()) for build in builds]
     monkeypatch.setattr(skew, "ROWS_PER_CHUNK", 2)
     assert [rows_of(build()) for build in builds] == plain
+    monkeypatch.setattr(skew, "MOST_HEAVY", 3)  # the other heavy keys stay whole
+    assert rows_of(builds[0]()) == plain[0]
 
 
 @pytest.mark.parametrize("broadcast", ["10485760", "-1"])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.operators.skew import chunked_join, counts_of
+from ticketlens.operators.skew import chunked_join, counts_of, heavy
 
 FILE_FIELDS = (
     "id_arquivo",
@@ -45,10 +45,10 @@ def _listing(
     names = catalogue.select(F.col("id").alias("id_atividade_padrao"), "nome_atividade")
     named = activities.join(names, "id_atividade_padrao")
     attached = files.select("id_atividade", *[F.col(f).alias(f"arquivo_{f}") for f in fields])
-    per_activity = counts_of(attached, "id_atividade", "arquivos")
+    large = heavy(counts_of(attached, "id_atividade", "arquivos"), ["id_atividade"], "arquivos")
     rows = chunked_join(
-        named.join(per_activity, "id_atividade", "left"),
-        attached.join(per_activity, "id_atividade"),
+        named.join(large, "id_atividade", "left"),
+        attached.join(large, "id_atividade", "left"),
         "id_atividade",
         right_rows="arquivos",
     )

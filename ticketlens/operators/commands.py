@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions.durations import micros_between
-from ticketlens.operators.skew import chunked_join, counts_of
+from ticketlens.operators.skew import chunked_join, counts_of, heavy
 from ticketlens.schemas import ATIVIDADE_SUPORTE
 
 # Command kinds, statuses, history texts and reject reasons.
@@ -125,10 +125,10 @@ def judge_commands(
     verdict = F.when(is_create, _verdict([*create_checks, (repeated, REPEATED_ID)])).otherwise(
         _verdict(other_checks)
     )
-    per_activity = counts_of(commands, "id_atividade", "comandos")
+    large = heavy(counts_of(commands, "id_atividade", "comandos"), ["id_atividade"], "comandos")
     judged = chunked_join(
-        checked.join(per_activity, "id_atividade", "left"),
-        births.join(per_activity, "id_atividade", "left"),
+        checked.join(large, "id_atividade", "left"),
+        births.join(large, "id_atividade", "left"),
         "id_atividade",
         left_rows=F.col("comandos"),
     ).drop("comandos")

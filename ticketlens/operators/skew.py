@@ -1,16 +1,22 @@
 """Joins that split the rows of one key over tasks, by the same plan at every size.
 
-Both sides carry how many rows the key has, as an exact count joined to them before. A key
-with more than ROWS_PER_CHUNK rows has several chunks, any other one: such a key is never
-copied. No key is looked for ahead of the plan and none is left out."""
+A key with more than ROWS_PER_CHUNK rows is heavy. Both sides of a join carry the number of
+rows of heavy keys, from one small table that is sent to every task, so no row travels to be
+told that its key is light. A heavy key has several chunks, any other one: such a key is
+never copied. No key is looked for ahead of the plan and none is left out."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rows of one key that a task is meant to hold.
 ROWS_PER_CHUNK = 100_000
+# Most rows of a table of heavy keys: a few megabytes. With more heavy keys than that the
+# largest are split, and any other holds less than a hundred-thousandth of all rows.
+MOST_HEAVY = 100_000
 
 
 def chunks(rows: str | Column) -> Column:
@@ -24,6 +30,15 @@ def counts_of(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
+def heavy(counts: DataFrame, keys: Sequence[str], *sizes: str | Column) -> DataFrame:
+    """Of a table with one row per key, the rows where one of `sizes` is above a chunk: a
+    broadcast table of bounded size, the same wherever it is used."""
+    values = [F.col(s) if isinstance(s, str) else s for s in sizes]
+    size = F.greatest(*values) if len(values) > 1 else values[0]
+    largest = counts.withColumn("tamanho", size).where(F.col("tamanho") > ROWS_PER_CHUNK)
+    return F.broadcast(largest.orderBy(F.desc("tamanho"), *keys).limit(MOST_HEAVY).drop("tamanho"))
+
+
 def _own(df: DataFrame, number: Column) -> Column:
     """The chunk of a row, from a hash of its values: a rerun task agrees."""
     return F.pmod(F.xxhash64(*[F.col(name) for name in df.columns]), number).cast("int")
@@ -45,7 +60,8 @@ def chunked_join(
     A row of a side takes one of its key's chunks on that side and all chunks of the
     other, so each pair meets once. `left_rows` (an estimate of the key's left rows) is
     computed alike from columns of both sides; `right_rows` names a column of both sides
-    with the exact count of the key's right rows, null on the left where there are none.
+    with the count of the key's right rows. Both come from a table of `heavy` keys and are
+    null for light ones.
     The columns of the right side that both have are dropped."""
     one = F.lit(1)
     spread_left = left.withColumn("ce", _own(left, chunks(left_rows)) if left_rows is not None else F.lit(0))

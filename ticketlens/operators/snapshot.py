@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions.calendar import ntz
-from ticketlens.operators.skew import chunked_join, counts_of
+from ticketlens.operators.skew import chunked_join, counts_of, heavy
 from ticketlens.schemas import SNAPSHOT
 
 # Codes and texts that results depend on.
@@ -213,30 +213,30 @@ def snapshot(
     roots: DataFrame,
     tables: Mapping[str, DataFrame],
     mode: str = "life_or_procedure",
-    keep: Sequence[str] = (),
-    per_ticket: DataFrame | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Eligible root tickets x elements x equipment without duplicates. A ticket
-    without elements keeps one row. `per_ticket` has further columns by `origem`, of which
-    `keep` stay in the result.
+    without elements keeps one row. `sizes` is a table of heavy tickets with `linhas`, whose
+    columns stay in the result.
 
     Elements meet their equipment before the tickets do: the short rows travel by
     element, the long ones by ticket only. Both sides of either join are without
     duplicates, so that the counts that split hot keys are those of their rows."""
     elements = _elements(tables["ta"]).distinct()
     equipment = _equipment(tables["equip"]).distinct()
-    per_element = counts_of(equipment, "elemento", "equipamentos")
+    large = heavy(counts_of(equipment, "elemento", "equipamentos"), ["elemento"], "equipamentos")
     equipped = chunked_join(
-        elements.join(per_element, "elemento", "left"),
-        equipment.join(per_element, "elemento"),
+        elements.join(large, "elemento", "left"),
+        equipment.join(large, "elemento", "left"),
         "elemento",
         right_rows="equipamentos",
     ).drop("equipamentos")
-    lines = rows_per_ticket(tables)
-    tickets = ticket_rows(roots, tables, mode).join(lines, "origem", "left")
-    if per_ticket is not None:
-        tickets = tickets.join(per_ticket, "origem", "left")
-    rows = chunked_join(tickets, equipped.join(lines, "origem"), "origem", right_rows="linhas")
+    keep = [c for c in sizes.columns if c != "origem"] if sizes is not None else []
+    if sizes is None:
+        sizes = heavy(rows_per_ticket(tables), ["origem"], "linhas")
+    tickets = ticket_rows(roots, tables, mode).join(sizes, "origem", "left")
+    lines = equipped.join(sizes.select("origem", "linhas"), "origem", "left")
+    rows = chunked_join(tickets, lines, "origem", right_rows="linhas")
     return rows.select(*[f.name for f in SNAPSHOT], *_tag(roots), *keep).distinct()
 
 

@@ -9,18 +9,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens.functions.calendar import ntz
-from ticketlens.functions.durations import hms, seconds_between
+from ticketlens.functions.durations import hms, micros_between, seconds_between
 from ticketlens.operators import skew
 from ticketlens.operators.snapshot import N2_GROUPS, YES
 
 # Texts of the stay flags and classes.
 NO_STAY = "NAO"
 UNCLASSIFIED = "VAZIO"
-# Stands for "no entry time" among the days of a ticket: sorts last.
+# Stands for "no entry time" among the minutes of a ticket: sorts last.
 NO_DAY = "9999-12-31 00:00:00"
-# Stands for "no sequence number" among its blocks: sorts last.
-NO_BLOCK = 1 << 62
-CHUNK = ("pedaco_dia", "pedaco_minuto", "pedaco_entrada", "pedaco_bloco")
+CHUNK = ("pedaco_minuto", "pedaco_segundo", "pedaco_bloco")
 
 STARTED = ("usuario_anterior", "inicio_atuacao", "contar_atuacao", "contar_sem_atuacao")
 
@@ -91,42 +89,64 @@ def _with_starts(stays: DataFrame) -> DataFrame:
     )
 
 
-def _large(stays: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Adds `name`: whether the row's `keys` hold more rows than a chunk. Only such keys
-    are joined, and there are few of them by their definition."""
-    counts = stays.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    large = counts.where(F.col("n") > skew.ROWS_PER_CHUNK).select(*keys, F.lit(True).alias(name))
-    return stays.join(large, list(keys), "left").withColumn(name, F.coalesce(name, F.lit(False)))
+def _split(stays: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stays of light tickets, which a task holds whole, and of heavy ones. `counts`: rows by
+    ticket. Where no ticket is heavy, the second part is found empty before it is read."""
+    hot = skew.heavy(counts, ["origem"], "estadas").select("origem")
+    return stays.join(hot, "origem", "left_anti"), stays.join(hot, "origem", "left_semi")
+
+
+def _own_counts(stays: DataFrame) -> DataFrame:
+    return skew.counts_of(stays, "origem", "estadas")
 
 
 def _in_chunks(stays: DataFrame) -> DataFrame:
-    """Adds the columns of CHUNK, which sort as the entry order does and split a ticket
-    into pieces of bounded size: days, in large days minutes, in large minutes (or among
-    stays without entry) instants and blocks of sequence numbers."""
-    entry = F.col("data_entrada_n2")
+    """Adds the columns of CHUNK, which sort as the entry order does and split a ticket into
+    pieces of bounded size: minutes, in heavy minutes seconds, in heavy seconds as many
+    blocks as their rows fill. A block is a part of the span of entries, or of sequence numbers
+    where all entries are equal, whatever numbers they are."""
+    entry, seq = F.col("data_entrada_n2"), F.col("seq")
     # Day plus clock, not date_trunc, which would go through the session time zone.
-    clock = F.make_dt_interval(hours=F.hour(entry), mins=F.minute(entry))
     day = entry.cast("date").cast("timestamp_ntz")
     last = F.lit(NO_DAY).cast("timestamp_ntz")
+    clock = {"hours": F.hour(entry), "mins": F.minute(entry)}
+    second = F.floor(F.second(entry)).cast("int")
     dated = stays.withColumns(
-        {"pedaco_dia": F.coalesce(day, last), "minuto_n2": F.coalesce(day + clock, last)}
+        {
+            "minuto_n2": F.coalesce(day + F.make_dt_interval(**clock), last),
+            "segundo_n2": F.coalesce(day + F.make_dt_interval(**clock, secs=second), last),
+        }
+    )
+    by_second = dated.groupBy("origem", "minuto_n2", "segundo_n2").agg(
+        F.count(F.lit(1)).alias("linhas_s"),
+        F.min(entry).alias("entrada_min"),
+        F.max(entry).alias("entrada_max"),
+        F.min(seq).cast("double").alias("seq_min"),
+        F.max(seq).cast("double").alias("seq_max"),
     )
-    by_day = _large(dated, ["origem", "pedaco_dia"], "dia_grande").withColumn(
-        "pedaco_minuto", F.when(F.col("dia_grande"), F.col("minuto_n2")).otherwise(F.col("pedaco_dia"))
+    by_minute = by_second.groupBy("origem", "minuto_n2").agg(F.sum("linhas_s").alias("linhas_m"))
+    seconds = skew.heavy(by_second, ["origem", "segundo_n2"], "linhas_s").drop("minuto_n2")
+    minutes = skew.heavy(by_minute, ["origem", "minuto_n2"], "linhas_m")
+    sized = dated.join(minutes, ["origem", "minuto_n2"], "left").join(seconds, ["origem", "segundo_n2"], "left")
+    blocks = skew.chunks("linhas_s")
+    by_entry = micros_between(F.col("entrada_min"), entry).cast("double") / (
+        micros_between(F.col("entrada_min"), F.col("entrada_max")).cast("double") + 1
     )
-    by_minute = _large(by_day, ["origem", "pedaco_dia", "pedaco_minuto"], "minuto_grande")
-    within = F.col("dia_grande") & F.col("minuto_grande")
-    block = F.coalesce(F.floor(F.col("seq") / skew.ROWS_PER_CHUNK).cast("bigint"), F.lit(NO_BLOCK))
-    return by_minute.withColumns(
+    by_seq = (seq.cast("double") - F.col("seq_min")) / (F.col("seq_max") - F.col("seq_min") + 1)
+    part = F.when(F.col("entrada_max") > F.col("entrada_min"), by_entry).otherwise(by_seq)
+    block = F.coalesce(F.least(F.floor(part * blocks).cast("int"), blocks - 1), blocks)
+    within = F.col("linhas_m").isNotNull()
+    return sized.withColumns(
         {
-            "pedaco_entrada": F.when(within, F.coalesce(entry, last)).otherwise(F.col("pedaco_minuto")),
-            "pedaco_bloco": F.when(within, block).otherwise(F.lit(0).cast("bigint")),
+            "pedaco_minuto": F.col("minuto_n2"),
+            "pedaco_segundo": F.when(within, F.col("segundo_n2")).otherwise(F.col("minuto_n2")),
+            "pedaco_bloco": F.when(within & F.col("linhas_s").isNotNull(), block).otherwise(F.lit(0)),
         }
-    ).drop("minuto_n2", "dia_grande", "minuto_grande")
+    ).select(*stays.columns, *CHUNK)
 
 
 def _mark(chunked: DataFrame) -> DataFrame:
-    """Marks stays that carry CHUNK. Stays are ordered inside chunks of a ticket; the first
+    """Marks stays of heavy tickets, which carry CHUNK. Stays are ordered inside chunks of a ticket; the first
     of a chunk takes its previous user from the last stay of the chunk before, found over
     one row per chunk."""
     in_chunk = Window.partitionBy("origem", *CHUNK).orderBy(*_entry_order())
@@ -146,30 +166,44 @@ def _mark(chunked: DataFrame) -> DataFrame:
     )
 
 
-def mark_starts(stays: DataFrame) -> DataFrame:
+def _mark_light(stays: DataFrame) -> DataFrame:
+    before = F.lag("usuario_cod").over(Window.partitionBy("origem").orderBy(*_entry_order()))
+    return _with_starts(stays.withColumn("usuario_anterior", before))
+
+
+def mark_starts(stays: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Adds the previous user of the ticket, and whether a stay starts a handling:
-    a user acts who is not the one of the stay just before."""
-    return _mark(_in_chunks(stays)).drop(*CHUNK)
+    a user acts who is not the one of the stay just before. `counts` is `stays_per_ticket`,
+    for callers that can count without building the stays."""
+    light, hot = _split(stays, counts if counts is not None else _own_counts(stays))
+    return _mark_light(light).unionByName(_mark(_in_chunks(hot)).drop(*CHUNK))
+
+
+def _total_light(marked: DataFrame) -> DataFrame:
+    ticket = Window.partitionBy("origem")
+    return marked.withColumns(
+        {
+            "total_n2": F.sum("total_segundos").over(ticket),
+            "total_atuacao": F.sum("total_segundos_atuacao").over(ticket),
+            "total_inicios": F.sum("inicio_atuacao").over(ticket),
+        }
+    )
 
 
-def _total(chunked: DataFrame, per_ticket: DataFrame | None) -> DataFrame:
-    """Adds the ticket's sums and its number of stays (`estadas`) to marked stays that
-    carry CHUNK: sums per chunk, added up per ticket, and brought back chunk by chunk, so
-    that no step holds a ticket whole. `per_ticket` has further columns by ticket."""
+def _total(chunked: DataFrame) -> DataFrame:
+    """Adds the ticket's sums to marked stays of heavy tickets, which carry CHUNK: sums per
+    chunk, added up per ticket, and brought back chunk by chunk, so that no step holds a
+    ticket whole."""
     by_chunk = chunked.groupBy("origem", *CHUNK).agg(
         F.sum("total_segundos").alias("s"),
         F.sum("total_segundos_atuacao").alias("a"),
         F.sum("inicio_atuacao").alias("i"),
-        F.count(F.lit(1)).alias("n"),
     )
     sums = by_chunk.groupBy("origem").agg(
         F.sum("s").alias("total_n2"),
         F.sum("a").alias("total_atuacao"),
         F.sum("i").alias("total_inicios"),
-        F.sum("n").alias("estadas"),
     )
-    if per_ticket is not None and len(per_ticket.columns) > 1:
-        sums = sums.join(per_ticket, "origem", "left")
     back = by_chunk.select("origem", *CHUNK).join(sums, "origem")
     return chunked.join(back, ["origem", *CHUNK]).drop(*CHUNK)
 
@@ -203,7 +237,8 @@ def _texts(stays: DataFrame, *extra: str) -> DataFrame:
 def stay_totals(stays: DataFrame) -> DataFrame:
     """Marked stays with the ticket's total time, acted time and handlings, as
     texts and as seconds."""
-    return _texts(_total(_in_chunks(stays), None))
+    light, hot = _split(stays, _own_counts(stays))
+    return _texts(_total_light(light).unionByName(_total(_in_chunks(hot))))
 
 
 def stay_table(
@@ -211,18 +246,22 @@ def stay_table(
     groups: DataFrame,
     users: DataFrame,
     as_of: datetime,
-    per_ticket: DataFrame | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Stays with starts and totals. With `per_ticket` (columns by `origem`) also these
-    columns and `estadas`, the number of stays of the ticket."""
-    chunked = _in_chunks(group_stays(life, groups, users, as_of))
-    extra = ["estadas", *[c for c in per_ticket.columns if c != "origem"]] if per_ticket is not None else []
-    return _texts(_total(_mark(chunked), per_ticket), *extra)
+    """Stays with starts and totals. A light ticket is shuffled once and read twice, the
+    first time for its number of rows only. With `sizes` (a table of heavy tickets, as of
+    `skew.heavy`) also its columns, null for light tickets."""
+    stays = group_stays(life, groups, users, as_of)
+    light, hot = _split(stays, stays_per_ticket(life))
+    rows = _total_light(_mark_light(light)).unionByName(_total(_mark(_in_chunks(hot))))
+    if sizes is None:
+        return _texts(rows)
+    return _texts(rows.join(sizes, "origem", "left"), *[c for c in sizes.columns if c != "origem"])
 
 
 def stays_per_ticket(life: DataFrame, n2: Sequence[int] = N2_GROUPS) -> DataFrame:
     """How many stays each ticket has, for tickets that have any: (origem, estadas)."""
-    stays = life.where(F.col("vda_grupo").isin(list(n2)))
+    stays = life.where(F.col("vda_grupo").isin(list(n2)) & F.col("vda_ta").isNotNull())
     return stays.groupBy(F.col("vda_ta").alias("origem")).agg(F.count(F.lit(1)).alias("estadas"))
 
 

@@ -120,7 +120,7 @@ def group_stays(spark, sf_dir):
 def stay_starts(spark, sf_dir):
     t = _tables(spark, sf_dir)
     rows = stays.group_stays(t["vida"], *_names(t), AS_OF)
-    return stays.mark_starts(rows).select(
+    return stays.mark_starts(rows, stays.stays_per_ticket(t["vida"])).select(
         "origem", "seq", "usuario_cod", "usuario_anterior", "inicio_atuacao",
         "contar_atuacao", "contar_sem_atuacao",
     )

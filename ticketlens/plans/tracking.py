@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.operators.procedures import SUFFIX, procedure_summary
-from ticketlens.operators.skew import chunked_join
+from ticketlens.operators.skew import chunked_join, heavy
 from ticketlens.operators.snapshot import (
     ACTIVE_TAG,
     CLOSED_TAG,
@@ -34,11 +34,18 @@ def _pairs() -> Column:
     return F.coalesce("linhas", F.lit(1)) * F.coalesce("estadas", F.lit(1))
 
 
+def ticket_sizes(lines: DataFrame, stays: DataFrame) -> DataFrame:
+    """Heavy tickets: with more snapshot rows, stays, or pairs of both than a task should
+    hold (`linhas`, `estadas`, null for none)."""
+    counts = lines.join(stays, "origem", "full")
+    return heavy(counts, ["origem"], _pairs())
+
+
 def consolidate(tickets: DataFrame, stays: DataFrame, procedures: DataFrame) -> DataFrame:
     """Every snapshot row with each stay and each procedure row of its ticket.
 
-    All three carry `linhas` and `estadas`, how many snapshot rows and stays the ticket
-    has (null for none): from them follows into how many chunks it is split."""
+    All three carry `linhas` and `estadas`, how many snapshot rows and stays a heavy ticket
+    has (null for a light one): from them follows into how many chunks it is split."""
     with_stays = classify_stay(
         chunked_join(tickets, stays, "origem", left_rows=F.col("linhas"), right_rows="estadas")
     )
@@ -55,12 +62,11 @@ def _tracking(
     roots: DataFrame, tables: Mapping[str, DataFrame], as_of: datetime, mode: str
 ) -> DataFrame:
     ready = load_tables(tables, roots)
-    lines, counts = rows_per_ticket(ready), stays_per_ticket(ready["vida"])
-    tickets = snapshot(roots, ready, mode, keep=("linhas", "estadas"), per_ticket=counts)
-    stays = stay_table(ready["vida"], ready["grupos"], ready["usuarios"], as_of, per_ticket=lines)
+    sizes = ticket_sizes(rows_per_ticket(ready), stays_per_ticket(ready["vida"]))
+    tickets = snapshot(roots, ready, mode, sizes)
+    stays = stay_table(ready["vida"], ready["grupos"], ready["usuarios"], as_of, sizes)
     procedures = _procedures(ready).withColumn("origem", F.col("origem" + SUFFIX))
-    counted = procedures.join(lines, "origem", "left").join(counts, "origem", "left")
-    return consolidate(tickets, stays, counted)
+    return consolidate(tickets, stays, procedures.join(sizes, "origem", "left"))
 
 
 def tracking_active(
@@ -147,14 +153,12 @@ def unified_sites(
         )
         .distinct()
     )
-    places = sites.groupBy("origem").agg(F.count(F.lit(1)).alias("linhas"))
-    tickets = (
-        ticket_rows(roots, ready, mode)
-        .join(places, "origem", "left")
-        .join(stays_per_ticket(ready["vida"]), "origem", "left")
-    )
-    placed = chunked_join(tickets, sites.join(places, "origem"), "origem", right_rows="linhas")
-    stays = stay_table(ready["vida"], ready["grupos"], ready["usuarios"], as_of, per_ticket=places)
+    places = sites.where(F.col("origem").isNotNull()).groupBy("origem").agg(F.count(F.lit(1)).alias("linhas"))
+    sizes = ticket_sizes(places, stays_per_ticket(ready["vida"]))
+    tickets = ticket_rows(roots, ready, mode).join(sizes, "origem", "left")
+    lines = sites.join(sizes.select("origem", "linhas"), "origem", "left")
+    placed = chunked_join(tickets, lines, "origem", right_rows="linhas")
+    stays = stay_table(ready["vida"], ready["grupos"], ready["usuarios"], as_of, sizes)
     rows = chunked_join(placed, stays, "origem", left_rows=F.col("linhas"), right_rows="estadas")
     return rows.drop("linhas", "estadas")
 
@@ -177,18 +181,16 @@ def unified_stays(
     means over all tracking rows come out the same without a row repeated."""
     roots = _both_roots(tables, start, end, created_from)
     ready = load_tables(tables, roots)
-    counts = stays_per_ticket(ready["vida"])
-    # No further columns: the stays carry only how many of them their ticket has.
-    stays = stay_table(
-        ready["vida"], ready["grupos"], ready["usuarios"], as_of, per_ticket=counts.select("origem")
-    )
-    tickets = ticket_rows(roots, ready, mode).join(counts, "origem", "left")
+    sizes = heavy(stays_per_ticket(ready["vida"]), ["origem"], "estadas")
+    stays = stay_table(ready["vida"], ready["grupos"], ready["usuarios"], as_of, sizes)
+    tickets = ticket_rows(roots, ready, mode).join(sizes, "origem", "left")
     if weighted:
         tickets = _with_repeats(tickets, ready)
     return classify_stay(chunked_join(tickets, stays, "origem", right_rows="estadas")).drop("estadas")
 
 
 def _with_repeats(tickets: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Both counts have one row per ticket, as the tickets do."""
     procedures = (
         _procedures(tables)
         .groupBy(F.col("origem" + SUFFIX).alias("origem"))
