@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.functions.calendar import calendar_filter
-from ticketlens.operators import activities, commands, procedures, quality, reports, snapshot, stays
+from ticketlens.operators import activities, command_store, commands, procedures, quality, reports, snapshot, stays
 from ticketlens.operators.windows import rows_per_window
 from ticketlens.plans import standin, tracking
+from ticketlens.schemas import TICKET_TABLES
 from ticketlens.sources.sinks import (
     by_entry_month,
     full_refresh,
@@ -19,6 +20,8 @@ from ticketlens.sources.sinks import (
     shared_folder,
     write_load,
 )
+from ticketlens.sources.versions import read_current, refresh
+from ticketlens.streaming.closure_days import read_synced, sync_closed
 from ticketlens.streaming.increment import closed_increment
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +40,8 @@ PAGE_KEYS = ("origem", "elemento", "hostname", "fabricante", "data_entrada_n2")
 # Past all rows of this ticket: its other columns sort last.
 PAGE_AFTER = {"origem": 1000}
 LINK_PREFIX = "/arquivo/"
+# Commands before this instant are the first stored batch.
+COMMANDS_SPLIT = "2024-01-16 00:00:00"
 YEAR, MONTH, WEEK, DAY = 1998, 3, 10, 15
 RANGE = (date(1997, 11, 20), date(1998, 2, 10))
 
@@ -180,6 +185,29 @@ def full_refresh_roundtrip(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def refresh_current(spark, sf_dir):
+    """A table is replaced twice; readers find the second version by the folder alone."""
+    folder = shared_folder(spark, "stays")
+    rows = _stays(_tables(spark, sf_dir))
+    refresh(rows.where("teve_atuacao = 'NAO'"), folder)
+    refresh(rows, folder)
+    return read_current(spark, folder)
+
+
+def closed_days_synced(spark, sf_dir):
+    """Every seventh ticket and every fifth life row of the others come late, of days
+    that are stored already: the second run finds and loads their days."""
+    t = _tables(spark, sf_dir)
+    folder = shared_folder(spark, "closed_days")
+    early = {name: t[name] for name in TICKET_TABLES}
+    late = F.col("tqa_codigo") % 7 == 0
+    early["ta"] = t["ta"].where(F.col("tqa_origem").isNotNull() | ~late)
+    early["vida"] = t["vida"].where((F.col("vda_ta") % 11 != 0) | (F.col("vda_seq") % 5 != 0))
+    for tables in (early, t, t):
+        sync_closed(folder, tables, AS_OF, END, START)
+    return read_synced(spark, folder)
+
+
 def _first_load(spark, sf_dir):
     t = _tables(spark, sf_dir)
     first = tracking.tracking_closed(t, AS_OF, START, FIRST_LOAD_END, START)
@@ -355,15 +383,42 @@ def activity_files(spark, sf_dir):
     return activities.activity_files(log["arquivos"], log["atividade_suporte"], LINK_PREFIX)
 
 
+def _commands(log):
+    named = F.when(F.col("nome_original").isNotNull(), "text/plain")
+    return log["comandos"].withColumns(
+        {"conteudo": F.encode("observacoes", "UTF-8"), "content_type": named}
+    )
+
+
 def _judged(spark, sf_dir):
     """Given activities and judged commands."""
     log = _tables(spark, sf_dir)
     given = log["atividade_suporte"]
-    named = F.when(F.col("nome_original").isNotNull(), "text/plain")
-    cmds = log["comandos"].withColumns(
-        {"conteudo": F.encode("observacoes", "UTF-8"), "content_type": named}
-    )
-    return given, commands.judge_commands(given, log["atividade_padrao"], cmds)
+    return given, commands.judge_commands(given, log["atividade_padrao"], _commands(log))
+
+
+def _stored_log(spark, sf_dir):
+    """All commands, applied to the stored log in batches that overlap and repeat."""
+    log = _tables(spark, sf_dir)
+    folder = shared_folder(spark, "activity_log")
+    cmds, catalogue = _commands(log), log["atividade_padrao"]
+    command_store.begin(log["atividade_suporte"], folder)
+    half = F.col("ts") < F.lit(COMMANDS_SPLIT).cast("timestamp_ntz")
+    for batch in (cmds.where(half), cmds, cmds):
+        command_store.apply_batch(folder, catalogue, batch)
+    return command_store.read_log(spark, folder)
+
+
+def stored_activity_state(spark, sf_dir):
+    return _stored_log(spark, sf_dir)[command_store.STATE]
+
+
+def stored_activity_history(spark, sf_dir):
+    return _stored_log(spark, sf_dir)[command_store.HISTORY]
+
+
+def stored_activity_files(spark, sf_dir):
+    return _stored_log(spark, sf_dir)[command_store.FILES]
 
 
 def activity_state(spark, sf_dir):
@@ -404,6 +459,8 @@ QUERIES: dict[str, Query] = {
         tracking_active,
         tracking_closed,
         full_refresh_roundtrip,
+        refresh_current,
+        closed_days_synced,
         closed_increment_rows,
         closed_increment_appended,
         unified_tracking,
@@ -435,5 +492,8 @@ QUERIES: dict[str, Query] = {
         history_from_commands,
         files_from_commands,
         rejected_commands,
+        stored_activity_state,
+        stored_activity_history,
+        stored_activity_files,
     )
 }

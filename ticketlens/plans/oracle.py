@@ -489,6 +489,8 @@ _PLAIN: dict[str, str] = {
     "closed_increment_rows": "SELECT * FROM track_closed WHERE data_encerramento > (SELECT max(data_encerramento)"
     f" FROM track_closed WHERE data_encerramento <= {_ts(c.FIRST_LOAD_END)})",
     "closed_increment_appended": "SELECT * FROM track_closed",
+    "closed_days_synced": "SELECT * FROM track_closed",
+    "refresh_current": "SELECT * FROM stays",
     "unified_tracking": "SELECT * FROM unified",
     "unified_download_year": _download(_YEAR),
     "unified_download_month": _download(f"{_YEAR} AND month(data_entrada_n2) = {c.MONTH}"),
@@ -547,8 +549,11 @@ def oracle_sql() -> dict[str, str]:
     plain = {name: _with(sql) for name, sql in _PLAIN.items()}
     log = {
         "activity_state": _log_query(_STATE),
+        "stored_activity_state": _log_query(_STATE),
         "history_from_commands": _log_query(_HISTORY),
+        "stored_activity_history": _log_query(_HISTORY),
         "files_from_commands": _log_query(_FILES),
+        "stored_activity_files": _log_query(_FILES),
         "rejected_commands": _log_query(_REJECTS),
     }
     return {**plain, **log}

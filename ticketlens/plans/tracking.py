@@ -69,6 +69,11 @@ def _tracking(
     return consolidate(tickets, stays, procedures.join(sizes, "origem", "left"))
 
 
+def tracking_of(roots: DataFrame, tables: Mapping[str, DataFrame], as_of: datetime) -> DataFrame:
+    """Tracking rows of some root tickets."""
+    return _tracking(roots, tables, as_of, "life_or_procedure")
+
+
 def tracking_active(
     tables: Mapping[str, DataFrame],
     as_of: datetime,
