@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Sequence
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,28 +18,41 @@ def _times(weight: str | None) -> Column:
 
 
 def table_freshness(
-    tables: Mapping[str, DataFrame], as_of: datetime, weight: str | None = None
+    rows: DataFrame, tag: str, tables: Sequence[str], as_of: datetime, weight: str | None = None
 ) -> DataFrame:
-    """Per tracking table: rows, newest entry and closure, seconds from the newest
-    entry to `as_of`, and `as_of` as a text stamp, day first. `weight` names a column
-    that says how many rows a row stands for."""
-    stamp = F.lit(as_of.strftime("%d-%m-%Y %H:%M"))
-    parts = [
-        df.agg(
-            _times(weight).alias("linhas"),
-            F.max("data_entrada_n2").alias("ultima_entrada"),
-            F.max("data_encerramento").alias("ultimo_encerramento"),
-        ).select(
+    """Per tracking table (a value of `tag`): rows, newest entry and closure, seconds from the
+    newest entry to `as_of`, and `as_of` as a text stamp, day first. `weight` names a
+    column that says how many rows a row stands for.
+
+    All tables are read in one pass; one without rows has 0 of them."""
+    times = F.col(weight) if weight else F.lit(1)
+    values = []
+    for number, name in enumerate(tables):
+        own = F.col(tag) == name
+        values += [
+            F.coalesce(F.sum(F.when(own, times)), F.lit(0)).cast("bigint").alias(f"linhas_{number}"),
+            F.max(F.when(own, F.col("data_entrada_n2"))).alias(f"entrada_{number}"),
+            F.max(F.when(own, F.col("data_encerramento"))).alias(f"encerramento_{number}"),
+        ]
+    each = [
+        F.struct(
             F.lit(name).alias("tabela"),
-            "linhas",
-            "ultima_entrada",
-            "ultimo_encerramento",
-            seconds_between(F.col("ultima_entrada"), ntz(as_of)).alias("atraso_seg"),
-            stamp.alias("data_update"),
+            F.col(f"linhas_{number}").alias("linhas"),
+            F.col(f"entrada_{number}").alias("ultima_entrada"),
+            F.col(f"encerramento_{number}").alias("ultimo_encerramento"),
         )
-        for name, df in tables.items()
+        for number, name in enumerate(tables)
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return (
+        rows.agg(*values)
+        .select(F.inline(F.array(*each)))
+        .withColumns(
+            {
+                "atraso_seg": seconds_between(F.col("ultima_entrada"), ntz(as_of)),
+                "data_update": F.lit(as_of.strftime("%d-%m-%Y %H:%M")),
+            }
+        )
+    )
 
 
 def duplicate_report(

@@ -211,14 +211,18 @@ def _distinct_stays(unified: DataFrame, by: str) -> DataFrame:
     return wanted.select("origem", "data_entrada_n2", "tipo_bilhete", by).distinct()
 
 
-def _volume_views(unified: DataFrame, as_of: date, by: str, name: str) -> DataFrame:
-    """Distinct stays per day first; the three views add up those daily counts,
-    because a stay enters on one day only."""
-    per_day = (
+def volume_days(unified: DataFrame, by: str) -> DataFrame:
+    """Distinct stays per entry day, ticket type and `by`: entrada, tipo_bilhete, by, n.
+    Counts of disjoint sets of tickets add up, because a stay is one of one ticket."""
+    return (
         _distinct_stays(unified, by)
         .groupBy(F.to_date("data_entrada_n2").alias("entrada"), "tipo_bilhete", by)
         .agg(F.count("data_entrada_n2").alias("n"))
     )
+
+
+def volume_views(per_day: DataFrame, as_of: date, by: str, name: str) -> DataFrame:
+    """The three views add up daily counts, because a stay enters on one day only."""
     views = per_day.select(
         F.explode(_views("entrada", as_of)).alias("v"), "tipo_bilhete", F.col(by).alias(name), "n"
     )
@@ -234,27 +238,22 @@ def _volume_views(unified: DataFrame, as_of: date, by: str, name: str) -> DataFr
 def volumetry(unified: DataFrame, as_of: date) -> DataFrame:
     """Distinct classified stays by month, by week and by recent day, per ticket
     type and class (SIM / NAO, in `teve_atuacao`)."""
-    return _volume_views(unified, as_of, "classificacao_atuacao", "teve_atuacao")
+    days = volume_days(unified, "classificacao_atuacao")
+    return volume_views(days, as_of, "classificacao_atuacao", "teve_atuacao")
 
 
 def volumetry_by_user(unified: DataFrame, as_of: date) -> DataFrame:
     """The same per ticket type and acting user."""
-    return _volume_views(unified, as_of, "usuario_atuacao", "usuario_atuacao")
+    return volume_views(volume_days(unified, "usuario_atuacao"), as_of, "usuario_atuacao", "usuario_atuacao")
 
 
-def mean_handling_time(
+def time_days(
     unified: DataFrame,
-    as_of: date,
     dedupe: bool = False,
     clip_seconds: int | None = TIME_LIMIT_SECONDS,
     weight: str | None = None,
 ) -> DataFrame:
-    """Mean stay time by month, by week and by recent day.
-
-    Every tracking row counts, so a stay weighs as often as its ticket has
-    elements, equipment and procedures; `dedupe=True` counts distinct stays, and
-    `weight` names a column that says how many rows a row stands for. Sums and
-    counts per day are added up per view: the means are exact."""
+    """Seconds of stays and their number per entry day: entrada, s, n."""
     if dedupe and weight:
         raise ValueError("distinct stays have no weight")
     seconds = clip_time(F.col("tma_n2_seg"), clip_seconds)
@@ -267,9 +266,13 @@ def mean_handling_time(
         # Weights may be products of long lists: more than a bigint may come together.
         total = F.sum(seconds.cast("decimal(19,0)") * F.col(weight).cast("decimal(18,0)"))
         count = F.sum(F.when(F.col("tma_n2_seg").isNotNull(), F.col(weight)).otherwise(0))
-    per_day = rows.groupBy(F.to_date("data_entrada_n2").alias("entrada")).agg(
+    return rows.groupBy(F.to_date("data_entrada_n2").alias("entrada")).agg(
         total.cast("decimal(30,0)").alias("s"), count.alias("n")
     )
+
+
+def time_views(per_day: DataFrame, as_of: date) -> DataFrame:
+    """Means of the three views from daily sums and numbers."""
     totals = (
         per_day.select(F.explode(_views("entrada", as_of)).alias("v"), "s", "n")
         .groupBy("v.ano", "v.mes", "v.semana", "v.dia", "v.visao")
@@ -287,3 +290,19 @@ def mean_handling_time(
         report_hms(whole).alias("tma_medio"),
         whole.alias("tma_medio_seg"),
     )
+
+
+def mean_handling_time(
+    unified: DataFrame,
+    as_of: date,
+    dedupe: bool = False,
+    clip_seconds: int | None = TIME_LIMIT_SECONDS,
+    weight: str | None = None,
+) -> DataFrame:
+    """Mean stay time by month, by week and by recent day.
+
+    Every tracking row counts, so a stay weighs as often as its ticket has
+    elements, equipment and procedures; `dedupe=True` counts distinct stays, and
+    `weight` names a column that says how many rows a row stands for. Sums and
+    counts per day are added up per view: the means are exact."""
+    return time_views(time_days(unified, dedupe, clip_seconds, weight), as_of)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.functions.calendar import calendar_filter
-from ticketlens.operators import activities, command_store, commands, procedures, quality, reports, snapshot, stays
+from ticketlens.operators import activities, command_store, commands, procedures, quality, reports, rollup, snapshot, stays
 from ticketlens.operators.windows import rows_per_window
 from ticketlens.plans import standin, tracking
 from ticketlens.schemas import TICKET_TABLES
@@ -313,6 +313,28 @@ def mean_handling_time_dedupe(spark, sf_dir):
     return reports.mean_handling_time(rows, REPORT_DAY, dedupe=True, clip_seconds=None)
 
 
+def _rollup(spark, sf_dir):
+    """Two increments, the second written twice, as by a retried run."""
+    t = _tables(spark, sf_dir)
+    folder = shared_folder(spark, "rollup")
+    for start, end in ((START, FIRST_LOAD_END), (FIRST_LOAD_END, END), (FIRST_LOAD_END, END)):
+        rows = tracking.unified_stays(t, AS_OF, start, end, START, weighted=True)
+        rollup.write_states(rows, folder, start, end, weight="repeats")
+    return folder
+
+
+def volumetry_rollup(spark, sf_dir):
+    return rollup.volumetry(spark, _rollup(spark, sf_dir), REPORT_DAY)
+
+
+def volumetry_by_user_rollup(spark, sf_dir):
+    return rollup.volumetry_by_user(spark, _rollup(spark, sf_dir), REPORT_DAY)
+
+
+def mean_handling_time_rollup(spark, sf_dir):
+    return rollup.mean_handling_time(spark, _rollup(spark, sf_dir), REPORT_DAY)
+
+
 # --- quality ----------------------------------------------------------------
 
 
@@ -321,9 +343,9 @@ def _weighted(spark, sf_dir, tag):
 
 
 def table_freshness(spark, sf_dir):
+    rows = _unified_stays(spark, sf_dir, weighted=True)
     tags = (snapshot.ACTIVE_TAG, snapshot.CLOSED_TAG)
-    both = {tag: _weighted(spark, sf_dir, tag) for tag in tags}
-    return quality.table_freshness(both, AS_OF, weight="repeats")
+    return quality.table_freshness(rows, snapshot.TAG, tags, AS_OF, weight="repeats")
 
 
 def duplicate_report(spark, sf_dir):
@@ -478,6 +500,9 @@ QUERIES: dict[str, Query] = {
         volumetry_by_user,
         mean_handling_time,
         mean_handling_time_dedupe,
+        volumetry_rollup,
+        volumetry_by_user_rollup,
+        mean_handling_time_rollup,
         table_freshness,
         duplicate_report,
         stays_per_ticket,

@@ -556,4 +556,6 @@ def oracle_sql() -> dict[str, str]:
         "stored_activity_files": _log_query(_FILES),
         "rejected_commands": _log_query(_REJECTS),
     }
-    return {**plain, **log}
+    # Reports over stored states give the rows of the reports over the tables.
+    rollup = {f"{name}_rollup": plain[name] for name in ("volumetry", "volumetry_by_user", "mean_handling_time")}
+    return {**plain, **log, **rollup}
