@@ -61,6 +61,15 @@ def test_odd_rows(frame):
     assert [tuple(r)[2:4] for r in langid.identify(frame([(1, "the sea")])).collect()] == [("und", 0.0)]
 
 
+def test_marks_alone_are_no_language(spark, frame):
+    learned = [(i, "the house of the king", "en") for i in range(40)]
+    docs = frame([*learned, (50, "\u0301\u0308 \u0300"), (51, "a\u0301"), (52, "12 \u0301")])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs).where("doc_id >= 50").collect()}
+    assert got[50] == got[52] == ("und", 0.0) and got[51][0] == "en"
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert kept == {*range(40), 51}
+
+
 def test_sample_counts_different_texts(frame):
     rows = [(i, f"the house number {i % 1000} of the king", "en") for i in range(1000)]
     rows += [(i, f"der hund nummer {i % 40} und die katze", "de") for i in range(1000, 9000)]

@@ -26,7 +26,7 @@ WORD = regex.compile(r"[\p{L}\p{M}]{1,%d}" % WORD_CHARS)
 CHAIN = 64
 BUCKETS = 1 << 17
 #: Words labelled at a time.
-BATCH_WORDS = 100_000
+BATCH_WORDS = 40_000
 UNKNOWN = "und"
 #: Parts of the hash range that a sample is picked by; far more than texts of a language.
 SAMPLE_PARTS = 1 << 50
@@ -244,7 +244,9 @@ def fit(labelled: DataFrame, per_language: int = 250, text_col: str = "text", la
     place = F.pmod(F.xxhash64("text"), F.lit(SAMPLE_PARTS))
     for language, n in sorted(counts.items()):
         wanted = wanted | ((F.col("lang") == language) & (place < int(SAMPLE_PARTS * min(1, per_language / n))))
-    sample = rows.where(wanted).dropDuplicates(["text", "lang"]).limit(2 * per_language * len(counts)).collect()
+    sample = rows.where(wanted).dropDuplicates(["text", "lang"])
+    # In a fixed order, should the bound bind: a rerun learns from the same texts.
+    sample = sample.orderBy(F.xxhash64("text"), "lang", "text").limit(2 * per_language * len(counts)).collect()
     sample.sort(key=lambda r: (r["lang"], r["text"]))
     return train([r["text"] for r in sample], [r["lang"] for r in sample])
 
@@ -254,6 +256,11 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 != 1
 
 
+def _lettered(text_col: str) -> Column:
+    """The text if it has a letter: combining marks alone are no word of any language."""
+    return F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))
+
+
 def identify(
     docs: DataFrame,
     per_language: int = 250,
@@ -273,7 +280,7 @@ def identify(
     return docs.select(
         F.col(id_col).alias("doc_id"),
         (~learn).alias("held_out"),
-        label_column(docs.sparkSession, model, F.col(text_col)).alias("_l"),
+        label_column(docs.sparkSession, model, _lettered(text_col)).alias("_l"),
     ).select("doc_id", "held_out", "_l.*")
 
 
@@ -289,7 +296,7 @@ def keep_known(
     without any labelled row there are no scores, and all texts with words stay. All columns
     stay, whatever their names."""
     model = fit(docs.where(training_rows(docs, id_col)), per_language, text_col, lang_col)
-    label = label_column(docs.sparkSession, model, F.col(text_col)).alias("label")
+    label = label_column(docs.sparkSession, model, _lettered(text_col)).alias("label")
     labelled = docs.select(F.struct("*").alias("row"), label)
     known = F.col("label.n_words") > 0
     if model.languages:
