@@ -14,7 +14,7 @@ from ticketlens.llm.common import shared_folder, table, whole_groups
 
 def test_queries_are_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {*queries.QUERIES, "pipeline"} <= set(entry_points.queries())
     assert set(queries.ORACLE_SQL) <= set(entry_points.oracle_sql())
 
