@@ -101,3 +101,32 @@ def test_filter_keeps_mixed_and_unlabelled_texts(spark, frame):
 def test_long_words_are_cut():
     assert [len(w) for w in langid.WORD.findall("a" * 50)] == [24, 24, 2]
     assert langid.features(["a" * 24, "b"]).max() < langid.BUCKETS
+
+
+def test_certainty_is_of_words_not_of_the_text():
+    share = np.array([[1.0, 0.0], [0.0, 1.0]])
+    assert langid.certainty(share) == 1 and langid.certainty(np.full((3, 4), 0.25)) == 0
+    assert langid.certainty(np.ones((2, 1))) == 1
+
+
+def test_stage_drops_what_the_field_cannot_tell(spark, frame):
+    learned = [(i, "the house of the king and the sea", "en") for i in range(40)]
+    learned += [(i, "der hund und die katze sind ein haus", "de") for i in range(40, 80)]
+    rows = [
+        (100, "the king and the sea der hund und die katze"),  # two languages
+        (101, "\u044d\u0442\u043e \u0442\u0435\u043a\u0441\u0442 \u043d\u0430 \u0434\u0440\u0443\u0433\u043e\u043c \u044f\u0437\u044b\u043a\u0435"),  # letters never learned
+        (102, "the sea " * 20_000),
+        (103, "the king"),
+        (103, "the king"),
+        (104, "12 34"),
+        (105, None),
+        (None, "der hund"),
+    ]
+    docs = frame(learned + rows)
+    out = corpus_pipeline.language(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = [r["doc_id"] for r in out.collect()]
+    assert sorted(k for k in kept if k is not None and k >= 100) == [100, 102, 103, 103] and kept.count(None) == 1
+    assert len(kept) == 85
+    assert corpus_pipeline.language(spark, frame([]), "").count() == 0
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, frame([(1, "no labels"), (2, "")]), "").collect()] == [1]

@@ -8,11 +8,12 @@ largest share of its words."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,14 +39,19 @@ class Model:
     weights: np.ndarray  # (BUCKETS, languages), float32
     transitions: np.ndarray  # (languages, languages)
     start: np.ndarray  # (languages,)
+    letters: np.ndarray | None = None  # code points seen in learning; None: all count as seen
+
+
+def _code_points(words: list[str]) -> np.ndarray:
+    """(words, WORD_CHARS) code points, 0 beyond a word's end."""
+    return np.array(words, dtype=f"<U{WORD_CHARS}").view(np.uint32).reshape(len(words), WORD_CHARS)
 
 
 def features(words: list[str]) -> np.ndarray:
     """Bucket numbers, one row per word; unused places hold bucket 0, which has no weight."""
     chars = np.zeros((len(words), WORD_CHARS + 2), np.uint64)
     if words:
-        flat = np.array(words, dtype=f"<U{WORD_CHARS}").view(np.uint32).reshape(len(words), WORD_CHARS)
-        chars[:, 1:-1] = flat
+        chars[:, 1:-1] = _code_points(words)
     length = np.count_nonzero(chars, axis=1)
     chars[:, 0] = 1
     chars[np.arange(len(words)), length + 1] = 2
@@ -127,6 +133,7 @@ def train(texts: list[str], languages: list[str], rounds: int = 6, rate: float =
         return model
     codes, unique = pd.factorize(np.array(words, dtype=object))
     table = features(list(unique))
+    model.letters = np.unique(_code_points(list(unique)))
     chains = -(-len(words) // CHAIN)
     squares, move_squares = np.full((BUCKETS, count), 1e-2), np.full((count, count), 1.0)
     batch = 64
@@ -167,16 +174,23 @@ def _padded(scores: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndar
 
 
 def word_shares(model: Model, words: list[list[str]]) -> list[np.ndarray]:
-    """For each text the probability of each language for each of its words."""
+    """For each text the probability of each language for each of its words. A word most of
+    whose letters were never seen in learning (another alphabet) says nothing: features are
+    hashed, so its own would only repeat weights of other words."""
     lengths = [len(w) for w in words]
     if not model.languages or not sum(lengths):
         return [np.zeros((n, len(model.languages)), np.float32) for n in lengths]
     codes, unique = pd.factorize(np.array([w for text in words for w in text], dtype=object))
     scores = np.zeros((len(unique), len(model.languages)), np.float32)
     for at in range(0, len(unique), 20_000):
-        table = features(list(unique[at : at + 20_000]))
-        for column in table.T:
+        some = list(unique[at : at + 20_000])
+        for column in features(some).T:
             scores[at : at + 20_000] += model.weights[column]
+        if model.letters is not None:
+            points = _code_points(some)
+            used = points > 0
+            seen = (np.isin(points, model.letters) & used).sum(axis=1)
+            scores[at : at + 20_000][2 * seen < used.sum(axis=1)] = 0
     padded, used = _padded(scores[codes], lengths)
     shares = np.concatenate(
         [np.zeros((0, len(model.languages)), np.float32)]
@@ -188,18 +202,30 @@ def word_shares(model: Model, words: list[list[str]]) -> list[np.ndarray]:
     return np.split(shares, np.cumsum(lengths)[:-1])
 
 
-def _label(model: Model, texts: pd.Series) -> Iterator[tuple[str, float, int, int]]:
-    """(language, score, words, words most likely in another language) of each text."""
+def certainty(share: np.ndarray) -> float:
+    """How sure the field is of the languages of a text's words, whichever they are: the
+    mean of each word's largest probability, scaled so that 0 is a guess among all
+    languages and 1 is certain."""
+    count = share.shape[1]
+    if count < 2:
+        return 1.0
+    sure = (share.max(axis=1).mean(dtype=np.float64) - 1 / count) / (1 - 1 / count)
+    return float(min(max(sure, 0.0), 1.0))
+
+
+def _label(model: Model, texts: Iterable[str | None]) -> Iterator[tuple[str, float, int, int, float]]:
+    """(language, score, words, words most likely in another language, certainty) of each text."""
     held: list[list[str]] = []
 
-    def flush() -> Iterator[tuple[str, float, int, int]]:
+    def flush() -> Iterator[tuple[str, float, int, int, float]]:
         for share in word_shares(model, held):
             if not len(share) or not model.languages:
-                yield UNKNOWN, 0.0, len(share), 0
+                yield UNKNOWN, 0.0, len(share), 0, 0.0
                 continue
             mean = share.mean(axis=0, dtype=np.float64)
             best = int(mean.argmax())
-            yield model.languages[best], float(min(mean[best], 1.0)), len(share), int((share.argmax(1) != best).sum())
+            other = int((share.argmax(1) != best).sum())
+            yield model.languages[best], float(min(mean[best], 1.0)), len(share), other, certainty(share)
 
     size = 0
     for text in texts:
@@ -212,15 +238,30 @@ def _label(model: Model, texts: pd.Series) -> Iterator[tuple[str, float, int, in
         yield from flush()
 
 
+_LABEL = pa.struct(
+    [
+        ("lang_pred", pa.string()),
+        ("score", pa.float64()),
+        ("n_words", pa.int64()),
+        ("n_other", pa.int64()),
+        ("certainty", pa.float64()),
+    ]
+)
+
+
 def label_column(spark, model: Model, text: Column) -> Column:
-    """struct(lang_pred, score, n_words, n_other) of a text column."""
+    """struct(lang_pred, score, n_words, n_other, certainty) of a text column. Texts are
+    taken from the Arrow batch one at a time, so that a worker holds no second copy of it."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, n_words long, n_other long")
-    def label(texts: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame(
-            list(_label(shared.value, texts)), columns=["lang_pred", "score", "n_words", "n_other"]
-        ).astype({"n_words": "int64", "n_other": "int64", "score": "float64"})
+    @F.arrow_udf("lang_pred string, score double, n_words long, n_other long, certainty double")
+    def label(texts: pa.Array) -> pa.Array:
+        found = list(_label(shared.value, (t.as_py() for t in texts)))
+        columns = list(zip(*found)) if found else [[] for _ in _LABEL]
+        out = pa.StructArray.from_arrays(
+            [pa.array(column, field.type) for column, field in zip(columns, _LABEL)], fields=list(_LABEL)
+        )
+        del texts
         give_back()
         return out
 
@@ -281,24 +322,27 @@ def identify(
         F.col(id_col).alias("doc_id"),
         (~learn).alias("held_out"),
         label_column(docs.sparkSession, model, _lettered(text_col)).alias("_l"),
-    ).select("doc_id", "held_out", "_l.*")
+    ).select("doc_id", "held_out", "_l.lang_pred", "_l.score", "_l.n_words", "_l.n_other")
 
 
 def keep_known(
     docs: DataFrame,
-    least: float = 0.0,
+    least: float = 0.25,
     per_language: int = 250,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """`docs` without the rows whose text has no words or whose score is below `least`;
-    without any labelled row there are no scores, and all texts with words stay. All columns
-    stay, whatever their names."""
+    """`docs` without the rows the field rejects: texts without a letter, and texts whose
+    words it cannot tell to be in any of the learned languages (`certainty` below `least`).
+    A text in several learned languages is certain word by word and stays.
+
+    Null texts go; without any labelled row nothing is learned and all texts with a letter
+    stay; repeated rows stay repeated; an empty table gives an empty one. All columns stay,
+    whatever their names."""
     model = fit(docs.where(training_rows(docs, id_col)), per_language, text_col, lang_col)
-    label = label_column(docs.sparkSession, model, _lettered(text_col)).alias("label")
-    labelled = docs.select(F.struct("*").alias("row"), label)
-    known = F.col("label.n_words") > 0
-    if model.languages:
-        known = known & (F.col("label.score") >= least)
-    return labelled.where(known).select("row.*")
+    lettered = docs.where(F.col(text_col).rlike(r"\p{L}"))
+    if not model.languages:
+        return lettered
+    label = label_column(docs.sparkSession, model, F.col(text_col)).alias("label")
+    return lettered.select(F.struct("*").alias("row"), label).where(F.col("label.certainty") >= least).select("row.*")
