@@ -237,14 +237,28 @@ def one_of_each(
     docs: DataFrame, shingle: int, radius: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """`docs` with one row of each component: the one with the least doc_id (null last; of
-    equal rows any). All columns stay, whatever their names."""
-    row, print_ = F.struct("*").alias("row"), fingerprint_column(F.col(text_col), shingle).alias("fp")
-    prints = stored(docs.select(F.col(id_col).alias("doc_id"), print_), "fingerprints")
+    equal rows any; of several texts under that id the one of least fingerprint, then of
+    least hash). Null and empty texts have fingerprint zero and count as one component
+    with what links to it; an empty table gives an empty one. All columns stay, whatever
+    their names.
+
+    Texts are fingerprinted once. Survivors are found by doc_id and a hash of the text,
+    which are as many keys as there are rows, so that a group of copies has no key in common."""
+    own, text_hash = F.col(id_col), F.xxhash64(F.col(text_col))
+    prints = stored(
+        docs.select(own.alias("doc_id"), text_hash.alias("text"), fingerprint_column(F.col(text_col), shingle).alias("fp")),
+        "fingerprints",
+    )
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "text")
+    roots = components(links(prints.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
     chosen = (
-        _rooted(prints, radius)
-        .groupBy("root")
-        .agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("best"))
-        .select(F.col("best.fp").alias("fp"), F.col("best.least").alias("least"))
+        prints.groupBy("fp")
+        .agg(F.min(order).alias("first"))
+        .join(roots, "fp", "left")
+        .groupBy(F.coalesce("root", "fp"))
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first.doc_id").alias("least"), F.col("first.text").alias("text"))
     )
-    kept = docs.select(row, print_).join(chosen, "fp").where(F.col("row")[id_col].eqNullSafe(F.col("least")))
-    return kept.dropDuplicates(["fp"]).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), own.alias("own"), text_hash.alias("hash"))
+    kept = rows.join(chosen, F.col("own").eqNullSafe(F.col("least")) & (F.col("hash") == F.col("text")))
+    return kept.dropDuplicates(["own", "hash"]).select("row.*")
