@@ -336,19 +336,18 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with every span in `text_col` replaced by [KIND]; all columns and rows stay.
     Where spans overlap, the one that starts first is replaced and what the other has
-    beyond it goes with it. A null text stays null."""
+    beyond it goes with it. A null text stays null, repeated rows stay repeated, and an
+    empty table gives an empty one."""
     hidden = "_pii"
     while any(c.startswith(hidden) for c in docs.columns):
         hidden += "_"
-    plain = docs.withColumn(f"{hidden}_text", F.coalesce(F.col(text_col), F.lit("")))
-    trained = stored(
-        with_candidates(plain.select(f"{hidden}_text"), f"{hidden}_text", "candidates").select("candidates"), "candidates"
-    )
-    model = train(trained.where(F.size("candidates") > 0))
-    df = with_candidates(plain, f"{hidden}_text", hidden)
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    found = with_candidates(docs.withColumn(f"{hidden}_text", whole), f"{hidden}_text", hidden)
+    df = stored(found.drop(f"{hidden}_text"), "candidates")  # the patterns run once
+    model = train(df.where(F.size(hidden) > 0).select(F.col(hidden).alias("candidates")))
     spans = F.filter(hidden, model.accepts)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.col(f"{hidden}_text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
     built = F.aggregate(
         spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -364,4 +363,4 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
     clean = F.when(F.size(hidden) > 0, built).otherwise(F.col(text_col))
-    return df.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return df.select(*[clean.alias(c) if c == text_col else F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
