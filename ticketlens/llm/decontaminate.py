@@ -179,11 +179,14 @@ def phrase_hits(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
                     for n, k in (("first_words", np.int32), ("terms", np.uint64), ("term_starts", np.int32), ("postings", np.int32))
                 )
                 out: dict[int, tuple[list, set, set]] = {}
-                for which, off in ((1, 0), (2, slop)):
+                for which, off in ((1, 0), (2, slop)) if slop else ((1, 0),):
                     phrase, start, doc = find(terms, begins, postings, first, asked, off)
                     for d, p in set(zip(doc.tolist(), phrase.tolist())):
                         names = asked.items[asked.item_starts[p] : asked.item_starts[p + 1]]
-                        out.setdefault(d, ([], set(), set()))[which].update(names)
+                        found = out.setdefault(d, ([], set(), set()))
+                        found[which].update(names)
+                        if not slop:  # an occurrence within no words is an exact one
+                            found[2].update(names)
                     if which == 1 and len(start):
                         edge = np.zeros(len(postings) + 1, np.int64)
                         np.add.at(edge, start, 1)
