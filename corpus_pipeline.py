@@ -15,7 +15,8 @@ from ticketlens.llm.queries import BLOCK_WORDS, RADIUS, SHARD_SLOTS, SHINGLE
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters; texts in several languages stay."""
+    """Drops texts whose words are in none of the learned languages, as far as the field can
+    tell, and texts without letters; texts in several learned languages stay."""
     return langid.keep_known(docs)
 
 
