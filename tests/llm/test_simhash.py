@@ -72,3 +72,13 @@ def test_one_of_each_keeps_columns(frame):
     kept = simhash.one_of_each(docs, 4, 4)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2]
+
+
+def test_one_of_each_where_ids_repeat(frame):
+    far = "other words that have nothing in common with those above"
+    rows = [(1, "a b c d"), (1, far), (2, "a b c d"), (2, far), (None, "a b c d"), (None, "alone here it stands now")]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.one_of_each(frame(rows), 4, 4).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a b c d"), (1, far), (None, "alone here it stands now")], key=str)
+    assert simhash.one_of_each(frame([]), 4, 4).collect() == []
+    hot = [(i % 7, "the same words in every row") for i in range(500)]
+    assert [r["doc_id"] for r in simhash.one_of_each(frame(hot), 4, 4).collect()] == [0]
