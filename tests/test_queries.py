@@ -35,6 +35,7 @@ def test_entry_has_rows(spark):
 STORING = (
     "full_refresh_roundtrip", "refresh_current", "closed_increment_rows", "closed_increment_appended", "closed_days_synced",
     "stored_activity_state", "stored_activity_history", "stored_activity_files",
+    "tracking_page_stored", "page_summary_stored", "table_freshness_stored",
     "volumetry_rollup", "volumetry_by_user_rollup", "mean_handling_time_rollup",
 )
 

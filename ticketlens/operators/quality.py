@@ -17,44 +17,51 @@ def _times(weight: str | None) -> Column:
     return F.coalesce(F.sum(F.col(weight) if weight else F.lit(1)), F.lit(0)).cast("bigint")
 
 
-def table_freshness(
-    rows: DataFrame, tag: str, tables: Sequence[str], as_of: datetime, weight: str | None = None
-) -> DataFrame:
-    """Per tracking table (a value of `tag`): rows, newest entry and closure, seconds from the
-    newest entry to `as_of`, and `as_of` as a text stamp, day first. `weight` names a
-    column that says how many rows a row stands for.
-
-    All tables are read in one pass; one without rows has 0 of them."""
+def freshness_values(tag: str, tables: Sequence[str], weight: str | None = None) -> dict[str, Column]:
+    """The aggregates behind `table_freshness` by name, for rows that are being written."""
     times = F.col(weight) if weight else F.lit(1)
-    values = []
+    values = {}
     for number, name in enumerate(tables):
         own = F.col(tag) == name
-        values += [
-            F.coalesce(F.sum(F.when(own, times)), F.lit(0)).cast("bigint").alias(f"linhas_{number}"),
-            F.max(F.when(own, F.col("data_entrada_n2"))).alias(f"entrada_{number}"),
-            F.max(F.when(own, F.col("data_encerramento"))).alias(f"encerramento_{number}"),
-        ]
+        values |= {
+            f"linhas_{number}": F.coalesce(F.sum(F.when(own, times)), F.lit(0)).cast("bigint"),
+            f"entrada_{number}": F.max(F.when(own, F.col("data_entrada_n2"))),
+            f"encerramento_{number}": F.max(F.when(own, F.col("data_encerramento"))),
+        }
+    return values
+
+
+def freshness_rows(values: DataFrame, tables: Sequence[str], as_of: datetime) -> DataFrame:
+    """One row per table from one row of `freshness_values` (as text too)."""
     each = [
         F.struct(
             F.lit(name).alias("tabela"),
-            F.col(f"linhas_{number}").alias("linhas"),
-            F.col(f"entrada_{number}").alias("ultima_entrada"),
-            F.col(f"encerramento_{number}").alias("ultimo_encerramento"),
+            F.col(f"linhas_{number}").cast("bigint").alias("linhas"),
+            F.col(f"entrada_{number}").cast("timestamp_ntz").alias("ultima_entrada"),
+            F.col(f"encerramento_{number}").cast("timestamp_ntz").alias("ultimo_encerramento"),
         )
         for number, name in enumerate(tables)
     ]
-    return (
-        rows.agg(*values)
-        .select(F.inline(F.array(*each)))
-        .withColumns(
-            {
-                "atraso_seg": seconds_between(F.col("ultima_entrada"), ntz(as_of)),
-                "data_update": F.lit(as_of.strftime("%d-%m-%Y %H:%M")),
-            }
-        )
+    return values.select(F.inline(F.array(*each))).withColumns(
+        {
+            "atraso_seg": seconds_between(F.col("ultima_entrada"), ntz(as_of)),
+            "data_update": F.lit(as_of.strftime("%d-%m-%Y %H:%M")),
+        }
     )
 
 
+def table_freshness(
+    rows: DataFrame, tag: str, tables: Sequence[str], as_of: datetime, weight: str | None = None
+) -> DataFrame:
+    """Per tracking table (a value of `tag`): rows, newest entry and closure, seconds from the
+    newest entry to `as_of`, and `as_of` as a text stamp, day first. `weight` names a
+    column that says how many rows a row stands for.
+
+    All tables are read in one pass; one without rows has 0 of them."""
+    values = freshness_values(tag, tables, weight)
+    return freshness_rows(rows.agg(*[v.alias(name) for name, v in values.items()]), tables, as_of)
+
+
 def duplicate_report(
     df: DataFrame, key: str, n: int | None = 20, weight: str | None = None
 ) -> DataFrame:

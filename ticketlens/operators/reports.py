@@ -113,7 +113,7 @@ def unified_range(unified: DataFrame, first: date, last: date) -> DataFrame:
     return _newest_first(rows.distinct(), "data_entrada_n2").select(*DOWNLOAD_COLUMNS)
 
 
-def _check_page(page: int, page_size: int) -> None:
+def check_page(page: int, page_size: int) -> None:
     if page < 1:
         raise ValueError("page must be at least 1")
     if not 1 <= page_size <= MAX_PAGE_SIZE:
@@ -149,7 +149,7 @@ def tracking_page(
     `after` (the last row seen, all its columns) replaces the page number: it is a filter,
     where a page number has to rank all rows before it. Walk deep lists by `after`; rows
     equal to the cursor in all columns are taken as seen."""
-    _check_page(page, page_size)
+    check_page(page, page_size)
     if not keys:
         raise ValueError("keys must name the sort columns")
     order = [*keys, *[c for c in df.columns if c not in keys]]
@@ -166,7 +166,7 @@ def page_summary(
 ) -> DataFrame:
     """page, page_size, total and total_pages (0 for an empty table), one row. `weight`
     names a column that says how many rows a row stands for."""
-    _check_page(page, page_size)
+    check_page(page, page_size)
     pages = F.ceil(F.col("total") / page_size).cast("int")
     times = F.sum(F.col(weight) if weight else F.lit(1))
     return df.agg(F.coalesce(times, F.lit(0)).cast("bigint").alias("total")).select(

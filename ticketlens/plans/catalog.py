@@ -13,6 +13,7 @@ from ticketlens.operators import activities, command_store, commands, procedures
 from ticketlens.operators.windows import rows_per_window
 from ticketlens.plans import standin, tracking
 from ticketlens.schemas import TICKET_TABLES
+from ticketlens.sources import pages
 from ticketlens.sources.sinks import (
     by_entry_month,
     full_refresh,
@@ -295,6 +296,30 @@ def page_summary(spark, sf_dir):
     return reports.page_summary(rows, PAGE, PAGE_SIZE, weight="repeats")
 
 
+def _paged(spark, sf_dir):
+    """Both tracking tables stored in the order of their pages, with measures."""
+    folder = shared_folder(spark, "pages")
+    tags = (snapshot.ACTIVE_TAG, snapshot.CLOSED_TAG)
+    values = quality.freshness_values(snapshot.TAG, tags)
+    pages.write_pages(_unified(spark, sf_dir), folder, (snapshot.TAG, *PAGE_KEYS), values)
+    return folder
+
+
+def tracking_page_stored(spark, sf_dir):
+    return pages.read_page(spark, _paged(spark, sf_dir), PAGE, PAGE_SIZE)
+
+
+def page_summary_stored(spark, sf_dir):
+    return pages.read_summary(spark, _paged(spark, sf_dir), PAGE, PAGE_SIZE)
+
+
+def table_freshness_stored(spark, sf_dir):
+    """Observed while the tables were written: no row is read for it."""
+    seen = pages.measures(spark, _paged(spark, sf_dir))
+    row = spark.createDataFrame([tuple(seen.values())], ", ".join(f"{name} string" for name in seen))
+    return quality.freshness_rows(row, (snapshot.ACTIVE_TAG, snapshot.CLOSED_TAG), AS_OF)
+
+
 def volumetry(spark, sf_dir):
     return reports.volumetry(_unified_stays(spark, sf_dir), REPORT_DAY)
 
@@ -496,6 +521,9 @@ QUERIES: dict[str, Query] = {
         tracking_page_unified,
         tracking_page_after,
         page_summary,
+        tracking_page_stored,
+        page_summary_stored,
+        table_freshness_stored,
         volumetry,
         volumetry_by_user,
         mean_handling_time,

@@ -558,4 +558,9 @@ def oracle_sql() -> dict[str, str]:
     }
     # Reports over stored states give the rows of the reports over the tables.
     rollup = {f"{name}_rollup": plain[name] for name in ("volumetry", "volumetry_by_user", "mean_handling_time")}
-    return {**plain, **log, **rollup}
+    paged = {
+        "tracking_page_stored": plain["tracking_page_unified"],
+        "page_summary_stored": plain["page_summary"],
+        "table_freshness_stored": plain["table_freshness"],
+    }
+    return {**plain, **log, **rollup, **paged}
