@@ -92,6 +92,65 @@ def test_wrapped_licences(frame, width, mark):
     assert [got[i] for i in range(10, 14)] == [("", "<mit-grant>"), ("", ""), ("", ""), (reserved, "")]
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.
+"""
+GNU = "This {what} is free software{sep} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version.\n"
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.\n"
+EPL = "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/\n"
+COMMON = [
+    (ISC, "ISC"),
+    (ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", ""), "0BSD"),
+    (ZLIB, "Zlib"),
+    (APACHE, "Apache-2.0"),
+    (MPL, "MPL-2.0"),
+    (EPL, "EPL-2.0"),
+    (GNU.format(what="library", sep=";", kind="Lesser ", comma=";", version="2.1"), "LGPL-2.1-or-later"),
+    (GNU.format(what="program", sep=":", kind="Lesser ", comma=",", version="3"), "LGPL-3.0-or-later"),
+    (GNU.format(what="program", sep=":", kind="Affero ", comma=",", version="3"), "AGPL-3.0-or-later"),
+    (GNU.format(what="program", sep=";", kind="", comma=";", version="2"), "GPL-2.0-or-later"),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n", "AGPL-3.0-only"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\n\nVersion 2.1, February 1999\n", "LGPL-2.1-only"),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n", "GPL-2.0-only"),
+]
+
+
+@pytest.mark.parametrize(("width", "mark"), [(10_000, ""), (72, " * "), (50, "# ")])
+def test_common_licences(frame, width, mark):
+    # Lines of a title are kept apart.
+    texts = ["\n".join(_wrapped(line, width, mark).strip("\n") for line in t.split("\n")) for t, _ in COMMON]
+    got = {r["doc_id"]: (r["licenses"], r["unresolved"]) for r in licenses.scan(frame(list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(COMMON))] == [(name, "") for _, name in COMMON]
+
+
+def test_sql_gives_the_rows_of_the_query_on_wrapped_texts(frame):
+    duckdb = pytest.importorskip("duckdb")
+    whole = [MIT, BSD, BSD + BSD_3, GPL, *[t for t, _ in COMMON]]
+    texts = [_wrapped(t, width, mark) for t in whole for width, mark in ((70, ""), (40, "// "), (76, " * "))]
+    texts += [None, "", "\n", "All rights\n\nreserved", "x all rights\nreserved", "Title\nAll rights\nreserved\nall rights reserved\nmore"]
+    texts += ["all rights reserved. ALL RIGHTS\r\nRESERVED! all rights reserved;;\nE", "all rights reserved\u00e9", "all rights reserved" * 2, "\t".join(["all rights reserved;"] * 3)]
+    texts += [MIT.split("\n\n")[1].replace(" ", "\r\n"), MIT * 200, "E all rights reservedE\nall\nrights\nreserved"]
+    rows = list(enumerate(texts)) + [(0, texts[0])]
+    got = licenses.scan(frame(rows))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in rows])
+    theirs = con.sql(licenses.scan_sql())
+    assert theirs.columns == got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(theirs.fetchall())
+
+
 def _judge(spark, pages, listed):
     df = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string").withColumn("host", F.lit("x")).withColumn("key", F.lit(1))
     names = spark.createDataFrame([(u,) for u in listed], "url string")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import ctypes.util
 import functools
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -16,20 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="llm-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as `spark.checkpoint.dir` names it. Only a
-    local session without that setting (a test) gets a temporary folder."""
+    """The folder all executors share, as `spark.checkpoint.dir` names it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_folder()
+    return folder.rstrip("/")
 
 
 def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:

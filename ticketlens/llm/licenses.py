@@ -44,6 +44,37 @@ SENTENCES: dict[str, str] = {
     "this is free and unencumbered software released into the public domain": "unlicense-ref",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-ref",
     "all rights reserved": "reserved",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-as-is",
+    "see the license for the specific language governing permissions and limitations under the license": "apache-see",
+    "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form": "apache-grant",
+    "gnu general public license": "gpl-title",
+    "gnu lesser general public license": "lgpl-title",
+    "gnu affero general public license": "agpl-title",
+    "version 2 june 1991": "gpl-2-date",
+    "version 3 29 june 2007": "gpl-3-date",
+    "version 2 1 february 1999": "lgpl-2-1-date",
+    "version 3 19 november 2007": "agpl-3-date",
+    "this library is free software": "lgpl-free",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-terms",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-terms",
+    "either version 2 of the license or at your option any later version": "either-2-later",
+    "either version 2 1 of the license or at your option any later version": "either-2-1-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl-2-only",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl-3-later",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl-3-later",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-as-is",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "isc-liability",
+    "this software is provided as is without any express or implied warranty": "zlib-as-is",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-liability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl-2-ref",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html": "epl-1-ref",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-head",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl-copy",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl-grant",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-ref",
 }
 
 # Licence rules in order; each is a licence and the identifiers it needs.
@@ -52,7 +83,27 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MIT", ("mit-grant", "mit-notice", "mit-as-is")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("Apache-2.0", ("apache-header", "apache-compliance", "apache-copy", "apache-as-is", "apache-see")),
     ("Apache-2.0", ("apache-header", "apache-compliance", "apache-copy")),
+    ("Apache-2.0", ("apache-grant",)),
+    ("ISC", ("isc-grant", "isc-as-is", "isc-liability")),
+    ("0BSD", ("0bsd-grant", "isc-as-is", "isc-liability")),
+    ("Zlib", ("zlib-as-is", "zlib-liability", "zlib-grant")),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl-3-later")),
+    ("LGPL-3.0-or-later", ("gpl-free", "lgpl-3-later")),
+    ("LGPL-3.0-or-later", ("lgpl-free", "lgpl-3-later")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-terms", "either-2-1-later")),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl-terms", "either-2-later")),
+    ("GPL-2.0-only", ("gpl-free", "gpl-2-only")),
+    ("AGPL-3.0-only", ("agpl-title", "agpl-3-date")),
+    ("LGPL-3.0-only", ("lgpl-title", "gpl-3-date")),
+    ("LGPL-2.1-only", ("lgpl-title", "lgpl-2-1-date")),
+    ("GPL-3.0-only", ("gpl-title", "gpl-3-date")),
+    ("GPL-2.0-only", ("gpl-title", "gpl-2-date")),
+    ("EPL-2.0", ("epl-2-ref",)),
+    ("EPL-1.0", ("epl-1-ref",)),
+    ("MPL-2.0", ("mpl-head", "mpl-copy")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-3-later")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl-2-later")),
     ("Apache-2.0", ("apache-header",)),
@@ -152,12 +203,19 @@ def scan_sql(source: str = "documents") -> str:
 
     keys = ", ".join(quoted(k) for k in SENTENCES)
     values = ", ".join(quoted(v) for v in SENTENCES.values())
+    # Every separator is doubled: this engine's patterns look neither behind nor ahead, so
+    # a sentence takes the mark before it and the one after it.
+    longest_first = sorted(SENTENCES, key=len, reverse=True)
+    wrapped = "|".join(s.replace(" ", r"(?: |\n\n)") for s in longest_first)
     steps = [
-        f"""s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(
-            translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SENTENCE_END}', chr(10), 'g'),
-            '[^a-z0-9\\n]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS sentences FROM {source})""",
-        f"""i AS (SELECT doc_id, len(sentences) AS n, list_filter(list_transform(sentences,
-            lambda x: [{values}][list_position([{keys}], x)]), lambda x: x IS NOT NULL) AS ids FROM s)""",
+        f"""s AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS lower FROM {source})""",
+        f"""n AS (SELECT doc_id, lower, len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(lower,
+            '{SENTENCE_END}', chr(10), 'g'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')) AS n FROM s)""",
+        r"""p AS (SELECT doc_id, n, trim(regexp_replace(regexp_replace(regexp_replace(lower, '[.!?;:]+[ \t\r\n]+', 'E', 'g'),
+            '[^a-z0-9\nE]+', ' ', 'g'), ' ?\n(?: ?\n)+', 'E', 'g'), ' ') AS plain FROM n)""",
+        r"""l AS (SELECT doc_id, n, 'E' || regexp_replace(plain, ' ?([\nE]) ?', '\1\1', 'g') || 'E' AS lines FROM p)""",
+        f"""i AS (SELECT doc_id, n, list_transform(regexp_extract_all(lines, '[\\nE]({wrapped})[\\nE]', 1),
+            lambda x: [{values}][list_position([{keys}], replace(x, chr(10) || chr(10), ' '))]) AS ids FROM l)""",
         """r0 AS (SELECT doc_id, n, ids, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS seq,
             coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS unused, CAST([] AS VARCHAR[]) AS names FROM i)""",
     ]
