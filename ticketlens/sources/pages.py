@@ -23,6 +23,7 @@ from ticketlens.sources.versions import current, publish
 
 RANGE = "faixa"
 ROWS, INDEX, MEASURES = "linhas", "indice", "medidas"
+DRAFT = "rascunho"
 KEYS, SCHEMA, TOTAL = "ordem", "esquema", "total"
 
 
@@ -51,7 +52,11 @@ def write_pages(
 
     Ranges are cut by the first `cut_by` columns of that order (all of `keys` if not
     given): rows alike in them share a range, so name enough for such rows to be few. The
-    size of a range is that of a shuffle partition under adaptive execution."""
+    size of a range is that of a shuffle partition under adaptive execution.
+
+    Cutting ranges samples the rows and so needs them twice: they are stored as they come
+    first, in a folder of their own that may be removed afterwards, and the plan behind them
+    is planned and run once."""
     folder = folder.rstrip("/")
     if not keys:
         raise ValueError("keys must name the sort columns")
@@ -61,7 +66,8 @@ def write_pages(
     number, _ = current(spark, folder)
     order = [*keys, *[c for c in df.columns if c not in keys]]
     cut = order[: cut_by or len(keys)]
-    ranged = df.repartitionByRange(*_in_order(cut)).withColumn(RANGE, F.spark_partition_id())
+    draft = spark.read.schema(df.schema).parquet(full_refresh(df, f"{folder}/{DRAFT}"))
+    ranged = draft.repartitionByRange(*_in_order(cut)).withColumn(RANGE, F.spark_partition_id())
     rows = ranged.sortWithinPartitions(RANGE, *_in_order(order))
     # Observed behind the last shuffle: a task that runs again is counted once.
     seen = Observation()
