@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions.calendar import calendar_filter, week_mode1, within
 from ticketlens.functions.durations import TIME_LIMIT_SECONDS, clip_time, report_hms
+from ticketlens.operators.packed import Packed
 from ticketlens.operators.snapshot import ACTIVE_TAG, CLOSED_TAG, TAG
 from ticketlens.operators.stays import UNCLASSIFIED
 
@@ -79,9 +80,15 @@ def _newest_first(df: DataFrame, column: str) -> DataFrame:
     return df.orderBy(F.col(column).desc_nulls_last(), *ties)
 
 
-def unified_newest(unified: DataFrame) -> DataFrame:
-    """The unpaged listing of both tables, newest creation first."""
-    return _newest_first(unified, "data_criacao")
+def unified_newest(unified: DataFrame | Packed) -> DataFrame:
+    """The unpaged listing of both tables, newest creation first. Packed rows are dealt into
+    ranges of that order, and opened and sorted inside their ranges."""
+    newest = "data_criacao"
+    if not isinstance(unified, Packed):
+        return _newest_first(unified, newest)
+    first, *others = unified.cut([newest, *TIE_BREAKERS])
+    ranges = unified.frame.repartitionByRange(first[1].desc_nulls_last(), *[value for _, value in others])
+    return unified.over(ranges).rows().sortWithinPartitions(F.col(newest).desc_nulls_last(), *TIE_BREAKERS)
 
 
 def unified_download(

@@ -3,7 +3,11 @@
 A key with more than ROWS_PER_CHUNK rows is heavy. Both sides of a join carry the number of
 rows of heavy keys, from one small table that is sent to every task, so no row travels to be
 told that its key is light. A heavy key has several chunks, any other one: such a key is
-never copied. No key is looked for ahead of the plan and none is left out."""
+never copied. No key is looked for ahead of the plan and none is left out.
+
+`split` parts light rows from heavy ones by that table. Several joins in a row on one key
+are plain joins for the light part: each side travels once, by the key, and what they make
+does not travel at all. Only the heavy part goes by chunks."""
 
 from __future__ import annotations
 
@@ -39,6 +43,14 @@ def heavy(counts: DataFrame, keys: Sequence[str], *sizes: str | Column) -> DataF
     return F.broadcast(largest.orderBy(F.desc("tamanho"), *keys).limit(MOST_HEAVY).drop("tamanho"))
 
 
+def split(df: DataFrame, sizes: DataFrame, key: str = "origem") -> tuple[DataFrame, DataFrame]:
+    """Rows of light keys, and rows of heavy ones with the columns of `sizes`, a table of
+    `heavy` keys."""
+    known = df.join(sizes, key, "left")
+    size = F.coalesce(*[F.col(name) for name in sizes.columns if name != key])
+    return known.where(size.isNull()).select(*df.columns), known.where(size.isNotNull())
+
+
 def _own(df: DataFrame, number: Column) -> Column:
     """The chunk of a row, from a hash of its values: a rerun task agrees."""
     return F.pmod(F.xxhash64(*[F.col(name) for name in df.columns]), number).cast("int")

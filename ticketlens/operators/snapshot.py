@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions.calendar import ntz
-from ticketlens.operators.skew import chunked_join, counts_of, heavy
+from ticketlens.operators.skew import chunked_join, counts_of, heavy, split
 from ticketlens.schemas import SNAPSHOT
 
 # Codes and texts that results depend on.
@@ -209,35 +209,42 @@ def rows_per_ticket(tables: Mapping[str, DataFrame]) -> DataFrame:
     return elements.groupBy("origem").agg(F.sum(F.coalesce("n", F.lit(1))).alias("linhas"))
 
 
-def snapshot(
-    roots: DataFrame,
-    tables: Mapping[str, DataFrame],
-    mode: str = "life_or_procedure",
-    sizes: DataFrame | None = None,
-) -> DataFrame:
-    """Eligible root tickets x elements x equipment without duplicates. A ticket
-    without elements keeps one row. `sizes` is a table of heavy tickets with `linhas`, whose
-    columns stay in the result.
-
-    Elements meet their equipment before the tickets do: the short rows travel by
-    element, the long ones by ticket only. Both sides of either join are without
-    duplicates, so that the counts that split hot keys are those of their rows."""
+def _lines(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Elements with their equipment, without duplicates. The short rows travel by element.
+    Both sides are without duplicates, so that the counts that split hot keys are those of
+    their rows."""
     elements = _elements(tables["ta"]).distinct()
     equipment = _equipment(tables["equip"]).distinct()
     large = heavy(counts_of(equipment, "elemento", "equipamentos"), ["elemento"], "equipamentos")
-    equipped = chunked_join(
-        elements.join(large, "elemento", "left"),
-        equipment.join(large, "elemento", "left"),
-        "elemento",
-        right_rows="equipamentos",
-    ).drop("equipamentos")
-    keep = [c for c in sizes.columns if c != "origem"] if sizes is not None else []
-    if sizes is None:
-        sizes = heavy(rows_per_ticket(tables), ["origem"], "linhas")
-    tickets = ticket_rows(roots, tables, mode).join(sizes, "origem", "left")
-    lines = equipped.join(sizes.select("origem", "linhas"), "origem", "left")
-    rows = chunked_join(tickets, lines, "origem", right_rows="linhas")
-    return rows.select(*[f.name for f in SNAPSHOT], *_tag(roots), *keep).distinct()
+    light, hot = split(elements, large, "elemento")
+    own, hot_own = split(equipment, large, "elemento")
+    many = chunked_join(hot, hot_own, "elemento", right_rows="equipamentos").drop("equipamentos")
+    return light.join(own, "elemento", "left").unionByName(many)
+
+
+def snapshot_parts(
+    roots: DataFrame, tables: Mapping[str, DataFrame], mode: str, sizes: DataFrame
+) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """Tickets and their lines (elements with equipment), light and heavy ones of either; the
+    heavy ones with the columns of `sizes`, a table of heavy tickets with `linhas`.
+
+    Neither has duplicates, so their pairs have none: the long rows need not be compared."""
+    lines = _lines(tables)
+    own = [f.name for f in SNAPSHOT if f.name == "origem" or f.name not in lines.columns]
+    tickets = ticket_rows(roots, tables, mode).select(*own, *_tag(roots)).distinct()
+    return split(tickets, sizes), split(lines, sizes)
+
+
+def snapshot(
+    roots: DataFrame, tables: Mapping[str, DataFrame], mode: str = "life_or_procedure"
+) -> DataFrame:
+    """Eligible root tickets x elements x equipment without duplicates. A ticket
+    without elements keeps one row."""
+    sizes = heavy(rows_per_ticket(tables), ["origem"], "linhas")
+    (tickets, hot), (lines, hot_lines) = snapshot_parts(roots, tables, mode, sizes)
+    columns = [*[f.name for f in SNAPSHOT], *_tag(roots)]
+    many = chunked_join(hot, hot_lines, "origem", right_rows="linhas")
+    return tickets.join(lines, "origem", "left").select(*columns).unionByName(many.select(*columns))
 
 
 def ticket_snapshot_active(

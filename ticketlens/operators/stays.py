@@ -242,21 +242,23 @@ def stay_totals(stays: DataFrame) -> DataFrame:
 
 
 def stay_table(
-    life: DataFrame,
-    groups: DataFrame,
-    users: DataFrame,
-    as_of: datetime,
-    sizes: DataFrame | None = None,
+    life: DataFrame, groups: DataFrame, users: DataFrame, as_of: datetime
 ) -> DataFrame:
     """Stays with starts and totals. A light ticket is shuffled once and read twice, the
-    first time for its number of rows only. With `sizes` (a table of heavy tickets, as of
-    `skew.heavy`) also its columns, null for light tickets."""
+    first time for its number of rows only."""
     stays = group_stays(life, groups, users, as_of)
     light, hot = _split(stays, stays_per_ticket(life))
-    rows = _total_light(_mark_light(light)).unionByName(_total(_mark(_in_chunks(hot))))
-    if sizes is None:
-        return _texts(rows)
-    return _texts(rows.join(sizes, "origem", "left"), *[c for c in sizes.columns if c != "origem"])
+    return _texts(_total_light(_mark_light(light)).unionByName(_total(_mark(_in_chunks(hot)))))
+
+
+def stay_parts(
+    life: DataFrame, groups: DataFrame, users: DataFrame, as_of: datetime, sizes: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of `stay_table` of light tickets, and of heavy ones with the columns of
+    `sizes`, a table of heavy tickets that names all with more stays than a chunk."""
+    light, hot = skew.split(group_stays(life, groups, users, as_of), sizes)
+    counts = [c for c in sizes.columns if c != "origem"]
+    return _texts(_total_light(_mark_light(light))), _texts(_total(_mark(_in_chunks(hot))), *counts)
 
 
 def stays_per_ticket(life: DataFrame, n2: Sequence[int] = N2_GROUPS) -> DataFrame:

@@ -174,6 +174,10 @@ def _unified(spark, sf_dir, entered=None):
     )
 
 
+def _unified_packed(spark, sf_dir):
+    return tracking.unified_packed(_tables(spark, sf_dir), AS_OF, START, END, START)
+
+
 def _unified_stays(spark, sf_dir, weighted: bool = False):
     return tracking.unified_stays(
         _tables(spark, sf_dir), AS_OF, START, END, START, weighted=weighted
@@ -181,7 +185,9 @@ def _unified_stays(spark, sf_dir, weighted: bool = False):
 
 
 def full_refresh_roundtrip(spark, sf_dir):
-    closed = by_entry_month(tracking_closed(spark, sf_dir))
+    closed = by_entry_month(
+        tracking.closed_packed(_tables(spark, sf_dir), AS_OF, START, END, START)
+    )
     path = full_refresh(closed, shared_folder(spark, "tracking_closed"), ("mes_entrada",))
     return spark.read.parquet(path)
 
@@ -235,7 +241,7 @@ def closed_increment_appended(spark, sf_dir):
 
 
 def unified_tracking(spark, sf_dir):
-    return reports.unified_newest(_unified(spark, sf_dir))
+    return reports.unified_newest(_unified_packed(spark, sf_dir))
 
 
 def _download(spark, sf_dir, **period):
@@ -301,7 +307,7 @@ def _paged(spark, sf_dir):
     folder = shared_folder(spark, "pages")
     tags = (snapshot.ACTIVE_TAG, snapshot.CLOSED_TAG)
     values = quality.freshness_values(snapshot.TAG, tags)
-    pages.write_pages(_unified(spark, sf_dir), folder, (snapshot.TAG, *PAGE_KEYS), values)
+    pages.write_pages(_unified_packed(spark, sf_dir), folder, (snapshot.TAG, *PAGE_KEYS), values)
     return folder
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketlens.operators.packed import PIECE, Packed, listed, pieces
 from ticketlens.operators.procedures import SUFFIX, procedure_summary
-from ticketlens.operators.skew import chunked_join, heavy
+from ticketlens.operators.skew import chunked_join, heavy, split
 from ticketlens.operators.snapshot import (
     ACTIVE_TAG,
     CLOSED_TAG,
@@ -19,12 +20,15 @@ from ticketlens.operators.snapshot import (
     closed_roots,
     load_tables,
     rows_per_ticket,
-    snapshot,
+    snapshot_parts,
     ticket_rows,
 )
-from ticketlens.operators.stays import classify_stay, stay_table, stays_per_ticket
+from ticketlens.operators.stays import classify_stay, stay_parts, stays_per_ticket
 from ticketlens.schemas import TRACKING
 
+# Lists of a packed ticket: its elements with equipment, its stays, its procedure rows.
+LISTS = ("lista_linhas", "lista_estadas", "lista_procedimentos")
+
 # Keeps the life rows that entered in some period, by the name of the entry column.
 Entered = Callable[[DataFrame, str], DataFrame]
 
@@ -41,37 +45,55 @@ def ticket_sizes(lines: DataFrame, stays: DataFrame) -> DataFrame:
     return heavy(counts, ["origem"], _pairs())
 
 
-def consolidate(tickets: DataFrame, stays: DataFrame, procedures: DataFrame) -> DataFrame:
-    """Every snapshot row with each stay and each procedure row of its ticket.
+def _procedures(tables: Mapping[str, DataFrame]) -> DataFrame:
+    return procedure_summary(tables["proced"], tables["grupos"], tables["usuarios"])
 
-    All three carry `linhas` and `estadas`, how many snapshot rows and stays a heavy ticket
-    has (null for a light one): from them follows into how many chunks it is split."""
-    with_stays = classify_stay(
-        chunked_join(tickets, stays, "origem", left_rows=F.col("linhas"), right_rows="estadas")
-    )
-    rows = chunked_join(with_stays, procedures, "origem", left_rows=_pairs())
-    tag = [column for column in tickets.columns if column == TAG]
-    return rows.select(*[f.name for f in TRACKING], *tag)
 
+def _finish(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    tag = [column for column in rows.columns if column == TAG]
+    return classify_stay(rows).select(*[f.name for f in TRACKING], *tag, *keep)
 
-def _procedures(tables: Mapping[str, DataFrame]) -> DataFrame:
-    return procedure_summary(tables["proced"], tables["grupos"], tables["usuarios"])
+
+def consolidate(tickets: DataFrame, sides: Sequence[DataFrame]) -> DataFrame:
+    """Every ticket row with each line, stay and procedure row of its ticket, packed. All four
+    travel by ticket, once; a ticket that is not heavy fits a row."""
+    rows = tickets
+    for name, side in zip(LISTS, sides, strict=True):
+        rows = rows.join(listed(side, "origem", name), "origem", "left")
+    return rows.withColumn(PIECE, F.lit(False))
+
+
+def consolidate_heavy(tickets: DataFrame, sides: Sequence[DataFrame]) -> DataFrame:
+    """The same for heavy tickets, each pair in a row of its own.
+
+    Lines and stays carry `linhas` and `estadas`, how many of either the ticket has, as do
+    tickets and procedures: from them follows into how many chunks it is split."""
+    counts = {"origem", "linhas", "estadas"}
+    factors = {name: [c for c in side.columns if c not in counts] for name, side in zip(LISTS, sides, strict=True)}
+    lines, stays, procedures = sides
+    placed = chunked_join(tickets, lines, "origem", right_rows="linhas")
+    with_stays = chunked_join(placed, stays, "origem", left_rows=F.col("linhas"), right_rows="estadas")
+    rows = chunked_join(with_stays, procedures, "origem", left_rows=_pairs())
+    return pieces(rows.drop("linhas", "estadas"), factors)
 
 
 def _tracking(
     roots: DataFrame, tables: Mapping[str, DataFrame], as_of: datetime, mode: str
-) -> DataFrame:
+) -> Packed:
     ready = load_tables(tables, roots)
     sizes = ticket_sizes(rows_per_ticket(ready), stays_per_ticket(ready["vida"]))
-    tickets = snapshot(roots, ready, mode, sizes)
-    stays = stay_table(ready["vida"], ready["grupos"], ready["usuarios"], as_of, sizes)
-    procedures = _procedures(ready).withColumn("origem", F.col("origem" + SUFFIX))
-    return consolidate(tickets, stays, procedures.join(sizes, "origem", "left"))
+    tickets, lines = snapshot_parts(roots, ready, mode, sizes)
+    stays = stay_parts(ready["vida"], ready["grupos"], ready["usuarios"], as_of, sizes)
+    procedures = split(_procedures(ready).withColumn("origem", F.col("origem" + SUFFIX)), sizes)
+    light, hot = zip(lines, stays, procedures, strict=True)
+    packed = consolidate(tickets[0], light)
+    many = consolidate_heavy(tickets[1], hot)
+    return Packed(packed.unionByName(many.select(*packed.columns)), LISTS, _finish)
 
 
 def tracking_of(roots: DataFrame, tables: Mapping[str, DataFrame], as_of: datetime) -> DataFrame:
     """Tracking rows of some root tickets."""
-    return _tracking(roots, tables, as_of, "life_or_procedure")
+    return _tracking(roots, tables, as_of, "life_or_procedure").rows()
 
 
 def tracking_active(
@@ -82,7 +104,20 @@ def tracking_active(
     mode: str = "life_or_procedure",
 ) -> DataFrame:
     """Tracking rows of open tickets created in [start, end)."""
-    return _tracking(active_roots(tables["ta"], start, end), tables, as_of, mode)
+    return _tracking(active_roots(tables["ta"], start, end), tables, as_of, mode).rows()
+
+
+def closed_packed(
+    tables: Mapping[str, DataFrame],
+    as_of: datetime,
+    start: datetime,
+    end: datetime,
+    created_from: datetime,
+    mode: str = "life_or_procedure",
+) -> Packed:
+    """`tracking_closed`, packed."""
+    roots = closed_roots(tables["ta"], start, end, created_from)
+    return _tracking(roots, tables, as_of, mode)
 
 
 def tracking_closed(
@@ -94,8 +129,7 @@ def tracking_closed(
     mode: str = "life_or_procedure",
 ) -> DataFrame:
     """Tracking rows of tickets that closed in (start, end]."""
-    roots = closed_roots(tables["ta"], start, end, created_from)
-    return _tracking(roots, tables, as_of, mode)
+    return closed_packed(tables, as_of, start, end, created_from, mode).rows()
 
 
 def _both_roots(
@@ -118,6 +152,19 @@ def _both_roots(
     return roots.join(seen, "tqa_codigo", "left_semi")
 
 
+def unified_packed(
+    tables: Mapping[str, DataFrame],
+    as_of: datetime,
+    start: datetime,
+    end: datetime,
+    created_from: datetime,
+    mode: str = "life_or_procedure",
+    entered: Entered | None = None,
+) -> Packed:
+    """`tracking_unified`, packed."""
+    return _tracking(_both_roots(tables, start, end, created_from, entered), tables, as_of, mode)
+
+
 def tracking_unified(
     tables: Mapping[str, DataFrame],
     as_of: datetime,
@@ -132,7 +179,7 @@ def tracking_unified(
     Life rows, procedures and elements are read and shuffled once for both kinds
     of ticket. The rows are those of `unified_tracking` over the two tables; with
     `entered`, all rows of tickets that have a stay in its period."""
-    return _tracking(_both_roots(tables, start, end, created_from, entered), tables, as_of, mode)
+    return unified_packed(tables, as_of, start, end, created_from, mode, entered).rows()
 
 
 def unified_sites(
@@ -160,12 +207,13 @@ def unified_sites(
     )
     places = sites.where(F.col("origem").isNotNull()).groupBy("origem").agg(F.count(F.lit(1)).alias("linhas"))
     sizes = ticket_sizes(places, stays_per_ticket(ready["vida"]))
-    tickets = ticket_rows(roots, ready, mode).join(sizes, "origem", "left")
-    lines = sites.join(sizes.select("origem", "linhas"), "origem", "left")
-    placed = chunked_join(tickets, lines, "origem", right_rows="linhas")
-    stays = stay_table(ready["vida"], ready["grupos"], ready["usuarios"], as_of, sizes)
-    rows = chunked_join(placed, stays, "origem", left_rows=F.col("linhas"), right_rows="estadas")
-    return rows.drop("linhas", "estadas")
+    tickets, hot = split(ticket_rows(roots, ready, mode), sizes)
+    lines, hot_lines = split(sites, sizes)
+    stays, hot_stays = stay_parts(ready["vida"], ready["grupos"], ready["usuarios"], as_of, sizes)
+    light = tickets.join(lines, "origem", "left").join(stays, "origem", "left")
+    placed = chunked_join(hot, hot_lines, "origem", right_rows="linhas")
+    many = chunked_join(placed, hot_stays, "origem", left_rows=F.col("linhas"), right_rows="estadas")
+    return light.unionByName(many.drop("linhas", "estadas"))
 
 
 def unified_stays(
@@ -187,11 +235,11 @@ def unified_stays(
     roots = _both_roots(tables, start, end, created_from)
     ready = load_tables(tables, roots)
     sizes = heavy(stays_per_ticket(ready["vida"]), ["origem"], "estadas")
-    stays = stay_table(ready["vida"], ready["grupos"], ready["usuarios"], as_of, sizes)
-    tickets = ticket_rows(roots, ready, mode).join(sizes, "origem", "left")
-    if weighted:
-        tickets = _with_repeats(tickets, ready)
-    return classify_stay(chunked_join(tickets, stays, "origem", right_rows="estadas")).drop("estadas")
+    stays, hot_stays = stay_parts(ready["vida"], ready["grupos"], ready["usuarios"], as_of, sizes)
+    tickets = ticket_rows(roots, ready, mode)
+    tickets, hot = split(_with_repeats(tickets, ready) if weighted else tickets, sizes)
+    many = chunked_join(hot, hot_stays, "origem", right_rows="estadas").drop("estadas")
+    return classify_stay(tickets.join(stays, "origem", "left").unionByName(many))
 
 
 def _with_repeats(tickets: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 from pyspark.sql.window import Window
 
+from ticketlens.operators.packed import Packed
 from ticketlens.operators.reports import check_page
 from ticketlens.sources.sinks import full_refresh
 from ticketlens.sources.versions import current, publish
@@ -40,7 +41,7 @@ def _index(stored: DataFrame) -> DataFrame:
 
 
 def write_pages(
-    df: DataFrame,
+    df: DataFrame | Packed,
     folder: str,
     keys: Sequence[str],
     measures: Mapping[str, Column] | None = None,
@@ -56,19 +57,23 @@ def write_pages(
 
     Cutting ranges samples the rows and so needs them twice: they are stored as they come
     first, in a folder of their own that may be removed afterwards, and the plan behind them
-    is planned and run once."""
+    is planned and run once. Packed rows are stored and dealt into ranges packed, and opened
+    where they are sorted."""
     folder = folder.rstrip("/")
     if not keys:
         raise ValueError("keys must name the sort columns")
-    if RANGE in df.columns:
+    packed = df if isinstance(df, Packed) else Packed(df, (), lambda rows, keep: rows.select(*df.columns, *keep))
+    schema = packed.rows().schema
+    if RANGE in schema.names:
         raise ValueError(f"{RANGE} is the name of the range column")
-    spark = df.sparkSession
+    spark = packed.frame.sparkSession
     number, _ = current(spark, folder)
-    order = [*keys, *[c for c in df.columns if c not in keys]]
-    cut = order[: cut_by or len(keys)]
-    draft = spark.read.schema(df.schema).parquet(full_refresh(df, f"{folder}/{DRAFT}"))
-    ranged = draft.repartitionByRange(*_in_order(cut)).withColumn(RANGE, F.spark_partition_id())
-    rows = ranged.sortWithinPartitions(RANGE, *_in_order(order))
+    order = [*keys, *[c for c in schema.names if c not in keys]]
+    cut = [value.asc_nulls_last() for _, value in packed.cut(order[: cut_by or len(keys)])]
+    path = full_refresh(packed.frame, f"{folder}/{DRAFT}")
+    draft = spark.read.schema(packed.frame.schema).parquet(path)
+    ranged = draft.repartitionByRange(*cut).withColumn(RANGE, F.spark_partition_id())
+    rows = packed.over(ranged).rows(RANGE).sortWithinPartitions(RANGE, *_in_order(order))
     # Observed behind the last shuffle: a task that runs again is counted once.
     seen = Observation()
     values = {TOTAL: F.count(F.lit(1)), **(measures or {})}
@@ -76,13 +81,13 @@ def write_pages(
     # Not by full_refresh: its rebalance hint would deal the ranges anew.
     path = f"{folder}/{ROWS}/{uuid.uuid4().hex}"
     rows.write.mode("errorifexists").partitionBy(RANGE).parquet(path)
-    stored = _ranges(spark, path, df.schema)
+    stored = _ranges(spark, path, schema)
     index = full_refresh(_index(stored), f"{folder}/{INDEX}")
     content = {
         ROWS: path,
         INDEX: index,
         KEYS: order,
-        SCHEMA: df.schema.json(),
+        SCHEMA: schema.json(),
         MEASURES: {name: seen.get.get(name) for name in values},
     }
     return publish(spark, folder, content, number)

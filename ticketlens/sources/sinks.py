@@ -8,28 +8,38 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketlens.operators.packed import Packed
+
 # The partition column that tells the loads of a table apart.
 LOAD = "carga"
 
 
-def by_entry_month(df: DataFrame) -> DataFrame:
+def by_entry_month(df: DataFrame | Packed) -> DataFrame | Packed:
     """Adds `mes_entrada` (yyyyMM), the partition column of the tracking tables."""
+    if isinstance(df, Packed):
+        stays = df.opened("data_entrada_n2")
+        entry = stays.value("data_entrada_n2")
+        return stays.with_column("mes_entrada", F.year(entry) * 100 + F.month(entry))
     entry = F.col("data_entrada_n2")
     return df.withColumn("mes_entrada", F.year(entry) * 100 + F.month(entry))
 
 
-def _write(df: DataFrame, path: str, mode: str, partition_by: tuple[str, ...]) -> str:
+def _write(df: DataFrame | Packed, path: str, mode: str, partition_by: tuple[str, ...]) -> str:
     """Plain tables are written where the rows are. For a partitioned one the
     rebalance hint lets adaptive execution merge the small files of a partition
-    value and split a value that holds most of the rows."""
-    if partition_by:
+    value and split a value that holds most of the rows. Packed rows are dealt packed."""
+    if isinstance(df, Packed):
+        dealt = df.over(df.frame.hint("rebalance", *partition_by)) if partition_by else df
+        writer = dealt.rows().write.mode(mode)
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    elif partition_by:
         df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
     else:
         df.write.mode(mode).parquet(path)
     return path
 
 
-def full_refresh(df: DataFrame, folder: str, partition_by: tuple[str, ...] = ()) -> str:
+def full_refresh(df: DataFrame | Packed, folder: str, partition_by: tuple[str, ...] = ()) -> str:
     """Writes the table beside its former versions in `folder` and returns the path of
     the new one. Readers keep the version they opened; hand them the new path once the
     job has succeeded, and remove versions nobody reads."""
