@@ -14,7 +14,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.operators.snapshot import closed_roots, load_tables
+from ticketlens.operators.snapshot import closed_roots
 from ticketlens.plans.tracking import tracking_of
 from ticketlens.sources.sinks import full_refresh
 from ticketlens.sources.versions import current, publish
@@ -26,41 +26,34 @@ PRINT = ("linhas", "soma", "soma_quadrada")
 def day_fingerprints(tables: Mapping[str, DataFrame], roots: DataFrame) -> DataFrame:
     """One row per closure day of `roots`: dia_fechamento and the fingerprint of its rows.
 
-    Rows are hashed first and added up per ticket, with map-side partials, so that no ticket
-    travels whole. Sums are decimals: they are exact and wrap nowhere."""
-    ready = load_tables(tables, roots)
-    equipment = ready["equip"].join(
-        ready["ta"].select(F.col("tqa_codigo").alias("aeq_ta"), F.col("tqa_origem").alias("ta")).distinct(), "aeq_ta"
-    )
-    parts = [
-        (roots, "tqa_codigo"),
-        (ready["ta"], "tqa_origem"),
-        (ready["vida"], "vda_ta"),
-        (ready["proced"], "pca_ta"),
-        (equipment, "ta"),
-    ]
-    hashed = None
-    for number, (rows, key) in enumerate(parts):
+    Rows are hashed before they meet the days of their ticket, and added up by day with
+    map-side partials: of a row only its ticket and its hash travel. Sums are decimals: they
+    are exact and wrap nowhere."""
+    days = roots.select(
+        F.col("tqa_codigo").cast("bigint").alias("ta"), F.col("tqa_data_encerramento").cast("date").alias(DAY)
+    ).distinct()
+
+    def hashed(number: int, rows: DataFrame, key: str) -> DataFrame:
         code = F.xxhash64(F.lit(number), *[F.col(c) for c in rows.columns]).cast("decimal(20,0)")
-        own = rows.select(F.col(key).cast("bigint").alias("ta"), code.alias("h"))
-        hashed = own if hashed is None else hashed.unionByName(own)
+        return rows.select(F.col(key).cast("bigint").alias("ta"), code.alias("h"))
+
+    of_day = None
+    for number, (rows, key) in enumerate(
+        [(roots, "tqa_codigo"), (tables["ta"], "tqa_origem"), (tables["vida"], "vda_ta"), (tables["proced"], "pca_ta")]
+    ):
+        own = hashed(number, rows, key).join(days, "ta").select(DAY, "h")
+        of_day = own if of_day is None else of_day.unionByName(own)
+    # Elements of the roots only: equipment of others does not travel on.
+    elements = tables["ta"].select(F.col("tqa_codigo").alias("aeq_ta"), F.col("tqa_origem").alias("ta"))
+    owned = tables["equip"].join(elements.join(days.select("ta").distinct(), "ta", "left_semi").distinct(), "aeq_ta")
+    equipment = hashed(4, owned.select(*tables["equip"].columns, "ta"), "ta").join(days, "ta")
+    of_day = of_day.unionByName(equipment.select(DAY, "h"))
     # A second sum, over the rests by a prime, so that changes do not cancel out.
     rest = (F.col("h") % F.lit(2_147_483_647)).cast("decimal(20,0)")
-    per_ticket = hashed.groupBy("ta").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("h").alias("s"), F.sum(rest * rest).cast("decimal(38,0)").alias("q")
-    )
-    days = roots.select(
-        F.col("tqa_codigo").cast("bigint").alias("ta"), F.col("tqa_data_encerramento").cast("date").alias(DAY)
-    )
-    return (
-        days.distinct()
-        .join(per_ticket, "ta")
-        .groupBy(DAY)
-        .agg(
-            F.sum("n").alias("linhas"),
-            F.sum("s").cast("decimal(38,0)").alias("soma"),
-            F.sum("q").cast("decimal(38,0)").alias("soma_quadrada"),
-        )
+    return of_day.groupBy(DAY).agg(
+        F.count(F.lit(1)).alias("linhas"),
+        F.sum("h").cast("decimal(38,0)").alias("soma"),
+        F.sum(rest * rest).cast("decimal(38,0)").alias("soma_quadrada"),
     )
 
 
