@@ -6,6 +6,7 @@ others. A report over years of loads then reads a few rows per day instead of th
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,55 +19,71 @@ from ticketlens.sources.sinks import read_loads, write_load
 BY_CLASS, BY_USER, TIME = "classe", "usuario", "tempo"
 
 
-def daily_states(unified: DataFrame, weight: str | None = None) -> DataFrame:
-    """The states of some tickets: medida, entrada, tipo_bilhete, valor, n, s. `weight` is
-    that of `mean_handling_time`; distinct stays have none.
-
-    The stays are built once: each gives up to three measures. The first aggregate makes
-    the stays of a measure distinct, and adds up times by day; the second counts by day."""
-    entry = F.col("data_entrada_n2")
-    day = F.to_date(entry)
+def _stay_states(unified: DataFrame, weight: str | None) -> DataFrame:
+    """One row per stay of a ticket with its classes, its users and its times. Where the rows
+    of a ticket lie together they stay there."""
+    entry, kind = F.col("data_entrada_n2"), F.col("classificacao_atuacao")
+    user = F.col("usuario_atuacao")
     times = F.col(weight) if weight else F.lit(1)
     seconds = reports.clip_time(F.col("tma_n2_seg"), reports.TIME_LIMIT_SECONDS)
     known = F.col("tma_n2_seg").isNotNull()
+    total = seconds.cast("decimal(19,0)") * times.cast("decimal(18,0)")
+    wanted = kind != UNCLASSIFIED
+    return unified.groupBy(
+        "origem",
+        F.when(F.col("origem").isNotNull(), entry).alias("estada"),
+        F.to_date(entry).alias("entrada"),
+        "tipo_bilhete",
+    ).agg(
+        F.collect_set(F.when(wanted, kind)).alias("classes"),
+        F.collect_set(F.when(wanted, user)).alias("usuarios"),
+        F.sum(F.when(known, times).otherwise(0).cast("decimal(18,0)")).alias("vezes"),
+        F.sum(total.cast("decimal(37,0)")).cast("decimal(30,0)").alias("segundos"),
+    )
+
+
+def daily_states(*unified: DataFrame, weight: str | None = None) -> DataFrame:
+    """The states of some tickets: medida, entrada, tipo_bilhete, valor, n, s. `weight` is
+    that of `mean_handling_time`; distinct stays have none. Several frames must hold
+    disjoint tickets.
 
-    def measure(kind: str, stay, kind_of, value, n, s):
+    The stays are built once: each gives a row per class and user and one for its times,
+    which are added up by day where they are, so that few rows travel."""
+    stays = None
+    for part in unified:
+        own = _stay_states(part, weight)
+        stays = own if stays is None else stays.unionByName(own)
+
+    def measure(kind: str, kind_of, value, n, s):
         return F.struct(
             F.lit(kind).alias("medida"),
-            stay.cast("bigint").alias("origem"),
-            F.when(stay.isNotNull(), entry).alias("estada"),
-            day.alias("entrada"),
+            F.col("entrada").alias("entrada"),
             kind_of.cast("string").alias("tipo_bilhete"),
             value.cast("string").alias("valor"),
-            n.cast("decimal(18,0)").alias("n"),
-            s.cast("decimal(37,0)").alias("s"),
+            n.cast("decimal(28,0)").alias("n"),
+            s.cast("decimal(30,0)").alias("s"),
         )
 
     none = F.lit(None)
-    wanted = F.col("classificacao_atuacao") != UNCLASSIFIED
-    volumes = [
-        F.when(
-            F.col(column).isNotNull() & (F.col(column) != UNCLASSIFIED if kind == BY_CLASS else wanted),
-            measure(kind, F.col("origem"), F.col("tipo_bilhete"), F.col(column), F.when(entry.isNotNull(), 1), none),
-        )
-        for kind, column in ((BY_CLASS, "classificacao_atuacao"), (BY_USER, "usuario_atuacao"))
-    ]
-    total = seconds.cast("decimal(19,0)") * times.cast("decimal(18,0)")
-    time = measure(TIME, none, none, none, F.when(known, times).otherwise(0), total)
-    measures = unified.select(F.inline(F.array_compact(F.array(*volumes, time))))
-    is_time = F.col("medida") == TIME
-    stays = measures.groupBy("medida", "origem", "estada", "entrada", "tipo_bilhete", "valor").agg(
-        F.sum("n").alias("soma"), F.max("n").alias("uma"), F.sum("s").cast("decimal(30,0)").alias("s")
-    )
-    stays = stays.withColumn("n", F.when(is_time, F.col("soma")).otherwise(F.coalesce("uma", F.lit(0))))
-    return stays.groupBy("medida", "entrada", "tipo_bilhete", "valor").agg(
+    one = F.when(F.col("entrada").isNotNull(), 1).otherwise(0)
+
+    def volume(kind: str, column: str):
+        return F.transform(column, lambda value: measure(kind, F.col("tipo_bilhete"), value, one, none))
+
+    volumes = [volume(BY_CLASS, "classes"), volume(BY_USER, "usuarios")]
+    time = F.array(measure(TIME, none, none, F.col("vezes"), F.col("segundos")))
+    measures = stays.select(F.inline(F.concat(*volumes, time)))
+    return measures.groupBy("medida", "entrada", "tipo_bilhete", "valor").agg(
         F.sum("n").cast("decimal(30,0)").alias("n"), F.sum("s").cast("decimal(30,0)").alias("s")
     )
 
 
-def write_states(unified: DataFrame, folder: str, start: datetime, end: datetime, weight: str | None = None) -> str:
+def write_states(
+    unified: DataFrame | Sequence[DataFrame], folder: str, start: datetime, end: datetime, weight: str | None = None
+) -> str:
     """Stores the states of one load, of tickets in (start, end]."""
-    return write_load(daily_states(unified, weight), folder, start, end)
+    parts = [unified] if isinstance(unified, DataFrame) else unified
+    return write_load(daily_states(*parts, weight=weight), folder, start, end)
 
 
 def _added(spark: SparkSession, folder: str, kind: str) -> DataFrame:

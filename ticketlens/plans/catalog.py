@@ -349,7 +349,7 @@ def _rollup(spark, sf_dir):
     t = _tables(spark, sf_dir)
     folder = shared_folder(spark, "rollup")
     for start, end in ((START, FIRST_LOAD_END), (FIRST_LOAD_END, END), (FIRST_LOAD_END, END)):
-        rows = tracking.unified_stays(t, AS_OF, start, end, START, weighted=True)
+        rows = tracking.unified_stay_parts(t, AS_OF, start, end, START, weighted=True)
         rollup.write_states(rows, folder, start, end, weight="repeats")
     return folder
 

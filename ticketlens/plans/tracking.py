@@ -55,45 +55,69 @@ def _finish(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def consolidate(tickets: DataFrame, sides: Sequence[DataFrame]) -> DataFrame:
-    """Every ticket row with each line, stay and procedure row of its ticket, packed. All four
-    travel by ticket, once; a ticket that is not heavy fits a row."""
+    """Every ticket row with each line, stay and procedure row of its ticket, for tickets that
+    are not heavy. All four travel by ticket, once, and what the joins make stays in place."""
     rows = tickets
-    for name, side in zip(LISTS, sides, strict=True):
-        rows = rows.join(listed(side, "origem", name), "origem", "left")
-    return rows.withColumn(PIECE, F.lit(False))
+    for side in sides:
+        rows = rows.join(side, "origem", "left")
+    return rows
+
+
+def consolidate_packed(tickets: DataFrame, sides: Sequence[DataFrame]) -> DataFrame:
+    """The same packed: a row per ticket row."""
+    named = [listed(side, "origem", name) for name, side in zip(LISTS, sides, strict=True)]
+    return consolidate(tickets, named).withColumn(PIECE, F.lit(False))
 
 
 def consolidate_heavy(tickets: DataFrame, sides: Sequence[DataFrame]) -> DataFrame:
-    """The same for heavy tickets, each pair in a row of its own.
+    """The rows of `consolidate` for heavy tickets.
 
-    Lines and stays carry `linhas` and `estadas`, how many of either the ticket has, as do
-    tickets and procedures: from them follows into how many chunks it is split."""
-    counts = {"origem", "linhas", "estadas"}
-    factors = {name: [c for c in side.columns if c not in counts] for name, side in zip(LISTS, sides, strict=True)}
+    All carry `linhas` and `estadas`, how many lines and stays the ticket has: from them
+    follows into how many chunks it is split."""
     lines, stays, procedures = sides
     placed = chunked_join(tickets, lines, "origem", right_rows="linhas")
     with_stays = chunked_join(placed, stays, "origem", left_rows=F.col("linhas"), right_rows="estadas")
     rows = chunked_join(with_stays, procedures, "origem", left_rows=_pairs())
-    return pieces(rows.drop("linhas", "estadas"), factors)
+    return rows.drop("linhas", "estadas")
 
 
-def _tracking(
+# Tickets and their lines, stays and procedure rows.
+Parts = tuple[DataFrame, Sequence[DataFrame]]
+
+
+def _parts(
     roots: DataFrame, tables: Mapping[str, DataFrame], as_of: datetime, mode: str
-) -> Packed:
+) -> tuple[Parts, Parts]:
+    """Those of light and of heavy tickets."""
     ready = load_tables(tables, roots)
     sizes = ticket_sizes(rows_per_ticket(ready), stays_per_ticket(ready["vida"]))
     tickets, lines = snapshot_parts(roots, ready, mode, sizes)
     stays = stay_parts(ready["vida"], ready["grupos"], ready["usuarios"], as_of, sizes)
     procedures = split(_procedures(ready).withColumn("origem", F.col("origem" + SUFFIX)), sizes)
     light, hot = zip(lines, stays, procedures, strict=True)
-    packed = consolidate(tickets[0], light)
-    many = consolidate_heavy(tickets[1], hot)
-    return Packed(packed.unionByName(many.select(*packed.columns)), LISTS, _finish)
+    return (tickets[0], light), (tickets[1], hot)
+
+
+def _tracking(
+    roots: DataFrame, tables: Mapping[str, DataFrame], as_of: datetime, mode: str
+) -> DataFrame:
+    light, hot = _parts(roots, tables, as_of, mode)
+    return _finish(consolidate(*light), ()).unionByName(_finish(consolidate_heavy(*hot), ()))
+
+
+def _packed(
+    roots: DataFrame, tables: Mapping[str, DataFrame], as_of: datetime, mode: str
+) -> Packed:
+    light, hot = _parts(roots, tables, as_of, mode)
+    packed = consolidate_packed(*light)
+    factors = {name: [c for c in side.columns if c != "origem"] for name, side in zip(LISTS, light[1], strict=True)}
+    many = pieces(consolidate_heavy(*hot), factors).select(*packed.columns)
+    return Packed(packed.unionByName(many), LISTS, _finish)
 
 
 def tracking_of(roots: DataFrame, tables: Mapping[str, DataFrame], as_of: datetime) -> DataFrame:
     """Tracking rows of some root tickets."""
-    return _tracking(roots, tables, as_of, "life_or_procedure").rows()
+    return _tracking(roots, tables, as_of, "life_or_procedure")
 
 
 def tracking_active(
@@ -104,7 +128,7 @@ def tracking_active(
     mode: str = "life_or_procedure",
 ) -> DataFrame:
     """Tracking rows of open tickets created in [start, end)."""
-    return _tracking(active_roots(tables["ta"], start, end), tables, as_of, mode).rows()
+    return _tracking(active_roots(tables["ta"], start, end), tables, as_of, mode)
 
 
 def closed_packed(
@@ -117,7 +141,7 @@ def closed_packed(
 ) -> Packed:
     """`tracking_closed`, packed."""
     roots = closed_roots(tables["ta"], start, end, created_from)
-    return _tracking(roots, tables, as_of, mode)
+    return _packed(roots, tables, as_of, mode)
 
 
 def tracking_closed(
@@ -129,7 +153,8 @@ def tracking_closed(
     mode: str = "life_or_procedure",
 ) -> DataFrame:
     """Tracking rows of tickets that closed in (start, end]."""
-    return closed_packed(tables, as_of, start, end, created_from, mode).rows()
+    roots = closed_roots(tables["ta"], start, end, created_from)
+    return _tracking(roots, tables, as_of, mode)
 
 
 def _both_roots(
@@ -162,7 +187,7 @@ def unified_packed(
     entered: Entered | None = None,
 ) -> Packed:
     """`tracking_unified`, packed."""
-    return _tracking(_both_roots(tables, start, end, created_from, entered), tables, as_of, mode)
+    return _packed(_both_roots(tables, start, end, created_from, entered), tables, as_of, mode)
 
 
 def tracking_unified(
@@ -179,7 +204,7 @@ def tracking_unified(
     Life rows, procedures and elements are read and shuffled once for both kinds
     of ticket. The rows are those of `unified_tracking` over the two tables; with
     `entered`, all rows of tickets that have a stay in its period."""
-    return unified_packed(tables, as_of, start, end, created_from, mode, entered).rows()
+    return _tracking(_both_roots(tables, start, end, created_from, entered), tables, as_of, mode)
 
 
 def unified_sites(
@@ -232,6 +257,21 @@ def unified_stays(
     `weighted=True` adds `linhas` (snapshot rows of the ticket), `procs` (its procedure
     rows) and `repeats`, how often the joins would repeat the row: with them, counts and
     means over all tracking rows come out the same without a row repeated."""
+    light, hot = unified_stay_parts(tables, as_of, start, end, created_from, mode, weighted)
+    return light.unionByName(hot)
+
+
+def unified_stay_parts(
+    tables: Mapping[str, DataFrame],
+    as_of: datetime,
+    start: datetime,
+    end: datetime,
+    created_from: datetime,
+    mode: str = "life_or_procedure",
+    weighted: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """`unified_stays` of light tickets, where rows of a ticket lie together, and of heavy
+    ones."""
     roots = _both_roots(tables, start, end, created_from)
     ready = load_tables(tables, roots)
     sizes = heavy(stays_per_ticket(ready["vida"]), ["origem"], "estadas")
@@ -239,7 +279,7 @@ def unified_stays(
     tickets = ticket_rows(roots, ready, mode)
     tickets, hot = split(_with_repeats(tickets, ready) if weighted else tickets, sizes)
     many = chunked_join(hot, hot_stays, "origem", right_rows="estadas").drop("estadas")
-    return classify_stay(tickets.join(stays, "origem", "left").unionByName(many))
+    return classify_stay(tickets.join(stays, "origem", "left")), classify_stay(many)
 
 
 def _with_repeats(tickets: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
