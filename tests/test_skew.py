@@ -179,3 +179,32 @@ def test_commands_in_small_chunks(tables, rows_of, monkeypatch):
     plain = both()
     monkeypatch.setattr(skew, "ROWS_PER_CHUNK", 3)
     assert both() == plain
+
+
+def test_a_heavy_part_adds_no_filter_below_the_shuffles(spark, rows_of):
+    """Light and heavy rows come from one shuffle of the same rows, null keys among the light."""
+    ids = spark.range(0, 60, 1, 3)
+    df = ids.select(F.when(F.col("id") % 4 > 0, F.col("id") % 5).alias("k"), (F.col("id") % 9).alias("v")).distinct()
+    sizes = skew.heavy(spark.createDataFrame([(2, 10**6)], "k long, n long"), ["k"], "n")
+    light, hot = skew.split(df, sizes, "k")
+    assert hot.columns == ["k", "v", "n"] and {r["k"] for r in hot.collect()} == {2}
+    assert rows_of(light.unionByName(hot.drop("n"))) == rows_of(df)
+    for part in (light, hot):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "isnotnull" not in plan[plan.index("Aggregate") :].split("Filter (isnotnull(n")[0].lower().split("resolvedhint")[0]
+
+
+def test_heavy_stays_are_found_where_they_are_read(spark, rows_of, tables, monkeypatch):
+    """The life rows of heavy tickets do not travel with those of a load."""
+    monkeypatch.setattr(skew, "ROWS_PER_CHUNK", 2)
+    life = tables["vida"].where("vda_ta % 3 = 0")
+    chosen = life.join(tables["ta"].select(F.col("tqa_codigo").alias("c")), F.col("vda_ta") == F.col("c"), "left_semi")
+    sizes = skew.heavy(stays.stays_per_ticket(chosen), ["origem"], "estadas")
+    names = (tables["grupos"], tables["usuarios"], catalog.AS_OF)
+    light, hot = stays.stay_parts(chosen, *names, sizes, tables["vida"])
+    assert hot.count() > 0 and light.count() > 0
+    assert rows_of(light.unionByName(hot.drop("estadas"))) == rows_of(stays.stay_table(chosen, *names))
+    # The source is read as it is; only the counts of heavy tickets come from the load.
+    read = stays.group_stays(skew.only_heavy(tables["vida"], "vda_ta", sizes), *names, keep=["estadas"])
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 1 and plan.index("strategy=broadcast") < plan.index("LeftSemi")

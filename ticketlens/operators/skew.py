@@ -45,12 +45,24 @@ def heavy(counts: DataFrame, keys: Sequence[str], *sizes: str | Column) -> DataF
 
 def split(df: DataFrame, sizes: DataFrame, key: str = "origem") -> tuple[DataFrame, DataFrame]:
     """Rows of light keys, and rows of heavy ones with the columns of `sizes`, a table of
-    `heavy` keys."""
-    known = df.join(sizes, key, "left")
+    `heavy` keys.
+
+    `sizes` has no null key. Keys are compared null-safe all the same: by plain equality the
+    heavy part would get a null filter below the shuffles of `df`, which are then not those
+    of the light part, so that all of `df` would travel once more."""
+    known = df.join(sizes.withColumnRenamed(key, "_pesada"), F.col(key).eqNullSafe(F.col("_pesada")), "left")
+    known = known.drop("_pesada")
     size = F.coalesce(*[F.col(name) for name in sizes.columns if name != key])
     return known.where(size.isNull()).select(*df.columns), known.where(size.isNotNull())
 
 
+def only_heavy(df: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """Rows whose `key` is one of the heavy tickets of `sizes`, with its columns, found where they
+    are read: light rows do not travel, and where no ticket is heavy nothing is read."""
+    tickets = sizes.withColumnRenamed("origem", "_pesada")
+    return df.join(tickets, F.col(key) == F.col("_pesada")).drop("_pesada")
+
+
 def _own(df: DataFrame, number: Column) -> Column:
     """The chunk of a row, from a hash of its values: a rerun task agrees."""
     return F.pmod(F.xxhash64(*[F.col(name) for name in df.columns]), number).cast("int")

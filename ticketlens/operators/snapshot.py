@@ -132,13 +132,17 @@ def closed_roots(
 def load_tables(tables: Mapping[str, DataFrame], roots: DataFrame) -> dict[str, DataFrame]:
     """The ticket tables with the rows of one load's tickets only: life rows, procedures
     and elements of the roots, and equipment of those elements. Spark chooses between
-    broadcast and shuffle for each semi-join by the size it sees."""
+    broadcast and shuffle for each semi-join by the size it sees. Rows without a key match
+    nothing; they are left out by name, so that all uses of a table read it by one filter and
+    can share its shuffle."""
     ready = dict(tables)
     codes = roots.select(F.col("tqa_codigo").alias("codigo"))
     for name, key in (("vida", "vda_ta"), ("proced", "pca_ta"), ("ta", "tqa_origem")):
-        ready[name] = tables[name].join(codes, F.col(key) == F.col("codigo"), "left_semi")
+        keyed = tables[name].where(F.col(key).isNotNull())
+        ready[name] = keyed.join(codes, F.col(key) == F.col("codigo"), "left_semi")
     elements = ready["ta"].select(F.col("tqa_codigo").alias("codigo"))
-    ready["equip"] = tables["equip"].join(elements, F.col("aeq_ta") == F.col("codigo"), "left_semi")
+    keyed = tables["equip"].where(F.col("aeq_ta").isNotNull())
+    ready["equip"] = keyed.join(elements, F.col("aeq_ta") == F.col("codigo"), "left_semi")
     return ready
 
 

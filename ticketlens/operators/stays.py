@@ -29,8 +29,10 @@ def group_stays(
     users: DataFrame,
     as_of: datetime,
     n2: Sequence[int] = N2_GROUPS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per life row in the N2 groups; stays still open end at `as_of`."""
+    """One row per life row in the N2 groups; stays still open end at `as_of`. `keep` names
+    more columns of `life` that stay."""
     acted = F.col("usuario_cod").isNotNull()
     until = F.coalesce("data_saida_n2", ntz(as_of))
     stays = life.where(F.col("vda_grupo").isin(list(n2))).select(
@@ -40,6 +42,7 @@ def group_stays(
         F.col("vda_usuario").alias("usuario_cod"),
         F.col("vda_data_initial").alias("data_entrada_n2"),
         F.col("vda_data_final").alias("data_saida_n2"),
+        *keep,
     )
     timed = stays.withColumns(
         {
@@ -252,12 +255,21 @@ def stay_table(
 
 
 def stay_parts(
-    life: DataFrame, groups: DataFrame, users: DataFrame, as_of: datetime, sizes: DataFrame
+    life: DataFrame,
+    groups: DataFrame,
+    users: DataFrame,
+    as_of: datetime,
+    sizes: DataFrame,
+    source: DataFrame,
 ) -> tuple[DataFrame, DataFrame]:
     """The rows of `stay_table` of light tickets, and of heavy ones with the columns of
-    `sizes`, a table of heavy tickets that names all with more stays than a chunk."""
-    light, hot = skew.split(group_stays(life, groups, users, as_of), sizes)
+    `sizes`, a table of heavy tickets that names all with more stays than a chunk.
+
+    `life` has the rows of the tickets that `sizes` was counted over, `source` those and maybe
+    others: heavy tickets are taken from it ahead of the shuffle that chose `life`."""
+    light, _ = skew.split(group_stays(life, groups, users, as_of), sizes)
     counts = [c for c in sizes.columns if c != "origem"]
+    hot = group_stays(skew.only_heavy(source, "vda_ta", sizes), groups, users, as_of, keep=counts)
     return _texts(_total_light(_mark_light(light))), _texts(_total(_mark(_in_chunks(hot))), *counts)
 
 

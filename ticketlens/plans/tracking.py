@@ -92,7 +92,9 @@ def _parts(
     ready = load_tables(tables, roots)
     sizes = ticket_sizes(rows_per_ticket(ready), stays_per_ticket(ready["vida"]))
     tickets, lines = snapshot_parts(roots, ready, mode, sizes)
-    stays = stay_parts(ready["vida"], ready["grupos"], ready["usuarios"], as_of, sizes)
+    stays = stay_parts(
+        ready["vida"], ready["grupos"], ready["usuarios"], as_of, sizes, tables["vida"]
+    )
     procedures = split(_procedures(ready).withColumn("origem", F.col("origem" + SUFFIX)), sizes)
     light, hot = zip(lines, stays, procedures, strict=True)
     return (tickets[0], light), (tickets[1], hot)
@@ -234,7 +236,9 @@ def unified_sites(
     sizes = ticket_sizes(places, stays_per_ticket(ready["vida"]))
     tickets, hot = split(ticket_rows(roots, ready, mode), sizes)
     lines, hot_lines = split(sites, sizes)
-    stays, hot_stays = stay_parts(ready["vida"], ready["grupos"], ready["usuarios"], as_of, sizes)
+    stays, hot_stays = stay_parts(
+        ready["vida"], ready["grupos"], ready["usuarios"], as_of, sizes, tables["vida"]
+    )
     light = tickets.join(lines, "origem", "left").join(stays, "origem", "left")
     placed = chunked_join(hot, hot_lines, "origem", right_rows="linhas")
     many = chunked_join(placed, hot_stays, "origem", left_rows=F.col("linhas"), right_rows="estadas")
@@ -275,7 +279,9 @@ def unified_stay_parts(
     roots = _both_roots(tables, start, end, created_from)
     ready = load_tables(tables, roots)
     sizes = heavy(stays_per_ticket(ready["vida"]), ["origem"], "estadas")
-    stays, hot_stays = stay_parts(ready["vida"], ready["grupos"], ready["usuarios"], as_of, sizes)
+    stays, hot_stays = stay_parts(
+        ready["vida"], ready["grupos"], ready["usuarios"], as_of, sizes, tables["vida"]
+    )
     tickets = ticket_rows(roots, ready, mode)
     tickets, hot = split(_with_repeats(tickets, ready) if weighted else tickets, sizes)
     many = chunked_join(hot, hot_stays, "origem", right_rows="estadas").drop("estadas")
