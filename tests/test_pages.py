@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ticketlens.sources import pages
 from ticketlens.sources.versions import current
 
 KEYS = ("a", "b")
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @pytest.fixture
@@ -121,3 +123,18 @@ def test_wrong_arguments(spark, tmp_path):
         pages.write_pages(_table(spark).withColumn(pages.RANGE, F.lit(1)), folder, KEYS)
     with pytest.raises(ValueError, match="nothing"):
         pages.read_page(spark, folder)
+
+
+def test_draft_and_shuffles_go_when_the_table_is_written(spark, tmp_path, small_ranges):
+    """Shuffle files of both jobs are removed with them, whenever the driver collects garbage."""
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    before, setting = {f.name for f in local.rglob("shuffle_*.data")}, spark.conf.get(CLEANUP)
+    folder = tmp_path / "t"
+    rows = _table(spark).groupBy("a", "b", "c", "t").agg(F.count(F.lit(1)).alias("n"))
+    pages.write_pages(rows, str(folder), KEYS)
+    left = {f.name for f in local.rglob("shuffle_*.data")} - before
+    # Only the one row per range of the index: no file of the table's own shuffles.
+    assert sum(f.stat().st_size for f in local.rglob("shuffle_*.data") if f.name in left) < 4096
+    assert not list((folder / pages.DRAFT).iterdir())
+    assert pages.read_rows(spark, str(folder)).count() == rows.count()
+    assert spark.conf.get(CLEANUP) == setting

@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 
 from ticketlens.operators.packed import Packed
 from ticketlens.operators.reports import check_page
-from ticketlens.sources.sinks import full_refresh
-from ticketlens.sources.versions import current, publish
+from ticketlens.sources.sinks import full_refresh, shuffles_freed
+from ticketlens.sources.versions import current, publish, remove
 
 RANGE = "faixa"
 ROWS, INDEX, MEASURES = "linhas", "indice", "medidas"
@@ -56,9 +56,10 @@ def write_pages(
     size of a range is that of a shuffle partition under adaptive execution.
 
     Cutting ranges samples the rows and so needs them twice: they are stored as they come
-    first, in a folder of their own that may be removed afterwards, and the plan behind them
+    first, in a folder of their own that is removed afterwards, and the plan behind them
     is planned and run once. Packed rows are stored and dealt into ranges packed, and opened
-    where they are sorted."""
+    where they are sorted. On disk are at most the shuffles of that plan and the draft, then
+    the draft, the shuffle into ranges and the table: shuffles go with the job they serve."""
     folder = folder.rstrip("/")
     if not keys:
         raise ValueError("keys must name the sort columns")
@@ -70,8 +71,9 @@ def write_pages(
     number, _ = current(spark, folder)
     order = [*keys, *[c for c in schema.names if c not in keys]]
     cut = [value.asc_nulls_last() for _, value in packed.cut(order[: cut_by or len(keys)])]
-    path = full_refresh(packed.frame, f"{folder}/{DRAFT}")
-    draft = spark.read.schema(packed.frame.schema).parquet(path)
+    with shuffles_freed(spark):
+        kept = full_refresh(packed.frame, f"{folder}/{DRAFT}")
+    draft = spark.read.schema(packed.frame.schema).parquet(kept)
     ranged = draft.repartitionByRange(*cut).withColumn(RANGE, F.spark_partition_id())
     rows = packed.over(ranged).rows(RANGE).sortWithinPartitions(RANGE, *_in_order(order))
     # Observed behind the last shuffle: a task that runs again is counted once.
@@ -80,7 +82,9 @@ def write_pages(
     rows = rows.observe(seen, *[value.cast("string").alias(name) for name, value in values.items()])
     # Not by full_refresh: its rebalance hint would deal the ranges anew.
     path = f"{folder}/{ROWS}/{uuid.uuid4().hex}"
-    rows.write.mode("errorifexists").partitionBy(RANGE).parquet(path)
+    with shuffles_freed(spark):
+        rows.write.mode("errorifexists").option("compression", "zstd").partitionBy(RANGE).parquet(path)
+    remove(spark, kept)
     stored = _ranges(spark, path, schema)
     index = full_refresh(_index(stored), f"{folder}/{INDEX}")
     content = {

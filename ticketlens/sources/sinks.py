@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,19 @@ def by_entry_month(df: DataFrame | Packed) -> DataFrame | Packed:
     return df.withColumn("mes_entrada", F.year(entry) * 100 + F.month(entry))
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs in here are removed when it ends, not when the driver
+    next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _write(df: DataFrame | Packed, path: str, mode: str, partition_by: tuple[str, ...]) -> str:
     """Plain tables are written where the rows are. For a partitioned one the
     rebalance hint lets adaptive execution merge the small files of a partition

@@ -72,6 +72,12 @@ def publish(spark: SparkSession, folder: str, content: Mapping[str, Any], after:
     return after + 1
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the caller's own that no version names."""
+    _, files, jvm = _file_system(spark, path)
+    files.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 def refresh(df: DataFrame, folder: str, partition_by: tuple[str, ...] = ()) -> str:
     """Replaces the table in `folder`: writes it beside its former versions, then publishes
     it. `read_current` finds the new rows afterwards; a write that fails changes nothing."""
