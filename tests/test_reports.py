@@ -190,3 +190,27 @@ def test_counts(spark):
     assert [tuple(r) for r in duplicate_report(df, "origem", 1).collect()] == [(1, 2)]
     rows = {r["etapa"]: tuple(r)[1:] for r in reconciliation(df, df, df.limit(0)).collect()}
     assert rows == {"tickets": (4, 2, 2, 0), "stays": (4, 2, 2, 1), "final": (0, 0, 0, 0)}
+
+
+def test_downloads_are_the_same_where_few_rows_repeat(spark, rows_of):
+    """Equal rows meet in one range of the order, newest first, in any session time zone."""
+    texts = {name: "x" for name in reports.DOWNLOAD_COLUMNS}
+    rows = [
+        {**texts, "origem": str(i % 4), "site": None if i % 3 else "s", "entrada": f"1998-{1 + i % 12:02d}-{1 + i % 27:02d} 00:{i % 2 * 30:02d}:00",
+         "saida": None if i % 5 else "1999-01-01 00:00:00"}
+        for i in range(600)
+    ] + [{**texts, "entrada": entry, "saida": None} for entry in (None, "1999-01-01 00:00:00", "1998-12-31 23:59:59.999999")]
+    df = spark.createDataFrame(rows).withColumns(
+        {"data_entrada_n2": F.col("entrada").cast("timestamp_ntz"), "data_saida_n2": F.col("saida").cast("timestamp_ntz")}
+    )
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        plain = reports.unified_download(df, 1998)
+        sorted_rows = reports.unified_download(df, 1998, few_repeat=True)
+        assert sorted_rows.columns == plain.columns
+        assert rows_of(sorted_rows) == rows_of(plain)
+        entries = [r["data_entrada_n2"] for r in sorted_rows.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert entries == sorted(entries, reverse=True) and 1 < len(entries) < 600

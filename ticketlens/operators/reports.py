@@ -11,9 +11,10 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.functions.calendar import calendar_filter, week_mode1, within
-from ticketlens.functions.durations import TIME_LIMIT_SECONDS, clip_time, report_hms
+from ticketlens.functions.calendar import calendar_filter, ntz, week_mode1, within
+from ticketlens.functions.durations import TIME_LIMIT_SECONDS, clip_time, micros_between, report_hms
 from ticketlens.operators.packed import Packed
+from ticketlens.operators.skew import distinct_sorted
 from ticketlens.operators.snapshot import ACTIVE_TAG, CLOSED_TAG, TAG
 from ticketlens.operators.stays import UNCLASSIFIED
 
@@ -72,12 +73,16 @@ def unified_tracking(active: DataFrame, closed: DataFrame) -> DataFrame:
     )
 
 
-def _newest_first(df: DataFrame, column: str) -> DataFrame:
-    """Sorted by `column`, newest first, then by what tells its rows apart: a sort
-    splits its tasks between different keys only, and one instant or one ticket
-    may hold a great part of the rows."""
+def _newest(df: DataFrame, column: str) -> list[Column]:
+    """By `column`, newest first, then by what tells rows of it apart: a sort splits its
+    tasks between different keys only, and one instant or one ticket may hold a great part of
+    the rows."""
     ties = [key for key in TIE_BREAKERS if key in df.columns and key != column]
-    return df.orderBy(F.col(column).desc_nulls_last(), *ties)
+    return [F.col(column).desc_nulls_last(), *[F.col(key) for key in ties]]
+
+
+def _newest_first(df: DataFrame, column: str) -> DataFrame:
+    return df.orderBy(*_newest(df, column))
 
 
 def unified_newest(unified: DataFrame | Packed) -> DataFrame:
@@ -97,11 +102,25 @@ def unified_download(
     mes: int | None = None,
     dia: int | None = None,
     semana: int | None = None,
+    few_repeat: bool = False,
 ) -> DataFrame:
     """Distinct 29-column rows that entered in a year and, when given, a month, a
-    day of month and a week (0-53); newest entry first."""
-    rows = calendar_filter(unified, "data_entrada_n2", ano, mes, dia, semana)
-    return _newest_first(rows.select(*DOWNLOAD_COLUMNS).distinct(), "data_entrada_n2")
+    day of month and a week (0-53); newest entry first.
+
+    With `few_repeat` rows are made distinct where they are sorted: equal ones are in one range
+    of the order, and the tasks that make the rows hold no table of them. Where many repeat, as
+    in a whole tracking table, that would let them all travel."""
+    entry = "data_entrada_n2"
+    rows = calendar_filter(unified, entry, ano, mes, dia, semana).select(*DOWNLOAD_COLUMNS)
+    if not few_repeat:
+        return _newest_first(rows.distinct(), entry)
+    # Counted back, entries ascend: so one sort serves both the order and the comparison. The
+    # year leaves none null.
+    until_end = micros_between(F.col(entry), ntz(datetime(ano + 1, 1, 1))).cast("bigint")
+    back = rows.withColumn("_recente", until_end)
+    order = ["_recente", *[key for key in TIE_BREAKERS if key in DOWNLOAD_COLUMNS and key != entry]]
+    ranges = distinct_sorted(back.repartitionByRange(*order), *order)
+    return ranges.sortWithinPartitions(*order).drop("_recente")
 
 
 def within_days(df: DataFrame, column: str, first: date, last: date) -> DataFrame:

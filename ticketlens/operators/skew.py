@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows of one key that a task is meant to hold.
@@ -43,6 +43,18 @@ def heavy(counts: DataFrame, keys: Sequence[str], *sizes: str | Column) -> DataF
     return F.broadcast(largest.orderBy(F.desc("tamanho"), *keys).limit(MOST_HEAVY).drop("tamanho"))
 
 
+def distinct_sorted(df: DataFrame, *keys: str) -> DataFrame:
+    """Distinct rows, in the order of `keys`: each is held against the one before it among the
+    rows of its keys, so a task sorts its rows once and needs no table of them. For keys that
+    are not heavy."""
+    others = [name for name in df.columns if name not in keys]
+    within = Window.partitionBy(*keys).orderBy(*others)
+    again = F.row_number().over(within) > 1
+    for name in others:
+        again = again & F.col(name).eqNullSafe(F.lag(name).over(within))
+    return df.withColumn("_repetida", again).where(~F.col("_repetida")).drop("_repetida")
+
+
 def split(df: DataFrame, sizes: DataFrame, key: str = "origem") -> tuple[DataFrame, DataFrame]:
     """Rows of light keys, and rows of heavy ones with the columns of `sizes`, a table of
     `heavy` keys.

@@ -26,6 +26,7 @@ CLOSED_STATUS = (90,)
 TAG = "origem_tabela"
 ACTIVE_TAG = "ATIVO"
 CLOSED_TAG = "FECHADO"
+TICKET_KEYS = {"vida": "vda_ta", "proced": "pca_ta", "ta": "tqa_origem"}
 YES = "SIM"
 NO_ROUTE = "NÃO"
 
@@ -111,38 +112,59 @@ def _roots(ta: DataFrame, status: Sequence[int]) -> DataFrame:
     )
 
 
+def _created_in(start: datetime, end: datetime) -> Column:
+    created = F.col("tqa_data_criacao")
+    return (created >= ntz(start)) & (created < ntz(end))
+
+
+def _closed_in(start: datetime, end: datetime, created_from: datetime) -> Column:
+    closed = F.col("tqa_data_encerramento")
+    created = F.col("tqa_data_criacao") >= ntz(created_from)
+    return created & (closed > ntz(start)) & (closed <= ntz(end))
+
+
 def active_roots(ta: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Open root tickets created in [start, end)."""
-    created = F.col("tqa_data_criacao")
-    return _roots(ta, ACTIVE_STATUS).where((created >= ntz(start)) & (created < ntz(end)))
+    return _roots(ta, ACTIVE_STATUS).where(_created_in(start, end))
 
 
 def closed_roots(
     ta: DataFrame, start: datetime, end: datetime, created_from: datetime
 ) -> DataFrame:
     """Closed root tickets that closed in (start, end], created since a floor."""
-    closed = F.col("tqa_data_encerramento")
-    return _roots(ta, CLOSED_STATUS).where(
-        (F.col("tqa_data_criacao") >= ntz(created_from))
-        & (closed > ntz(start))
-        & (closed <= ntz(end))
-    )
+    return _roots(ta, CLOSED_STATUS).where(_closed_in(start, end, created_from))
+
+
+def both_roots(
+    ta: DataFrame, start: datetime, end: datetime, created_from: datetime
+) -> DataFrame:
+    """The rows of both, tagged, in one reading: no status is open and closed. Unlike a union
+    they keep the order of a join, so that the next one does not sort them again."""
+    active = F.col("tqa_status").isin(list(ACTIVE_STATUS))
+    wanted = F.when(active, _created_in(start, end)).otherwise(_closed_in(start, end, created_from))
+    tag = F.when(active, ACTIVE_TAG).otherwise(CLOSED_TAG)
+    return _roots(ta, (*ACTIVE_STATUS, *CLOSED_STATUS)).where(wanted).withColumn(TAG, tag)
+
+
+def keyed_tables(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The ticket tables without rows that have no key, which match nothing. They are left out by
+    name, so that all uses of a table read it by one filter and can share its shuffle."""
+    ready = dict(tables)
+    for name, key in (*TICKET_KEYS.items(), ("equip", "aeq_ta")):
+        ready[name] = tables[name].where(F.col(key).isNotNull())
+    return ready
 
 
 def load_tables(tables: Mapping[str, DataFrame], roots: DataFrame) -> dict[str, DataFrame]:
     """The ticket tables with the rows of one load's tickets only: life rows, procedures
     and elements of the roots, and equipment of those elements. Spark chooses between
-    broadcast and shuffle for each semi-join by the size it sees. Rows without a key match
-    nothing; they are left out by name, so that all uses of a table read it by one filter and
-    can share its shuffle."""
-    ready = dict(tables)
+    broadcast and shuffle for each semi-join by the size it sees."""
+    ready = keyed_tables(tables)
     codes = roots.select(F.col("tqa_codigo").alias("codigo"))
-    for name, key in (("vida", "vda_ta"), ("proced", "pca_ta"), ("ta", "tqa_origem")):
-        keyed = tables[name].where(F.col(key).isNotNull())
-        ready[name] = keyed.join(codes, F.col(key) == F.col("codigo"), "left_semi")
+    for name, key in TICKET_KEYS.items():
+        ready[name] = ready[name].join(codes, F.col(key) == F.col("codigo"), "left_semi")
     elements = ready["ta"].select(F.col("tqa_codigo").alias("codigo"))
-    keyed = tables["equip"].where(F.col("aeq_ta").isNotNull())
-    ready["equip"] = keyed.join(elements, F.col("aeq_ta") == F.col("codigo"), "left_semi")
+    ready["equip"] = ready["equip"].join(elements, F.col("aeq_ta") == F.col("codigo"), "left_semi")
     return ready
 
 

@@ -251,7 +251,7 @@ def _download(spark, sf_dir, **period):
     rows = tracking.unified_sites(
         _tables(spark, sf_dir), AS_OF, START, END, START, entered=entered
     )
-    return reports.unified_download(rows, YEAR, **period)
+    return reports.unified_download(rows, YEAR, **period, few_repeat=True)
 
 
 def unified_download_year(spark, sf_dir):

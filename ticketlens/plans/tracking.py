@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from ticketlens.operators.packed import PIECE, Packed, listed, pieces
 from ticketlens.operators.procedures import SUFFIX, procedure_summary
-from ticketlens.operators.skew import chunked_join, heavy, split
+from ticketlens.operators.skew import chunked_join, counts_of, distinct_sorted, heavy, split
 from ticketlens.operators.snapshot import (
-    ACTIVE_TAG,
-    CLOSED_TAG,
     N2_GROUPS,
     TAG,
     active_roots,
+    both_roots,
     closed_roots,
+    keyed_tables,
     load_tables,
     rows_per_ticket,
     snapshot_parts,
@@ -168,10 +168,7 @@ def _both_roots(
 ) -> DataFrame:
     """Roots of both kinds, tagged; with `entered` only those with an N2 stay that
     entered in its period."""
-    ta = tables["ta"]
-    active = active_roots(ta, start, end).withColumn(TAG, F.lit(ACTIVE_TAG))
-    closed = closed_roots(ta, start, end, created_from).withColumn(TAG, F.lit(CLOSED_TAG))
-    roots = active.unionByName(closed)
+    roots = both_roots(tables["ta"], start, end, created_from)
     if entered is None:
         return roots
     life = tables["vida"].where(F.col("vda_grupo").isin(list(N2_GROUPS)))
@@ -222,20 +219,18 @@ def unified_sites(
     procedures: what a download that makes rows distinct needs of the tracking rows.
     With `entered`, tickets with a stay in its period only."""
     roots = _both_roots(tables, start, end, created_from, entered)
-    ready = load_tables(tables, roots)
-    sites = (
-        ready["ta"]
-        .select(
-            F.col("tqa_origem").alias("origem"),
-            F.col("tqa_area_codigo").alias("site"),
-            F.col("tqa_estado_codigo").alias("uf"),
-        )
-        .distinct()
+    # Only the tickets are chosen; what is joined to them is not chosen by them ahead, which
+    # would sort every table once more beside the same tickets, all in the task of the joins.
+    ready = keyed_tables(tables)
+    sites = ready["ta"].select(
+        F.col("tqa_origem").alias("origem"),
+        F.col("tqa_area_codigo").alias("site"),
+        F.col("tqa_estado_codigo").alias("uf"),
     )
-    places = sites.where(F.col("origem").isNotNull()).groupBy("origem").agg(F.count(F.lit(1)).alias("linhas"))
-    sizes = ticket_sizes(places, stays_per_ticket(ready["vida"]))
+    sizes = ticket_sizes(counts_of(sites, "origem", "linhas"), stays_per_ticket(ready["vida"]))
     tickets, hot = split(ticket_rows(roots, ready, mode), sizes)
     lines, hot_lines = split(sites, sizes)
+    lines, hot_lines = distinct_sorted(lines, "origem"), hot_lines.distinct()
     stays, hot_stays = stay_parts(
         ready["vida"], ready["grupos"], ready["usuarios"], as_of, sizes, tables["vida"]
     )
