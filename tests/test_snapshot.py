@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from ticketlens.operators import skew, snapshot
 from ticketlens.operators.snapshot import (
     eligible_tickets,
     route_flags,
@@ -11,6 +14,7 @@ from ticketlens.operators.snapshot import (
     ticket_snapshot_active,
     ticket_snapshot_closed,
 )
+from ticketlens.plans import catalog
 from ticketlens.plans.tracking import tracking_active, tracking_unified, unified_stays
 from ticketlens.operators.reports import volumetry
 from ticketlens.schemas import TICKET_TABLES
@@ -133,3 +137,45 @@ def test_ticket_without_stays_is_unclassified(make):
 def test_empty_tables(make):
     t = make()
     assert tracking_active(t, D, D, D + timedelta(days=1)).count() == 0
+
+
+@pytest.mark.parametrize("rows", [1, 3, 10**6])
+@pytest.mark.parametrize("heavy", [(), (2, 5)])
+def test_lines_are_elements_with_their_equipment(spark, rows_of, monkeypatch, rows, heavy):
+    """Elements of several tickets, rows that come twice or differ in a site, keys and values
+    missing, elements with much equipment or none."""
+    monkeypatch.setattr(skew, "ROWS_PER_CHUNK", rows)
+    rng = random.Random(rows)
+    some = [None, "a", "b"]
+    elements = [
+        (rng.choice([None, *range(20, 34)]), rng.choice([None, 1, 2, 3, 4, 5]), rng.choice(some), rng.choice(some), rng.choice(some))
+        for _ in range(200)
+    ]
+    pieces = [(rng.choice([20, 20, 21, 22, 23, 24, 25, 99]), rng.choice(some), rng.choice(some)) for _ in range(60)]
+    t = {
+        "ta": spark.createDataFrame(
+            elements, "tqa_codigo int, tqa_origem int, tqa_area_codigo string, tqa_estado_codigo string, tqa_impacto_eqp string"
+        ),
+        "equip": spark.createDataFrame(pieces, "aeq_ta int, aeq_hostname string, aeq_fabricante string"),
+    }
+    plain = snapshot._elements(t["ta"]).distinct().join(snapshot._equipment(t["equip"]).distinct(), "elemento", "left")
+    sizes = F.broadcast(spark.createDataFrame([(k, 10**6) for k in heavy], "origem int, linhas long"))
+    light, hot = snapshot.line_parts(t, sizes)
+    assert {r["origem"] for r in light.collect()} == {1, 2, 3, 4, 5} - {*heavy}
+    assert rows_of(light.unionByName(hot.drop("linhas"))) == rows_of(plain)
+
+
+def test_long_rows_of_elements_travel_once(spark, tables):
+    """By ticket; to the equipment go their keys alone. Joins are shuffled, as at size."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        df = snapshot.ticket_snapshot_closed(tables, catalog.START, catalog.END, catalog.START)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set(key, before)
+    lines = plan.split("\n")
+    sent = [below for line, below in zip(lines, lines[1:]) if " Exchange " in line and "elemento" in line]
+    assert sent and not [line for line in sent if "impacto" in line]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,18 @@ def test_days_that_changed_are_loaded_again(spark, tables, tmp_path, rows_of):
     assert synced(shorter) == 3
     assert rows_of(read_synced(spark, folder)) == expected(shorter)
     assert datetime.combine(days[0], datetime.min.time()) >= catalog.START
+
+
+def test_shuffles_of_a_sync_go_with_their_jobs(spark, tables, tmp_path):
+    """Whenever the driver collects garbage: else the prints and loads of all runs add up on disk."""
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    few = {name: tables[name] for name in TICKET_TABLES}
+    few["ta"] = few["ta"].where("coalesce(tqa_origem, tqa_codigo) % 29 = 0")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key), {f.name for f in local.rglob("shuffle_*.data")}
+    folder = str(tmp_path / "days")
+    assert sync_closed(folder, few, catalog.AS_OF, catalog.END, catalog.START) == 1
+    left = [f.stat().st_size for f in local.rglob("shuffle_*.data") if f.name not in before]
+    # At most the few distinct names of loads, which are collected and not written.
+    assert sum(left) < 4096 and spark.conf.get(key) == setting
+    assert read_synced(spark, folder).count() > 100

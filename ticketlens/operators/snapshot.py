@@ -157,14 +157,13 @@ def keyed_tables(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 
 def load_tables(tables: Mapping[str, DataFrame], roots: DataFrame) -> dict[str, DataFrame]:
     """The ticket tables with the rows of one load's tickets only: life rows, procedures
-    and elements of the roots, and equipment of those elements. Spark chooses between
-    broadcast and shuffle for each semi-join by the size it sees."""
+    and elements of the roots. Spark chooses between broadcast and shuffle for each semi-join
+    by the size it sees. Equipment is chosen where it is joined: a semi-join ahead would send
+    the codes of the elements once more."""
     ready = keyed_tables(tables)
     codes = roots.select(F.col("tqa_codigo").alias("codigo"))
     for name, key in TICKET_KEYS.items():
         ready[name] = ready[name].join(codes, F.col(key) == F.col("codigo"), "left_semi")
-    elements = ready["ta"].select(F.col("tqa_codigo").alias("codigo"))
-    ready["equip"] = ready["equip"].join(elements, F.col("aeq_ta") == F.col("codigo"), "left_semi")
     return ready
 
 
@@ -235,17 +234,43 @@ def rows_per_ticket(tables: Mapping[str, DataFrame]) -> DataFrame:
     return elements.groupBy("origem").agg(F.sum(F.coalesce("n", F.lit(1))).alias("linhas"))
 
 
-def _lines(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Elements with their equipment, without duplicates. The short rows travel by element.
-    Both sides are without duplicates, so that the counts that split hot keys are those of
-    their rows."""
-    elements = _elements(tables["ta"]).distinct()
-    equipment = _equipment(tables["equip"]).distinct()
+def _with_equipment(elements: DataFrame, tables: Mapping[str, DataFrame], how: str) -> DataFrame:
+    """Rows of elements with each piece of equipment (inner, left), without duplicates of these,
+    so that the counts that split hot keys are those of its rows.
+
+    Equipment has no null key. Keys are compared null-safe all the same, as in `split`: else the
+    elements would get a null filter below their shuffle by ticket, and travel once more."""
+    equipment = _equipment(tables["equip"]).where(F.col("elemento").isNotNull()).distinct()
     large = heavy(counts_of(equipment, "elemento", "equipamentos"), ["elemento"], "equipamentos")
     light, hot = split(elements, large, "elemento")
     own, hot_own = split(equipment, large, "elemento")
     many = chunked_join(hot, hot_own, "elemento", right_rows="equipamentos").drop("equipamentos")
-    return light.join(own, "elemento", "left").unionByName(many)
+    own = own.withColumnRenamed("elemento", "_dela")
+    return light.join(own, F.col("elemento").eqNullSafe(F.col("_dela")), how).drop("_dela").unionByName(many)
+
+
+def _equipment_of_tickets(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Equipment of the elements of each ticket: origem, elemento, hostname, fabricante, again for
+    each row of the element. Of the elements only their keys travel to it."""
+    return _with_equipment(_elements(tables["ta"]).distinct().select("origem", "elemento"), tables, "inner")
+
+
+def line_parts(tables: Mapping[str, DataFrame], sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Elements with their equipment, without duplicates, of light and of heavy tickets.
+
+    The long rows of light tickets' elements travel once, by ticket, and stay there: their
+    equipment comes to them."""
+    elements, hot = split(_elements(tables["ta"]).distinct(), sizes)
+    equipment, _ = split(_equipment_of_tickets(tables), sizes)
+    keys = ("origem", "elemento")
+    line, piece = F.struct("site", "uf", "impacto"), F.struct("hostname", "fabricante")
+    own = elements.select(*keys, line.alias("linha")).unionByName(
+        equipment.repartition("origem").select(*keys, piece.alias("peca")), allowMissingColumns=True
+    )
+    lists = own.groupBy(*keys).agg(F.collect_list("linha").alias("linhas"), F.collect_set("peca").alias("pecas"))
+    opened = lists.select(*keys, F.explode("linhas").alias("linha"), "pecas")
+    light = opened.select(*keys, "linha", F.explode_outer("pecas").alias("peca")).select(*keys, "linha.*", "peca.*")
+    return light, _with_equipment(hot, tables, "left")
 
 
 def snapshot_parts(
@@ -255,10 +280,10 @@ def snapshot_parts(
     heavy ones with the columns of `sizes`, a table of heavy tickets with `linhas`.
 
     Neither has duplicates, so their pairs have none: the long rows need not be compared."""
-    lines = _lines(tables)
-    own = [f.name for f in SNAPSHOT if f.name == "origem" or f.name not in lines.columns]
+    lines = line_parts(tables, sizes)
+    own = [f.name for f in SNAPSHOT if f.name == "origem" or f.name not in lines[0].columns]
     tickets = ticket_rows(roots, tables, mode).select(*own, *_tag(roots)).distinct()
-    return split(tickets, sizes), split(lines, sizes)
+    return split(tickets, sizes), lines
 
 
 def snapshot(

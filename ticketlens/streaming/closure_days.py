@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.operators.snapshot import closed_roots
 from ticketlens.plans.tracking import tracking_of
-from ticketlens.sources.sinks import full_refresh
+from ticketlens.sources.sinks import full_refresh, shuffles_freed
 from ticketlens.sources.versions import current, publish
 
 DAYS, LOADS, DAY, LOAD = "dias", "cargas", "dia_fechamento", "carga"
@@ -79,8 +79,21 @@ def sync_closed(
     the version. Without a changed day nothing is written.
 
     Days are kept whole: a stay that is still open keeps the end that the `as_of` of its
-    day's last load gave it. The table of days has one small row per day."""
+    day's last load gave it. The table of days has one small row per day. Shuffle files go with
+    the job they serve: on disk are at most those of the prints or of the load."""
     spark = tables["ta"].sparkSession
+    with shuffles_freed(spark):
+        return _sync(spark, folder, tables, as_of, end, created_from)
+
+
+def _sync(
+    spark: SparkSession,
+    folder: str,
+    tables: Mapping[str, DataFrame],
+    as_of: datetime,
+    end: datetime,
+    created_from: datetime,
+) -> int:
     number, stored = current(spark, folder)
     roots = closed_roots(tables["ta"], created_from, end, created_from)
     prints = spark.read.parquet(full_refresh(day_fingerprints(tables, roots), f"{folder}/{DAYS}"))
