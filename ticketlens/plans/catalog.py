@@ -16,6 +16,7 @@ from ticketlens.schemas import TICKET_TABLES
 from ticketlens.sources import pages
 from ticketlens.sources.sinks import (
     by_entry_month,
+    drafted,
     full_refresh,
     read_loads,
     shared_folder,
@@ -241,7 +242,9 @@ def closed_increment_appended(spark, sf_dir):
 
 
 def unified_tracking(spark, sf_dir):
-    return reports.unified_newest(_unified_packed(spark, sf_dir))
+    """A draft of the packed rows is stored before they are dealt into ranges."""
+    packed = drafted(_unified_packed(spark, sf_dir), shared_folder(spark, "unified"))
+    return reports.unified_newest(packed)
 
 
 def _download(spark, sf_dir, **period):
