@@ -54,17 +54,6 @@ def _write(df: DataFrame | Packed, path: str, mode: str, partition_by: tuple[str
     return path
 
 
-def drafted(packed: Packed, folder: str) -> Packed:
-    """The same rows, stored in `folder` and read again. For rows that are then dealt into ranges,
-    which samples them and so needs them twice: the plan behind them runs once, and its
-    shuffles are gone when those of the ranges are made."""
-    spark = packed.frame.sparkSession
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-    with shuffles_freed(spark):
-        packed.frame.write.option("compression", "zstd").parquet(path)
-    return packed.over(spark.read.schema(packed.frame.schema).parquet(path))
-
-
 def full_refresh(df: DataFrame | Packed, folder: str, partition_by: tuple[str, ...] = ()) -> str:
     """Writes the table beside its former versions in `folder` and returns the path of
     the new one. Readers keep the version they opened; hand them the new path once the
